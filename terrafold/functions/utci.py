@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .basic import between, clamp, finite, flag_list
 
@@ -191,7 +192,7 @@ def _saturation_hpa(t: Column) -> Column:
     return F.exp(series) * F.lit(0.01)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _polynomial_batch(t: pd.Series, wind: pd.Series, delta: pd.Series, vapor: pd.Series) -> pd.Series:
     """The 210 terms over one Arrow batch.
 

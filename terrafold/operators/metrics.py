@@ -15,7 +15,13 @@ from ..functions.basic import finite
 from ..functions.heat import CATEGORY_LABELS, RECALL_THRESHOLDS_C, heat_category
 from .order_stats import average_ranks
 
-TRUTH, PREDICTION = F.col("truth"), F.col("prediction")
+
+def _truth() -> Column:
+    return F.col("truth")
+
+
+def _prediction() -> Column:
+    return F.col("prediction")
 
 
 def long_predictions(
@@ -27,11 +33,11 @@ def long_predictions(
 
 
 def paired(df: DataFrame) -> DataFrame:
-    return df.filter(TRUTH.isNotNull() & PREDICTION.isNotNull())
+    return df.filter(_truth().isNotNull() & _prediction().isNotNull())
 
 
 def _usable() -> Column:
-    return TRUTH.isNotNull() & PREDICTION.isNotNull()
+    return _truth().isNotNull() & _prediction().isNotNull()
 
 
 def _over_pairs(x: Column) -> Column:
@@ -40,9 +46,9 @@ def _over_pairs(x: Column) -> Column:
 
 def error_aggregates() -> list[Column]:
     """Support, omitted rows, MAE, RMSE, bias and R2 over paired finite rows."""
-    error = PREDICTION - TRUTH
+    error = _prediction() - _truth()
     n = F.count_if(_usable())
-    spread = F.var_pop(_over_pairs(TRUTH)) * n
+    spread = F.var_pop(_over_pairs(_truth())) * n
     squares = F.sum(_over_pairs(error * error))
     return [
         n.alias("n"),
@@ -94,7 +100,7 @@ def confusion(long: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
 
     25 conditional counts in one aggregate; the cells are laid out by ``inline``.
     """
-    t, p = heat_category(TRUTH), heat_category(PREDICTION)
+    t, p = heat_category(_truth()), heat_category(_prediction())
     cells = [(a, b) for a in CATEGORY_LABELS for b in CATEGORY_LABELS]
     labelled = paired(long).withColumns({"t": t, "p": p})
     counts = labelled.groupBy(*keys).agg(
@@ -117,7 +123,7 @@ def confusion_wide(long: DataFrame, keys: Sequence[str] = ("model",)) -> DataFra
 
 def category_report(long: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Support, accuracy and macro F1 over all five labels from per-label counts."""
-    t, p = heat_category(TRUTH), heat_category(PREDICTION)
+    t, p = heat_category(_truth()), heat_category(_prediction())
     labelled = long.withColumns({"t": F.when(_usable(), t), "p": F.when(_usable(), p)})
     aggregates = [
         F.count_if(_usable()).alias("n"),
@@ -156,9 +162,9 @@ def recall_aggregates(thresholds: Sequence[float] = RECALL_THRESHOLDS_C) -> list
     """Per threshold: recall (null without positives), availability and support."""
     out = []
     for c in thresholds:
-        positive = _usable() & (TRUTH >= c)
+        positive = _usable() & (_truth() >= c)
         support = F.count_if(positive)
-        found = F.count_if(positive & (PREDICTION >= c))
+        found = F.count_if(positive & (_prediction() >= c))
         name = f"recall_ge_{c:g}_c"
         out += [
             F.try_divide(found.cast("double"), support).alias(name),
@@ -188,9 +194,9 @@ def threshold_recalls(
 
 
 def high_value_aggregates(threshold: float = 32.0) -> list[Column]:
-    high = _usable() & (TRUTH >= threshold)
+    high = _usable() & (_truth() >= threshold)
     return [
-        F.avg(F.when(high, F.abs(PREDICTION - TRUTH))).alias("high_mae"),
+        F.avg(F.when(high, F.abs(_prediction() - _truth()))).alias("high_mae"),
         F.count_if(high).alias("high_support"),
     ]
 
@@ -204,7 +210,7 @@ def high_value_mae(long: DataFrame, keys: Sequence[str] = ("model",), threshold:
 def full_report(long: DataFrame, keys: Sequence[str] = ("model",), high_threshold: float = 32.0,
                 with_spearman: bool = True) -> DataFrame:
     """Continuous, category, recall and high-value metrics; one scan without the rank part."""
-    t, p = heat_category(TRUTH), heat_category(PREDICTION)
+    t, p = heat_category(_truth()), heat_category(_prediction())
     labelled = long.withColumns({"t": F.when(_usable(), t), "p": F.when(_usable(), p)})
     label_counts = []
     for label in CATEGORY_LABELS:
@@ -255,7 +261,7 @@ def subgroup_report(long: DataFrame, dimensions: Mapping[str, str | Column], wit
     The observed heat category is always the first dimension.
     """
     keys = ["model", "subgroup_type", "subgroup"]
-    grouped = by_subgroup(paired(long), {"observed_heat_category": heat_category(TRUTH), **dimensions})
+    grouped = by_subgroup(paired(long), {"observed_heat_category": heat_category(_truth()), **dimensions})
     report = grouped.groupBy(*keys).agg(*error_aggregates(), *recall_aggregates())
     if with_spearman:
         report = report.join(spearman(grouped, keys), keys, "left")
@@ -264,7 +270,7 @@ def subgroup_report(long: DataFrame, dimensions: Mapping[str, str | Column], wit
 
 def grouped_mae(long: DataFrame, block: Sequence[str], keys: Sequence[str] = ("model",)) -> DataFrame:
     """Mean of the per-block mean absolute errors, so large blocks do not dominate."""
-    per_block = paired(long).groupBy(*keys, *block).agg(F.avg(F.abs(PREDICTION - TRUTH)).alias("block_mae"))
+    per_block = paired(long).groupBy(*keys, *block).agg(F.avg(F.abs(_prediction() - _truth())).alias("block_mae"))
     return per_block.groupBy(*keys).agg(F.avg("block_mae").alias("grouped_mae"), F.count(F.lit(1)).alias("n_blocks"))
 
 
