@@ -187,8 +187,8 @@ def contingency(cells: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
 def folded_cells(cells: DataFrame, design: SplitDesign, salt: str, partition: Sequence[str] = ()) -> DataFrame:
     """Cells with ``block_fold``, ``time_fold`` and ``fold`` (null off the paired diagonal)."""
     partition = list(partition)
-    by_block = materialise(cells.groupBy(*partition, F.col("block").alias("group")).agg(F.sum("rows").alias("rows")), "blocks")
-    by_time = materialise(cells.groupBy(*partition, F.col("time_key").alias("group")).agg(F.sum("rows").alias("rows")), "times")
+    by_block = cells.groupBy(*partition, F.col("block").alias("group")).agg(F.sum("rows").alias("rows"))
+    by_time = cells.groupBy(*partition, F.col("time_key").alias("group")).agg(F.sum("rows").alias("rows"))
     blocks = materialise(
         assign_groups(by_block, design.n_folds, design.seed, "spatial_block", partition)
         .select(*partition, F.col("group").alias("block"), F.col("fold").alias("block_fold")), "blocks")
@@ -196,7 +196,6 @@ def folded_cells(cells: DataFrame, design: SplitDesign, salt: str, partition: Se
         assign_groups(by_time, design.n_folds, design.seed, salt, partition)
         .select(*partition, F.col("group").alias("time_key"), F.col("fold").alias("time_fold")), "times")
     both = join_lookup(join_lookup(cells, blocks, [*partition, "block"], "inner"), times, [*partition, "time_key"], "inner")
-    both = materialise(both, "cells")
     table: dict[tuple, dict[tuple[int, int], int]] = {}
     for r in contingency(both, partition).collect():  # at most n x n rows per partition
         table.setdefault(tuple(r[p] for p in partition), {})[r["block_fold"], r["time_fold"]] = r["rows"]
@@ -212,49 +211,58 @@ def folded_cells(cells: DataFrame, design: SplitDesign, salt: str, partition: Se
     )
 
 
-def held_keys(held: DataFrame, key: str, partition: Sequence[str], name: str, embargo_days: int = 0) -> DataFrame:
-    """``(partition, key, folds)``: in which folds a key is held. At most one entry per fold."""
-    found = held.filter(F.col(key).isNotNull()).select(*partition, key, "fold").distinct()
+def held_keys(held: DataFrame, partition: Sequence[str], embargo_days: int = 0) -> DataFrame:
+    """``(partition, key_type, key, folds)``: in which folds a block, day or event is held.
+
+    At most one array entry per fold.
+    """
+    entries = F.array(*[F.struct(F.lit(k).alias("key_type"), F.col(k).alias("key")) for k in ("block", "day", "event")])
+    found = held.select(*partition, "fold", F.inline(entries)).filter("key is not null").distinct()
     if embargo_days:
         # A range of days becomes single days, so the embargo stays an equality join.
-        offsets = F.explode(F.sequence(F.lit(-embargo_days), F.lit(embargo_days))).alias("shift")
-        found = (
-            found.select(*partition, key, "fold", offsets)
-            .withColumn(key, F.date_format(F.date_add(F.col(key).cast("date"), F.col("shift")), "yyyy-MM-dd"))
-            .drop("shift").distinct()
+        near = F.transform(
+            F.sequence(F.lit(-embargo_days), F.lit(embargo_days)),
+            lambda shift: F.date_format(F.date_add(F.col("key").try_cast("date"), shift), "yyyy-MM-dd"),
         )
-    return found.groupBy(*partition, key).agg(F.collect_set("fold").alias(name))
+        days = found.filter("key_type = 'day'").withColumn("key", F.explode(near))
+        found = found.filter("key_type <> 'day'").unionByName(days)
+    return found.groupBy(*partition, "key_type", "key").agg(F.collect_set("fold").alias("folds"))
 
 
 def cell_parts(cells: DataFrame, design: SplitDesign, partition: Sequence[str] = ()) -> DataFrame:
-    """Cells x folds with ``part``: validation, train, or embargo when a key is shared.
+    """Cells with ``folds``: an array of (fold, part), part being validation, train, or
+    embargo when a key is shared.
 
     ``cells`` carries ``fold`` (null where a cell validates nothing).
     """
     partition = list(partition)
     held = cells.filter("fold is not null").select(*partition, "block", "day", "event", "fold")
+    keys = materialise(held_keys(held, partition, design.embargo_days), "held")
     out = cells
-    for key, name in (("block", "block_folds"), ("day", "day_folds"), ("event", "event_folds")):
-        folds = materialise(held_keys(held, key, partition, name, design.embargo_days if key == "day" else 0), name)
-        out = join_lookup(out, folds, [*partition, key])
+    for key in ("block", "day", "event"):
+        of_type = keys.filter(F.col("key_type") == key).select(
+            *partition, F.col("key").alias(key), F.col("folds").alias(f"{key}_folds"))
+        out = join_lookup(out, of_type, [*partition, key])
     empty = F.array().cast("array<int>")
     restricted = F.array_union(
         F.coalesce("block_folds", empty), F.array_union(F.coalesce("day_folds", empty), F.coalesce("event_folds", empty))
     )
-    every = F.sequence(F.lit(0), F.lit(design.n_folds - 1))
-    exploded = out.withColumn("restricted", restricted).withColumn("in_fold", F.explode(every))
-    part = (
-        F.when(F.col("fold") == F.col("in_fold"), F.lit("validation"))
-        .when(F.array_contains("restricted", F.col("in_fold")), F.lit("embargo"))
-        .otherwise(F.lit("train"))
+    parts = F.transform(
+        F.sequence(F.lit(0), F.lit(design.n_folds - 1)),
+        lambda f: F.struct(
+            f.alias("fold"),
+            F.when(F.col("fold") == f, F.lit("validation"))
+            .when(F.array_contains(F.col("restricted"), f), F.lit("embargo"))
+            .otherwise(F.lit("train")).alias("part"),
+        ),
     )
     names = [c for c in cells.columns if c not in {"fold", "block_fold", "time_fold"}]
-    return exploded.select(*names, F.col("in_fold").alias("fold"), part.alias("part"))
+    return out.withColumn("restricted", restricted).select(*names, parts.alias("folds"))
 
 
 def require_parts(parts: DataFrame, n_folds: int, partition: Sequence[str] = ()) -> None:
     """Every fold needs training and validation rows."""
-    counts = parts.groupBy(*partition, "fold").agg(
+    counts = parts.select(*partition, "rows", F.inline("folds")).groupBy(*partition, "fold").agg(
         *[F.sum(F.when(F.col("part") == p, F.col("rows")).otherwise(0)).alias(p) for p in ("train", "validation")]
     )
     empty = counts.filter("train = 0 or validation = 0").collect()  # at most one row per fold
@@ -263,22 +271,17 @@ def require_parts(parts: DataFrame, n_folds: int, partition: Sequence[str] = ())
 
 
 def attach_parts(df: DataFrame, parts: DataFrame, design: SplitDesign, partition: Sequence[str] = ()) -> DataFrame:
-    """Rows x folds: ``(id, partition, fold, part)`` from the parts of their cells."""
+    """Rows x folds: ``(id, partition, fold, part)`` from the materialised parts of their cells."""
     has_event = design.event_column is not None and design.event_column in df.columns
     event = F.col(design.event_column).cast("string") if has_event else F.lit(None).cast("string")
     rows = df.select(
         *partition, design.id_column,
         F.col(design.block_column).cast("string").alias("block"),
         day_text(design.date_column).alias("day"),
-        F.coalesce(F.when(~is_blank(event), event), F.lit("")).alias("event"),
-    )
-    packed = (
-        parts.withColumn("event", F.coalesce("event", F.lit("")))
-        .groupBy(*partition, "block", "day", "event")
-        .agg(F.collect_list(F.struct("fold", "part")).alias("folds"))  # one entry per fold
+        F.when(~is_blank(event), event).otherwise(F.lit("")).alias("event"),
     )
-    packed = materialise(packed, "parts")
-    joined = join_lookup(rows, packed, [*partition, "block", "day", "event"], "inner")
+    lookup = parts.select(*partition, "block", "day", F.coalesce("event", F.lit("")).alias("event"), "folds")
+    joined = join_lookup(rows, lookup, [*partition, "block", "day", "event"], "inner")
     return joined.select(*partition, design.id_column, F.inline("folds"))
 
 
@@ -316,7 +319,7 @@ def frozen_parts(df: DataFrame, design: SplitDesign, fold_column: str = "outer_f
     }
     if missing:
         raise SplitError(f"no validation rows for folds {sorted(missing)}")
-    parts = materialise(cell_parts(cells.withColumn("label", F.col("fold")), design), "parts")
+    parts = materialise(cell_parts(cells.withColumn("label", F.coalesce("fold", F.lit(-1))), design), "parts")
     require_parts(parts, design.n_folds)
     return parts
 
@@ -324,10 +327,8 @@ def frozen_parts(df: DataFrame, design: SplitDesign, fold_column: str = "outer_f
 def frozen_folds(df: DataFrame, design: SplitDesign, fold_column: str = "outer_fold") -> DataFrame:
     """Long fold table from stored labels, as ``split_with_embargo`` gives it."""
     parts = frozen_parts(df, design, fold_column)
-    label = F.coalesce("label", F.lit(-1))
-    keyed = parts.withColumn("label", label)
     marked = df.withColumn("label", F.greatest(F.col(fold_column).cast("int"), F.lit(-1)))
-    return attach_parts(marked, keyed, design, ["label"]).drop("label")
+    return attach_parts(marked, parts, design, ["label"]).drop("label")
 
 
 def nested_folds(df: DataFrame, outer: DataFrame, design: SplitDesign, inner_folds: int = 4) -> DataFrame:

@@ -153,6 +153,25 @@ def hash_ranks(groups: DataFrame, group: str, seed: int, salt: str, rank: str =
     )
 
 
+def hash_threshold(groups: DataFrame, group: str, count: int, seed: int, salt: str, direct_limit: int = 10_000) -> str:
+    """Largest hash among the first ``count`` distinct groups in hash order.
+
+    Membership is then the expression ``stable_hash(group) <= threshold``: no rank and no
+    join. A large count is found through the sizes of 4096 hash buckets and the head of one.
+    """
+    if count <= 0:
+        return ""
+    hashed = groups.select(stable_hash(group, seed, salt).alias("h"))
+    if count > direct_limit:
+        sizes = hashed.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(sizes, key=lambda r: r["b"]):  # at most 4096 rows
+            if r["n"] >= count:
+                hashed = hashed.filter(F.substring("h", 1, 3) == r["b"])
+                break
+            count -= r["n"]
+    return hashed.orderBy("h").limit(count).agg(F.max("h").alias("h")).first()["h"] or ""
+
+
 def dense_index(df: DataFrame, key: str, index: str = "position") -> DataFrame:
     """Zero-based index of unique keys in key order, without one global window."""
     ranked = cumulative_counts(df, key)

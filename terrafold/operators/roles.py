@@ -6,14 +6,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import number
-from ..functions.keys import is_blank, time_group
-from ..session import join_lookup, materialise
+from ..functions.keys import is_blank, stable_hash, time_group
+from ..session import materialise
 from .folds import SplitDesign, SplitError, shared_keys
-from .order_stats import hash_ranks
+from .order_stats import hash_threshold
 
 ALL_ROLES = ("development", "calibration", "final_test", "embargo")
 
@@ -36,38 +36,54 @@ class RoleDesign:
             raise ValueError("fractions must lie between zero and one")
 
 
-def first_by_hash(groups: DataFrame, group: str, count: int, seed: int, salt: str) -> DataFrame:
-    """The first ``count`` groups in hash order, by rank, so any count stays distributed."""
-    return hash_ranks(groups.select(group).distinct(), group, seed, salt).filter(
-        F.col("hash_rank") < count
-    ).drop("hash_rank")
+@dataclass(frozen=True)
+class RoleRule:
+    """Fitted selection: hash thresholds, and the few chosen hot time groups by name.
 
+    Roles are expressions of the block and the time group, so rows need no join.
+    """
 
-def _marked(groups: DataFrame, key: str, chosen: DataFrame, role: str) -> DataFrame:
-    """Give ``role`` to the chosen keys that have none yet."""
-    hit = chosen.select(key).withColumn("__hit", F.lit(True))
-    return groups.join(hit, key, "left").withColumn(
-        "role", F.coalesce("role", F.when(F.col("__hit"), F.lit(role)))
-    ).drop("__hit")
+    seed: int
+    final_block: str
+    calibration_block: str
+    hot_times: tuple[str, ...]
+    final_time: str
+    calibration_time: str
+
+    def block_role(self, block: Column) -> Column:
+        return (
+            F.when(stable_hash(block, self.seed, "final_spatial") <= self.final_block, F.lit("final_test"))
+            .when(stable_hash(block, self.seed, "calibration_spatial") <= self.calibration_block, F.lit("calibration"))
+            .otherwise(F.lit("development"))
+        )
 
+    def time_role(self, time_key: Column) -> Column:
+        hot = time_key.isin(list(self.hot_times)) if self.hot_times else F.lit(False)
+        return (
+            F.when(hot | (stable_hash(time_key, self.seed, "final_time") <= self.final_time), F.lit("final_test"))
+            .when(stable_hash(time_key, self.seed, "calibration_time") <= self.calibration_time, F.lit("calibration"))
+            .otherwise(F.lit("development"))
+        )
 
-def block_roles(blocks: DataFrame, design: RoleDesign, seed: int) -> DataFrame:
-    """``(block, role)``: final blocks first, then calibration, the rest development."""
+
+def fit_roles(groups: DataFrame, design: RoleDesign, seed: int) -> RoleRule:
+    """Select final then calibration groups from distinct ``(block, time_key, measure)``.
+
+    Hot time groups come first into the final role; the rest follows the hash order.
+    """
+    blocks = groups.select("block").distinct()
     n = blocks.count()
     n_final = max(design.minimum_sites, math.ceil(n * design.final_fraction))
     n_calibration = max(1, math.ceil(n * design.calibration_fraction))
     if n < design.minimum_sites or n_final >= n or n_calibration >= n - n_final:
         raise SplitError(f"{n} blocks are too few for the configured spatial holdouts")
-    final = first_by_hash(blocks, "block", n_final, seed, "final_spatial")
-    rest = blocks.join(final, "block", "left_anti")
-    calibration = first_by_hash(rest, "block", n_calibration, seed, "calibration_spatial")
-    out = blocks.select("block").withColumn("role", F.lit(None).cast("string"))
-    out = _marked(_marked(out, "block", final, "final_test"), "block", calibration, "calibration")
-    return out.withColumn("role", F.coalesce("role", F.lit("development")))
+    final_block = hash_threshold(blocks, "block", n_final, seed, "final_spatial")
+    rest = blocks.filter(stable_hash("block", seed, "final_spatial") > final_block)
+    calibration_block = hash_threshold(rest, "block", n_calibration, seed, "calibration_spatial")
 
-
-def time_roles(times: DataFrame, design: RoleDesign, seed: int) -> DataFrame:
-    """``(time_key, role)``: hot groups are preferred for the final role."""
+    times = groups.groupBy("time_key").agg(
+        F.coalesce(F.max(F.col("measure") >= design.hot_threshold_c), F.lit(False)).alias("hot")
+    )
     counts = times.agg(F.count(F.lit(1)).alias("n"), F.count_if("hot").alias("hot")).first()
     n, n_hot = counts["n"], counts["hot"]
     n_final = max(1, math.ceil(n * design.final_fraction))
@@ -77,55 +93,44 @@ def time_roles(times: DataFrame, design: RoleDesign, seed: int) -> DataFrame:
     if 0 < n_hot < design.minimum_hot:
         raise SplitError(f"only {n_hot} hot time groups")
     picked = min(n_hot, max(design.minimum_hot, design.preferred_hot))
-    n_final = max(n_final, picked)
-    hot = first_by_hash(times.filter("hot"), "time_key", picked, seed, "final_hot_time")
-    others = times.join(hot, "time_key", "left_anti")
-    more = first_by_hash(others, "time_key", n_final - picked, seed, "final_time")
-    final = hot.unionByName(more)
-    rest = times.join(final, "time_key", "left_anti")
-    calibration = first_by_hash(rest, "time_key", n_calibration, seed, "calibration_time")
-    out = times.select("time_key").withColumn("role", F.lit(None).cast("string"))
-    out = _marked(_marked(out, "time_key", final, "final_test"), "time_key", calibration, "calibration")
-    return out.withColumn("role", F.coalesce("role", F.lit("development")))
+    # The preferred number of hot groups is a setting, so this list is short.
+    chosen = times.filter("hot").orderBy(stable_hash("time_key", seed, "final_hot_time")).limit(picked).collect()
+    hot_times = tuple(r["time_key"] for r in chosen)
+    others = times.filter(~F.col("time_key").isin(list(hot_times))) if hot_times else times
+    final_time = hash_threshold(others, "time_key", max(n_final, picked) - picked, seed, "final_time")
+    rest = others.filter(stable_hash("time_key", seed, "final_time") > final_time)
+    calibration_time = hash_threshold(rest, "time_key", n_calibration, seed, "calibration_time")
+    return RoleRule(seed, final_block, calibration_block, hot_times, final_time, calibration_time)
 
 
 def assign_roles(df: DataFrame, split: SplitDesign, design: RoleDesign = RoleDesign()) -> DataFrame:
     """``df`` with ``split_role``: same role in space and time, else embargo.
 
-    Selection works on distinct blocks and time groups; rows meet it in two lookup joins.
+    Selection reads distinct blocks and time groups; applying it to rows is a projection.
     """
     has_event = split.event_column is not None and split.event_column in df.columns
-    event = split.event_column if has_event else None
+    block = F.col(split.block_column).cast("string")
+    time_key = time_group(split.date_column, split.event_column if has_event else None)
     measure = number(design.target) if design.target in df.columns else F.lit(None).cast("double")
-    keyed = df.withColumns(
-        {
-            "block": F.col(split.block_column).cast("string"),
-            "time_key": time_group(split.date_column, event),
-        }
-    )
     groups = materialise(
-        keyed.select("block", "time_key", measure.alias("measure"))
+        df.select(block.alias("block"), time_key.alias("time_key"), measure.alias("measure"))
         .groupBy("block", "time_key").agg(F.max("measure").alias("measure")),
         "role-groups",
     )
-    if groups.filter("block is null or time_key is null").limit(1).count():
+    rule = fit_roles(groups, design, split.seed)
+
+    def role(b: Column, t: Column) -> Column:
+        return F.when(rule.block_role(b) == rule.time_role(t), rule.block_role(b)).otherwise(F.lit("embargo"))
+
+    seen = groups.agg(
+        F.count_if(F.col("block").isNull() | F.col("time_key").isNull()).alias("missing"),
+        F.collect_set(role(F.col("block"), F.col("time_key"))).alias("roles"),  # four values at most
+    ).first()
+    if seen["missing"]:
         raise SplitError("blocks and dates cannot be missing")
-    blocks = materialise(groups.select("block").distinct(), "blocks")
-    times = materialise(
-        groups.groupBy("time_key").agg(
-            F.coalesce(F.max(F.col("measure") >= design.hot_threshold_c), F.lit(False)).alias("hot")
-        ),
-        "times",
-    )
-    by_block = materialise(block_roles(blocks, design, split.seed).withColumnRenamed("role", "block_role"), "block-roles")
-    by_time = materialise(time_roles(times, design, split.seed).withColumnRenamed("role", "time_role"), "time-roles")
-    cells = groups.join(by_block, "block").join(by_time, "time_key").filter("block_role = time_role")
-    present = {r["block_role"] for r in cells.select("block_role").distinct().collect()}
-    if present != {"development", "calibration", "final_test"}:
-        raise SplitError(f"empty partitions; present roles are {sorted(present)}")
-    joined = join_lookup(join_lookup(keyed, by_block, ["block"], "inner"), by_time, ["time_key"], "inner")
-    role = F.when(F.col("block_role") == F.col("time_role"), F.col("block_role")).otherwise(F.lit("embargo"))
-    return joined.withColumn("split_role", role).drop("block", "time_key", "block_role", "time_role")
+    if not {"development", "calibration", "final_test"} <= set(seen["roles"]):
+        raise SplitError(f"empty partitions; present roles are {sorted(seen['roles'])}")
+    return df.withColumn("split_role", role(block, time_key))
 
 
 def role_overlaps(df: DataFrame, split: SplitDesign, role_column: str = "split_role") -> DataFrame:
