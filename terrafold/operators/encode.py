@@ -22,6 +22,7 @@ from .order_stats import column_quantiles
 TREE_KINDS = ("boosted_trees", "random_forest")
 LINEAR_KINDS = ("linear",)
 MAX_CATEGORIES = 100_000
+DIRECT_ROWS = 200_000
 
 
 class EncodingError(ValueError):
@@ -120,7 +121,7 @@ def fit_encoder(
     numeric = tuple(c for c in chosen if c not in policy.categorical)
     types = {f.name: f.dataType.simpleString() for f in train.schema.fields}
 
-    checks = []
+    checks = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(numeric):
         x = number(c)
         absent_value = F.col(c).isNull() | (F.isnan(c) if types[c] in ("double", "float") else F.lit(False))
@@ -129,22 +130,28 @@ def fit_encoder(
             F.count_if(x.isNull() & ~absent_value).alias(f"t{i}"),
             F.count_if(F.abs(x) == float("inf")).alias(f"i{i}"),
         ]
-    seen = [F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(missing_token))).alias(f"c{i}")
-            for i, c in enumerate(categorical)]
-    if categorical:
-        sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-        wide = {c: sizes[c] for c in categorical if sizes[c] > MAX_CATEGORIES}
-        if wide:
-            raise EncodingError(f"too many categories for one-hot columns: {wide}")
-    row = train.agg(*checks, *seen).first()
+    sizes = [F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(categorical)]
+    row = train.agg(*checks, *sizes).first()
     text = {c: row[f"t{i}"] for i, c in enumerate(numeric) if row[f"t{i}"]}
     infinite = {c: row[f"i{i}"] for i, c in enumerate(numeric) if row[f"i{i}"]}
     if text or infinite:
         raise EncodingError(f"not numeric: {text}; infinite: {infinite}")
+    wide = {c: row[f"d{i}"] for i, c in enumerate(categorical) if row[f"d{i}"] > MAX_CATEGORIES}
+    if wide:
+        raise EncodingError(f"too many categories for one-hot columns: {wide}")
     with_missing = {c for i, c in enumerate(numeric) if row[f"m{i}"]}
     explicit = set(policy.indicator_columns)
     indicators = tuple(c for c in numeric if c in (explicit or with_missing)) if add_indicators else ()
-    medians = {c: m if m is not None else 0.0 for c, m in column_quantiles(train, numeric).items()}
+
+    # The built-in exact percentile keeps every distinct value in one buffer, so it serves
+    # small training parts only; larger ones use the bracketed order statistic.
+    small = row["n"] <= DIRECT_ROWS
+    seen = [F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(missing_token))).alias(f"c{i}")
+            for i, c in enumerate(categorical)]
+    middle = [F.median(number(c)).alias(f"q{i}") for i, c in enumerate(numeric)] if small else []
+    fitted = train.agg(F.count(F.lit(1)).alias("n"), *seen, *middle).first()
+    found = {c: fitted[f"q{i}"] for i, c in enumerate(numeric)} if small else column_quantiles(train, numeric)
+    medians = {c: m if m is not None else 0.0 for c, m in found.items()}
     centres: dict[str, float] = {}
     scales: dict[str, float] = {}
     if kind in LINEAR_KINDS and numeric:
@@ -155,7 +162,7 @@ def fit_encoder(
         ).first()
         centres = {c: moments[f"a{i}"] for i, c in enumerate(numeric)}
         scales = {c: moments[f"s{i}"] or 1.0 for i, c in enumerate(numeric)}
-    categories = {c: sorted(row[f"c{i}"]) for i, c in enumerate(categorical)}
+    categories = {c: sorted(fitted[f"c{i}"]) for i, c in enumerate(categorical)}
     encoder = Encoder(kind, numeric, categorical, indicators, medians, centres, scales, categories,
                       policy.missing_suffix, missing_token)
     check_provenance(encoder)

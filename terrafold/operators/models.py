@@ -58,8 +58,8 @@ class FittedModel:
     variant: str = "primary_unweighted"
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        scored = self.model.setPredictionCol(output).transform(self.encoder.with_features(df, "__features"))
-        return scored.drop("__features")
+        scored = self.model.setPredictionCol(output).transform(self.encoder.with_features(df.drop(output)))
+        return scored.drop("features")
 
 
 def unit_draw(seed: int, trial: int, name: str) -> float:
@@ -189,8 +189,8 @@ def outer_members(df: DataFrame, outer: DataFrame, fold: int, part: str, id_colu
 def nested_out_of_fold(
     df: DataFrame, split: SplitDesign, label: str, policy: PredictorPolicy, predictors: Sequence[str],
     trials: Sequence[BoostedParams], block: Sequence[str], inner_folds: int = 4, seed: int = 0,
-    predictor_set: str = "core", output: str = "direct_core", weights=None, **limits,
-) -> tuple[DataFrame, Selection, list[Selection]]:
+    predictor_set: str = "core", output: str = "direct_core", weights=None, select_final: bool = True, **limits,
+) -> tuple[DataFrame, Selection | None, list[Selection]]:
     """Out-of-fold predictions of development rows with stored outer folds.
 
     Returns the table ``(id, output)``, the selection on all development rows, and the
@@ -208,9 +208,11 @@ def nested_out_of_fold(
                              predictor_set, weights)
         tables.append(fitted.predict(held, output).select(split.id_column, output))
         chosen.append(best)
-    everything = split_with_embargo(df, split.inner(inner_folds))
-    final = search(df, materialise(everything, "inner"), label, policy, predictors, trials, seed, block,
-                   inner_folds, split.id_column, predictor_set, weights=weights, **limits)
+    final = None
+    if select_final:
+        everything = materialise(split_with_embargo(df, split.inner(inner_folds)), "inner")
+        final = search(df, everything, label, policy, predictors, trials, seed, block, inner_folds, split.id_column,
+                       predictor_set, weights=weights, **limits)
     result = tables[0]
     for t in tables[1:]:
         result = result.unionByName(t)

@@ -1 +1,286 @@
-"""Placeholder."""
+"""Queries for encoding, models, scoring and diagnostics.
+
+Tree counts and fold counts are small settings; every query reads its whole table. Model fits
+have no SQL twin; encoding, dependence and importance do.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...functions.grid import with_blocks
+from ...functions.heat import CATEGORY_LABELS
+from ...functions.physics import heat_index
+from ...functions.predictors import PredictorPolicy
+from ...functions.satellite import Eligibility, eligible
+from ...operators import diagnostics, models
+from ...operators.encode import fit_encoder
+from ...operators.folds import SplitDesign, frozen_folds, nested_folds, split_with_embargo
+from ...operators.intervals import calibrate
+from ...operators.isolation import fit_isolation_forest
+from ...operators.linear import candidate_scores, fit_elastic_net
+from ...operators.metrics import full_report, grouped_mae, long_predictions
+from ...operators.order_stats import hash_sample
+from ...session import materialise
+from ..scoring import ScoringPlan, score, score_eligible, with_components, with_simple_baselines
+from ..training import baseline_out_of_fold, component_out_of_fold, satellite_pair_out_of_fold
+from .registry import OBS, obs, r6, register, s6
+
+TARGET = "calculated_utci_c"
+CORE = ("background_air_temperature_c", "background_relative_humidity_pct", "background_wind_speed_m_s",
+        "background_shortwave_radiation_w_m2", "canopy_fraction", "hour_sin", "hour_cos", "land_cover_class")
+ADDED = ("satellite_lst_c", "satellite_image_age_hours", "satellite_thermal_source")
+POLICY = PredictorPolicy(core=CORE, additions=ADDED)
+BLOCK = ["spatial_block_id", "date"]
+SMALL = models.BoostedParams(trees=5, depth=3, step_size=0.3, subsample=1.0, feature_fraction=1.0)
+TWO_FOLDS = SplitDesign(n_folds=2, seed=42)
+
+
+def _development(spark, sf_dir):
+    """Blocked rows with complete component sources and their stored outer folds."""
+    df = materialise(with_blocks(obs(spark, sf_dir)).filter("measured_pedestrian_wind_speed_m_s >= 0"), "rows")
+    held = split_with_embargo(df, TWO_FOLDS).filter("part = 'validation'").select("sample_id", F.col("fold").alias("outer_fold"))
+    return materialise(df.join(held, "sample_id", "left").withColumn("outer_fold", F.coalesce("outer_fold", F.lit(-1))), "development")
+
+
+# ---------------------------------------------------------------------------------- encoding
+
+ENCODED = ("background_air_temperature_c", "background_relative_humidity_pct", "background_wind_speed_m_s", "land_cover_class")
+
+
+def _encoded(spark, sf_dir):
+    df = obs(spark, sf_dir)
+    encoder = fit_encoder(df, PredictorPolicy(core=ENCODED, additions=()), kind="linear")
+    wide = encoder.transform(df, ["sample_id"])
+    return wide.select("sample_id", *[r6(c).alias(c[2:]) for c in wide.columns[1:]])
+
+
+_COVERS = ("__MISSING__", "built_up", "mixed", "tree_canopy", "unknown", "water")
+_FILLED = ", ".join(f"coalesce({c}, (select median({c}) from obs)) as v{i}" for i, c in enumerate(ENCODED[:3]))
+register(
+    "encode_columns", _encoded,
+    f"{OBS}, f as (select *, {_FILLED} from obs), m as (select "
+    + ", ".join(f"avg(v{i}) as a{i}, stddev_pop(v{i}) as s{i}" for i in range(3)) + " from f) select sample_id, "
+    + ", ".join(s6(f"(v{i} - a{i}) / s{i}", c) for i, c in enumerate(ENCODED[:3]))
+    + ", case when background_relative_humidity_pct is null then 1e0 else 0e0 end as background_relative_humidity_pct__missing, "
+    + ", ".join(f"case when coalesce(land_cover_class, '__MISSING__') = '{v}' then 1e0 else 0e0 end as land_cover_class_{v}" for v in _COVERS)
+    + " from f, m",
+)
+
+# ------------------------------------------------------------------------------------ fits
+
+
+def _direct(spark, sf_dir):
+    df = obs(spark, sf_dir)
+    fitted = models.fit_boosted(df, TARGET, POLICY, CORE, SMALL, 7)
+    return fitted.predict(df, "direct").select("sample_id", r6("direct").alias("direct"))
+
+
+register("model_direct_boosted", _direct)
+
+
+def _weighted(spark, sf_dir):
+    df = obs(spark, sf_dir)
+    fitted = models.fit_boosted(df, TARGET, POLICY, CORE, SMALL, 7, weights=((32.0, 38.0, 46.0), (1.0, 1.5, 2.0, 3.0)))
+    long = long_predictions(fitted.predict(df, "heat_weighted"), TARGET, ["heat_weighted"])
+    return full_report(long, with_spearman=False).select("model", "n", *[f"support_{c}" for c in CATEGORY_LABELS], r6("mae").alias("mae"))
+
+
+register("model_heat_weighted", _weighted)
+
+
+def _loss_curve(spark, sf_dir):
+    """Validation loss after each tree of one fold, with the chosen count."""
+    df = _development(spark, sf_dir)
+    member = frozen_folds(df, TWO_FOLDS).filter("fold = 0")
+    train = materialise(df.join(member.filter("part = 'train'").select("sample_id"), "sample_id"), "train")
+    held = materialise(df.join(member.filter("part = 'validation'").select("sample_id"), "sample_id"), "held")
+    losses = models.loss_curve(models.fit_boosted(train, TARGET, POLICY, CORE, SMALL, 7), held, TARGET)
+    best = models.best_tree_count(losses, patience=2)
+    return spark.createDataFrame([(i + 1, v, i + 1 == best) for i, v in enumerate(losses)], "trees int, loss double, chosen boolean")
+
+
+register("model_loss_curve", _loss_curve)
+
+
+def _board(spark, sf_dir):
+    df = _development(spark, sf_dir)
+    folds = materialise(split_with_embargo(df, TWO_FOLDS.inner(2)), "inner")
+    trials = models.candidates(2, 42, {"trees": ("int", 3, 6, 1), "depth": ("int", 2, 3, 1), "step_size": ("log", 0.1, 0.5)})
+    best = models.search(df, folds, TARGET, POLICY, CORE, trials, 42, BLOCK, 2)
+    return spark.createDataFrame(best.scores).withColumn("selected_trees", F.lit(best.tree_count))
+
+
+register("model_candidate_board", _board)
+
+
+def _nested(spark, sf_dir):
+    df = _development(spark, sf_dir)
+    table, _, _ = models.nested_out_of_fold(df, TWO_FOLDS, TARGET, POLICY, CORE, [SMALL], BLOCK, 2, 42)
+    return table
+
+
+register("model_nested_out_of_fold", _nested)
+
+
+def _elastic_net(spark, sf_dir):
+    df = with_blocks(obs(spark, sf_dir))
+    return fit_elastic_net(df, TARGET, POLICY, CORE, 0.1, 0.5).predict(df, "linear").select("sample_id", r6("linear").alias("linear"))
+
+
+register("model_elastic_net", _elastic_net)
+
+
+def _linear_grid(spark, sf_dir):
+    df = _development(spark, sf_dir)
+    member = frozen_folds(df, TWO_FOLDS).filter("fold = 0")
+    train = materialise(df.join(member.filter("part = 'train'").select("sample_id"), "sample_id"), "train")
+    held = materialise(df.join(member.filter("part = 'validation'").select("sample_id"), "sample_id"), "held")
+    rows = candidate_scores(train, held, TARGET, POLICY, CORE, BLOCK)
+    return spark.createDataFrame([(a, r, float(s)) for a, r, s in rows], "alpha double, l1_ratio double, grouped_mae double")
+
+
+register("model_elastic_net_grid", _linear_grid)
+
+
+def _forest(spark, sf_dir):
+    df = obs(spark, sf_dir)
+    fitted = models.fit_forest(df, TARGET, POLICY, CORE, trees=5, depth=4)
+    return fitted.predict(df, "forest").select("sample_id", r6("forest").alias("forest"))
+
+
+register("model_random_forest", _forest)
+
+
+def _components(spark, sf_dir):
+    df = with_blocks(obs(spark, sf_dir)).filter("measured_pedestrian_wind_speed_m_s >= 0")
+    scored = with_components(models.fit_components(df, POLICY, CORE, SMALL, 7).predict(df))
+    return scored.select("sample_id", "component_utci_c", "wind_profile_flags", "all_physical_values_valid", "utci_applicable")
+
+
+register("model_components", _components)
+register("model_component_out_of_fold",
+         lambda s, d: component_out_of_fold(_development(s, d), TWO_FOLDS, POLICY, CORE, SMALL, 2, 42).drop("wind_speed_10m_sensitivity"))
+
+
+def _baselines(spark, sf_dir):
+    table, final = baseline_out_of_fold(_development(spark, sf_dir), TWO_FOLDS, TARGET, POLICY, CORE, BLOCK, 2, forest_trees=5,
+                                        forest_depth=4, rules=Eligibility())
+    return table.withColumns({k: F.lit(v) for k, v in final.items()})
+
+
+register("model_baseline_out_of_fold", _baselines)
+register("model_satellite_pair",
+         lambda s, d: satellite_pair_out_of_fold(_development(s, d), TWO_FOLDS, TARGET, POLICY, CORE, ADDED, [SMALL], BLOCK, 2, 42, select_final=False))
+
+
+def _score(spark, sf_dir):
+    df = materialise(with_blocks(obs(spark, sf_dir)).filter("measured_pedestrian_wind_speed_m_s >= 0"), "rows")
+    direct = models.fit_boosted(df, TARGET, POLICY, CORE, SMALL, 7)
+    components = models.fit_components(df, POLICY, CORE, SMALL, 7)
+    radius = calibrate(direct.predict(df, "p"), TARGET, "p", "calibration").first()["radius"]
+    bounds = diagnostics.range_bounds(diagnostics.training_ranges(df.filter("calculated_utci_c < 40"), [c for c in CORE if c != "land_cover_class"]))
+    forest = fit_isolation_forest(df, fit_encoder(df, POLICY, predictors=CORE), trees=20, sample=64)
+    return score(df, ScoringPlan(direct, components, radius, 3.0, bounds, forest))
+
+
+register("model_batch_scoring", _score)
+
+
+def _score_eligible(spark, sf_dir):
+    df = obs(spark, sf_dir)
+    rows = df.filter(eligible(df.columns))
+    fitted = models.fit_boosted(rows, TARGET, POLICY, CORE + ADDED, SMALL, 7, "satellite_enhanced")
+    return score_eligible(df, fitted)
+
+
+register("model_eligible_scoring", _score_eligible)
+
+
+def _anomalies(spark, sf_dir):
+    df = obs(spark, sf_dir)
+    forest = fit_isolation_forest(df, fit_encoder(df, POLICY, predictors=CORE), trees=30, sample=128)
+    return forest.score(df).select("sample_id", r6("anomaly_score").alias("anomaly_score"), "is_anomaly")
+
+
+register("model_isolation_forest", _anomalies)
+
+
+def _inner_report(spark, sf_dir):
+    """Grouped error of the simple baselines on every inner validation part."""
+    df = _development(spark, sf_dir)
+    outer = materialise(frozen_folds(df, TWO_FOLDS), "outer")
+    inner = nested_folds(df, outer, TWO_FOLDS, 2).filter("part = 'validation'")
+    scored = with_simple_baselines(df).drop("outer_fold").join(inner, "sample_id")
+    long = long_predictions(scored, TARGET, ["baseline_background_air_temperature", "baseline_heat_index"], ["outer_fold", "fold", *BLOCK])
+    return grouped_mae(long, BLOCK, ["model", "outer_fold", "fold"])
+
+
+register("model_inner_baseline_error", _inner_report)
+
+# ------------------------------------------------------------------------------ diagnostics
+
+
+def _formula(df):
+    return df.withColumn("prediction", heat_index("background_air_temperature_c", "background_relative_humidity_pct")
+                         + F.col("shade_product") / 100.0)
+
+
+def _recompute(df):
+    return df.withColumn("shade_product", F.col("background_shortwave_radiation_w_m2") * F.col("canopy_fraction"))
+
+
+def _dependence(feature):
+    def run(spark, sf_dir):
+        df = _recompute(obs(spark, sf_dir))
+        curve = diagnostics.partial_dependence(df, feature, _formula, _recompute, size=7)
+        return curve.select("feature", r6("value").alias("value"), r6("mean_prediction").alias("mean_prediction"))
+
+    return run
+
+
+_HI = ("case when simple < 80 then simple when rh < 13 and f between 80 and 112 then ro - (13 - rh) / 4e0 * sqrt(greatest(0e0, (17 - abs(f - 95)) / 17e0)) "
+       "when rh > 85 and f between 80 and 87 then ro + (rh - 85) / 1e1 * ((87 - f) / 5e0) else ro end")
+
+
+def formula_sql(source: str, keep: str) -> str:
+    """``(keep, p)``: the formula over ``source`` with t, rh, sw, cf."""
+    return (
+        f"select {keep}, ({_HI} - 32) * 5 / 9e0 + sw * cf / 1e2 as p from (select *, (5e-1 * (f + 61 + (f - 68) * 12e-1 + rh * 94e-3) + f) / 2e0 as simple, "
+        "-42.379e0 + 2.04901523e0 * f + 10.14333127e0 * rh - 0.22475541e0 * f * rh - 0.00683783e0 * f * f - 0.05481717e0 * rh * rh + 0.00122874e0 * f * f * rh "
+        f"+ 0.00085282e0 * f * rh * rh - 0.00000199e0 * f * f * rh * rh as ro from (select *, t * 9 / 5e0 + 32 as f from {source}))"
+    )
+
+
+_ARGS = {"t": "background_air_temperature_c", "rh": "background_relative_humidity_pct", "sw": "background_shortwave_radiation_w_m2", "cf": "canopy_fraction"}
+for _feature in ("background_air_temperature_c", "canopy_fraction", "background_shortwave_radiation_w_m2"):
+    _args = ", ".join(f"{'value' if c == _feature else c} as {a}" for a, c in _ARGS.items())
+    register(
+        f"dependence_{_feature}", _dependence(_feature),
+        f"{OBS}, q as (select quantile_cont({_feature}, 0.02) as lo, quantile_cont({_feature}, 0.98) as hi from obs), g as (select lo + (hi - lo) * i / 6e0 as value "
+        f"from q, (select unnest(range(7)) as i)), x as (select value, {_args} from obs, g), y as ({formula_sql('x', 'value')}) "
+        f"select '{_feature}' as feature, {s6('value', 'value')}, {s6('avg(p)', 'mean_prediction')} from y group by value",
+    )
+
+SHUFFLED = ("background_air_temperature_c", "canopy_fraction")
+
+
+def _importance(spark, sf_dir):
+    """Importance on a seeded sample of rows, which is the operator's input by design."""
+    df = materialise(_recompute(hash_sample(obs(spark, sf_dir), 2000, 11)), "sample")
+    table = diagnostics.permutation_importance(df, SHUFFLED, TARGET, _formula, 5, recompute=_recompute)
+    return table.select("feature", *[r6(c).alias(c) for c in ("base_mae", "shuffled_mae", "importance")])
+
+
+_SHUFFLE_SQL = " union all ".join(
+    f"select '{c}' as feature, (select avg(abs(p - y)) from base) as base_mae, avg(abs(p - y)) as shuffled_mae from ("
+    + formula_sql(f"(select a.y, {', '.join(('b.' if col == c else 'a.') + col + ' as ' + arg for arg, col in _ARGS.items())} from n a join n b on a.i = b.j)", "y") + ")"
+    for c in SHUFFLED
+)
+register(
+    "importance_permutation", _importance,
+    f"{OBS}, sm as (select *, calculated_utci_c as y from obs order by sha256(concat('11|sample|', sample_id)) limit 2000), n as (select *, row_number() over "
+    "(order by sample_id) as i, row_number() over (order by sha256(concat('5|permutation|', sample_id))) as j from sm), "
+    f"base as ({formula_sql('(select y, ' + ', '.join(f'{c} as {a}' for a, c in _ARGS.items()) + ' from n)', 'y')}), r as ({_SHUFFLE_SQL}) "
+    f"select feature, {s6('base_mae', 'base_mae')}, {s6('shuffled_mae', 'shuffled_mae')}, {s6('shuffled_mae - base_mae', 'importance')} from r",
+)
