@@ -445,13 +445,19 @@ def validate(df: DataFrame, rules: QualityRules = QualityRules(), units: Mapping
         parts.append(_duplicate_issue(df, ["site_id", "timestamp_utc"], "warning", "duplicate_site_timestamp", False))
     for part in parts:
         found = found.unionByName(part)
-    return found.filter((F.col("row_count") > 0) | F.col("row_count").isNull() | (F.col("code") == "empty_table"))
+    return found.filter((F.col("row_count") > 0) | F.col("row_count").isNull() | F.col("code").isin("empty_table", "all_missing_predictor"))
+
+
+def failing(df: DataFrame, rules: Sequence[RowRule]) -> list[RowRule]:
+    """The rules broken by at least one row (one count per rule reaches the driver)."""
+    broken = {(r["code"], r["column_name"]) for r in rule_counts(df, rules).filter("row_count > 0").collect()}
+    return [r for r in rules if (r.code, r.column) in broken]
 
 
 def examples(df: DataFrame, rules: Sequence[RowRule], id_column: str = "sample_id", limit: int = 3) -> DataFrame:
     """First offending ids per rule in id order.
 
-    Only violations are exploded, and the rank filter is applied inside every partition
+    Only violations leave the generator, and the rank filter is applied inside every partition
     before the shuffle, so a rule broken by most rows still moves ``limit`` rows per task.
     """
     hits = F.array_compact(

@@ -185,7 +185,7 @@ register(
 
 def _examples(spark, sf_dir):
     df = faulty(spark, sf_dir)
-    return quality.examples(df, quality.row_rules(df, RULES)).select("code", "column_name", "sample_id", "position")
+    return quality.examples(df, quality.failing(df, quality.row_rules(df, RULES))).select("code", "column_name", "sample_id", "position")
 
 
 _EXAMPLE_ROWS = " union all ".join(

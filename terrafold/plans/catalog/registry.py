@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ...session import tune
 from ..observations import observation_sql, observations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,10 @@ def register(name: str, run: Query, sql: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    def tuned(run: Query) -> Query:
+        return lambda spark, sf_dir: run(tune(spark), sf_dir)
+
+    return {name: tuned(run) for name, run in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
