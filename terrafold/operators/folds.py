@@ -270,19 +270,32 @@ def require_parts(parts: DataFrame, n_folds: int, partition: Sequence[str] = ())
         raise SplitError(f"folds without training or validation rows: {[r.asDict() for r in empty]}")
 
 
-def attach_parts(df: DataFrame, parts: DataFrame, design: SplitDesign, partition: Sequence[str] = ()) -> DataFrame:
-    """Rows x folds: ``(id, partition, fold, part)`` from the materialised parts of their cells."""
+def with_parts(
+    df: DataFrame, parts: DataFrame, design: SplitDesign, partition: Sequence[str] = (), how: str = "inner"
+) -> DataFrame:
+    """``df`` with the ``folds`` array of its cell: one lookup join, no shuffle on the row id."""
     has_event = design.event_column is not None and design.event_column in df.columns
     event = F.col(design.event_column).cast("string") if has_event else F.lit(None).cast("string")
-    rows = df.select(
-        *partition, design.id_column,
-        F.col(design.block_column).cast("string").alias("block"),
-        day_text(design.date_column).alias("day"),
-        F.when(~is_blank(event), event).otherwise(F.lit("")).alias("event"),
+    keys = {
+        "__block": F.col(design.block_column).cast("string"),
+        "__day": day_text(design.date_column),
+        "__event": F.when(~is_blank(event), event).otherwise(F.lit("")),
+    }
+    lookup = parts.select(
+        *partition, F.col("block").alias("__block"), F.col("day").alias("__day"),
+        F.coalesce("event", F.lit("")).alias("__event"), "folds",
     )
-    lookup = parts.select(*partition, "block", "day", F.coalesce("event", F.lit("")).alias("event"), "folds")
-    joined = join_lookup(rows, lookup, [*partition, "block", "day", "event"], "inner")
-    return joined.select(*partition, design.id_column, F.inline("folds"))
+    return join_lookup(df.withColumns(keys), lookup, [*partition, *keys], how).drop(*keys)
+
+
+def attach_parts(df: DataFrame, parts: DataFrame, design: SplitDesign, partition: Sequence[str] = ()) -> DataFrame:
+    """Rows x folds: ``(id, partition, fold, part)`` from the materialised parts of their cells."""
+    return with_parts(df, parts, design, partition).select(*partition, design.id_column, F.inline("folds"))
+
+
+def validation_fold() -> Column:
+    """The fold whose validation part holds the row, null if none does."""
+    return F.try_element_at(F.filter("folds", lambda f: f["part"] == "validation"), F.lit(1))["fold"]
 
 
 def split_with_embargo(df: DataFrame, design: SplitDesign, partition: Sequence[str] = ()) -> DataFrame:
@@ -377,6 +390,19 @@ def fold_overlaps(df: DataFrame, folds: DataFrame, design: SplitDesign) -> DataF
     return seen.groupBy("fold", "key_type").agg(F.count_if(F.col("t") & F.col("h")).alias("shared"))
 
 
+def part_overlaps(parts: DataFrame) -> DataFrame:
+    """The check of ``fold_overlaps`` on cells instead of rows."""
+    entries = F.array(*[F.struct(F.lit(n).alias("key_type"), F.col(c).alias("v"))
+                        for n, c in (("block", "block"), ("date", "day"), ("event", "event"))])
+    sides = parts.select("block", "day", "event", F.inline("folds")).filter("part <> 'embargo'")
+    seen = (
+        sides.select("fold", "part", F.inline(entries)).filter("v is not null")
+        .groupBy("fold", "key_type", "v")
+        .agg(F.max(F.col("part") == "train").alias("t"), F.max(F.col("part") == "validation").alias("h"))
+    )
+    return seen.groupBy("fold", "key_type").agg(F.count_if(F.col("t") & F.col("h")).alias("shared"))
+
+
 def require_disjoint(overlaps: DataFrame) -> DataFrame:
     bad = overlaps.filter("shared > 0").collect()  # one row per fold and key type at most
     if bad:

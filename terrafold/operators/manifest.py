@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import block_findings, with_blocks
 from ..session import materialise
-from .folds import SplitDesign, SplitError, fold_overlaps, frozen_folds, require_disjoint, split_with_embargo
+from .folds import (
+    SplitDesign,
+    SplitError,
+    dual_blocked_parts,
+    frozen_parts,
+    part_overlaps,
+    require_disjoint,
+    validation_fold,
+    with_parts,
+)
 from .joins import attach_manifest, id_mismatches
 from .roles import ALL_ROLES, RoleDesign, assign_roles, final_design, require_design, role_overlaps
 
@@ -51,11 +60,11 @@ def create_manifest(
     if check:
         require_disjoint(role_overlaps(base, split))
         require_design(final_design(base, split, design))
-    folds = split_with_embargo(base.filter("split_role = 'development'"), split)
-    held = folds.filter("part = 'validation'").select(split.id_column, F.col("fold").alias("outer_fold"))
+    parts = dual_blocked_parts(base.filter("split_role = 'development'"), split)
+    labelled = with_parts(base.select(*columns, "split_role"), parts, split, how="left")
+    fold = F.when(F.col("split_role") == "development", validation_fold())
     return (
-        base.select(*columns, "split_role").join(held, split.id_column, "left")
-        .withColumn("outer_fold", F.coalesce("outer_fold", F.lit(-1)))
+        labelled.withColumn("outer_fold", F.coalesce(fold, F.lit(-1))).drop("folds")
         .withColumn("manifest_version", F.lit(version))
     )
 
@@ -84,8 +93,7 @@ def manifest_findings(
         F.when(F.col("passed"), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("failures"),
     )
     development = working.filter("split_role = 'development'")
-    folds = frozen_folds(development, split)
-    leaks = fold_overlaps(development, folds, split).agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("failures")).select(
+    leaks = part_overlaps(frozen_parts(development, split)).agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("failures")).select(
         F.lit("keys_shared_by_folds").alias("check_name"), F.col("failures").cast("bigint"))
     for part in (unknown, roles, checks, leaks):
         found = found.unionByName(part)

@@ -156,6 +156,7 @@ def search(
 
     Encoders depend on the fold, not the candidate, so each fold is encoded once.
     """
+    df = df.select(*dict.fromkeys([id_column, label, *block, *predictors]))  # fold copies hold no other column
     board: dict[int, list[dict]] = {t: [] for t in range(len(trials))}
     for f in range(n_folds):
         member = folds.filter(F.col("fold") == f)
@@ -198,6 +199,10 @@ def nested_out_of_fold(
     """
     outer = materialise(frozen_folds(df, split), "outer")
     inner = materialise(nested_folds(df, outer, split, inner_folds), "inner")
+    keys = [split.id_column, split.block_column, split.date_column]
+    if split.event_column and split.event_column in df.columns:
+        keys.append(split.event_column)
+    df = df.select(*dict.fromkeys([*keys, label, *block, *predictors]))
     tables, chosen = [], []
     for f in range(split.n_folds):
         train = outer_members(df, outer, f, "train", split.id_column)
@@ -236,6 +241,7 @@ def select_elastic_net(
     block: Sequence[str], n_folds: int, id_column: str = "sample_id",
 ) -> tuple[float, float, float]:
     """``(alpha, l1_ratio, score)`` with the smallest mean grouped MAE; ties by alpha, then ratio."""
+    df = df.select(*dict.fromkeys([id_column, label, *block, *predictors]))
     totals: dict[tuple[float, float], list[float]] = {}
     for f in range(n_folds):
         member = folds.filter(F.col("fold") == f)
@@ -270,7 +276,8 @@ def fit_components(
     if any(gaps.values()):
         raise ValueError(f"component targets must be complete: {gaps}")
     encoder = fit_encoder(train, policy, predictors=predictors)
-    labelled = materialise(labelled, "components")
+    needed = [*encoder.predictors, *[f"__{n}" for n in COMPONENT_TARGETS]]
+    labelled = materialise(labelled.select(*needed), "components")
     models = {}
     for offset, name in enumerate(COMPONENT_TARGETS):
         chosen = params if isinstance(params, BoostedParams) else params[name]
@@ -284,6 +291,7 @@ def component_tree_counts(
 ) -> dict[str, BoostedParams]:
     """Per target: the median best tree count over the inner validation folds."""
     labelled = df.withColumns({f"__{name}": e for name, e in component_targets().items()})
+    labelled = labelled.select(id_column, *predictors, *[f"__{n}" for n in COMPONENT_TARGETS])
     counts: dict[str, list[int]] = {name: [] for name in COMPONENT_TARGETS}
     for f in range(n_folds):
         member = folds.filter(F.col("fold") == f)

@@ -15,7 +15,7 @@ from ...functions.predictors import PredictorPolicy
 from ...functions.satellite import Eligibility, eligible
 from ...operators import diagnostics, models
 from ...operators.encode import fit_encoder
-from ...operators.folds import SplitDesign, frozen_folds, nested_folds, split_with_embargo
+from ...operators.folds import SplitDesign, dual_blocked_parts, frozen_folds, nested_folds, split_with_embargo, validation_fold, with_parts
 from ...operators.intervals import calibrate
 from ...operators.isolation import fit_isolation_forest
 from ...operators.linear import candidate_scores, fit_elastic_net
@@ -39,8 +39,8 @@ TWO_FOLDS = SplitDesign(n_folds=2, seed=42)
 def _development(spark, sf_dir):
     """Blocked rows with complete component sources and their stored outer folds."""
     df = materialise(with_blocks(obs(spark, sf_dir)).filter("measured_pedestrian_wind_speed_m_s >= 0"), "rows")
-    held = split_with_embargo(df, TWO_FOLDS).filter("part = 'validation'").select("sample_id", F.col("fold").alias("outer_fold"))
-    return materialise(df.join(held, "sample_id", "left").withColumn("outer_fold", F.coalesce("outer_fold", F.lit(-1))), "development")
+    rows = with_parts(df, dual_blocked_parts(df, TWO_FOLDS), TWO_FOLDS)
+    return materialise(rows.withColumn("outer_fold", F.coalesce(validation_fold(), F.lit(-1))).drop("folds"), "development")
 
 
 # ---------------------------------------------------------------------------------- encoding

@@ -140,9 +140,8 @@ register(
 
 def _labels(spark, sf_dir):
     df = _blocked(spark, sf_dir)
-    long = folds.split_with_embargo(df, SPLIT)
-    held = long.filter("part = 'validation'").select("sample_id", F.col("fold").alias("outer_fold"))
-    return materialise(df.join(held, "sample_id", "left").withColumn("outer_fold", F.coalesce("outer_fold", F.lit(-1))), "labels")
+    rows = folds.with_parts(df, folds.dual_blocked_parts(df, SPLIT), SPLIT)
+    return materialise(rows.withColumn("outer_fold", F.coalesce(folds.validation_fold(), F.lit(-1))).drop("folds"), "labels")
 
 
 register("split_frozen_folds", lambda s, d: folds.frozen_folds(_labels(s, d), SPLIT), recursive(f"{KEYED}, {_SPLIT} select * from sp"))
@@ -164,6 +163,17 @@ register(
 )
 
 
+def _cell_overlaps(spark, sf_dir):
+    return folds.part_overlaps(folds.dual_blocked_parts(_blocked(spark, sf_dir), SPLIT))
+
+
+register(
+    "split_cell_overlaps", _cell_overlaps,
+    recursive(f"{KEYED}, {_SPLIT}, kr as ({_KEY_ROWS}), g as (select fold, key_type, v, count(distinct part) as sides from kr group by 1, 2, 3) "
+              "select fold, key_type, count(*) filter (where sides = 2) as shared from g group by 1, 2"),
+)
+
+
 def _nested(spark, sf_dir):
     df = _blocked(spark, sf_dir)
     design = folds.SplitDesign(n_folds=2, seed=SEED)
@@ -288,9 +298,9 @@ register(
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, dual-blocked folds, heat-index prediction of every validation row, error by category."""
     df = _blocked(spark, sf_dir)
-    parts = folds.split_with_embargo(df, SPLIT).filter("part = 'validation'").select("sample_id", "fold")
-    scored = df.withColumn("heat_index", heat_index("background_air_temperature_c", "background_relative_humidity_pct"))
-    held = scored.join(parts, "sample_id")
+    rows = folds.with_parts(df, folds.dual_blocked_parts(df, SPLIT), SPLIT)
+    held = rows.withColumn("fold", folds.validation_fold()).filter("fold is not null").withColumn(
+        "heat_index", heat_index("background_air_temperature_c", "background_relative_humidity_pct"))
     long = metrics.long_predictions(held, "calculated_utci_c", ["heat_index"], ["fold"])
     keyed = long.withColumn("category", heat_category("truth"))
     report = metrics.regression_report(keyed, ["fold", "category"], with_spearman=False)
