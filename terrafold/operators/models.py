@@ -7,6 +7,7 @@ import math
 import statistics
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from ..functions.basic import finite
 from ..functions.heat import heat_weight
 from ..functions.physics import COMPONENT_TARGETS, component_targets
 from ..functions.predictors import PredictorPolicy
-from ..session import materialise
+from ..session import concurrently, materialise
 from .encode import Encoder, fit_encoder
 from .folds import SplitDesign, frozen_folds, nested_folds, split_with_embargo
 from .linear import LinearFit, candidate_scores, fit_elastic_net
@@ -157,21 +158,26 @@ def search(
     Encoders depend on the fold, not the candidate, so each fold is encoded once.
     """
     df = df.select(*dict.fromkeys([id_column, label, *block, *predictors]))  # fold copies hold no other column
-    board: dict[int, list[dict]] = {t: [] for t in range(len(trials))}
-    for f in range(n_folds):
+
+    def one_fold(f: int) -> list[dict]:
         member = folds.filter(F.col("fold") == f)
         train = materialise(df.join(member.filter("part = 'train'").select(id_column), id_column), "train")
         held = materialise(df.join(member.filter("part = 'validation'").select(id_column), id_column), "held")
         encoder = fit_encoder(train, policy, predictor_set, predictors)
+        rows = []
         for t, params in enumerate(trials):
             fitted = fit_boosted(train, label, policy, predictors, params, seed + f, predictor_set, weights, encoder)
             count = best_tree_count(loss_curve(fitted, held, label))
             long = long_predictions(fitted.predict(held, "candidate"), label, ["candidate"], block)
             score = grouped_mae(long, block).first()
             high = high_value_mae(long, threshold=high_threshold).first()
-            board[t].append(
+            rows.append(
                 {"trial": t, "fold": f, "grouped_mae": score["grouped_mae"], "high_mae": high["high_mae"], "trees": count}
             )
+        return rows
+
+    scores = [s for rows in concurrently(df.sparkSession, [partial(one_fold, f) for f in range(n_folds)]) for s in rows]
+    board = {t: [s for s in scores if s["trial"] == t] for t in range(len(trials))}
     means = {t: sum(s["grouped_mae"] for s in rows) / len(rows) for t, rows in board.items()}
     best = min(means, key=lambda t: (means[t], t))
     count = clamp_count([s["trees"] for s in board[best]], minimum_trees, maximum_trees)
@@ -242,12 +248,16 @@ def select_elastic_net(
 ) -> tuple[float, float, float]:
     """``(alpha, l1_ratio, score)`` with the smallest mean grouped MAE; ties by alpha, then ratio."""
     df = df.select(*dict.fromkeys([id_column, label, *block, *predictors]))
-    totals: dict[tuple[float, float], list[float]] = {}
-    for f in range(n_folds):
+
+    def one_fold(f: int) -> list[tuple[float, float, float]]:
         member = folds.filter(F.col("fold") == f)
         train = materialise(df.join(member.filter("part = 'train'").select(id_column), id_column), "train")
         held = materialise(df.join(member.filter("part = 'validation'").select(id_column), id_column), "held")
-        for a, r, score in candidate_scores(train, held, label, policy, predictors, block):
+        return candidate_scores(train, held, label, policy, predictors, block)
+
+    totals: dict[tuple[float, float], list[float]] = {}
+    for rows in concurrently(df.sparkSession, [partial(one_fold, f) for f in range(n_folds)]):
+        for a, r, score in rows:
             totals.setdefault((a, r), []).append(score)
     score, alpha, ratio = min((sum(v) / len(v), a, r) for (a, r), v in totals.items())
     return alpha, ratio, score
@@ -278,11 +288,13 @@ def fit_components(
     encoder = fit_encoder(train, policy, predictors=predictors)
     needed = [*encoder.predictors, *[f"__{n}" for n in COMPONENT_TARGETS]]
     labelled = materialise(labelled.select(*needed), "components")
-    models = {}
-    for offset, name in enumerate(COMPONENT_TARGETS):
+
+    def one_target(offset: int, name: str) -> FittedModel:
         chosen = params if isinstance(params, BoostedParams) else params[name]
-        models[name] = fit_boosted(labelled, f"__{name}", policy, predictors, chosen, seed + offset, encoder=encoder)
-    return ComponentModels(models)
+        return fit_boosted(labelled, f"__{name}", policy, predictors, chosen, seed + offset, encoder=encoder)
+
+    tasks = [partial(one_target, offset, name) for offset, name in enumerate(COMPONENT_TARGETS)]
+    return ComponentModels(dict(zip(COMPONENT_TARGETS, concurrently(train.sparkSession, tasks))))
 
 
 def component_tree_counts(
@@ -292,15 +304,20 @@ def component_tree_counts(
     """Per target: the median best tree count over the inner validation folds."""
     labelled = df.withColumns({f"__{name}": e for name, e in component_targets().items()})
     labelled = labelled.select(id_column, *predictors, *[f"__{n}" for n in COMPONENT_TARGETS])
-    counts: dict[str, list[int]] = {name: [] for name in COMPONENT_TARGETS}
-    for f in range(n_folds):
+
+    def one_fold(f: int) -> dict[str, int]:
         member = folds.filter(F.col("fold") == f)
         train = materialise(labelled.join(member.filter("part = 'train'").select(id_column), id_column), "train")
         held = materialise(labelled.join(member.filter("part = 'validation'").select(id_column), id_column), "held")
         encoder = fit_encoder(train, policy, predictors=predictors)
+        best = {}
         for offset, name in enumerate(COMPONENT_TARGETS):
             fitted = fit_boosted(train, f"__{name}", policy, predictors, base, seed + 100 * offset + f, encoder=encoder)
-            counts[name].append(best_tree_count(loss_curve(fitted, held, f"__{name}")))
+            best[name] = best_tree_count(loss_curve(fitted, held, f"__{name}"))
+        return best
+
+    found = concurrently(df.sparkSession, [partial(one_fold, f) for f in range(n_folds)])
+    counts = {name: [best[name] for best in found] for name in COMPONENT_TARGETS}
     return {name: refit(base, clamp_count(c, 1, 10**9)) for name, c in counts.items()}
 
 

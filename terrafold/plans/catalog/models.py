@@ -32,7 +32,7 @@ CORE = ("background_air_temperature_c", "background_relative_humidity_pct", "bac
 ADDED = ("satellite_lst_c", "satellite_image_age_hours", "satellite_thermal_source")
 POLICY = PredictorPolicy(core=CORE, additions=ADDED)
 BLOCK = ["spatial_block_id", "date"]
-SMALL = models.BoostedParams(trees=5, depth=3, step_size=0.3, subsample=1.0, feature_fraction=1.0)
+SMALL = models.BoostedParams(trees=3, depth=3, step_size=0.3, subsample=1.0, feature_fraction=1.0)
 TWO_FOLDS = SplitDesign(n_folds=2, seed=42)
 
 
@@ -116,7 +116,7 @@ register("model_candidate_board", _board)
 
 def _nested(spark, sf_dir):
     df = _development(spark, sf_dir)
-    table, _, _ = models.nested_out_of_fold(df, TWO_FOLDS, TARGET, POLICY, CORE, [SMALL], BLOCK, 2, 42)
+    table, _, _ = models.nested_out_of_fold(df, TWO_FOLDS, TARGET, POLICY, CORE, [SMALL], BLOCK, 2, 42, select_final=False)
     return table
 
 

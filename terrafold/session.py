@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,14 @@ def tune(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
+
+
+def concurrently(spark: SparkSession, tasks: Sequence[Callable], parallelism: int = 4) -> list:
+    """Results of independent driver-side tasks whose Spark jobs may overlap.
+
+    Fits on different folds leave executors idle between their short stages; a few of them
+    at once fill the gaps.
+    """
+    run = inheritable_thread_target(spark)(lambda task: task())
+    with ThreadPool(min(parallelism, max(1, len(tasks)))) as pool:
+        return pool.map(run, tasks, chunksize=1)
