@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.basic import number
-from ..functions.heat import CATEGORY_LABELS, heat_category
+from ..functions.heat import CATEGORY_LABELS, CATEGORY_THRESHOLDS_C
 from ..functions.predictors import LABEL_COLUMNS, METADATA_COLUMNS, PredictorPolicy
 
 # Required columns by use of the table.
@@ -178,12 +177,16 @@ def plausible_range(column: str) -> tuple[float | None, float | None] | None:
 
 @dataclass(frozen=True)
 class RowRule:
-    """A predicate that marks bad rows of one column."""
+    """A predicate, as SQL text, that marks bad rows of one column.
+
+    Text keeps building hundreds of rules cheap: one parser call instead of a chain of calls
+    into the JVM per rule.
+    """
 
     severity: str
     code: str
     column: str
-    bad: Column
+    bad: str
     message: str = ""
 
 
@@ -191,49 +194,56 @@ def _is_text(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.StringType)
 
 
-def _is_numeric(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, (T.NumericType, T.BooleanType))
+def _is_floating(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
 
 
-def missing_value(df: DataFrame, column: str) -> Column:
-    """Null, NaN for floating types."""
-    x = F.col(column)
-    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        return x.isNull() | F.isnan(x)
-    return x.isNull()
+def _number(df: DataFrame, c: str) -> str:
+    """SQL double, null for NaN or text that is not a number."""
+    value = f"`{c}`" if isinstance(df.schema[c].dataType, T.DoubleType) else f"try_cast(`{c}` as double)"
+    return f"nanvl({value}, cast(null as double))" if _is_text(df, c) or _is_floating(df, c) else value
+
+
+def _missing(df: DataFrame, c: str) -> str:
+    return f"(`{c}` is null or isnan(`{c}`))" if _is_floating(df, c) else f"(`{c}` is null)"
+
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _not_in(x: Column, allowed: Sequence[str]) -> Column:
-    return x.isNotNull() & ~x.isin(list(allowed))
 
+def _outside_set(x: str, allowed: Sequence[str]) -> str:
+    return f"{x} not in ({', '.join(_text(v) for v in allowed)})"
 
-def timestamp_problems(df: DataFrame, column: str) -> dict[str, Column]:
+
+def timestamp_problems(df: DataFrame, column: str) -> dict[str, str]:
     """Invalid, naive and non-UTC predicates of an instant column."""
     kind = df.schema[column].dataType
-    never = F.lit(False)
     if isinstance(kind, T.TimestampNTZType):
-        return {"invalid_timestamp": never, "naive_timestamp": F.col(column).isNotNull(), "non_utc_timestamp": never}
+        return {"naive_timestamp": f"`{column}` is not null"}
     if isinstance(kind, T.TimestampType):
-        return {"invalid_timestamp": never, "naive_timestamp": never, "non_utc_timestamp": never}
-    text = F.trim(F.col(column).cast("string"))
-    readable = F.try_to_timestamp(text).isNotNull()
-    zone = F.regexp_extract(text, r"(Z|[+-]\d{2}:?\d{2})$", 1)
+        return {}
+    text = f"trim(cast(`{column}` as string))"
+    readable = f"try_to_timestamp({text}) is not null"
     # A bare date ends like an offset ("-07-20"), so a zone needs a time before it.
-    has_zone = text.rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
-    zero = zone.rlike(r"^(Z|[+-]00:?00)$")
-    present = F.col(column).isNotNull()
+    zone = f"{text} rlike r'\\d{{2}}:\\d{{2}}.*(Z|[+-]\\d{{2}}:?\\d{{2}})$'"
+    zero = f"{text} rlike r'(Z|[+-]00:?00)$'"
     return {
-        "invalid_timestamp": present & ~readable,
-        "naive_timestamp": present & readable & ~has_zone,
-        "non_utc_timestamp": present & readable & has_zone & ~zero,
+        "invalid_timestamp": f"`{column}` is not null and not ({readable})",
+        "naive_timestamp": f"{readable} and not ({zone})",
+        "non_utc_timestamp": f"{readable} and {zone} and not ({zero})",
     }
 
 
-def invalid_day(column: str) -> Column:
+def invalid_day(column: str) -> str:
     """Text that does not survive a round trip as YYYY-MM-DD."""
-    text = F.col(column).cast("string")
-    back = F.date_format(text.try_cast("date"), "yyyy-MM-dd")
-    return text.isNotNull() & ~back.eqNullSafe(text)
+    text = f"cast(`{column}` as string)"
+    return f"`{column}` is not null and not (date_format(try_cast({text} as date), 'yyyy-MM-dd') <=> {text})"
+
+
+def _category(x: str) -> str:
+    steps = " ".join(f"when {x} < {bound} then '{label}'" for bound, label in zip(CATEGORY_THRESHOLDS_C, CATEGORY_LABELS))
+    return f"case when {x} is null then null {steps} else '{CATEGORY_LABELS[-1]}' end"
 
 
 def row_rules(df: DataFrame, rules: QualityRules) -> list[RowRule]:
@@ -241,81 +251,65 @@ def row_rules(df: DataFrame, rules: QualityRules) -> list[RowRule]:
     has = set(df.columns)
     out: list[RowRule] = []
 
+    def error(code: str, column: str, bad: str, message: str) -> None:
+        out.append(RowRule("error", code, column, bad, message))
+
     for c in sorted(set(rules.non_nullable()) & has):
-        blank = missing_value(df, c)
-        if _is_text(df, c):
-            blank = blank | (F.trim(F.col(c)) == "")
-        out.append(RowRule("error", "missing_nonnullable", c, blank, "required value is missing or blank"))
+        blank = f"({_missing(df, c)} or trim(`{c}`) = '')" if _is_text(df, c) else _missing(df, c)
+        error("missing_nonnullable", c, blank, "required value is missing or blank")
 
+    known = rules.known()
     for c in df.columns:
         if _is_text(df, c):
-            if c in rules.known() and c not in TEXT_COLUMNS + ("timestamp_utc",) + rules.policy.categorical:
-                unread = F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()
-                out.append(RowRule("error", "wrong_dtype", c, unread, "expected a number"))
-            out.append(
-                RowRule("error", "textual_missing_sentinel", c,
-                        F.coalesce(F.trim(F.col(c)).rlike(SENTINEL), F.lit(False)),
-                        "a text stands for a missing value")
-            )
+            if c in known and c not in TEXT_COLUMNS + ("timestamp_utc",) + rules.policy.categorical:
+                error("wrong_dtype", c, f"`{c}` is not null and try_cast(`{c}` as double) is null", "expected a number")
+            error("textual_missing_sentinel", c, f"trim(`{c}`) rlike r'{SENTINEL}'", "a text stands for a missing value")
         bounds = plausible_range(c)
         if bounds is None or c in TEXT_COLUMNS:
             continue
-        x = number(c)
-        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType, T.StringType)):
-            out.append(RowRule("error", "nonfinite_numeric", c, F.abs(x) == F.lit(float("inf")), "infinite value"))
+        x = _number(df, c)
+        if _is_text(df, c) or _is_floating(df, c):
+            error("nonfinite_numeric", c, f"abs({x}) = double('infinity')", "infinite value")
         low, high = bounds
-        outside = F.lit(False)
-        if low is not None:
-            outside = outside | (x < F.lit(float(low)))
-        if high is not None:
-            outside = outside | (x > F.lit(float(high)))
-        out.append(RowRule("error", "physical_range", c, outside, f"outside [{low}, {high}]"))
+        sides = [f"{x} < {float(low)!r}D"] if low is not None else []
+        sides += [f"{x} > {float(high)!r}D"] if high is not None else []
+        error("physical_range", c, f"({' or '.join(sides)})", f"outside [{low}, {high}]")
 
     if "satellite_lst_missing" in has:
-        x = number("satellite_lst_missing")
-        out.append(RowRule("error", "invalid_binary_indicator", "satellite_lst_missing",
-                           x.isNotNull() & ~x.isin(0.0, 1.0), "must be 0 or 1"))
+        flag = _number(df, "satellite_lst_missing")
+        error("invalid_binary_indicator", "satellite_lst_missing", f"{flag} not in (0, 1)", "must be 0 or 1")
+        if "satellite_lst_c" in has:
+            error("satellite_missingness_mismatch", "satellite_lst_missing",
+                  f"{_missing(df, 'satellite_lst_c')} <> coalesce({flag} = 1, false) and not {_missing(df, 'satellite_lst_missing')}",
+                  "the indicator disagrees with the value")
     if "timestamp_utc" in has:
         for code, bad in timestamp_problems(df, "timestamp_utc").items():
-            out.append(RowRule("error", code, "timestamp_utc", bad, "use ISO-8601 with a zero offset"))
+            error(code, "timestamp_utc", bad, "use ISO-8601 with a zero offset")
     if "date" in has:
-        out.append(RowRule("error", "invalid_local_date", "date", invalid_day("date"), "use YYYY-MM-DD"))
-    if "split_role" in has:
-        out.append(RowRule("error", "invalid_split_role", "split_role",
-                           _not_in(F.col("split_role"), rules.roles), "unknown role"))
-    if "quality_flag" in has:
-        out.append(RowRule("error", "invalid_quality_flag", "quality_flag",
-                           _not_in(F.lower(F.trim(F.col("quality_flag"))), QUALITY_FLAGS), "unknown flag"))
-    if "land_cover_class" in has and rules.land_cover:
-        out.append(RowRule("error", "invalid_land_cover_class", "land_cover_class",
-                           _not_in(F.col("land_cover_class"), rules.land_cover), "unknown class"))
-    if "utci_category" in has:
-        stored = F.col("utci_category")
-        out.append(RowRule("error", "invalid_utci_category", "utci_category",
-                           _not_in(stored, CATEGORY_LABELS), "unknown category"))
-        if "calculated_utci_c" in has and _is_numeric(df, "calculated_utci_c"):
-            # Infinite values have a category here, unlike in the reports.
-            value = number("calculated_utci_c")
-            bounded = F.greatest(F.least(value, F.lit(1e6)), F.lit(-1e6))
-            derived = heat_category(F.when(value.isNotNull(), bounded))
-            out.append(RowRule("error", "category_threshold_mismatch", "utci_category",
-                               stored.isNotNull() & derived.isNotNull() & (stored != derived),
-                               "label disagrees with the continuous value"))
+        error("invalid_local_date", "date", invalid_day("date"), "use YYYY-MM-DD")
+    vocabularies = (
+        ("invalid_split_role", "split_role", "`split_role`", rules.roles),
+        ("invalid_quality_flag", "quality_flag", "lower(trim(`quality_flag`))", QUALITY_FLAGS),
+        ("invalid_land_cover_class", "land_cover_class", "`land_cover_class`", rules.land_cover),
+        ("invalid_utci_category", "utci_category", "`utci_category`", CATEGORY_LABELS),
+    )
+    for code, column, x, allowed in vocabularies:
+        if column in has and allowed:
+            error(code, column, _outside_set(x, allowed), "not in the closed vocabulary")
+    if {"utci_category", "calculated_utci_c"} <= has and not _is_text(df, "calculated_utci_c"):
+        # Infinite values have a category here, unlike in the reports.
+        derived = _category(_number(df, "calculated_utci_c"))
+        error("category_threshold_mismatch", "utci_category", f"`utci_category` <> ({derived})",
+              "label disagrees with the continuous value")
     if {"background_dew_point_c", "background_air_temperature_c"} <= has:
-        out.append(RowRule("error", "dew_point_above_air_temperature", "background_dew_point_c",
-                           number("background_dew_point_c") > number("background_air_temperature_c") + 1.0,
-                           "dew point exceeds air temperature by more than one degree"))
+        error("dew_point_above_air_temperature", "background_dew_point_c",
+              f"{_number(df, 'background_dew_point_c')} > {_number(df, 'background_air_temperature_c')} + 1",
+              "dew point exceeds air temperature by more than one degree")
     for sine, cosine in CYCLIC_PAIRS:
         if {sine, cosine} <= has:
-            norm = F.sqrt(number(sine) * number(sine) + number(cosine) * number(cosine))
-            out.append(RowRule("warning", "cyclic_pair_norm", sine, ~norm.between(0.95, 1.05),
-                               "the pair is not of unit length"))
-    if {"satellite_lst_c", "satellite_lst_missing"} <= has:
-        absent = missing_value(df, "satellite_lst_c")
-        flagged = F.coalesce(number("satellite_lst_missing") == 1.0, F.lit(False))
-        out.append(RowRule("error", "satellite_missingness_mismatch", "satellite_lst_missing",
-                           (absent != flagged) & ~missing_value(df, "satellite_lst_missing"),
-                           "the indicator disagrees with the value"))
+            a, b = _number(df, sine), _number(df, cosine)
+            out.append(RowRule("warning", "cyclic_pair_norm", sine,
+                               f"sqrt({a} * {a} + {b} * {b}) not between 0.95D and 1.05D", "the pair is not of unit length"))
     return out
 
 
@@ -323,16 +317,18 @@ def rule_counts(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
     """Bad rows per rule, zero included, from one aggregation over one scan."""
     if not rules:
         return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
-    counted = df.agg(*[F.count_if(r.bad).alias(f"r{i}") for i, r in enumerate(rules)])
-    entries = [
-        F.struct(
-            F.lit(r.severity).alias("severity"), F.lit(r.code).alias("code"),
-            F.lit(r.column).alias("column_name"), F.col(f"r{i}").alias("row_count"),
-            F.lit(r.message).alias("message"),
-        )
+    counted = df.selectExpr(*[f"count_if({r.bad}) as r{i}" for i, r in enumerate(rules)])
+    entries = ", ".join(
+        f"named_struct('severity', {_text(r.severity)}, 'code', {_text(r.code)}, 'column_name', {_text(r.column)}, "
+        f"'row_count', r{i}, 'message', {_text(r.message)})"
         for i, r in enumerate(rules)
-    ]
-    return counted.select(F.inline(F.array(*entries)))
+    )
+    return counted.selectExpr(f"inline(array({entries}))")
+
+
+def missing_value(df: DataFrame, column: str) -> Column:
+    """Null, or NaN for floating types."""
+    return F.expr(_missing(df, column))
 
 
 def missing_fractions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -460,11 +456,16 @@ def examples(df: DataFrame, rules: Sequence[RowRule], id_column: str = "sample_i
     Only violations leave the generator, and the rank filter is applied inside every partition
     before the shuffle, so a rule broken by most rows still moves ``limit`` rows per task.
     """
-    hits = F.array_compact(
-        F.array(*[F.when(r.bad, F.struct(F.lit(r.code).alias("code"), F.lit(r.column).alias("column_name"),
-                                         F.col(r.column).cast("string").alias("value"))) for r in rules])
+    if not rules:
+        none = F.lit(None).cast("string")
+        return df.limit(0).select(F.col(id_column), none.alias("code"), none.alias("column_name"), none.alias("value"),
+                                  F.lit(0).alias("position"))
+    hits = ", ".join(
+        f"case when {r.bad} then named_struct('code', {_text(r.code)}, 'column_name', {_text(r.column)}, "
+        f"'value', cast(`{r.column}` as string)) end"
+        for r in rules
     )
-    broken = df.select(F.col(id_column), F.inline(hits))
+    broken = df.selectExpr(f"`{id_column}`", f"inline(array_compact(array({hits})))")
     order = Window.partitionBy("code", "column_name").orderBy(id_column)
     return broken.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
 
