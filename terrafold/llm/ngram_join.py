@@ -3,9 +3,10 @@
 A document is the set of its distinct word k-grams. Two documents link when their sets' Jaccard similarity reaches the threshold.
 
 1. Classes: documents with equal sets are one class (64-bit digest and size); the smallest id stands for it.
-2. Prefixes: with any global order of the shingles, linked sets share one among their first ``n - ceil(t*n) + 1``. The order
-   is rarity in a sketch of counters over all documents (fixed size, so it may go to every task), then the hash. Only prefix
-   postings are shuffled, as blocks of packed records, one block per task and target.
+2. Prefixes: with any global order of the shingles, linked sets share l of them among their first ``n - ceil(t*n) + l``. The
+   order is rarity in a sketch of counters over all documents (fixed size, so it may go to every task), then the hash. Only
+   prefix postings are shuffled, as blocks of packed records, one block per task and target. A class that meets others in
+   fewer than l of its prefix's lists links with nothing (l grows with the set: a shared passage is no near copy).
 3. Shards: a class belongs to the smallest class that it meets in a posting list. A shard of many shingles is salted into
    chunks, so a shard never outgrows a task. A class visits the chunks (its own and later ones) that it meets in a list.
 4. Search: each pair of chunks is one group. Its sets are indexed one after another. A set asks for the earlier ones that
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import (SKETCH, arrow_batches, components, id_value, partitions, sketch_rows, sketch_slot, sketch_sum,
-                     stored)
+from .shared import (SKETCH, arrow_batches, components, id_bitmap, id_value, partitions, perhaps, sketch_rows, sketch_slot,
+                     sketch_sum, stored)
 
 K = 5
 THRESHOLD = 0.8
@@ -44,6 +45,11 @@ def least_overlap(n: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * n - 1e-9))
 
 
+def wanted_meetings(n):
+    """l for a set of n: prefixes of both sets hold at least the smaller l of the two in common."""
+    return 1 + n // 20
+
+
 def reaches(overlap: int, n: int, m: int, percent: int) -> bool:
     return 100 * overlap >= percent * (n + m - overlap)
 
@@ -95,7 +101,7 @@ def prefix_blocks(docs: DataFrame, k: int, threshold: float, rarity, targets: in
                 unit = np.repeat(np.arange(len(sizes)), sizes)
                 pick = np.lexsort((members, order[sketch_slot(members)], unit))
                 place = np.arange(len(members)) - cut[unit]
-                length = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+                length = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + wanted_meetings(sizes)
                 keep = (place < length[unit]) & fresh[unit]
                 unit = unit[keep]
                 posting = np.empty(len(unit), POSTING)
@@ -147,6 +153,14 @@ def lists(blocks_of: DataFrame, targets: int) -> DataFrame:
     return blocks_of.repartition(targets, "target").mapInArrow(read, "list long, digest long, n long, leader long")
 
 
+def meeting_often(met: DataFrame, threshold: float) -> DataFrame:
+    """The lists without the classes that stand in too few of them. The smallest partner of a set of n has ceil(t*n) members."""
+    partner = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))
+    often = (met.groupBy("digest").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
+             .where(F.col("times") >= 1 + F.floor(partner / 20)).select("digest"))
+    return met.join(often, "digest", "left_semi")
+
+
 def class_shards(met: DataFrame, chunk: int) -> DataFrame:
     """(digest, shard): the chunk of its home that a class belongs to; chunks are cut by hash."""
     homes = met.groupBy("digest").agg(F.first("n").alias("n"), F.min("leader").alias("home"))
@@ -284,7 +298,7 @@ def linked_components(docs: DataFrame, text: str = "text", ids: str = "doc_id",
     rarity = spark.sparkContext.broadcast(sketch_sum(read.where("part is not null").select("part", "counts")))
     sets = read.where("part is null").select("doc_id", "n_shingles", "digest")
     postings = prefix_blocks(docs, k, threshold, rarity, targets)
-    met = stored(lists(postings, targets))
+    met = stored(meeting_often(stored(lists(postings, targets)), threshold))
     shards = stored(class_shards(met, chunk))
     routed = routes(met, shards)
     heads = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("head"))
@@ -305,7 +319,9 @@ def linked_components(docs: DataFrame, text: str = "text", ids: str = "doc_id",
                                                   "digest": pa.array([x[1] for x in out], pa.int64()),
                                                   "members": pa.array([x[2] for x in out], pa.binary())})
 
-    once = docs.join(wanted, docs.doc_id == wanted["head"]).select("doc_id", "text", "digest", "groups")
+    wanted = stored(wanted)
+    bits = spark.sparkContext.broadcast(id_bitmap(wanted.select("head")))  # spares most texts the shuffle
+    once = docs.where(perhaps("doc_id", bits)).join(wanted, docs.doc_id == wanted["head"]).select("doc_id", "text", "digest", "groups")
     edges = search(once.mapInArrow(to_sets, "group long, digest long, members binary"), threshold, targets)
     named = (edges.join(heads.select(F.col("digest").alias("a"), F.col("head").alias("u")), "a")
              .join(heads.select(F.col("digest").alias("b"), F.col("head").alias("v")), "b").select("u", "v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,6 +160,30 @@ def bitmap(values: DataFrame) -> np.ndarray:
     return out
 
 
+def id_hash(ids: np.ndarray) -> np.ndarray:
+    """Spread integer ids, which may be consecutive, over the bits of a bitmap."""
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """Bitmap of the integer ids in the only column."""
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"h": pa.array(id_hash(id_value(batch.column(0))).view(np.int64))})
+
+    return bitmap(ids.mapInArrow(hashed, "h long"))
+
+
+def perhaps(ids: str, bits):
+    """Column: whether a broadcast bitmap may hold the id. Only the id is sent to Python, not the row."""
+    @F.pandas_udf("boolean")
+    def test(x: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits.value, id_hash(x.fillna(np.iinfo(np.int64).max).to_numpy(np.int64))))
+
+    return test(F.col(ids))
+
+
 def in_bitmap(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
     at = _bit(value)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
