@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .ngram_join import blocks, unpacked
-from .shared import (SKETCH, arrow_batches, bitmap, id_value, in_bitmap, partitions, sketch_rows, sketch_slot, sketch_sum,
+from .shared import (SKETCH, arrow_batches, bitmap, id_bitmap, id_value, in_bitmap, partitions, perhaps, sketch_rows, sketch_slot, sketch_sum,
                      stored)
 
 THRESHOLD = 0.8
@@ -310,7 +310,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", ids: str = "doc_id", thresh
     gone = gone.toDF(doc, lines)
     split: Column = F.split(F.col(text), "\n", -1)
     none = F.array().cast("array<int>")
-    joined = docs.join(gone, F.coalesce(docs[ids].cast("long"), F.lit(int(np.iinfo(np.int64).max))) == gone[doc], "left")
+    # Only documents that may lose a line are shuffled; the others pass by.
+    gone = stored(gone)
+    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(gone.select(doc)))
+    key_of = F.coalesce(F.col(ids).cast("long"), F.lit(int(np.iinfo(np.int64).max)))
+    place, hit = fresh("place"), fresh("hit")
+    told = docs.withColumn(place, key_of).withColumn(hit, perhaps(place, bits))
+    touched = told.where(F.col(hit)).join(gone, F.col(place) == F.col(doc), "left")
+    passed = told.where(~F.col(hit)).withColumns({doc: F.lit(None).cast("long"), lines: F.lit(None).cast("array<int>")})
+    joined = touched.unionByName(passed)
     left = F.when(F.col(lines).isNull(), F.col(text)).otherwise(
         F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col(lines), i)), "\n"))
     kept = [left.alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", key)]
