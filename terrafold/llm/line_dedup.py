@@ -10,8 +10,8 @@ threshold; lines of fewer than ``min_words`` words ("Yes.") are too weak as evid
    length filter, the positional filter, and a bound from 64-bit parity signatures (sets that differ in d tokens
    differ in at most d bits). A class keeps only its earliest candidate, so output is linear in the classes.
 3. Token sets of these pairs are fetched by one scan and Jaccard is verified. An earliest candidate that
-   holds is the earliest match. The few classes whose candidate fails are joined again with their token sets
-   at hand, against all their candidates.
+   holds is the earliest match. The few classes whose candidate fails are joined again, and checked against all
+   their candidates.
 4. A class's cutoff is the earliest match or its own first line; every later line of the class goes.
 
 Rows with the same id are one document and treated alike; a null id comes last. A null text stays null with no line; an
@@ -85,8 +85,11 @@ def signatures(members: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (members >> np.uint64(58)), cut[:-1]) if len(cut) > 1 else np.zeros(0, np.uint64)
 
 
-def posting_blocks(docs: DataFrame, min_words: int, threshold: float, rarity, targets: int) -> DataFrame:
-    """(target, block): prefix postings of the classes, each class once a task (its first line there)."""
+def posting_blocks(docs: DataFrame, min_words: int, threshold: float, rarity, targets: int, keys=None) -> DataFrame:
+    """(target, block): prefix postings of the classes, each class once a task (its first line there).
+
+    With ``keys``, a broadcast bitmap of tokens, only postings of these tokens.
+    """
     def read(batches):
         seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
@@ -100,7 +103,7 @@ def posting_blocks(docs: DataFrame, min_words: int, threshold: float, rarity, ta
                         fresh[i] = True
                 signature = signatures(members, cut)
                 unit, place, token = prefixes(members, cut, rarity.value, threshold)
-                keep = fresh[unit]
+                keep = fresh[unit] if keys is None else fresh[unit] & in_bitmap(keys.value, token)
                 unit, place, token = unit[keep], place[keep], token[keep]
                 out = np.empty(len(unit), POSTING)
                 out["key"], out["place"], out["digest"] = token & np.uint64(0xFFFFFFFF), place, digest[unit].view(np.int64)
@@ -205,13 +208,27 @@ def verified(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         read, "x long, y long, doc long, line int, members binary, holds boolean")
 
 
+def candidates(blocks_of: DataFrame, threshold: float, targets: int, asked) -> DataFrame:
+    """(x, y, doc, line): every earlier candidate of the classes in the bitmap ``asked``."""
+    def read(batches):
+        rows, before = in_lists(unpacked(batches, POSTING))
+        before = np.where(in_bitmap(asked.value, rows["digest"].view(np.uint64)), before, 0)
+        for early, late in pairs(before):
+            ok = passing(rows, early, late, threshold)
+            x, y = rows[late[ok]], rows[early[ok]]
+            if len(x):
+                yield pa.RecordBatch.from_pydict({"x": pa.array(x["digest"]), "y": pa.array(y["digest"]),
+                                                  "doc": pa.array(y["doc"]), "line": pa.array(y["line"])})
+
+    found = blocks_of.repartition(targets, "target").mapInArrow(read, "x long, y long, doc long, line int")
+    return found.groupBy("x", "y").agg(F.min(F.struct("doc", "line")).alias("at")).select("x", "y", "at.doc", "at.line")
+
+
 def searched(docs: DataFrame, open_sets: DataFrame, min_words: int, threshold: float, rarity, targets: int) -> DataFrame:
-    """(x, doc, line): earliest match of the classes in ``open_sets``, checked against every candidate.
+    """(x, doc, line): matches of the classes in ``open_sets`` (digest, members), each checked against every candidate.
 
-    Only lines that share a prefix token with one of these classes are sent, with their sets.
+    Only postings of these classes' prefix tokens are sent, and only sets of candidates are fetched.
     """
-    percent = round(100 * threshold)
-
     def tokens(batches):
         for batch in batches:
             for blob in batch.column(0).to_pylist():
@@ -219,56 +236,13 @@ def searched(docs: DataFrame, open_sets: DataFrame, min_words: int, threshold: f
                 _, _, token = prefixes(members, np.array([0, len(members)]), rarity.value, threshold)
                 yield pa.RecordBatch.from_pydict({"digest": pa.array(token.view(np.int64))})
 
-    keys = docs.sparkSession.sparkContext.broadcast(bitmap(open_sets.select("members").mapInArrow(tokens, "digest long")))
-    asked = docs.sparkSession.sparkContext.broadcast(bitmap(open_sets.select("digest")))
-
-    def send(batches):
-        seen: dict[int, tuple[int, int]] = {}
-        for batch in batches:
-            for doc, line, members, cut, digest in line_sets(batch.column(0), batch.column(1), min_words):
-                unit, place, token = prefixes(members, cut, rarity.value, threshold)
-                hit = np.flatnonzero(in_bitmap(keys.value, token))
-                out = []
-                fresh: dict[int, bool] = {}
-                for j in hit.tolist():
-                    i = int(unit[j])
-                    if i not in fresh:
-                        d, at = int(digest[i]), (int(doc[i]), int(line[i]))
-                        fresh[i] = d not in seen or at < seen[d]
-                        if fresh[i]:
-                            seen[d] = at
-                    if fresh[i]:
-                        out.append((int(token[j].view(np.int64)), int(digest[i].view(np.int64)), int(doc[i]), int(line[i]),
-                                    members[cut[i]:cut[i + 1]].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                        ["token", "digest", "doc", "line", "members"])
-
-    def match(batches):
-        token, earlier = None, []
-        for batch in batches:
-            out = []
-            for t, doc, line, digest, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if t != token:
-                    token, earlier, known = t, [], set()
-                if digest in known:
-                    continue
-                known.add(digest)
-                if in_bitmap(asked.value, np.array([digest]).view(np.uint64))[0]:
-                    size = len(blob)
-                    for place, other in earlier:
-                        if 100 * min(size, len(other)) >= percent * max(size, len(other)) and jaccard_holds(blob, other, percent):
-                            out.append((digest, *place))
-                            break
-                earlier.append(((doc, line), blob))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32()))],
-                                                 ["x", "doc", "line"])
-
-    rows = docs.mapInArrow(send, "token long, digest long, doc long, line int, members binary")
-    return (rows.select("token", "doc", "line", "digest", "members").repartition(targets, "token")
-            .sortWithinPartitions("token", "doc", "line", "digest").mapInArrow(match, "x long, doc long, line int"))
+    context = docs.sparkSession.sparkContext
+    keys = context.broadcast(bitmap(open_sets.select("members").mapInArrow(tokens, "digest long")))
+    asked = context.broadcast(bitmap(open_sets.select("digest")))
+    found = stored(candidates(posting_blocks(docs, min_words, threshold, rarity, targets, keys), threshold, targets, asked))
+    wanted = context.broadcast(bitmap(found.select(F.explode(F.array("x", "y")).alias("digest"))))
+    checked = verified(found, token_sets(docs, min_words, wanted), round(100 * threshold))
+    return checked.where("holds").select("x", "doc", "line")
 
 
 def removed_lines(docs: DataFrame, text: str, ids: str, threshold: float, min_words: int) -> DataFrame:
