@@ -7,13 +7,16 @@ A document is the set of its distinct word k-grams. Two documents link when thei
    order is rarity in a sketch of counters over all documents (fixed size, so it may go to every task), then the hash. Only
    prefix postings are shuffled, as blocks of packed records, one block per task and target. A class that meets others in
    fewer than l of its prefix's lists links with nothing (l grows with the set: a shared passage is no near copy).
-3. Shards: a class belongs to the smallest class that it meets in a posting list. A shard of many shingles is salted into
-   chunks, so a shard never outgrows a task. A class visits the chunks (its own and later ones) that it meets in a list.
-4. Search: each pair of chunks is one group. Its sets are indexed one after another. A set asks for the earlier ones that
-   share T of its shingles: the L longest lists are put aside, the short ones are merged by a heap, and what the
-   merge counts at least T - L times is looked up in the long lists by binary search. Sets that are already connected with
-   the asking set are left out of the lists, so a group of thousands of near copies costs about one check a set.
-5. Components of the links found (a spanning forest per group), over the whole table.
+3. Shards: classes that meet in lists are gathered by the smallest class they meet (their home); a home of many shingles is
+   salted into chunks, and a chunk never outgrows a task.
+4. Search: the sets of a group are indexed one after another. A set asks for the earlier ones that share T of its shingles: the L
+   longest lists are put aside, the short ones are merged by a heap, and what the merge counts at least T - L times is looked up in
+   the long lists by binary search. Sets that are already connected with the asking set are left out of the lists, so a
+   group of thousands of near copies costs about one check a set.
+5. Two rounds. The first searches every chunk by itself, together with one pivot of its home, which connects the chunks of a group of
+   near copies. The second searches pairs of chunks, but only for classes in lists that still hold different components; a
+   component that fills chunks is there by itself and is never compared with itself. So a large group is not paired with itself.
+6. Components of all links found, over the whole table.
 
 Memory of a task is bounded by two chunks. Nothing that grows with the corpus is collected or broadcast.
 """
@@ -161,13 +164,43 @@ def meeting_often(met: DataFrame, threshold: float) -> DataFrame:
     return met.join(often, "digest", "left_semi")
 
 
-def class_shards(met: DataFrame, chunk: int) -> DataFrame:
-    """(digest, shard): the chunk of its home that a class belongs to; chunks are cut by hash."""
-    homes = met.groupBy("digest").agg(F.first("n").alias("n"), F.min("leader").alias("home"))
-    weight = homes.groupBy("home").agg(F.sum("n").alias("weight"))
-    parts = F.ceil(F.col("weight") / F.lit(chunk))
-    return (homes.join(weight, "home")
-            .select("digest", F.xxhash64("home", F.pmod(F.xxhash64("digest"), parts)).alias("shard")))
+def class_homes(met: DataFrame) -> DataFrame:
+    """(digest, n, home)."""
+    return met.groupBy("digest").agg(F.first("n").alias("n"), F.min("leader").alias("home"))
+
+
+def chunked(classes_of: DataFrame, key: str, chunk: int) -> DataFrame:
+    """``classes_of`` with ``shard``: the chunk of its key that a class belongs to, cut by hash, and ``parts`` of the key."""
+    weight = classes_of.groupBy(key).agg(F.ceil(F.sum("n") / F.lit(chunk)).alias("parts"))
+    return (classes_of.join(weight, key)
+            .withColumn("shard", F.xxhash64(key, F.pmod(F.xxhash64("digest"), F.col("parts")))))
+
+
+def first_groups(homes: DataFrame, chunk: int) -> DataFrame:
+    """(group, digest): every class in its chunk, and a pivot, the smallest class of a home, in all chunks of it."""
+    placed = chunked(homes, "home", chunk)
+    pivots = (placed.where("parts > 1").groupBy("home").agg(F.min("digest").alias("digest"), F.collect_set("shard").alias("shards"))
+              .select(F.explode("shards").alias("group"), "digest"))
+    return placed.select(F.col("shard").alias("group"), "digest").union(pivots)
+
+
+def second_groups(met: DataFrame, homes: DataFrame, components_of: DataFrame, chunk: int) -> DataFrame:
+    """(group, digest, known): pairs of chunks of classes that meet in a list but are not connected yet."""
+    known = (homes.join(components_of.select(F.col("node").alias("digest"), "component"), "digest", "left")
+             .withColumn("known", F.coalesce("component", "digest")).select("digest", "n", "home", "known"))
+    lists_of = met.select("list", "digest").join(known.select("digest", "known"), "digest")
+    mixed = lists_of.groupBy("list").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("list")
+    asked = stored(lists_of.join(mixed, "list"))
+    left = known.join(asked.select("digest").distinct(), "digest")
+    large = left.groupBy("known").agg(F.sum("n").alias("size")).where(F.col("size") > chunk).select(F.col("known").alias("large"))
+    placed = left.join(large, F.col("known") == F.col("large"), "left").withColumn("base", F.coalesce("large", "home"))
+    placed = chunked(placed, "base", chunk).select("digest", "known", "large", "shard")
+    here = asked.select("list", "digest").join(placed, "digest")
+    there = here.groupBy("list").agg(F.collect_set(F.struct("shard", "large")).alias("others"))
+    visits = here.join(there, "list").select("digest", "known", "large", "shard", F.explode("others").alias("o"))
+    apart = (F.col("o.shard") != F.col("shard")) | F.col("large").isNull()
+    return (visits.where(apart & ~F.coalesce(F.col("o.large") == F.col("large"), F.lit(False)))
+            .select(F.xxhash64(F.least("shard", "o.shard"), F.greatest("shard", "o.shard")).alias("group"), "digest", "known").distinct())
 
 
 def divide_skip(lists: list[list[int]], need: int) -> dict[int, int]:
@@ -202,6 +235,7 @@ class Shards:
         self.sets: list[np.ndarray] = []
         self.lists: dict[int, dict[int, list[int]]] = {}  # shingle -> root of a component -> ids
         self.parent: list[int] = []
+        self.known: dict[int, int] = {}
 
     def root(self, x: int) -> int:
         while self.parent[x] != x:
@@ -216,11 +250,17 @@ class Shards:
             return False
         return reaches(len(np.intersect1d(a, other, assume_unique=True)), n, m, self.percent)
 
-    def add(self, members: np.ndarray) -> list[int]:
-        """Index a set; give the earlier sets by which it joins their components (one for each component)."""
+    def add(self, members: np.ndarray, known: int | None = None) -> list[int]:
+        """Index a set; give the earlier sets by which it joins their components (one for each component).
+
+        Sets of the same ``known`` component are connected from the start.
+        """
         me = len(self.sets)
         keys = members.tolist()
         mine = {me}
+        if known is not None:
+            mine.add(self.root(self.known[known]) if known in self.known else me)
+            self.known.setdefault(known, me)
         links: list[int] = []
         lists = [self.lists[x] for x in keys if x in self.lists]
         for entry in lists:  # a component whose newest set grew into another keeps its place under the new root
@@ -232,7 +272,7 @@ class Shards:
             for r in entry:
                 counts[r] = counts.get(r, 0) + 1
         need = least_overlap(len(members), self.threshold)
-        for r in [r for r, c in counts.items() if c >= need]:
+        for r in [r for r, c in counts.items() if c >= need and r not in mine]:
             own = [e[r] for e in lists if r in e]
             trial = {x for e in (min(own, key=len), own[0]) for x in (e[0], e[-1])}
             hit = next((x for x in sorted(trial) if self.linked(members, x)), None)
@@ -252,16 +292,16 @@ class Shards:
 
 
 def search(routed: DataFrame, threshold: float, targets: int) -> DataFrame:
-    """(a, b) of classes: a spanning forest of the links within each group of (group, digest, members) rows."""
+    """(a, b) of classes: links that connect what is linked within each group of (group, digest, known, members) rows."""
     def read(batches):
         group, shards, names, out = None, None, [], []
         for batch in batches:
-            for g, digest, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            for g, digest, known, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if g != group:
                     group, shards, names = g, Shards(threshold), []
                 elif digest == names[-1]:
                     continue
-                links = shards.add(np.frombuffer(blob, "<u8"))
+                links = shards.add(np.frombuffer(blob, "<u8"), known)
                 out += [(digest, names[x]) for x in links]
                 names.append(digest)
             if out:
@@ -269,18 +309,28 @@ def search(routed: DataFrame, threshold: float, targets: int) -> DataFrame:
                                                   "b": pa.array([x[1] for x in out], pa.int64())})
                 out = []
 
-    return (routed.repartition(targets, "group").sortWithinPartitions("group", "digest")
+    return (routed.select("group", "digest", "known", "members").repartition(targets, "group").sortWithinPartitions("group", "digest")
             .mapInArrow(read, "a long, b long"))
 
 
-def routes(met: DataFrame, shards: DataFrame) -> DataFrame:
-    """(digest, group): the pairs of chunks in which a class must be searched, from the lists it stands in."""
-    placed = met.join(shards, "digest").select("list", "digest", "shard")
-    there = placed.groupBy("list").agg(F.collect_set("shard").alias("others")).where(F.size("others") > 1)
-    across = (placed.join(there, "list")
-              .select("digest", F.explode("others").alias("other"), "shard").where("other <> shard")
-              .select("digest", F.xxhash64(F.least("shard", "other"), F.greatest("shard", "other")).alias("group")))
-    return shards.select("digest", F.col("shard").alias("group")).union(across).distinct()
+def sets_to_search(docs: DataFrame, heads: DataFrame, homes: DataFrame, k: int) -> DataFrame:
+    """(digest, members): shingles of one document of each class in ``homes``."""
+    spark = docs.sparkSession
+    wanted = stored(heads.join(homes.select("digest"), "digest").select("head", F.col("digest").alias("wanted")))
+    bits = spark.sparkContext.broadcast(id_bitmap(wanted.select("head")))  # spares most texts the shuffle
+
+    def to_sets(batches):
+        for batch in batches:
+            asked, row = batch.column(2).to_pylist(), 0
+            for _, members, cut, own in document_sets(batch.column(0), batch.column(1), k):
+                own = own.view(np.int64).tolist()  # rows of one id may differ: only the class that is asked for
+                out = [(own[i], members[cut[i]:cut[i + 1]].tobytes()) for i in range(len(own)) if asked[row + i] == own[i]]
+                row += len(own)
+                yield pa.RecordBatch.from_pydict({"digest": pa.array([x[0] for x in out], pa.int64()),
+                                                  "members": pa.array([x[1] for x in out], pa.binary())})
+
+    once = docs.where(perhaps("doc_id", bits)).join(wanted, docs.doc_id == wanted["head"]).select("doc_id", "text", "wanted")
+    return stored(once.mapInArrow(to_sets, "digest long, members binary"))
 
 
 def linked_components(docs: DataFrame, text: str = "text", ids: str = "doc_id", k: int = K, threshold: float = THRESHOLD,
@@ -299,30 +349,13 @@ def linked_components(docs: DataFrame, text: str = "text", ids: str = "doc_id",
     sets = read.where("part is null").select("doc_id", "n_shingles", "digest")
     postings = prefix_blocks(docs, k, threshold, rarity, targets)
     met = stored(meeting_often(stored(lists(postings, targets)), threshold))
-    shards = stored(class_shards(met, chunk))
-    routed = routes(met, shards)
+    homes = stored(class_homes(met))
     heads = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("head"))
-
-    # The texts of one document of each class that has to be searched, as sets of shingles in each of its groups.
-    wanted = heads.join(routed, "digest").groupBy("head", "digest").agg(F.collect_list("group").alias("groups"))
-
-    def to_sets(batches):
-        for batch in batches:
-            digest, groups = batch.column(2), batch.column(3)
-            row = 0
-            for _, members, cut, own in document_sets(batch.column(0), batch.column(1), k):
-                own = own.view(np.int64).tolist()  # rows of one id may differ: only the class that is asked for
-                out = [(g, own[i], members[cut[i]:cut[i + 1]].tobytes()) for i in range(len(own))
-                       if digest[row + i].as_py() == own[i] for g in groups[row + i].as_py()]
-                row += len(cut) - 1
-                yield pa.RecordBatch.from_pydict({"group": pa.array([x[0] for x in out], pa.int64()),
-                                                  "digest": pa.array([x[1] for x in out], pa.int64()),
-                                                  "members": pa.array([x[2] for x in out], pa.binary())})
-
-    wanted = stored(wanted)
-    bits = spark.sparkContext.broadcast(id_bitmap(wanted.select("head")))  # spares most texts the shuffle
-    once = docs.where(perhaps("doc_id", bits)).join(wanted, docs.doc_id == wanted["head"]).select("doc_id", "text", "digest", "groups")
-    edges = search(once.mapInArrow(to_sets, "group long, digest long, members binary"), threshold, targets)
+    members = sets_to_search(docs, heads, homes, k)
+    none = F.lit(None).cast("long").alias("known")
+    edges = stored(search(first_groups(homes, chunk).select("group", "digest", none).join(members, "digest"), threshold, targets))
+    again = second_groups(met, homes, components(edges), chunk)
+    edges = edges.union(search(again.join(members, "digest"), threshold, targets))
     named = (edges.join(heads.select(F.col("digest").alias("a"), F.col("head").alias("u")), "a")
              .join(heads.select(F.col("digest").alias("b"), F.col("head").alias("v")), "b").select("u", "v"))
     reached = components(named, "u", "v")
