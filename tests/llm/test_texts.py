@@ -152,7 +152,11 @@ def test_packing_odd_rows(spark, odd, empty):
 
 
 def test_words_encoded_apart_give_the_ids_of_the_whole():
-    coder = packing.WordTokenizer(packing.byte_bpe_path())
+    from tokenizers import Tokenizer
+
+    coder = packing.word_tokenizer(packing.byte_bpe_path())
+    tokenizer = Tokenizer.from_file(packing.byte_bpe_path())
+    tokenizer.encode_special_tokens = True
     for text in ["don't  stop", " a b", "a b ", "a\nb c\n\n d", "x y z", "it's 's '", "I'll  we've\t'd o' clock", "é à 12 3.5 %% <|endoftext|> x", "a  b", "  a b"]:
         whole = coder.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(coder.encode([text])[0], coder.kind).tolist() == whole, text
