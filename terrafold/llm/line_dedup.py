@@ -7,7 +7,7 @@ threshold; lines of fewer than ``min_words`` words ("Yes.") are too weak as evid
 1. One scan gives each line's set digest and place, and the counters of a token sketch (fixed size). Equal sets are one class.
 2. Tokens are ordered by rarity in the sketch, then by hash: any order that is the same everywhere keeps the join
    exact. Each class sends its prefix of ``n - ceil(t*n) + 1`` tokens, as packed records. In a token's list, pairs pass the
-   length filter, the positional filter, and a bound from 64-bit parity signatures (sets that differ in d tokens
+   length filter, the positional filter, and a bound from 128-bit parity signatures (sets that differ in d tokens
    differ in at most d bits). A class keeps only its earliest candidate, so output is linear in the classes.
 3. Token sets of these pairs are fetched by one scan and Jaccard is verified. An earliest candidate that
    holds is the earliest match. The few classes whose candidate fails are joined again, and checked against all
@@ -35,7 +35,8 @@ MIN_WORDS = 5
 #: Pairs compared at once in a task.
 PAIRS = 1 << 20
 
-POSTING = np.dtype([("key", "<u4"), ("place", "<i4"), ("digest", "<i8"), ("signature", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4")])
+POSTING = np.dtype([("key", "<u4"), ("n", "<i4"), ("digest", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("line", "<i4"),
+                    ("place", "<u2")])
 
 
 def line_sets(ids: pa.Array, texts: pa.Array, min_words: int):
@@ -73,16 +74,18 @@ def prefixes(members: np.ndarray, cut: np.ndarray, rarity: np.ndarray, threshold
     """(index of the set, place, token) of the prefix tokens, rarest first."""
     sizes = np.diff(cut)
     unit = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((members, rarity[sketch_slot(members)], unit))
+    order = W.by_rarity(rarity[sketch_slot(members)], unit, len(sizes))
     place = np.arange(len(members)) - cut[unit]
     length = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
     keep = place < length[unit]
     return unit[keep], place[keep], members[order][keep]
 
 
-def signatures(members: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Parity of each of 64 hash classes of a set's tokens."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (members >> np.uint64(58)), cut[:-1]) if len(cut) > 1 else np.zeros(0, np.uint64)
+def signatures(members: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity of each of 128 hash classes of a set's tokens, in two numbers."""
+    one = np.uint64(1) << (members >> np.uint64(58))
+    upper = (members >> np.uint64(57) & np.uint64(1)).astype(bool)
+    return tuple(np.bitwise_xor.reduceat(np.where(upper == side, one, np.uint64(0)), cut[:-1]) for side in (False, True))
 
 
 def posting_blocks(docs: DataFrame, min_words: int, threshold: float, rarity, targets: int, keys=None) -> DataFrame:
@@ -101,13 +104,14 @@ def posting_blocks(docs: DataFrame, min_words: int, threshold: float, rarity, ta
                     if d not in seen or at < seen[d]:
                         seen[d] = at
                         fresh[i] = True
-                signature = signatures(members, cut)
+                low, high = signatures(members, cut)
                 unit, place, token = prefixes(members, cut, rarity.value, threshold)
                 keep = fresh[unit] if keys is None else fresh[unit] & in_bitmap(keys.value, token)
                 unit, place, token = unit[keep], place[keep], token[keep]
                 out = np.empty(len(unit), POSTING)
-                out["key"], out["place"], out["digest"] = token & np.uint64(0xFFFFFFFF), place, digest[unit].view(np.int64)
-                out["signature"], out["n"] = signature[unit], np.diff(cut)[unit]
+                out["key"], out["place"] = token & np.uint64(0xFFFFFFFF), np.minimum(place, 0xFFFF)  # an earlier place only loosens the filter
+                out["digest"], out["low"], out["high"] = digest[unit].view(np.int64), low[unit], high[unit]
+                out["n"] = np.diff(cut)[unit]
                 out["doc"], out["line"] = doc[unit], line[unit]
                 yield from blocks(out, token, targets)
 
@@ -119,28 +123,44 @@ def least_overlap(total: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * total - 1e-9).astype(np.int64)
 
 
-def passing(rows: np.ndarray, early: np.ndarray, late: np.ndarray, threshold: float) -> np.ndarray:
-    """Length, positional and signature filters on pairs of postings of one token."""
-    x, y = rows[late], rows[early]
+def passing(rows: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Positional and signature filters on pairs of postings of one token whose lengths agree."""
+    x, y = rows[i], rows[j]
     n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
     need = least_overlap(n + m, threshold)
-    ok = np.minimum(n, m) >= np.ceil(threshold * np.maximum(n, m) - 1e-9)
-    ok &= 1 + np.minimum(n - x["place"], m - y["place"]) - 1 >= need
-    return ok & (np.bitwise_count(x["signature"] ^ y["signature"]) <= n + m - 2 * need)
+    differ = np.bitwise_count(x["low"] ^ y["low"]).astype(np.int64) + np.bitwise_count(x["high"] ^ y["high"])
+    return (differ <= n + m - 2 * need) & (np.minimum(n - x["place"], m - y["place"]) >= need)
 
 
-def in_lists(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Postings in order of (token, place in the corpus), a class once a token, and the length of the list before each."""
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["digest"], rows["key"]))]
+def in_lists(rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings in order of (token, size), a class once a token at its first place; for each, how many before it in its list pass the
+    length filter, and its rank in the corpus."""
+    rank = np.empty(len(rows), np.int64)
+    rank[np.lexsort((rows["line"], rows["doc"]))] = np.arange(len(rows))
+    order = np.lexsort((rank, rows["digest"], rows["key"]))
+    rows, rank = rows[order], rank[order]
     again = (rows["key"][1:] == rows["key"][:-1]) & (rows["digest"][1:] == rows["digest"][:-1])
-    rows = rows[np.concatenate((np.ones(min(1, len(rows)), bool), ~again))]
-    rows = rows[np.lexsort((rows["digest"], rows["line"], rows["doc"], rows["key"]))]
-    first = np.searchsorted(rows["key"], rows["key"])
-    return rows, np.arange(len(rows)) - first
+    keep = np.concatenate((np.ones(min(1, len(rows)), bool), ~again))
+    rows, rank = rows[keep], rank[keep]
+    listed = (rows["key"].astype(np.uint64) << np.uint64(32)) | rows["n"].astype(np.uint64)
+    order = np.argsort(listed, kind="stable")
+    rows, rank, listed = rows[order], rank[order], listed[order]
+    shortest = np.ceil(threshold * rows["n"] - 1e-9).astype(np.uint64)
+    first = np.searchsorted(listed, (rows["key"].astype(np.uint64) << np.uint64(32)) | shortest)
+    return rows, np.arange(len(rows)) - first, rank
+
+
+def matches(rows: np.ndarray, before: np.ndarray, rank: np.ndarray, threshold: float):
+    """(later, earlier) positions of the pairs that pass all filters, in portions."""
+    for j, i in pairs(before):
+        ok = passing(rows, i, j, threshold)
+        i, j = i[ok], j[ok]
+        swap = rank[i] < rank[j]
+        yield np.where(swap, j, i), np.where(swap, i, j)
 
 
 def pairs(before: np.ndarray):
-    """(early, late) positions of all pairs within lists, in portions; only these arrays are held, nothing is emitted."""
+    """(position before, position) of all pairs within lists, in portions; only these arrays are held, nothing is emitted."""
     a = 0
     total = np.concatenate(([0], np.cumsum(before)))
     while a < len(before):
@@ -154,11 +174,11 @@ def pairs(before: np.ndarray):
 def earliest(blocks_of: DataFrame, threshold: float, targets: int) -> DataFrame:
     """(x, y, doc, line): for each class with a candidate, the earliest one and its place."""
     def read(batches):
-        rows, before = in_lists(unpacked(batches, POSTING))
-        for early, late in pairs(before):
-            ok = passing(rows, early, late, threshold)
-            early, late = early[ok], late[ok]
-            first = np.flatnonzero(np.diff(late, prepend=-1))  # early rises within a late, so the first is the earliest
+        rows, before, rank = in_lists(unpacked(batches, POSTING), threshold)
+        for late, early in matches(rows, before, rank, threshold):
+            order = np.lexsort((rank[early], late))
+            late, early = late[order], early[order]
+            first = np.flatnonzero(np.diff(late, prepend=-1))
             x, y = rows[late[first]], rows[early[first]]
             if len(x):
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x["digest"]), "y": pa.array(y["digest"]),
@@ -211,11 +231,11 @@ def verified(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def candidates(blocks_of: DataFrame, threshold: float, targets: int, asked) -> DataFrame:
     """(x, y, doc, line): every earlier candidate of the classes in the bitmap ``asked``."""
     def read(batches):
-        rows, before = in_lists(unpacked(batches, POSTING))
-        before = np.where(in_bitmap(asked.value, rows["digest"].view(np.uint64)), before, 0)
-        for early, late in pairs(before):
-            ok = passing(rows, early, late, threshold)
-            x, y = rows[late[ok]], rows[early[ok]]
+        rows, before, rank = in_lists(unpacked(batches, POSTING), threshold)
+        open_ = in_bitmap(asked.value, rows["digest"].view(np.uint64))
+        for late, early in matches(rows, before, rank, threshold):
+            keep = open_[late]
+            x, y = rows[late[keep]], rows[early[keep]]
             if len(x):
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x["digest"]), "y": pa.array(y["digest"]),
                                                   "doc": pa.array(y["doc"]), "line": pa.array(y["line"])})

@@ -102,7 +102,7 @@ def prefix_blocks(docs: DataFrame, k: int, threshold: float, rarity, targets: in
                         seen.add(d)
                         fresh[i] = True
                 unit = np.repeat(np.arange(len(sizes)), sizes)
-                pick = np.lexsort((members, order[sketch_slot(members)], unit))
+                pick = W.by_rarity(order[sketch_slot(members)], unit, len(sizes))
                 place = np.arange(len(members)) - cut[unit]
                 length = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + wanted_meetings(sizes)
                 keep = (place < length[unit]) & fresh[unit]

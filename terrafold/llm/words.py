@@ -139,9 +139,27 @@ def unit_shingles(found: Words, units: int, k: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out)[order], unit[order], at[order] - begin[unit[order]]
 
 
+def by_unit(value: np.ndarray, unit: np.ndarray, units: int) -> np.ndarray:
+    """Order by unit, then value: one sort of the unit and the value's upper bits, if these tell the values apart."""
+    bits = max(1, int(units).bit_length())
+    key = (unit.astype(np.uint64) << np.uint64(64 - bits)) | (value >> np.uint64(bits))
+    order = np.argsort(key)
+    key, found = key[order], value[order]
+    if np.any((key[1:] == key[:-1]) & (found[1:] != found[:-1])):
+        return np.lexsort((value, unit))
+    return order
+
+
+def by_rarity(rarity: np.ndarray, unit: np.ndarray, units: int) -> np.ndarray:
+    """Order by unit, then rarity; what is equal keeps its order."""
+    bits = max(1, int(units).bit_length())
+    top = np.uint64((1 << (64 - bits)) - 1)
+    return np.argsort((unit.astype(np.uint64) << np.uint64(64 - bits)) | np.minimum(rarity, top), kind="stable")
+
+
 def unit_sets(value: np.ndarray, unit: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each unit, sorted, and the bounds of the units in them."""
-    order = np.lexsort((value, unit))
+    order = by_unit(value, unit, units)
     value, unit = value[order], unit[order]
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (unit[1:] != unit[:-1])
