@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import id_mismatches, require_match
 from .basic import as_column, between, finite, number
 
 # Texts that declare a thermal value as present.
@@ -83,7 +84,8 @@ def eligible(columns: Sequence[str], rules: Eligibility = Eligibility()) -> Colu
 def eligible_pair(
     core: DataFrame, enhanced: DataFrame, rules: Eligibility = Eligibility(), id_column: str = "sample_id"
 ) -> tuple[DataFrame, DataFrame]:
-    """Both tables cut to the rows that are eligible in ``enhanced``."""
+    """Both tables cut to the rows that are eligible in ``enhanced``; tables with different ids are refused."""
+    require_match(id_mismatches(core, enhanced, id_column))
     kept = enhanced.filter(eligible(enhanced.columns, rules))
     return core.join(kept.select(id_column), id_column, "left_semi"), kept
 

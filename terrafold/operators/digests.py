@@ -6,8 +6,9 @@ or partitioning, combine before the shuffle, and never gather rows in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +16,18 @@ SLICES = 4
 DIGITS = 15
 
 
-def row_text(columns: Sequence[str]) -> Column:
+def _value_text(value: Column, kind: str) -> Column:
+    """Text of a value that no session setting changes: instants are microseconds since the epoch."""
+    if kind == "timestamp":
+        return F.unix_micros(value).cast("string")
+    return value.cast("string")
+
+
+def row_text(columns: Sequence[str], types: Mapping[str, str] = {}) -> Column:  # noqa: B006
     """Unambiguous text of a row: each value with its length, a missing one as ``-``."""
     parts = []
     for c in sorted(columns):
-        text = F.col(c).cast("string")
+        text = _value_text(F.col(c), types.get(c, ""))
         parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     return F.concat_ws("|", *parts)
 
@@ -27,7 +35,7 @@ def row_text(columns: Sequence[str]) -> Column:
 def table_digest(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, n_rows, digest)``; equal for equal multisets of rows, whatever their order."""
     columns = list(columns or df.columns)
-    hashed = df.select(*keys, F.sha2(row_text(columns), 256).alias("h"))
+    hashed = df.select(*keys, F.sha2(row_text(columns, dict(df.dtypes)), 256).alias("h"))
     slices = [
         F.sum(F.conv(F.substring("h", 1 + i * DIGITS, DIGITS), 16, 10).cast("decimal(38,0)")).alias(f"s{i}")
         for i in range(SLICES)
@@ -38,13 +46,33 @@ def table_digest(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequ
     return sums.select(*keys, "n_rows", F.sha2(text, 256).alias("digest"))
 
 
-def file_digests(spark: SparkSession, path: str, maximum_bytes: int = 256 * 1024 * 1024) -> DataFrame:
-    """SHA-256 of each small file (configuration, allow-list). Tables use ``table_digest``."""
-    files = spark.read.format("binaryFile").load(path)
-    large = files.filter(F.col("length") > maximum_bytes).limit(1).count()
-    if large:
-        raise ValueError(f"files above {maximum_bytes} bytes are hashed as tables, not whole")
-    return files.select("path", "length", F.sha2("content", 256).alias("digest"))
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, digest) of each file: SHA-256 of its bytes.
+
+    Only names and lengths are listed on the driver. A file on a mounted file system is read by a task in pieces of a megabyte,
+    whatever its size; in another store Spark's binary reader hands the content over (up to its own limit of 2 GB a file).
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    files = [tuple(r) for r in listed.select("path", "length").collect()]  # names, no content
+    if not all(p.startswith("file:") for p, _ in files):
+        return listed.select("path", "length", F.sha2("content", 256).alias("digest"))
+    table = spark.createDataFrame(files, "path string, length long").repartition(max(1, len(files)))
+    return table.mapInPandas(_stream_digests, "path string, length long, digest string")
+
+
+def _stream_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import hashlib
+    from urllib.parse import unquote, urlparse
+
+    for batch in batches:
+        found = []
+        for name in batch["path"]:
+            digest = hashlib.sha256()
+            with open(unquote(urlparse(name).path), "rb") as file:
+                while piece := file.read(1 << 20):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield batch.assign(digest=found)
 
 
 def digest_differences(expected: DataFrame, observed: DataFrame, name: str = "name") -> DataFrame:

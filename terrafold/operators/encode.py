@@ -21,8 +21,6 @@ from .order_stats import column_quantiles
 # Accepted model kinds; only the linear ones are standardised.
 TREE_KINDS = ("boosted_trees", "random_forest")
 LINEAR_KINDS = ("linear",)
-MAX_CATEGORIES = 100_000
-DIRECT_ROWS = 200_000
 
 
 class EncodingError(ValueError):
@@ -52,7 +50,7 @@ class Encoder:
         """Output name to expression: numeric, missing indicators, one-hot."""
         out: dict[str, Column] = {}
         for c in self.numeric:
-            x = F.coalesce(number(c), F.lit(self.medians[c]))
+            x = F.coalesce(self.checked(c), F.lit(self.medians[c]))
             if self.scales:
                 x = (x - F.lit(self.centres[c])) / F.lit(self.scales[c])
             out[c] = x
@@ -65,6 +63,31 @@ class Encoder:
                 out[f"{c}_{value}"] = (text == F.lit(value)).cast("double")
         return out
 
+    def refusals(self, df: DataFrame) -> DataFrame:
+        """One row: per numeric column, values that are present but no finite number (column names as in ``df``)."""
+        types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+        def bad(c: str) -> Column:
+            x = number(c)
+            absent = F.col(c).isNull() | (F.isnan(c) if types[c] in ("double", "float") else F.lit(False))
+            return (x.isNull() & ~absent) | F.coalesce(F.abs(x) == float("inf"), F.lit(False))
+
+        return df.agg(*[F.count_if(bad(c)).alias(c) for c in self.numeric])
+
+    def require_numbers(self, df: DataFrame) -> DataFrame:
+        """``df``, or an error if a numeric predictor holds text or an infinite value."""
+        wrong = {k: v for k, v in self.refusals(df).first().asDict().items() if v}
+        if wrong:
+            raise EncodingError(f"not finite numbers: {wrong}")
+        return df
+
+    def checked(self, c: str) -> Column:
+        """The number in a column; a present value that is no finite number fails the job."""
+        x = number(c)
+        text = F.lower(F.trim(F.col(c).cast("string")))
+        bad = (x.isNull() & text.isNotNull() & ~text.isin("nan", "")) | F.coalesce(F.abs(x) == float("inf"), F.lit(False))
+        return F.when(bad, F.raise_error(F.concat(F.lit(f"{c} is not a finite number: "), text)).cast("double")).otherwise(x)
+
     @property
     def feature_names(self) -> list[str]:
         return list(self.feature_columns())
@@ -130,27 +153,18 @@ def fit_encoder(
             F.count_if(x.isNull() & ~absent_value).alias(f"t{i}"),
             F.count_if(F.abs(x) == float("inf")).alias(f"i{i}"),
         ]
-    sizes = [F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(categorical)]
-    row = train.agg(*checks, *sizes).first()
+    seen = [F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(missing_token))).alias(f"c{i}")
+            for i, c in enumerate(categorical)]  # one-hot columns: as many values as the model has features
+    row = train.agg(*checks, *seen).first()
     text = {c: row[f"t{i}"] for i, c in enumerate(numeric) if row[f"t{i}"]}
     infinite = {c: row[f"i{i}"] for i, c in enumerate(numeric) if row[f"i{i}"]}
     if text or infinite:
         raise EncodingError(f"not numeric: {text}; infinite: {infinite}")
-    wide = {c: row[f"d{i}"] for i, c in enumerate(categorical) if row[f"d{i}"] > MAX_CATEGORIES}
-    if wide:
-        raise EncodingError(f"too many categories for one-hot columns: {wide}")
     with_missing = {c for i, c in enumerate(numeric) if row[f"m{i}"]}
     explicit = set(policy.indicator_columns)
     indicators = tuple(c for c in numeric if c in (explicit or with_missing)) if add_indicators else ()
 
-    # The built-in exact percentile keeps every distinct value in one buffer, so it serves
-    # small training parts only; larger ones use the bracketed order statistic.
-    small = row["n"] <= DIRECT_ROWS
-    seen = [F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(missing_token))).alias(f"c{i}")
-            for i, c in enumerate(categorical)]
-    middle = [F.median(number(c)).alias(f"q{i}") for i, c in enumerate(numeric)] if small else []
-    fitted = train.agg(F.count(F.lit(1)).alias("n"), *seen, *middle).first()
-    found = {c: fitted[f"q{i}"] for i, c in enumerate(numeric)} if small else column_quantiles(train, numeric)
+    found = column_quantiles(train, numeric) if numeric else {}
     medians = {c: m if m is not None else 0.0 for c, m in found.items()}
     centres: dict[str, float] = {}
     scales: dict[str, float] = {}
@@ -162,7 +176,7 @@ def fit_encoder(
         ).first()
         centres = {c: moments[f"a{i}"] for i, c in enumerate(numeric)}
         scales = {c: moments[f"s{i}"] or 1.0 for i, c in enumerate(numeric)}
-    categories = {c: sorted(fitted[f"c{i}"]) for i, c in enumerate(categorical)}
+    categories = {c: sorted(row[f"c{i}"]) for i, c in enumerate(categorical)}
     encoder = Encoder(kind, numeric, categorical, indicators, medians, centres, scales, categories,
                       policy.missing_suffix, missing_token)
     check_provenance(encoder)

@@ -13,6 +13,7 @@ import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,21 +163,18 @@ def cells_of(df: DataFrame, design: SplitDesign, partition: Sequence[str] = (),
 def pair_folds(counts: dict[tuple[int, int], int], n: int) -> tuple[int, ...]:
     """Time fold for each block fold: the largest smallest intersection, then the most even.
 
-    ``counts`` has at most n x n entries. All permutations up to eight folds, rotations above.
+    ``counts`` has at most n x n entries. Every assignment is scored for at most eight folds, every shift of the
+    identity for more; all of them at once, one row of an array each. The first of equals wins.
     """
-    if n <= 8:
-        options = itertools.permutations(range(n))
-    else:
-        options = (tuple((f + shift) % n for f in range(n)) for shift in range(n))
-
-    def quality(option: tuple[int, ...]) -> tuple:
-        sizes = [counts.get((f, option[f]), 0) for f in range(n)]
-        return (min(sizes), min(sizes) - max(sizes), [-s for s in sizes])
-
-    best = max(options, key=quality)  # the first of equals wins
-    if quality(best)[0] <= 0:
+    size = np.array([[counts.get((b, t), 0) for t in range(n)] for b in range(n)])
+    every = list(itertools.permutations(range(n))) if n <= 8 else np.add.outer(np.arange(n), np.arange(n)) % n
+    assignment = np.asarray(every)
+    rows = size[np.arange(n), assignment]
+    least, spread = rows.min(axis=1), np.ptp(rows, axis=1)
+    best = int(np.lexsort((*rows.T[::-1], spread, -least))[0])
+    if least[best] <= 0:
         raise SplitError("no non-empty intersection of block and time folds; reduce the fold count")
-    return best
+    return tuple(int(t) for t in assignment[best])
 
 
 def contingency(cells: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
@@ -337,22 +335,39 @@ def frozen_parts(df: DataFrame, design: SplitDesign, fold_column: str = "outer_f
     return parts
 
 
-def frozen_folds(df: DataFrame, design: SplitDesign, fold_column: str = "outer_fold") -> DataFrame:
-    """Long fold table from stored labels, as ``split_with_embargo`` gives it."""
+def with_frozen_folds(df: DataFrame, design: SplitDesign, fold_column: str = "outer_fold") -> DataFrame:
+    """``df`` with a ``folds`` array rebuilt from stored labels; its cells are joined once, not its ids."""
     parts = frozen_parts(df, design, fold_column)
     marked = df.withColumn("label", F.greatest(F.col(fold_column).cast("int"), F.lit(-1)))
-    return attach_parts(marked, parts, design, ["label"]).drop("label")
+    return with_parts(marked, parts, design, ["label"]).drop("label")
+
+
+def frozen_folds(df: DataFrame, design: SplitDesign, fold_column: str = "outer_fold") -> DataFrame:
+    """Long fold table from stored labels, as ``split_with_embargo`` gives it."""
+    return with_frozen_folds(df, design, fold_column).select(design.id_column, F.inline("folds"))
+
 
+def in_part(fold: int, part: str, folds: str = "folds") -> Column:
+    """Whether the row belongs to a part of a fold, from its array."""
+    return F.exists(folds, lambda f: (f["fold"] == fold) & (f["part"] == part))
 
-def nested_folds(df: DataFrame, outer: DataFrame, design: SplitDesign, inner_folds: int = 4) -> DataFrame:
-    """Inner splits of every outer training part in one pass:
-    ``(id, outer_fold, fold, part)``."""
-    train = outer.filter("part = 'train'").select(design.id_column, F.col("fold").alias("outer_fold"))
+
+def nested_base(rows: DataFrame, design: SplitDesign) -> DataFrame:
+    """A row for each outer fold that trains on the row of ``rows`` (which has its outer ``folds``): id, keys, outer_fold."""
     columns = [design.id_column, design.block_column, design.date_column]
-    if design.event_column and design.event_column in df.columns:
+    if design.event_column and design.event_column in rows.columns:
         columns.append(design.event_column)
-    base = df.select(*columns).join(train, design.id_column)
-    return split_with_embargo(base, design.inner(inner_folds), ["outer_fold"])
+    return rows.select(*columns, F.explode(F.filter("folds", lambda f: f["part"] == "train")["fold"]).alias("outer_fold"))
+
+
+def nested_parts(rows: DataFrame, design: SplitDesign, inner_folds: int = 4) -> DataFrame:
+    """Parts of the cells of every outer training part, by ``outer_fold``, in one pass."""
+    return dual_blocked_parts(nested_base(rows, design), design.inner(inner_folds), ["outer_fold"])
+
+
+def nested_folds(rows: DataFrame, design: SplitDesign, inner_folds: int = 4) -> DataFrame:
+    """Inner splits of every outer training part: ``(outer_fold, id, fold, part)``; ``rows`` has its outer ``folds``."""
+    return attach_parts(nested_base(rows, design), nested_parts(rows, design, inner_folds), design.inner(inner_folds), ["outer_fold"])
 
 
 # -------------------------------------------------------------------------------- invariants
@@ -361,17 +376,17 @@ def nested_folds(df: DataFrame, outer: DataFrame, design: SplitDesign, inner_fol
 def shared_keys(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
     """``(key_type, shared)``: distinct values of each key present on both sides.
 
-    Values are distinct before they meet, so the shuffle carries keys and not rows.
+    One scan of each side marks the values it holds; the marks combine before the shuffle, which carries keys and not rows.
     """
-    out = None
-    for name, column in keys.items():
-        a = left.select(F.col(column).cast("string").alias("v")).filter(~is_blank("v")).distinct()
-        b = right.select(F.col(column).cast("string").alias("v")).filter(~is_blank("v")).distinct()
-        one = a.join(b, "v", "left_semi").agg(F.count(F.lit(1)).alias("shared")).select(
-            F.lit(name).alias("key_type"), "shared"
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    entries = F.array(*[F.struct(F.lit(n).alias("key_type"), F.col(c).cast("string").alias("v")) for n, c in keys.items()])
+
+    def side(df: DataFrame, at_left: bool) -> DataFrame:
+        return df.select(F.inline(entries)).filter(~is_blank("v")).select("*", F.lit(at_left).alias("l"), F.lit(not at_left).alias("r"))
+
+    flags = side(left, True).unionByName(side(right, False)).groupBy("key_type", "v").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    named = left.sparkSession.createDataFrame([(n,) for n in keys], "key_type string")
+    counts = flags.groupBy("key_type").agg(F.count_if(F.col("l") & F.col("r")).alias("shared"))
+    return named.join(F.broadcast(counts), "key_type", "left").select("key_type", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
 def fold_overlaps(df: DataFrame, folds: DataFrame, design: SplitDesign) -> DataFrame:

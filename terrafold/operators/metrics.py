@@ -189,7 +189,7 @@ def threshold_recalls(
     ]
     return counts.select(*keys, "n", F.inline(F.array(*rows))).withColumn(
         "reason",
-        F.when(~F.col("available"), F.lit("unavailable: no positive observed cases in this subset")),
+        F.when(~F.col("available"), F.lit("no observed case reaches the threshold")),
     )
 
 

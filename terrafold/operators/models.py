@@ -9,7 +9,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark import SparkContext
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..functions.physics import COMPONENT_TARGETS, component_targets
 from ..functions.predictors import PredictorPolicy
 from ..session import concurrently, materialise
 from .encode import Encoder, fit_encoder
-from .folds import SplitDesign, frozen_folds, nested_folds, split_with_embargo
+from .folds import SplitDesign, dual_blocked_parts, in_part, nested_parts, with_frozen_folds, with_parts
 from .linear import LinearFit, candidate_scores, fit_elastic_net
 from .metrics import grouped_mae, high_value_mae, long_predictions
 
@@ -147,28 +148,40 @@ def clamp_count(counts: Sequence[int], minimum: int, maximum: int) -> int:
     return min(maximum, max(minimum, math.floor(statistics.median(counts) + 0.5)))
 
 
+def first_trees(fitted: FittedModel, count: int) -> FittedModel:
+    """The boosted model as it was after its first ``count`` trees."""
+    java, gateway = fitted.model._java_obj, SparkContext._gateway
+    package = gateway.jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(package.DecisionTreeRegressionModel, count)
+    weights = gateway.new_array(gateway.jvm.double, count)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:count], list(java.treeWeights())[:count])):
+        trees[i], weights[i] = tree, float(weight)
+    short = package.GBTRegressionModel(java.uid(), trees, weights)
+    short.setFeaturesCol("features")
+    return FittedModel(GBTRegressionModel(short), fitted.encoder, count, fitted.variant)
+
+
 def search(
-    df: DataFrame, folds: DataFrame, label: str, policy: PredictorPolicy, predictors: Sequence[str],
-    trials: Sequence[BoostedParams], seed: int, block: Sequence[str], n_folds: int,
-    id_column: str = "sample_id", predictor_set: str = "core", minimum_trees: int = 1,
-    maximum_trees: int = 1500, high_threshold: float = 32.0, weights=None,
+    df: DataFrame, label: str, policy: PredictorPolicy, predictors: Sequence[str],
+    trials: Sequence[BoostedParams], seed: int, block: Sequence[str], n_folds: int, folds: str = "folds",
+    predictor_set: str = "core", minimum_trees: int = 1,
+    maximum_trees: int = 1500, high_threshold: float = 32.0, weights=None, patience: int = PATIENCE,
 ) -> Selection:
-    """Score every candidate on every fold by grouped MAE; only train rows are fitted.
+    """Score every candidate on every fold by grouped MAE at its best tree count; only train rows are fitted.
 
+    ``df`` has the fold membership of each row in its array ``folds``, so a fold is a filter.
     Encoders depend on the fold, not the candidate, so each fold is encoded once.
     """
-    df = df.select(*dict.fromkeys([id_column, label, *block, *predictors]))  # fold copies hold no other column
+    df = df.select(*dict.fromkeys([folds, label, *block, *predictors]))
 
     def one_fold(f: int) -> list[dict]:
-        member = folds.filter(F.col("fold") == f)
-        train = materialise(df.join(member.filter("part = 'train'").select(id_column), id_column), "train")
-        held = materialise(df.join(member.filter("part = 'validation'").select(id_column), id_column), "held")
+        train, held = df.filter(in_part(f, "train", folds)), df.filter(in_part(f, "validation", folds))
         encoder = fit_encoder(train, policy, predictor_set, predictors)
         rows = []
         for t, params in enumerate(trials):
             fitted = fit_boosted(train, label, policy, predictors, params, seed + f, predictor_set, weights, encoder)
-            count = best_tree_count(loss_curve(fitted, held, label))
-            long = long_predictions(fitted.predict(held, "candidate"), label, ["candidate"], block)
+            count = best_tree_count(loss_curve(fitted, held, label), patience)
+            long = long_predictions(first_trees(fitted, count).predict(held, "candidate"), label, ["candidate"], block)
             score = grouped_mae(long, block).first()
             high = high_value_mae(long, threshold=high_threshold).first()
             rows.append(
@@ -188,9 +201,20 @@ def refit(params: BoostedParams, trees: int) -> BoostedParams:
     return BoostedParams(**{**params.__dict__, "trees": trees})
 
 
-def outer_members(df: DataFrame, outer: DataFrame, fold: int, part: str, id_column: str) -> DataFrame:
-    chosen = outer.filter((F.col("fold") == fold) & (F.col("part") == part)).select(id_column)
-    return materialise(df.join(chosen, id_column), part)
+def outer_rows(df: DataFrame, split: SplitDesign, inner_folds: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their outer ``folds``, written once, and the inner parts of the cells of every outer training part."""
+    rows = materialise(with_frozen_folds(df, split), "outer")
+    return rows, nested_parts(rows, split, inner_folds)
+
+
+def outer_part(rows: DataFrame, fold: int, part: str) -> DataFrame:
+    return rows.filter(in_part(fold, part)).drop("folds")
+
+
+def inner_rows(rows: DataFrame, parts: DataFrame, split: SplitDesign, fold: int) -> DataFrame:
+    """Training rows of an outer fold with their inner ``folds``: a lookup of cells, no shuffle on the id."""
+    own = parts.filter(F.col("outer_fold") == fold).drop("outer_fold")
+    return with_parts(outer_part(rows, fold, "train"), own, split)
 
 
 def nested_out_of_fold(
@@ -203,27 +227,22 @@ def nested_out_of_fold(
     Returns the table ``(id, output)``, the selection on all development rows, and the
     selection of each outer fold.
     """
-    outer = materialise(frozen_folds(df, split), "outer")
-    inner = materialise(nested_folds(df, outer, split, inner_folds), "inner")
-    keys = [split.id_column, split.block_column, split.date_column]
-    if split.event_column and split.event_column in df.columns:
-        keys.append(split.event_column)
-    df = df.select(*dict.fromkeys([*keys, label, *block, *predictors]))
+    rows, parts = outer_rows(df, split, inner_folds)
     tables, chosen = [], []
     for f in range(split.n_folds):
-        train = outer_members(df, outer, f, "train", split.id_column)
-        held = outer_members(df, outer, f, "validation", split.id_column)
-        best = search(train, inner.filter(F.col("outer_fold") == f), label, policy, predictors, trials, seed,
-                      block, inner_folds, split.id_column, predictor_set, weights=weights, **limits)
+        train = inner_rows(rows, parts, split, f)
+        best = search(train, label, policy, predictors, trials, seed, block, inner_folds, predictor_set=predictor_set,
+                      weights=weights, **limits)
         fitted = fit_boosted(train, label, policy, predictors, refit(best.params, best.tree_count), seed + f,
                              predictor_set, weights)
-        tables.append(fitted.predict(held, output).select(split.id_column, output))
+        tables.append(fitted.predict(outer_part(rows, f, "validation"), output).select(split.id_column, output))
         chosen.append(best)
     final = None
     if select_final:
-        everything = materialise(split_with_embargo(df, split.inner(inner_folds)), "inner")
-        final = search(df, everything, label, policy, predictors, trials, seed, block, inner_folds, split.id_column,
-                       predictor_set, weights=weights, **limits)
+        inner = split.inner(inner_folds)
+        everything = with_parts(rows.drop("folds"), dual_blocked_parts(rows, inner), inner)
+        final = search(everything, label, policy, predictors, trials, seed, block, inner_folds, predictor_set=predictor_set,
+                       weights=weights, **limits)
     result = tables[0]
     for t in tables[1:]:
         result = result.unionByName(t)
@@ -231,7 +250,7 @@ def nested_out_of_fold(
 
 
 def fit_forest(train: DataFrame, label: str, policy: PredictorPolicy, predictors: Sequence[str], seed: int = 42,
-               trees: int = 500, min_leaf: int = 2, depth: int = 20) -> FittedModel:
+               trees: int = 500, min_leaf: int = 2, depth: int = 30) -> FittedModel:
     """Random forest over all features at each node. Spark caps the depth at 30."""
     encoder = fit_encoder(train, policy, predictors=predictors, kind="random_forest")
     learner = RandomForestRegressor(
@@ -243,17 +262,14 @@ def fit_forest(train: DataFrame, label: str, policy: PredictorPolicy, predictors
 
 
 def select_elastic_net(
-    df: DataFrame, folds: DataFrame, label: str, policy: PredictorPolicy, predictors: Sequence[str],
-    block: Sequence[str], n_folds: int, id_column: str = "sample_id",
+    df: DataFrame, label: str, policy: PredictorPolicy, predictors: Sequence[str],
+    block: Sequence[str], n_folds: int, folds: str = "folds",
 ) -> tuple[float, float, float]:
     """``(alpha, l1_ratio, score)`` with the smallest mean grouped MAE; ties by alpha, then ratio."""
-    df = df.select(*dict.fromkeys([id_column, label, *block, *predictors]))
+    df = df.select(*dict.fromkeys([folds, label, *block, *predictors]))
 
     def one_fold(f: int) -> list[tuple[float, float, float]]:
-        member = folds.filter(F.col("fold") == f)
-        train = materialise(df.join(member.filter("part = 'train'").select(id_column), id_column), "train")
-        held = materialise(df.join(member.filter("part = 'validation'").select(id_column), id_column), "held")
-        return candidate_scores(train, held, label, policy, predictors, block)
+        return candidate_scores(df.filter(in_part(f, "train", folds)), df.filter(in_part(f, "validation", folds)), label, policy, predictors, block)
 
     totals: dict[tuple[float, float], list[float]] = {}
     for rows in concurrently(df.sparkSession, [partial(one_fold, f) for f in range(n_folds)]):
@@ -270,10 +286,15 @@ class ComponentModels:
     models: dict[str, FittedModel]
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Add one raw prediction column per target."""
+        """Add one raw prediction column per target; the rows are encoded once for all four."""
+        encoder = next(iter(self.models.values())).encoder
+        if any(fitted.encoder != encoder for fitted in self.models.values()):
+            raise ValueError("component models must share their encoder")
+        outputs = {name: f"predicted_{name}" for name in self.models}
+        df = encoder.with_features(df.drop(*outputs.values()))
         for name, fitted in self.models.items():
-            df = fitted.predict(df, f"predicted_{name}")
-        return df
+            df = fitted.model.setPredictionCol(outputs[name]).transform(df)
+        return df.drop("features")
 
 
 def fit_components(
@@ -298,17 +319,15 @@ def fit_components(
 
 
 def component_tree_counts(
-    df: DataFrame, folds: DataFrame, policy: PredictorPolicy, predictors: Sequence[str], base: BoostedParams,
-    n_folds: int, seed: int = 0, id_column: str = "sample_id",
+    df: DataFrame, policy: PredictorPolicy, predictors: Sequence[str], base: BoostedParams,
+    n_folds: int, seed: int = 0, folds: str = "folds",
 ) -> dict[str, BoostedParams]:
     """Per target: the median best tree count over the inner validation folds."""
     labelled = df.withColumns({f"__{name}": e for name, e in component_targets().items()})
-    labelled = labelled.select(id_column, *predictors, *[f"__{n}" for n in COMPONENT_TARGETS])
+    labelled = labelled.select(folds, *predictors, *[f"__{n}" for n in COMPONENT_TARGETS])
 
     def one_fold(f: int) -> dict[str, int]:
-        member = folds.filter(F.col("fold") == f)
-        train = materialise(labelled.join(member.filter("part = 'train'").select(id_column), id_column), "train")
-        held = materialise(labelled.join(member.filter("part = 'validation'").select(id_column), id_column), "held")
+        train, held = labelled.filter(in_part(f, "train", folds)), labelled.filter(in_part(f, "validation", folds))
         encoder = fit_encoder(train, policy, predictors=predictors)
         best = {}
         for offset, name in enumerate(COMPONENT_TARGETS):
@@ -324,5 +343,5 @@ def component_tree_counts(
 __all__ = [
     "BoostedParams", "ComponentModels", "FittedModel", "LinearFit", "Selection", "best_tree_count", "candidates",
     "component_tree_counts", "fit_boosted", "fit_components", "fit_elastic_net", "fit_forest", "loss_curve",
-    "nested_out_of_fold", "search", "select_elastic_net",
+    "first_trees", "nested_out_of_fold", "search", "select_elastic_net",
 ]

@@ -429,12 +429,7 @@ def validate(df: DataFrame, rules: QualityRules = QualityRules(), units: Mapping
     found = spark.createDataFrame(static, ISSUE_SCHEMA)
     if any(code == "duplicate_column_names" for _, code, *_ in static):
         return found
-    empty = df.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
-        F.lit("error").alias("severity"), F.lit("empty_table").alias("code"),
-        F.lit(None).cast("string").alias("column_name"), F.col("n").alias("row_count"),
-        F.lit("the table has no rows").alias("message"),
-    )
-    parts = [empty, rule_counts(df, row_rules(df, rules)), missingness_issues(df, rules)]
+    parts = [empty_table(df), rule_counts(df, row_rules(df, rules)), missingness_issues(df, rules)]
     if "sample_id" in df.columns:
         parts.append(_duplicate_issue(df, ["sample_id"], "error", "duplicate_sample_id", True))
     if {"site_id", "timestamp_utc"} <= set(df.columns):
@@ -444,6 +439,15 @@ def validate(df: DataFrame, rules: QualityRules = QualityRules(), units: Mapping
     return found.filter((F.col("row_count") > 0) | F.col("row_count").isNull() | F.col("code").isin("empty_table", "all_missing_predictor"))
 
 
+def empty_table(df: DataFrame) -> DataFrame:
+    """The finding that a table has no row; no row if it has one."""
+    return df.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
+        F.lit("error").alias("severity"), F.lit("empty_table").alias("code"),
+        F.lit(None).cast("string").alias("column_name"), F.col("n").alias("row_count"),
+        F.lit("the table has no rows").alias("message"),
+    )
+
+
 def failing(df: DataFrame, rules: Sequence[RowRule]) -> list[RowRule]:
     """The rules broken by at least one row (one count per rule reaches the driver)."""
     broken = {(r["code"], r["column_name"]) for r in rule_counts(df, rules).filter("row_count > 0").collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import number
-from ..functions.keys import is_blank, stable_hash, time_group
+from ..functions.keys import day_text, is_blank, stable_hash, time_group
 from ..session import materialise
 from .folds import SplitDesign, SplitError, shared_keys
 from .order_stats import hash_threshold
@@ -113,8 +113,8 @@ def assign_roles(df: DataFrame, split: SplitDesign, design: RoleDesign = RoleDes
     time_key = time_group(split.date_column, split.event_column if has_event else None)
     measure = number(design.target) if design.target in df.columns else F.lit(None).cast("double")
     groups = materialise(
-        df.select(block.alias("block"), time_key.alias("time_key"), measure.alias("measure"))
-        .groupBy("block", "time_key").agg(F.max("measure").alias("measure")),
+        df.select(block.alias("block"), time_key.alias("time_key"), measure.alias("measure"), day_text(split.date_column).isNull().alias("undated"))
+        .groupBy("block", "time_key").agg(F.max("measure").alias("measure"), F.max("undated").alias("undated")),
         "role-groups",
     )
     rule = fit_roles(groups, design, split.seed)
@@ -123,7 +123,7 @@ def assign_roles(df: DataFrame, split: SplitDesign, design: RoleDesign = RoleDes
         return F.when(rule.block_role(b) == rule.time_role(t), rule.block_role(b)).otherwise(F.lit("embargo"))
 
     seen = groups.agg(
-        F.count_if(F.col("block").isNull() | F.col("time_key").isNull()).alias("missing"),
+        F.count_if(F.col("block").isNull() | F.col("time_key").isNull() | F.col("undated")).alias("missing"),
         F.collect_set(role(F.col("block"), F.col("time_key"))).alias("roles"),  # four values at most
     ).first()
     if seen["missing"]:
@@ -209,6 +209,20 @@ def role_rows(
     return df.filter((F.col(role_column) == role) & flag.isin([f.strip().lower() for f in allowed_flags]))
 
 
+def evaluation_rows(
+    df: DataFrame, role: str, split: SplitDesign, design: RoleDesign = RoleDesign(), allowed_flags: Sequence[str] = ("pass",),
+    role_column: str = "split_role", flag_column: str = "quality_flag",
+) -> DataFrame:
+    """``role_rows`` that are fit to be evaluated: not empty, and for the final role its minima hold after the flag filter too."""
+    kept = role_rows(df, role, allowed_flags, role_column, flag_column)
+    if kept.isEmpty():
+        raise SplitError(f"role {role!r} has no row with an allowed flag")
+    if role == "final_test":
+        others = df.filter(F.col(role_column) != role)
+        require_design(final_design(kept.unionByName(others), split, design, role_column))
+    return kept
+
+
 def role_counts(df: DataFrame, allowed_flags: Sequence[str] = ("pass",), role_column: str = "split_role",
                 flag_column: str = "quality_flag") -> DataFrame:
     """Per role: kept rows and rows excluded by their flag."""

@@ -47,10 +47,17 @@ register(
 )
 register(
     "join_unassigned_rows",
-    lambda s, d: joins.unassigned_rows(joins.attach_manifest(_data(s, d, 7), _manifest(s, d)), ["split_role", "outer_fold"]),
+    lambda s, d: joins.unassigned_rows(joins.reindex(_manifest(s, d), _data(s, d, 7)),
+                                       ["split_role", "outer_fold"]),
     f"with {MANIFEST}, {data_sql(7)} select count(*) filter (where m.split_role is null) as split_role, count(*) filter "
     "(where m.outer_fold is null) as outer_fold from data d left join manifest m on d.sample_id = m.sample_id",
 )
+register(
+    "join_attachment_faults",
+    lambda s, d: joins.attachment_faults(_data(s, d, 7), _manifest(s, d).unionByName(_manifest(s, d))),
+    f"with {MANIFEST}, {data_sql(7)} select 0 as repeated_data_ids, (select count(*) from manifest) as repeated_manifest_ids, "
+    "count(*) filter (where m.sample_id is null) as unassigned_ids from data d left join manifest m on d.sample_id = m.sample_id",
+)
 register(
     "join_id_mismatches",
     lambda s, d: joins.id_mismatches(_manifest(s, d), _data(s, d, 7), compare=["spatial_block_id", "date"]),

@@ -103,7 +103,7 @@ register(
     "count(*) filter (where truth >= threshold_c) as positive_support, count(*) filter (where truth >= threshold_c and "
     "prediction >= threshold_c) as hit from pairs, th group by 1, 2) select model, n, threshold_c, "
     f"{s6('hit / nullif(positive_support, 0)', 'recall')}, positive_support > 0 as available, positive_support, "
-    "case when positive_support = 0 then 'unavailable: no positive observed cases in this subset' end as reason from g",
+    "case when positive_support = 0 then 'no observed case reaches the threshold' end as reason from g",
 )
 register(
     "metric_high_value_mae",
@@ -182,13 +182,14 @@ register(
 def _line_subgroups(spark, sf_dir):
     long = _lines_long(spark, sf_dir).withColumnRenamed("l_returnflag", "f").withColumnRenamed("l_linestatus", "g")
     report = metrics.subgroup_report(long, {"return_flag": "f", "line_status": "g"}, with_spearman=False)
-    return rounded(report.filter("subgroup_type <> 'observed_heat_category'"), ["model", "subgroup_type", "subgroup", "n"], MEASURES)
+    return rounded(report, ["model", "subgroup_type", "subgroup", "n"], MEASURES)
 
 
 register(
     "metric_line_subgroups", _line_subgroups,
     f"{LINES_LONG} select model, 'return_flag' as subgroup_type, l_returnflag as subgroup, count(*) as n, {ERRORS} from long group by 1, 2, 3 "
-    f"union all select model, 'line_status', l_linestatus, count(*), {ERRORS} from long group by 1, 2, 3",
+    f"union all select model, 'line_status', l_linestatus, count(*), {ERRORS} from long group by 1, 2, 3 "
+    f"union all select model, 'observed_heat_category', {category_sql('truth')}, count(*), {ERRORS} from long group by 1, 2, 3",
 )
 
 register(

@@ -1,7 +1,8 @@
 """Queries for encoding, models, scoring and diagnostics.
 
-Tree counts and fold counts are small settings; every query reads its whole table. Model fits
-have no SQL twin; encoding, dependence and importance do.
+Every query reads its whole table, with five outer and four inner folds and the library's own depth and patience. Only the
+number of trees is lowered (a boosted fit of 800 trees takes some 6 minutes on one core per 10,000 rows, and a nested search
+makes 29 of them, here with 2 trees); the forest keeps 20 of 500 trees, 5 in the nested comparison. Model fits have no SQL twin; encoding, dependence and importance do.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from ...functions.predictors import PredictorPolicy
 from ...functions.satellite import Eligibility, eligible
 from ...operators import diagnostics, models
 from ...operators.encode import fit_encoder
-from ...operators.folds import SplitDesign, dual_blocked_parts, frozen_folds, nested_folds, split_with_embargo, validation_fold, with_parts
+from ...operators.folds import SplitDesign, dual_blocked_parts, in_part, validation_fold, with_frozen_folds, with_parts
 from ...operators.intervals import calibrate
 from ...operators.isolation import fit_isolation_forest
 from ...operators.linear import candidate_scores, fit_elastic_net
 from ...operators.metrics import full_report, grouped_mae, long_predictions
-from ...operators.order_stats import hash_sample
+from ...operators.roles import assign_roles
 from ...session import materialise
 from ..scoring import ScoringPlan, score, score_eligible, with_components, with_simple_baselines
 from ..training import baseline_out_of_fold, component_out_of_fold, satellite_pair_out_of_fold
@@ -32,14 +33,15 @@ CORE = ("background_air_temperature_c", "background_relative_humidity_pct", "bac
 ADDED = ("satellite_lst_c", "satellite_image_age_hours", "satellite_thermal_source")
 POLICY = PredictorPolicy(core=CORE, additions=ADDED)
 BLOCK = ["spatial_block_id", "date"]
-SMALL = models.BoostedParams(trees=3, depth=3, step_size=0.3, subsample=1.0, feature_fraction=1.0)
-TWO_FOLDS = SplitDesign(n_folds=2, seed=42)
+SMALL = models.BoostedParams(trees=3, step_size=0.3)
+NESTED = models.BoostedParams(trees=2, step_size=0.3)
+FOLDS, INNER = SplitDesign(n_folds=5, seed=42), 4
 
 
 def _development(spark, sf_dir):
     """Blocked rows with complete component sources and their stored outer folds."""
     df = materialise(with_blocks(obs(spark, sf_dir)).filter("measured_pedestrian_wind_speed_m_s >= 0"), "rows")
-    rows = with_parts(df, dual_blocked_parts(df, TWO_FOLDS), TWO_FOLDS)
+    rows = with_parts(df, dual_blocked_parts(df, FOLDS), FOLDS)
     return materialise(rows.withColumn("outer_fold", F.coalesce(validation_fold(), F.lit(-1))).drop("folds"), "development")
 
 
@@ -90,14 +92,15 @@ register("model_heat_weighted", _weighted)
 
 
 def _loss_curve(spark, sf_dir):
-    """Validation loss after each tree of one fold, with the chosen count."""
-    df = _development(spark, sf_dir)
-    member = frozen_folds(df, TWO_FOLDS).filter("fold = 0")
-    train = materialise(df.join(member.filter("part = 'train'").select("sample_id"), "sample_id"), "train")
-    held = materialise(df.join(member.filter("part = 'validation'").select("sample_id"), "sample_id"), "held")
-    losses = models.loss_curve(models.fit_boosted(train, TARGET, POLICY, CORE, SMALL, 7), held, TARGET)
-    best = models.best_tree_count(losses, patience=2)
-    return spark.createDataFrame([(i + 1, v, i + 1 == best) for i, v in enumerate(losses)], "trees int, loss double, chosen boolean")
+    """Validation loss after each tree of every fold, with the chosen count."""
+    rows = materialise(with_frozen_folds(_development(spark, sf_dir), FOLDS), "folds")
+    found = []
+    for fold in range(FOLDS.n_folds):
+        train, held = rows.filter(in_part(fold, "train")), rows.filter(in_part(fold, "validation"))
+        losses = models.loss_curve(models.fit_boosted(train, TARGET, POLICY, CORE, SMALL, 7), held, TARGET)
+        best = models.best_tree_count(losses)
+        found += [(fold, i + 1, v, i + 1 == best) for i, v in enumerate(losses)]
+    return spark.createDataFrame(found, "fold int, trees int, loss double, chosen boolean")
 
 
 register("model_loss_curve", _loss_curve)
@@ -105,9 +108,10 @@ register("model_loss_curve", _loss_curve)
 
 def _board(spark, sf_dir):
     df = _development(spark, sf_dir)
-    folds = materialise(split_with_embargo(df, TWO_FOLDS.inner(2)), "inner")
-    trials = models.candidates(2, 42, {"trees": ("int", 3, 6, 1), "depth": ("int", 2, 3, 1), "step_size": ("log", 0.1, 0.5)})
-    best = models.search(df, folds, TARGET, POLICY, CORE, trials, 42, BLOCK, 2)
+    inner = FOLDS.inner(INNER)
+    rows = materialise(with_parts(df, dual_blocked_parts(df, inner), inner), "inner")
+    trials = models.candidates(2, 42, {"trees": ("int", 3, 6, 1), "depth": ("int", 3, 8, 1), "step_size": ("log", 0.1, 0.5)})
+    best = models.search(rows, TARGET, POLICY, CORE, trials, 42, BLOCK, INNER)
     return spark.createDataFrame(best.scores).withColumn("selected_trees", F.lit(best.tree_count))
 
 
@@ -116,8 +120,8 @@ register("model_candidate_board", _board)
 
 def _nested(spark, sf_dir):
     df = _development(spark, sf_dir)
-    table, _, _ = models.nested_out_of_fold(df, TWO_FOLDS, TARGET, POLICY, CORE, [SMALL], BLOCK, 2, 42, select_final=False)
-    return table
+    table, final, _ = models.nested_out_of_fold(df, FOLDS, TARGET, POLICY, CORE, [NESTED], BLOCK, INNER, 42)
+    return table.withColumn("final_trees", F.lit(final.tree_count))
 
 
 register("model_nested_out_of_fold", _nested)
@@ -132,12 +136,12 @@ register("model_elastic_net", _elastic_net)
 
 
 def _linear_grid(spark, sf_dir):
-    df = _development(spark, sf_dir)
-    member = frozen_folds(df, TWO_FOLDS).filter("fold = 0")
-    train = materialise(df.join(member.filter("part = 'train'").select("sample_id"), "sample_id"), "train")
-    held = materialise(df.join(member.filter("part = 'validation'").select("sample_id"), "sample_id"), "held")
-    rows = candidate_scores(train, held, TARGET, POLICY, CORE, BLOCK)
-    return spark.createDataFrame([(a, r, float(s)) for a, r, s in rows], "alpha double, l1_ratio double, grouped_mae double")
+    rows = materialise(with_frozen_folds(_development(spark, sf_dir), FOLDS), "folds")
+    found = []
+    for fold in range(FOLDS.n_folds):
+        scores = candidate_scores(rows.filter(in_part(fold, "train")), rows.filter(in_part(fold, "validation")), TARGET, POLICY, CORE, BLOCK)
+        found += [(fold, a, r, float(v)) for a, r, v in scores]
+    return spark.createDataFrame(found, "fold int, alpha double, l1_ratio double, grouped_mae double")
 
 
 register("model_elastic_net_grid", _linear_grid)
@@ -145,7 +149,7 @@ register("model_elastic_net_grid", _linear_grid)
 
 def _forest(spark, sf_dir):
     df = obs(spark, sf_dir)
-    fitted = models.fit_forest(df, TARGET, POLICY, CORE, trees=5, depth=4)
+    fitted = models.fit_forest(df, TARGET, POLICY, CORE, trees=20)
     return fitted.predict(df, "forest").select("sample_id", r6("forest").alias("forest"))
 
 
@@ -153,34 +157,39 @@ register("model_random_forest", _forest)
 
 
 def _components(spark, sf_dir):
-    df = with_blocks(obs(spark, sf_dir)).filter("measured_pedestrian_wind_speed_m_s >= 0")
-    scored = with_components(models.fit_components(df, POLICY, CORE, SMALL, 7).predict(df))
+    df = with_blocks(obs(spark, sf_dir))
+    complete = df.filter("measured_pedestrian_wind_speed_m_s >= 0")  # labels are needed to fit, not to score
+    scored = with_components(models.fit_components(complete, POLICY, CORE, SMALL, 7).predict(df))
     return scored.select("sample_id", "component_utci_c", "wind_profile_flags", "all_physical_values_valid", "utci_applicable")
 
 
 register("model_components", _components)
 register("model_component_out_of_fold",
-         lambda s, d: component_out_of_fold(_development(s, d), TWO_FOLDS, POLICY, CORE, SMALL, 2, 42).drop("wind_speed_10m_sensitivity"))
+         lambda s, d: component_out_of_fold(_development(s, d), FOLDS, POLICY, CORE, NESTED, INNER, 42).drop("wind_speed_10m_sensitivity"))
 
 
 def _baselines(spark, sf_dir):
-    table, final = baseline_out_of_fold(_development(spark, sf_dir), TWO_FOLDS, TARGET, POLICY, CORE, BLOCK, 2, forest_trees=5,
-                                        forest_depth=4, rules=Eligibility())
+    table, final = baseline_out_of_fold(_development(spark, sf_dir), FOLDS, TARGET, POLICY, CORE, BLOCK, INNER, forest_trees=5,
+                                        rules=Eligibility())
     return table.withColumns({k: F.lit(v) for k, v in final.items()})
 
 
 register("model_baseline_out_of_fold", _baselines)
 register("model_satellite_pair",
-         lambda s, d: satellite_pair_out_of_fold(_development(s, d), TWO_FOLDS, TARGET, POLICY, CORE, ADDED, [SMALL], BLOCK, 2, 42, select_final=False))
+         lambda s, d: satellite_pair_out_of_fold(_development(s, d), FOLDS, TARGET, POLICY, CORE, ADDED, [NESTED], BLOCK, INNER, 42))
 
 
 def _score(spark, sf_dir):
-    df = materialise(with_blocks(obs(spark, sf_dir)).filter("measured_pedestrian_wind_speed_m_s >= 0"), "rows")
-    direct = models.fit_boosted(df, TARGET, POLICY, CORE, SMALL, 7)
-    components = models.fit_components(df, POLICY, CORE, SMALL, 7)
-    radius = calibrate(direct.predict(df, "p"), TARGET, "p", "calibration").first()["radius"]
-    bounds = diagnostics.range_bounds(diagnostics.training_ranges(df.filter("calculated_utci_c < 40"), [c for c in CORE if c != "land_cover_class"]))
-    forest = fit_isolation_forest(df, fit_encoder(df, POLICY, predictors=CORE), trees=20, sample=64)
+    """Every row scored; fits on development rows, the radius from rows of the calibration role."""
+    df = with_blocks(obs(spark, sf_dir))
+    rows = materialise(assign_roles(df, FOLDS), "roles")
+    complete = rows.filter("measured_pedestrian_wind_speed_m_s >= 0")
+    fitting, held = complete.filter("split_role = 'development'"), complete.filter("split_role = 'calibration'")
+    direct = models.fit_boosted(fitting, TARGET, POLICY, CORE, SMALL, 7)
+    components = models.fit_components(fitting, POLICY, CORE, SMALL, 7)
+    radius = calibrate(direct.predict(held, "p"), TARGET, "p", "calibration").first()["radius"]
+    bounds = diagnostics.range_bounds(diagnostics.training_ranges(fitting, [c for c in CORE if c != "land_cover_class"]))
+    forest = fit_isolation_forest(fitting, fit_encoder(fitting, POLICY, predictors=CORE))
     return score(df, ScoringPlan(direct, components, radius, 3.0, bounds, forest))
 
 
@@ -199,7 +208,7 @@ register("model_eligible_scoring", _score_eligible)
 
 def _anomalies(spark, sf_dir):
     df = obs(spark, sf_dir)
-    forest = fit_isolation_forest(df, fit_encoder(df, POLICY, predictors=CORE), trees=30, sample=128)
+    forest = fit_isolation_forest(df, fit_encoder(df, POLICY, predictors=CORE))
     return forest.score(df).select("sample_id", r6("anomaly_score").alias("anomaly_score"), "is_anomaly")
 
 
@@ -209,10 +218,12 @@ register("model_isolation_forest", _anomalies)
 def _inner_report(spark, sf_dir):
     """Grouped error of the simple baselines on every inner validation part."""
     df = _development(spark, sf_dir)
-    outer = materialise(frozen_folds(df, TWO_FOLDS), "outer")
-    inner = nested_folds(df, outer, TWO_FOLDS, 2).filter("part = 'validation'")
-    scored = with_simple_baselines(df).drop("outer_fold").join(inner, "sample_id")
-    long = long_predictions(scored, TARGET, ["baseline_background_air_temperature", "baseline_heat_index"], ["outer_fold", "fold", *BLOCK])
+    rows, parts = models.outer_rows(df, FOLDS, INNER)
+    inner = FOLDS.inner(INNER)
+    trained = with_simple_baselines(rows).drop("outer_fold").withColumn(
+        "outer_fold", F.explode(F.filter("folds", lambda f: f["part"] == "train")["fold"])).drop("folds")
+    held = with_parts(trained, parts, inner, ["outer_fold"]).withColumn("fold", validation_fold()).filter("fold is not null")
+    long = long_predictions(held, TARGET, ["baseline_background_air_temperature", "baseline_heat_index"], ["outer_fold", "fold", *BLOCK])
     return grouped_mae(long, BLOCK, ["model", "outer_fold", "fold"])
 
 
@@ -233,7 +244,7 @@ def _recompute(df):
 def _dependence(feature):
     def run(spark, sf_dir):
         df = _recompute(obs(spark, sf_dir))
-        curve = diagnostics.partial_dependence(df, feature, _formula, _recompute, size=7)
+        curve = diagnostics.partial_dependence(df, feature, _formula, _recompute)
         return curve.select("feature", r6("value").alias("value"), r6("mean_prediction").alias("mean_prediction"))
 
     return run
@@ -257,8 +268,8 @@ for _feature in ("background_air_temperature_c", "canopy_fraction", "background_
     _args = ", ".join(f"{'value' if c == _feature else c} as {a}" for a, c in _ARGS.items())
     register(
         f"dependence_{_feature}", _dependence(_feature),
-        f"{OBS}, q as (select quantile_cont({_feature}, 0.02) as lo, quantile_cont({_feature}, 0.98) as hi from obs), g as (select lo + (hi - lo) * i / 6e0 as value "
-        f"from q, (select unnest(range(7)) as i)), x as (select value, {_args} from obs, g), y as ({formula_sql('x', 'value')}) "
+        f"{OBS}, q as (select quantile_cont({_feature}, 0.02) as lo, quantile_cont({_feature}, 0.98) as hi from obs), g as (select lo + (hi - lo) * i / 29e0 as value "
+        f"from q, (select unnest(range(30)) as i)), x as (select value, {_args} from obs, g), y as ({formula_sql('x', 'value')}) "
         f"select '{_feature}' as feature, {s6('value', 'value')}, {s6('avg(p)', 'mean_prediction')} from y group by value",
     )
 
@@ -266,8 +277,8 @@ SHUFFLED = ("background_air_temperature_c", "canopy_fraction")
 
 
 def _importance(spark, sf_dir):
-    """Importance on a seeded sample of rows, which is the operator's input by design."""
-    df = materialise(_recompute(hash_sample(obs(spark, sf_dir), 2000, 11)), "sample")
+    """Importance over all rows."""
+    df = materialise(_recompute(obs(spark, sf_dir)), "rows")
     table = diagnostics.permutation_importance(df, SHUFFLED, TARGET, _formula, 5, recompute=_recompute)
     return table.select("feature", *[r6(c).alias(c) for c in ("base_mae", "shuffled_mae", "importance")])
 
@@ -279,7 +290,7 @@ _SHUFFLE_SQL = " union all ".join(
 )
 register(
     "importance_permutation", _importance,
-    f"{OBS}, sm as (select *, calculated_utci_c as y from obs order by sha256(concat('11|sample|', sample_id)) limit 2000), n as (select *, row_number() over "
+    f"{OBS}, sm as (select *, calculated_utci_c as y from obs), n as (select *, row_number() over "
     "(order by sample_id) as i, row_number() over (order by sha256(concat('5|permutation|', sample_id))) as j from sm), "
     f"base as ({formula_sql('(select y, ' + ', '.join(f'{c} as {a}' for a, c in _ARGS.items()) + ' from n)', 'y')}), r as ({_SHUFFLE_SQL}) "
     f"select feature, {s6('base_mae', 'base_mae')}, {s6('shuffled_mae', 'shuffled_mae')}, {s6('shuffled_mae - base_mae', 'importance')} from r",

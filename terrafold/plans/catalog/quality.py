@@ -116,8 +116,10 @@ for _code, _rules in BAD_ROWS.items():
 
 register(
     "quality_empty_table",
-    lambda s, d: faulty(s, d).agg((F.count(F.lit(1)) == 0).alias("is_empty")),
-    f"{FAULTY} select count(*) = 0 as is_empty from obs",
+    lambda s, d: quality.empty_table(faulty(s, d).where("latitude > 90")).unionByName(quality.empty_table(faulty(s, d).where("latitude > 1e9")))
+    .select("code", "row_count"),
+    f"{FAULTY} select 'empty_table' as code, n as row_count from (select count(*) as n from obs where latitude > 90 union all "
+    "select count(*) from obs where latitude > 1e9) where n = 0",
 )
 
 MISSING = list(POLICY.core)
@@ -169,17 +171,22 @@ _EVERY = (
 
 
 def _row_issues(spark, sf_dir):
-    issues = quality.validate(faulty(spark, sf_dir), RULES)
-    return issues.filter(F.col("row_count").isNotNull()).select("severity", "code", "column_name", "row_count")
+    return quality.validate(faulty(spark, sf_dir), RULES).select("severity", "code", "column_name", "row_count")
 
 
-register("quality_all_row_rules", _row_issues, f"{_EVERY} select * from found where row_count > 0")
+# Findings about the columns of the view itself.
+_STATIC = ("select 'error' as severity, 'missing_required_column' as code, 'label_uncertainty_c' as column_name, cast(null as bigint) as row_count union all "
+           "select 'error', 'missing_required_column', 'measured_globe_temperature_c', null union all "
+           "select 'warning', 'spatial_block_not_yet_assigned', 'spatial_block_id', null")
+_EVERY += f", every as (select * from found where row_count > 0 union all {_STATIC})"
+
+register("quality_all_row_rules", _row_issues, f"{_EVERY} select * from every")
 register(
     "quality_summary",
     lambda s, d: quality.summary(_row_issues(s, d)),
     f"{_EVERY} select count(*) filter (where severity = 'error') as error_count, "
     "count(*) filter (where severity = 'warning') as warning_count, "
-    "count(*) filter (where severity = 'error') = 0 as is_valid from found where row_count > 0",
+    "count(*) filter (where severity = 'error') = 0 as is_valid from every",
 )
 
 

@@ -61,9 +61,9 @@ register(
 register(
     "rank_hash_order",
     lambda s, d: order_stats.hash_ranks(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("g")), "g", 42, "final_spatial")
-    .filter("hash_rank < 225"),
+    .join(F.broadcast(table(s, d, "customer").agg(F.ceil(F.lit(0.15) * F.count(F.lit(1))).alias("share")))).filter("hash_rank < share").drop("share"),
     "select g, cast(hash_rank as bigint) as hash_rank from (select cast(c_custkey as varchar) as g, row_number() over (order by "
-    "sha256(concat('42|final_spatial|', cast(c_custkey as varchar)))) - 1 as hash_rank from customer) where hash_rank < 225",
+    "sha256(concat('42|final_spatial|', cast(c_custkey as varchar)))) - 1 as hash_rank from customer) where hash_rank < (select ceil(15e-2 * count(*)) from customer)",
 )
 register(
     "rank_linear_quantiles",
@@ -108,7 +108,7 @@ register(
 
 # ------------------------------------------------------------------------------ bootstrap
 
-REPLICATES, SEED = 40, 2026
+REPLICATES, SEED = 2000, 2026
 
 
 def _bootstrap(location, weighting, metric):

@@ -177,8 +177,8 @@ register(
 def _nested(spark, sf_dir):
     df = _blocked(spark, sf_dir)
     design = folds.SplitDesign(n_folds=2, seed=SEED)
-    outer = materialise(folds.split_with_embargo(df, design), "outer")
-    return folds.nested_folds(df, outer, design, 2)
+    rows = folds.with_parts(df, folds.dual_blocked_parts(df, design), design)
+    return folds.nested_folds(rows, design, 2)
 
 
 _INNER = ", ".join(

@@ -6,19 +6,20 @@ import statistics
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.predictors import PredictorPolicy
 from ..functions.satellite import Eligibility, eligible
-from ..operators.folds import SplitDesign, frozen_folds, nested_folds
+from ..operators.folds import SplitDesign
 from ..operators.models import (
     BoostedParams,
     component_tree_counts,
     fit_components,
     fit_elastic_net,
     fit_forest,
+    inner_rows,
     nested_out_of_fold,
-    outer_members,
+    outer_part,
+    outer_rows,
     select_elastic_net,
 )
 from ..session import materialise
@@ -34,26 +35,23 @@ def _union(tables: Sequence[DataFrame]) -> DataFrame:
 
 def baseline_out_of_fold(
     df: DataFrame, split: SplitDesign, label: str, policy: PredictorPolicy, predictors: Sequence[str],
-    block: Sequence[str], inner_folds: int = 4, forest_trees: int = 500, forest_depth: int = 20, seed: int = 0,
+    block: Sequence[str], inner_folds: int = 4, forest_trees: int = 500, forest_depth: int = 30, seed: int = 0,
     rules: Eligibility | None = None,
 ) -> tuple[DataFrame, dict[str, float]]:
     """Simple, linear and forest baselines on every validation row, and the final linear setting.
 
     The final setting is the median of the fold choices.
     """
-    outer = materialise(frozen_folds(df, split), "outer")
-    inner = materialise(nested_folds(df, outer, split, inner_folds), "inner")
+    rows, parts = outer_rows(df, split, inner_folds)
     columns = [split.id_column, "baseline_background_air_temperature", "baseline_heat_index",
                "baseline_regularized_linear", "baseline_random_forest"]
     if rules is not None:
         columns.append("baseline_satellite_lst_alone")
     tables, choices = [], []
     for f in range(split.n_folds):
-        train = outer_members(df, outer, f, "train", split.id_column)
-        held = with_simple_baselines(outer_members(df, outer, f, "validation", split.id_column), rules)
-        alpha, ratio, _ = select_elastic_net(
-            train, inner.filter(F.col("outer_fold") == f), label, policy, predictors, block, inner_folds, split.id_column
-        )
+        train = inner_rows(rows, parts, split, f)
+        held = with_simple_baselines(outer_part(rows, f, "validation"), rules)
+        alpha, ratio, _ = select_elastic_net(train, label, policy, predictors, block, inner_folds)
         choices.append((alpha, ratio))
         linear = fit_elastic_net(train, label, policy, predictors, alpha, ratio)
         forest = fit_forest(train, label, policy, predictors, seed + f, forest_trees, depth=forest_depth)
@@ -68,15 +66,11 @@ def component_out_of_fold(
     base: BoostedParams = BoostedParams(trees=1500), inner_folds: int = 4, seed: int = 0,
 ) -> DataFrame:
     """Component predictions, reconstructions and index on every validation row."""
-    outer = materialise(frozen_folds(df, split), "outer")
-    inner = materialise(nested_folds(df, outer, split, inner_folds), "inner")
+    rows, parts = outer_rows(df, split, inner_folds)
     tables = []
     for f in range(split.n_folds):
-        train = outer_members(df, outer, f, "train", split.id_column)
-        held = outer_members(df, outer, f, "validation", split.id_column)
-        params = component_tree_counts(
-            train, inner.filter(F.col("outer_fold") == f), policy, predictors, base, inner_folds, seed, split.id_column
-        )
+        train, held = inner_rows(rows, parts, split, f), outer_part(rows, f, "validation")
+        params = component_tree_counts(train, policy, predictors, base, inner_folds, seed)
         models = fit_components(train, policy, predictors, params, seed + f)
         scored = with_components(models.predict(held))
         tables.append(scored.select(split.id_column, *[c for c in scored.columns if c not in df.columns]))

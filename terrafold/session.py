@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup is hinted for broadcast only when its counted rows stay under this bound.
-BROADCAST_ROWS = 500_000
+# A lookup is hinted for broadcast only while its rows times their width stay under this bound.
+BROADCAST_BYTES = 32 << 20
 
-_FALLBACK_FOLDERS: dict[str, str] = {}
+_owned: ContextVar[list[str] | None] = ContextVar("owned_intermediates", default=None)
+
+
+class SharedFolderError(RuntimeError):
+    """A cluster without a folder that all its machines share."""
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``).
+    """The shared folder of the cluster: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    A machine-local folder is used only when the setting is absent, as in tests.
+    A local session without either uses its warehouse folder; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK_FOLDERS:
-        _FALLBACK_FOLDERS[app] = tempfile.mkdtemp(prefix="terrafold-")
-    return _FALLBACK_FOLDERS[app]
+    if not configured:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        configured = found.get() if found.isDefined() else None
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SharedFolderError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = spark.conf.get("spark.sql.warehouse.dir")
+    return configured.rstrip("/")
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Own the tables that ``materialise`` writes inside the block, and delete them at its end.
+
+    Read or write the final result before the block ends: a lazy result still reads them.
+    """
+    token = _owned.set([])
+    try:
+        yield
+    finally:
+        paths = _owned.get() or []
+        _owned.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
@@ -38,6 +62,9 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     planner a true estimate for the join strategy.
     """
     path = f"{work_folder(df.sparkSession)}/terrafold-{name}-{uuid.uuid4().hex}"
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,15 +72,20 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` to a materialised ``lookup`` with unique keys.
 
-    The lookup is counted first (Parquet footers only). Up to ``BROADCAST_ROWS`` rows it is
-    broadcast, so the big side is not shuffled; beyond that the join is a shuffled join
-    whose hot keys adaptive execution splits.
+    The lookup's rows and the length of their JSON text are added up first, one small scan. Up to ``BROADCAST_BYTES``
+    it is broadcast, so the big side is not shuffled; beyond that the join is a shuffled join whose hot keys
+    adaptive execution splits.
     """
-    if lookup.count() <= BROADCAST_ROWS:
+    if _text_bytes(lookup) <= BROADCAST_BYTES:
         lookup = F.broadcast(lookup)
     return rows.join(lookup, keys, how)
 
 
+def _text_bytes(df: DataFrame) -> int:
+    """Bytes of all rows as JSON, which names every field and so is no less than a row takes in memory."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("j")).agg(F.sum(F.octet_length("j"))).first()[0] or 0
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings the wide expressions of this library profit from.
 

@@ -9,6 +9,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 from datetime import date, datetime
@@ -68,10 +69,12 @@ def difference(df, con, sql):
 def session(cores="8"):
     from pyspark.sql import SparkSession
 
+    shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")  # one machine: a folder of its own is a shared one
     spark = (
         SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", shared).config("spark.sql.warehouse.dir", f"{shared}/warehouse").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -107,7 +107,7 @@ def test_large_lookup_joins_without_broadcast(spark, obs, monkeypatch):
     import terrafold.session as session_module
 
     want = digests.table_digest(folds.split_with_embargo(obs, SPLIT)).first()
-    monkeypatch.setattr(session_module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session_module, "BROADCAST_BYTES", -1)
     assert digests.table_digest(folds.split_with_embargo(obs, SPLIT)).first() == want
 
 
@@ -292,12 +292,107 @@ def test_encoder(spark, target):
         fit_encoder(train.withColumn("canopy_fraction", F.lit("leafy")), POLICY)
 
 
-def test_encoder_medians_do_not_depend_on_the_path(spark, target, monkeypatch):
-    import terrafold.operators.encode as encode
+def test_encoder_medians(spark, target):
+    encoder = fit_encoder(target, POLICY)
+    exact = target.agg(*[F.median(c).alias(c) for c in encoder.numeric]).first().asDict()
+    assert encoder.medians == pytest.approx(exact)
 
-    direct = fit_encoder(target, POLICY).medians
-    monkeypatch.setattr(encode, "DIRECT_ROWS", 0)
-    assert fit_encoder(target, POLICY).medians == pytest.approx(direct)
+
+def test_encoder_refuses_bad_values_when_applied(spark, target):
+    encoder = fit_encoder(target, POLICY)
+    for value in (F.lit("abc"), F.lit(float("inf"))):
+        bad = target.withColumn("canopy_fraction", value)
+        assert encoder.refusals(bad).first()["canopy_fraction"] == bad.count()
+        with pytest.raises(EncodingError):
+            encoder.require_numbers(bad)
+        with pytest.raises(Exception, match="not a finite number"):
+            encoder.transform(bad).collect()
+    assert encoder.require_numbers(target.withColumn("canopy_fraction", F.lit(None).cast("double"))).count() == target.count()
+
+
+def test_first_trees_are_a_prefix_of_the_model(spark, target):
+    full = models.fit_boosted(target, "y", POLICY, POLICY.core, models.BoostedParams(trees=3, depth=2, step_size=0.5), 1)
+    curve = models.loss_curve(full, target, "y")
+    for count in (1, 2, 3):
+        error = models.first_trees(full, count).predict(target, "p").agg(F.avg(F.abs(F.col("p") - F.col("y")))).first()[0]
+        assert error == pytest.approx(curve[count - 1])
+
+
+def test_search_scores_at_the_best_tree_count(spark, target, monkeypatch):
+    """A candidate whose later trees spoil it is ranked by its best count, not by all of its trees."""
+    rows = folds.with_parts(target, folds.dual_blocked_parts(target, SPLIT), SPLIT).cache()
+    trials = [models.BoostedParams(trees=2, depth=2, step_size=0.1), models.BoostedParams(trees=3, depth=2, step_size=0.9)]
+    curves = iter([[0.5, 0.4], [0.1, 0.9, 0.9]] * SPLIT.n_folds)
+    asked = []
+    monkeypatch.setattr(models, "concurrently", lambda spark, tasks: [t() for t in tasks])
+    monkeypatch.setattr(models, "loss_curve", lambda *_: next(curves))
+    kept = models.first_trees
+    monkeypatch.setattr(models, "first_trees", lambda fitted, count: asked.append(count) or kept(fitted, count))
+    best = models.search(rows, "y", POLICY, POLICY.core, trials, 1, ["spatial_block_id", "date"], SPLIT.n_folds)
+    assert asked == [2, 1] * SPLIT.n_folds
+    at_best = {t: np.mean([s["grouped_mae"] for s in best.scores if s["trial"] == t]) for t in (0, 1)}
+    assert best.objective == pytest.approx(min(at_best.values()))
+
+
+def test_model_paths_do_not_shuffle_on_the_id(spark, target):
+    rows = folds.with_parts(target, folds.dual_blocked_parts(target, SPLIT), SPLIT)
+    nested = folds.nested_folds(rows, SPLIT, 2)
+    for df in (nested, rows.filter(folds.in_part(0, "train"))):
+        assert "hashpartitioning(sample_id" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attaching_refuses_repeated_and_unknown_ids(spark):
+    data = spark.createDataFrame([("a", 1), ("b", 2)], "sample_id string, v int")
+    plan = spark.createDataFrame([("a", "development"), ("b", "final_test")], "sample_id string, split_role string")
+    assert joins.attach_manifest(data, plan).count() == 2
+    for bad_data, bad_plan in ((data, plan.union(plan)), (data.union(data), plan), (data, plan.limit(1))):
+        with pytest.raises(joins.AlignmentError):
+            joins.attach_manifest(bad_data, bad_plan)
+
+
+def test_infinite_labels_are_equal(spark):
+    both = spark.createDataFrame([("a", float("inf")), ("b", float("nan")), ("c", 1.0), ("d", float("-inf"))], "sample_id string, y double")
+    assert joins.label_differences(both, both, "y").first()["differing"] == 0
+    assert joins.join_predictions(both.withColumn("p", F.lit(0.0)), both, label="y").count() == 4
+    moved = both.withColumn("y", F.when(F.col("sample_id") == "a", float("-inf")).otherwise(F.col("y")))
+    assert joins.label_differences(both, moved, "y").first()["differing"] == 1
+
+
+def test_unequal_pairs_and_unfit_roles_are_refused(spark, obs):
+    from terrafold.functions import satellite
+
+    with pytest.raises(joins.AlignmentError):
+        satellite.eligible_pair(obs.filter("sample_id <> '5'"), obs)
+    rows = roles.assign_roles(obs, SPLIT)
+    assert roles.evaluation_rows(rows, "development", SPLIT).count() > 0
+    with pytest.raises(folds.SplitError):
+        roles.evaluation_rows(rows, "development", SPLIT, allowed_flags=("none",))
+    with pytest.raises(folds.SplitError):
+        roles.evaluation_rows(rows, "final_test", SPLIT, roles.RoleDesign(minimum_sites=10 ** 6))
+    with pytest.raises(folds.SplitError):
+        roles.assign_roles(obs.withColumn("date", F.when(F.col("sample_id") != "1", F.col("date"))).withColumn("weather_event_id", F.lit("w1")), SPLIT)
+
+
+def test_intermediates_are_deleted_by_their_owner(spark):
+    import os
+
+    from terrafold.session import intermediates, materialise
+
+    with intermediates(spark):
+        table = materialise(spark.range(5), "owned")
+        path = table.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert table.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
+def test_instants_do_not_change_digests_with_the_zone(spark):
+    df = spark.sql("select timestamp_micros(id * 1000001) as t from range(5)")
+    first = digests.table_digest(df).first()["digest"]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert digests.table_digest(df).first()["digest"] == first
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_elastic_net_optimality(spark, target):

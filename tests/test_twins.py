@@ -4,10 +4,12 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
+from terrafold.plans import catalog
 
-TWINS = entry.oracle_sql()
-SLOW = {"model_component_out_of_fold", "model_satellite_pair", "model_nested_out_of_fold", "model_baseline_out_of_fold",
-        "model_candidate_board"}
+# Training-data operators are tested in their own folder.
+QUERIES = catalog.queries()
+TWINS = catalog.oracle_sql()
+OTHERS = set(QUERIES) - set(TWINS)
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +19,12 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(TWINS))
 def test_twin(spark, sf_dir, con, name):
-    assert difference(entry.queries()[name](spark, sf_dir), con, TWINS[name]) is None
+    assert difference(QUERIES[name](spark, sf_dir), con, TWINS[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(TWINS) - SLOW))
+@pytest.mark.parametrize("name", sorted(OTHERS))
 def test_rows(spark, sf_dir, name):
-    assert entry.queries()[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
