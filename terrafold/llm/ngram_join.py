@@ -10,7 +10,7 @@ A document is the set of its distinct word k-grams. Two documents link when thei
 3. Shards: classes that meet in lists are gathered by the smallest class they meet (their home); a home of many shingles is
    salted into chunks, and a chunk never outgrows a task.
 4. Search: the sets of a group are indexed one after another. A set asks for the earlier ones that share T of its shingles: the L
-   longest lists are put aside, the short ones are merged by a heap, and what the merge counts at least T - L times is looked up in
+   longest lists are put aside, the short ones are merged (by a heap, or many postings by runs), and what the merge counts at least T - L times is looked up in
    the long lists by binary search. Sets that are already connected with the asking set are left out of the lists, so a
    group of thousands of near copies costs about one check a set.
 5. Two rounds. The first searches every chunk by itself, together with one pivot of its home, which connects the chunks of a group of
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from array import array
 from itertools import groupby
 
 import numpy as np
@@ -203,28 +203,41 @@ def second_groups(met: DataFrame, homes: DataFrame, components_of: DataFrame, ch
             .select(F.xxhash64(F.least("shard", "o.shard"), F.greatest("shard", "o.shard")).alias("group"), "digest", "known").distinct())
 
 
-def divide_skip(lists: list[list[int]], need: int) -> dict[int, int]:
-    """Ids found in at least ``need`` of the sorted lists, with their counts."""
-    lists = sorted((x for x in lists if x), key=len)
+#: Postings up to which a heap merges the short lists; more are merged by counting in an array.
+HEAP_POSTINGS = 256
+
+
+def merged(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of sorted lists with their numbers of occurrences."""
+    if sum(map(len, lists)) <= HEAP_POSTINGS:
+        found = [(doc, sum(1 for _ in run)) for doc, run in groupby(heapq.merge(*lists))]
+        return np.array([d for d, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+    count = np.bincount(np.concatenate([np.asarray(x, np.int64) for x in lists]))
+    doc = np.flatnonzero(count)
+    return doc, count[doc]
+
+
+def divide_skip(lists: list, need: int, wanted=None) -> dict[int, int]:
+    """Ids found in at least ``need`` of the sorted lists, with their counts; ``wanted`` maps ids to whether they matter."""
+    lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < need:
         return {}
     longest = len(lists[-1])
     aside = min(need - 1, int(need / (0.01 * math.log2(longest + 1) + 1))) if need > 1 else 0
     aside = max(0, min(aside, len(lists) - 1))
-    short, long = lists[:len(lists) - aside], lists[len(lists) - aside:]
-    found = {}
-    for doc, run in groupby(heapq.merge(*short)):
-        count = sum(1 for _ in run)
-        if count < need - aside:
-            continue
-        for i, x in enumerate(long):
-            if count + len(long) - i < need:
-                break
-            at = bisect_left(x, doc)
-            count += at < len(x) and x[at] == doc
-        if count >= need:
-            found[doc] = count
-    return found
+    doc, count = merged(lists[:len(lists) - aside])
+    keep = count + aside >= need
+    if wanted is not None:
+        keep &= wanted(doc)
+    doc, count = doc[keep], count[keep]
+    for left, x in zip(range(aside - 1, -1, -1), lists[len(lists) - aside:]):
+        if not len(doc):
+            return {}
+        x = np.asarray(x, np.int64)
+        count = count + (x[np.minimum(np.searchsorted(x, doc), len(x) - 1)] == doc)
+        keep = count + left >= need
+        doc, count = doc[keep], count[keep]
+    return dict(zip(doc.tolist(), count.tolist()))
 
 
 class Shards:
@@ -233,16 +246,10 @@ class Shards:
     def __init__(self, threshold: float):
         self.threshold, self.percent = threshold, round(100 * threshold)
         self.sets: list[np.ndarray] = []
-        self.lists: dict[int, dict[int, list[int]]] = {}  # shingle -> root of a component -> ids
-        self.parent: list[int] = []
+        self.lists: dict[int, array] = {}
+        self.label = np.zeros(1024, np.int64)  # component of each set: its first member
         self.known: dict[int, int] = {}
 
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
     def linked(self, a: np.ndarray, b: int) -> bool:
         other = self.sets[b]
         n, m = len(a), len(other)
@@ -250,44 +257,46 @@ class Shards:
             return False
         return reaches(len(np.intersect1d(a, other, assume_unique=True)), n, m, self.percent)
 
+    def join(self, me: int, other: int) -> None:
+        x, y = sorted((int(self.label[me]), int(self.label[other])))
+        label = self.label[:me + 1]
+        label[label == y] = x
+
     def add(self, members: np.ndarray, known: int | None = None) -> list[int]:
         """Index a set; give the earlier sets by which it joins their components (one for each component).
 
         Sets of the same ``known`` component are connected from the start.
         """
         me = len(self.sets)
-        keys = members.tolist()
-        mine = {me}
+        if me == len(self.label):
+            self.label = np.concatenate((self.label, np.zeros(me, np.int64)))
+        self.label[me] = me
         if known is not None:
-            mine.add(self.root(self.known[known]) if known in self.known else me)
+            if known in self.known:
+                self.join(me, self.known[known])
             self.known.setdefault(known, me)
-        links: list[int] = []
+        keys = members.tolist()
         lists = [self.lists[x] for x in keys if x in self.lists]
-        for entry in lists:  # a component whose newest set grew into another keeps its place under the new root
-            for old in [r for r in entry if self.parent[r] != r]:
-                new, ids = self.root(old), entry.pop(old)
-                entry[new] = sorted(entry[new] + ids) if new in entry else ids
-        counts: dict[int, int] = {}
-        for entry in lists:
-            for r in entry:
-                counts[r] = counts.get(r, 0) + 1
         need = least_overlap(len(members), self.threshold)
-        for r in [r for r, c in counts.items() if c >= need and r not in mine]:
-            own = [e[r] for e in lists if r in e]
-            trial = {x for e in (min(own, key=len), own[0]) for x in (e[0], e[-1])}
-            hit = next((x for x in sorted(trial) if self.linked(members, x)), None)
-            if hit is None:
-                hit = next((x for x in sorted(divide_skip(own, need)) if x not in trial and self.linked(members, x)), None)
-            if hit is not None:
-                links.append(hit)
-                mine.add(r)
-        head = min(mine)
-        self.parent.append(me)
-        for r in mine:
-            self.parent[r] = head
+        links: list[int] = []
+        if len(lists) >= need:
+            if self.label[me] == me:  # most sets of a group of near copies link with one of the first or last
+                rare = min(lists, key=len)
+                for x in sorted({rare[0], rare[len(rare) // 2], rare[-1], lists[0][0], lists[0][-1]}):
+                    if self.label[x] != self.label[me] and self.linked(members, x):
+                        links.append(x)
+                        self.join(me, x)
+            found = divide_skip(lists, need, lambda doc: self.label[doc] != self.label[me])
+            for x, overlap in found.items():
+                if self.label[x] != self.label[me] and reaches(overlap, len(members), len(self.sets[x]), self.percent):
+                    links.append(x)
+                    self.join(me, x)
         self.sets.append(members)
         for x in keys:
-            self.lists.setdefault(x, {}).setdefault(head, []).append(me)
+            if x in self.lists:
+                self.lists[x].append(me)
+            else:
+                self.lists[x] = array("q", (me,))
         return links
 
 
