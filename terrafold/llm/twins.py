@@ -48,4 +48,60 @@ select conv_id, speaker, block, piece, count(*) as n_turns, string_agg(head || b
 from q group by conv_id, speaker, block, piece
 """
 
-SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op6_chat_formatting": CHAT}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NGRAM_JOIN = rf"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words),
+grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as o
+  from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs where 100 * o >= 80 * (n + m - o)),
+reach as (select doc_id as a, doc_id as b from sets union select reach.a, links.b from reach join links on reach.b = links.a)
+select sets.doc_id, len(any_value(s)) as n_shingles, min(reach.b) as component_id
+from sets join reach on reach.a = sets.doc_id group by sets.doc_id
+"""
+
+WARC = r"""
+with p as (select page_id, coalesce(html, '') as payload from pages),
+k as (select page_id, payload, sha1(payload) as hex, min(page_id) over (partition by payload) as head from p)
+select page_id, strlen(payload) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast((cast(concat('0x', substr(hex, cast(1 + 5 * (i // 4) as int), 5)) as int) >> cast(15 - 5 * (i % 4) as int)) & 31 as int) + 1, 1)), '')
+    as payload_digest,
+  case when page_id = head then 'response' else 'revisit' end as record_type, case when page_id <> head then head end as refers_to
+from k
+"""
+
+QUALITY = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as word from (
+  select doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as x from d)),
+g as (select doc_id, i, word, concat(word, ' ', lead(word, 1) over o, ' ', lead(word, 2) over o) as gram, lead(word, 2) over o as last
+  from w window o as (partition by doc_id order by i)),
+m as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, gram) as n from g where last is not null) where n > 1),
+r as (select doc_id, count(distinct i) as n from (select doc_id, unnest([i, i + 1, i + 2]) as i from m) group by doc_id),
+c as (select doc_id, count(*) as n_words, sum(length(word)) as word_chars from w group by doc_id),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
+n as (select doc_id, count(*) filter (where regexp_matches(line, '[^\x20\x09-\x0D]'))
+    - count(distinct line) filter (where regexp_matches(line, '[^\x20\x09-\x0D]')) as dup,
+    count(*) filter (where trim(line) <> '') as filled, count(*) filter (where rtrim(line) like '%...') as dots from l group by doc_id),
+b as (
+  select d.doc_id, text, cast(coalesce(n_words, 0) as bigint) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
+    filled, dots, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) as letters, length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) as capitals,
+    length(regexp_replace(text, '[^!?]+', '', 'g')) as marks
+  from d left join c using (doc_id) left join n using (doc_id) left join r using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or word_chars < 2 * n_words or word_chars > 14 * n_words or 10 * n_symbols > n_words or 10 * n_dup_lines > 5 * filled
+    or 10 * letters < 6 * word_chars or 10 * capitals > 6 * word_chars or 10 * marks > 3 * n_words or 10 * dots > 3 * filled) as kept
+from f
+"""
+
+SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op5_ngram_jaccard_join": NGRAM_JOIN, "op6_chat_formatting": CHAT, "op9_warc": WARC,
+                       "op10_quality_rules": QUALITY}
