@@ -33,7 +33,7 @@ from .shared import (SKETCH, arrow_batches, bitmap, id_bitmap, id_value, in_bitm
 THRESHOLD = 0.8
 MIN_WORDS = 5
 #: Pairs compared at once in a task.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 POSTING = np.dtype([("key", "<u4"), ("n", "<i4"), ("digest", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("line", "<i4"),
                     ("place", "<u2")])
@@ -310,7 +310,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", ids: str = "doc_id", thresh
     key_of = F.coalesce(F.col(ids).cast("long"), F.lit(int(np.iinfo(np.int64).max)))
     place, hit = fresh("place"), fresh("hit")
     told = docs.withColumn(place, key_of).withColumn(hit, perhaps(place, bits))
-    touched = told.where(F.col(hit)).join(gone, F.col(place) == F.col(doc), "left")
+    touched = told.where(F.col(hit)).join(gone.hint("merge"), F.col(place) == F.col(doc), "left")  # it grows with the corpus: no broadcast
     passed = told.where(~F.col(hit)).withColumns({doc: F.lit(None).cast("long"), lines: F.lit(None).cast("array<int>")})
     joined = touched.unionByName(passed)
     left = F.when(F.col(lines).isNull(), F.col(text)).otherwise(
