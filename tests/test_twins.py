@@ -9,7 +9,9 @@ from terrafold.plans import catalog
 # Training-data operators are tested in their own folder.
 QUERIES = catalog.queries()
 TWINS = catalog.oracle_sql()
-OTHERS = set(QUERIES) - set(TWINS)
+# Nested fits of several minutes each; the drivers' query run covers them.
+SLOW = {"model_component_out_of_fold", "model_satellite_pair", "model_baseline_out_of_fold"}
+OTHERS = set(QUERIES) - set(TWINS) - SLOW
 
 
 @pytest.fixture(scope="module")
