@@ -27,7 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that match an earlier line; a document of which nothing is left goes. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    out = line_dedup.dedup_lines(docs, min_words=line_dedup.EVERY_LINE).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

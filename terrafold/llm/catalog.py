@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=line_dedup.EVERY_LINE)
     return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",").alias("removed_lines"),
                       "text")
 

@@ -2,11 +2,12 @@
 
 A line (a text split at line feeds) is the set of its distinct words (PLAIN, A-Z lowered). Lines are ordered by document id,
 then position. A line goes if an earlier line of the corpus, removed or not, has a Jaccard similarity of at least the
-threshold; lines of fewer than ``min_words`` words ("Yes.") are too weak as evidence, and stay.
+threshold. Lines of fewer than ``min_words`` words stay; with ``EVERY_LINE`` only lines without a word do.
 
 1. One scan gives each line's set digest and place, and the counters of a token sketch (fixed size). Equal sets are one class.
 2. Tokens are ordered by rarity in the sketch, then by hash: any order that is the same everywhere keeps the join
-   exact. Each class sends its prefix of ``n - ceil(t*n) + 1`` tokens, as packed records. In a token's list, pairs pass the
+   exact. Each class sends its prefix of ``n - ceil(t*n) + 1`` tokens, as packed records; a set so small that only an equal
+   one is similar enough (at 0.8: fewer than four words) sends none. In a token's list, pairs pass the
    length filter, the positional filter, and a bound from 128-bit parity signatures (sets that differ in d tokens
    differ in at most d bits). A class keeps only its earliest candidate, so output is linear in the classes.
 3. Token sets of these pairs are fetched by one scan and Jaccard is verified. An earliest candidate that
@@ -32,6 +33,8 @@ from .shared import (SKETCH, arrow_batches, bitmap, id_bitmap, id_value, in_bitm
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
+#: ``min_words`` with which every line that has a word takes part.
+EVERY_LINE = 1
 #: Pairs compared at once in a task.
 PAIRS = 1 << 18
 
@@ -70,13 +73,18 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(read, "digest long, doc long, line int, part int, counts binary")
 
 
+def may_link(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sizes allow a match with another set: the closest one has one member more, so n of n + 1 are shared."""
+    return sizes >= threshold * (sizes + 1) - 1e-9
+
+
 def prefixes(members: np.ndarray, cut: np.ndarray, rarity: np.ndarray, threshold: float):
     """(index of the set, place, token) of the prefix tokens, rarest first."""
     sizes = np.diff(cut)
     unit = np.repeat(np.arange(len(sizes)), sizes)
     order = W.by_rarity(rarity[sketch_slot(members)], unit, len(sizes))
     place = np.arange(len(members)) - cut[unit]
-    length = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+    length = np.where(may_link(sizes, threshold), sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, 0)
     keep = place < length[unit]
     return unit[keep], place[keep], members[order][keep]
 
@@ -100,7 +108,8 @@ def posting_blocks(docs: DataFrame, min_words: int, threshold: float, rarity, ta
                 if not len(digest):
                     continue
                 fresh = np.zeros(len(digest), bool)
-                for i, (d, at) in enumerate(zip(digest.tolist(), zip(doc.tolist(), line.tolist()))):
+                able = np.flatnonzero(may_link(np.diff(cut), threshold))
+                for i, d, at in zip(able.tolist(), digest[able].tolist(), zip(doc[able].tolist(), line[able].tolist())):
                     if d not in seen or at < seen[d]:
                         seen[d] = at
                         fresh[i] = True

@@ -87,6 +87,39 @@ def test_line_dedup_odd_rows(spark, odd, odd_texts, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_line_dedup_lets_every_line_with_a_word_take_part(spark, seed):
+    draw = random.Random(seed)
+    texts = ["\n".join([*random_lines(draw), *(" ".join(draw.choices("abcdef", k=draw.randrange(0, 7))) for _ in range(8))]) for _ in range(25)]
+    texts += ["four of five words", "Four of FIVE words here", "one two three", "one two three four", "\n \n"]  # 4 / 5 links, 3 / 4 does not
+    rows = list(enumerate(texts, 1))
+    out = line_dedup.dedup_lines(document_rows(spark, texts), min_words=line_dedup.EVERY_LINE).collect()
+    want = brute_removed(rows, min_words=1)
+    assert {r.doc_id: r.removed_lines for r in out if r.removed_lines} == want
+    assert want[27] == [0] and 29 not in want and 30 not in want
+
+
+def test_line_dedup_query_and_stage_remove_short_copies(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+    from terrafold.llm import catalog
+
+    texts = [f"Contents\n{prose(0)}\nThe end", f"Contents\n{prose(0)}\nThe end", "Contents\nother words than these"]
+    document_rows(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.removed_lines for r in catalog.queries()["op1_line_dedup"](spark, str(tmp_path)).collect()}
+    assert out == {1: "", 2: "0,1,2", 3: "0"}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.unique_lines(spark, docs, sf_dir).collect()} == {1, 3}
+
+
+def test_line_dedup_query_equals_the_twin_without_its_filter(spark, sf_dir):
+    from compare import connect, difference
+    from terrafold.llm import catalog, twins
+
+    every = twins.LINE_DEDUP.replace("len(w) >= 5", "len(w) >= 1")
+    assert every != twins.LINE_DEDUP
+    assert difference(catalog.queries()["op1_line_dedup"](spark, sf_dir), connect(sf_dir), every) is None
+
+
 @pytest.mark.parametrize("chunk", [400_000, 150])
 def test_ngram_join_random(spark, chunk):
     draw = random.Random(chunk)
