@@ -3,7 +3,8 @@
 Documents and items are sequences of words (PLAIN, A-Z lowered) and multisets of their 5-word shingles. A shingle weighs the
 bytes of its words, so runs of very short words say little. The similarity of a window and an item is
 the sum of the smaller weights over the sum of the larger. A document is contaminated by an item of n words if some window of
-n words has a SimHash within ``radius`` bits of the item's and a similarity of at least the threshold.
+n words has a SimHash within ``radius`` bits of the item's and a similarity of at least the threshold. A document of fewer than
+n words is one window.
 
 1. The benchmark is read in blocks of bounded size: per item its shingles, weights and 64-bit SimHash.
 2. A window without any shingle of an item has similarity 0 with it. So one vectorised pass marks the places of a document
@@ -152,14 +153,15 @@ def matches(shingle: np.ndarray, weight: np.ndarray, index: Index, by_size: dict
     starts: dict[int, set[int]] = {}
     for p in np.flatnonzero(hi > lo).tolist():
         for n in {int(index.size[i]) for i in index.item[lo[p]:hi[p]]}:
-            starts.setdefault(n, set()).update(range(max(0, p - (n - K)), min(p, len(shingle) - (n - K + 1)) + 1))
+            # A document shorter than the window is one window itself.
+            starts.setdefault(n, set()).update(range(max(0, p - (n - K)), min(p, max(0, len(shingle) - (n - K + 1))) + 1))
     best: dict[int, tuple] = {}
     for n, found in starts.items():
         begin = np.array(sorted(found), np.int64)
         if not len(begin):
             continue
         first, blocks_of = by_size[n]
-        span = n - K + 1
+        span = min(n - K + 1, len(shingle))
         cuts = np.flatnonzero(np.diff(begin) > span) + 1
         for run in np.split(begin, cuts):  # only the stretch that the windows cover is summed
             lo_, hi_ = int(run[0]), int(run[-1]) + span
@@ -222,7 +224,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", ids: str = "
                         own = W.Words(*(x[lo:hi] for x in found))
                         shingle, weight, _ = weighted(own, bounds)
                         for i, start, distance, value in matches(shingle, weight, index, by_size, threshold):
-                            found_rows.append((doc[a + unit], int(index.ids[i]), start, int(index.size[i]), distance, value))
+                            found_rows.append((doc[a + unit], int(index.ids[i]), start, min(int(index.size[i]), len(own.hash)), distance, value))
                 if found_rows:
                     kinds = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found_rows), kinds)],

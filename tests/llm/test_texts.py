@@ -51,6 +51,20 @@ def test_decontamination_by_brute_force(spark, sf_dir):
     assert want[10 ** 6 + 1] and want[10 ** 6] and not want[10 ** 6 + 2]
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    item = prose(0, 40).split(" ")
+    texts = [" ".join(item[:-1]), " ".join(item[1:]), " ".join(item[:20]), " ".join(item[:4]), " ".join(item)]
+    benchmark = spark.createDataFrame([(7, " ".join(item)), (8, prose(200, 16))], "item_id long, text string")
+    out = {r.doc_id: r for r in decontaminate.report(document_rows(spark, texts), benchmark).collect()}
+    assert [out[i].item_ids for i in range(1, 6)] == [[7], [7], [], [], [7]]
+    a = weighted(item)
+    for i in (1, 2):
+        b, size = weighted(words(texts[i - 1])), lambda g: sum(map(len, g))
+        assert out[i].max_similarity == pytest.approx(sum(size(g) for g in b) / sum(size(g) for g in a))
+        assert [(s.item_id, s.start, s.length) for s in out[i].spans] == [(7, 0, 39)]
+    assert decontaminate.clean(document_rows(spark, texts), benchmark).count() == 2
+
+
 def test_hamming_blocks_find_all_within_radius():
     draw = np.random.default_rng(1)
     prints = draw.integers(0, 1 << 64, 300, dtype=np.uint64)
