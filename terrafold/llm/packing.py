@@ -45,7 +45,8 @@ class WordTokenizer(dict):
     The tokenizer's splitting pattern begins a new piece at a space between two characters that are not white space, so a
     text may be cut before those spaces and its parts encoded apart; a text in which a space meets other white space is encoded
     whole. A part is encoded from the file's vocabulary by tiktoken, which gives the ids of the tokenizers library in a
-    third of its time (``test_words_encoded_apart_give_the_ids_of_the_whole`` compares them).
+    third of its time (``test_packing_recognises_added_tokens`` compares them). As in that library, the file's added tokens are
+    recognised inside a text: it is cut at them, and the stretches between are encoded apart.
     """
 
     MEETS = re.compile(r"\s | \s|^ | \Z")
@@ -55,11 +56,16 @@ class WordTokenizer(dict):
 
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)
-        special = {t["content"] for t in vocabulary["added_tokens"]}  # their names in a text are ordinary text
+        added = {t["content"]: t["id"] for t in vocabulary["added_tokens"]}
+        if any(t[x] for t in vocabulary["added_tokens"] for x in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that take white space or stand for whole words only are not supported")
         byte_of = printable_bytes()
-        ranks = {bytes(byte_of[c] for c in word): rank for word, rank in vocabulary["model"]["vocab"].items() if word not in special}
-        self.kind = np.dtype("<u2" if len(vocabulary["model"]["vocab"]) <= 1 << 16 else "<u4")
+        ranks = {bytes(byte_of[c] for c in word): rank for word, rank in vocabulary["model"]["vocab"].items() if word not in added}
+        self.kind = np.dtype("<u2" if max([*vocabulary["model"]["vocab"].values(), *added.values()]) < 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.added = {content: array(self.code, [number]).tobytes() for content, number in added.items()}
+        longest_first = sorted(filter(None, added), key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if longest_first else None
         self.encode_part = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, part: str) -> bytes:
@@ -77,7 +83,11 @@ class WordTokenizer(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > REMEMBERED:
             self.clear()
-        return [b"".join(map(self.__getitem__, self.parts(t))) if t else b"" for t in texts]
+        return [self.stretch(t) if self.cut is None or not self.cut.search(t) else
+                b"".join(self.added[x] if i % 2 else self.stretch(x) for i, x in enumerate(self.cut.split(t))) for t in texts]
+
+    def stretch(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.parts(text))) if text else b""
 
 
 #: Fixed value: the splitting pattern of byte-level BPE, as in the tokenizer's file.

@@ -176,6 +176,22 @@ def test_words_encoded_apart_give_the_ids_of_the_whole():
         assert np.frombuffer(coder.encode([text])[0], coder.kind).tolist() == whole, text
 
 
+def test_packing_recognises_added_tokens(spark):
+    """The ids of a Tokenizer in its default state."""
+    from tokenizers import Tokenizer
+
+    coder = packing.word_tokenizer(packing.byte_bpe_path())
+    tokenizer = Tokenizer.from_file(packing.byte_bpe_path())
+    end = "<|endoftext|>"
+    texts = [end, f"a b {end} c d", f"one{end}{end} two", f"a  {end}  b\n{end}\n", f"{end}x", f"é {end[:-1]} {end}", "don't  stop", " a b", "a b ", "a\nb c\n\n d",
+             "x y z", "it's 's '", "I'll  we've\t'd o' clock", "é à 12 3.5 %%", "  a b"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(texts)] == want
+    assert 50256 in want[1]
+    out = packing.pack(document_rows(spark, texts), with_tokens=True).orderBy("doc_id").collect()
+    assert [r.tokens for r in out] == [ids + [packing.SEPARATOR] for ids in want]
+
+
 # ---- licences
 
 def brute_licences(text):
