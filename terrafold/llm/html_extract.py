@@ -34,6 +34,8 @@ WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head title script style noscript template iframe svg math object textarea select button canvas audio video dialog".split())
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript", "template"))
+#: ASCII, or the long s and the Kelvin sign would match s and k.
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
                    "strong sub sup time tt u var wbr br".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -149,7 +151,7 @@ def blocks(page: str) -> list[Block]:
 
 def iter_tags(page: str):
     """(start, end, closing, name, attributes) of tags; a comment or declaration has the name None. Raw elements' content is skipped."""
-    at, low = 0, None
+    at = 0
     while True:
         found = TAG.search(page, at)
         if not found:
@@ -158,11 +160,10 @@ def iter_tags(page: str):
         name = found[2].lower() if found[2] else None
         yield found.start(), at, bool(found[1]), name, found[3]
         if name in RAW and not found[1]:
-            low = page.lower() if low is None else low
-            stop = low.find(f"</{name}", at)
-            if stop < 0:
+            stop = RAW_END[name].search(page, at)
+            if not stop:
                 return
-            at = stop
+            at = stop.start()
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:

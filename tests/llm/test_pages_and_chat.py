@@ -41,6 +41,14 @@ def test_pages(spark, tree):
     assert html_extract.extract(rows.where("false"), tree=tree).count() == 0
 
 
+def test_characters_that_grow_when_lowered_do_not_move_a_raw_end():
+    kept = "<article><p>{}</p><{}>var a = '<p>no</p>';</{}><p>All of the text after it stays.</p></article>"
+    for before in ("Bir", "\u0130stanbul " * 30):
+        for name in ("script", "style"):
+            found = html_extract.blocks(kept.format(before, name, name.upper()))
+            assert [b.text for b in found] == [before.strip(), "All of the text after it stays."]
+
+
 def test_tree_learns_its_table(tree):
     right = [html_extract.decide(tree, x) == b.keep for page in html_extract.PAGES for found in [html_extract.blocks(page)]
              for b, x in zip(found, html_extract.features(found))]
