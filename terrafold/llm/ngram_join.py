@@ -338,7 +338,8 @@ def sets_to_search(docs: DataFrame, heads: DataFrame, homes: DataFrame, k: int)
                 yield pa.RecordBatch.from_pydict({"digest": pa.array([x[0] for x in out], pa.int64()),
                                                   "members": pa.array([x[1] for x in out], pa.binary())})
 
-    once = docs.where(perhaps("doc_id", bits)).join(wanted.hint("merge"), docs.doc_id == wanted["head"]).select("doc_id", "text", "wanted")
+    keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).max))))  # as in the heads
+    once = keyed.where(perhaps("key", bits)).join(wanted.hint("merge"), F.col("key") == wanted["head"]).select("doc_id", "text", "wanted")
     return stored(once.mapInArrow(to_sets, "digest long, members binary"))
 
 

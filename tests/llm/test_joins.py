@@ -151,6 +151,16 @@ def test_ngram_join_odd_rows(spark, odd, empty):
     assert ngram_join.linked_components(empty).count() == 0
 
 
+def test_ngram_join_links_near_copies_of_null_ids(spark):
+    """The set of the null row is in no other row; an id above 2^53 stands beside it."""
+    high = (1 << 53) + 1
+    rows = [(high, prose(0, 80)), (None, prose(1, 80)), (5, prose(200, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r.component_id for r in ngram_join.linked_components(docs).collect()}
+    assert out[high] == high and out[5] == 5
+    assert high in {v for k, v in out.items() if k not in (high, 5)}
+
+
 def test_divide_skip_counts():
     draw = random.Random(3)
     for _ in range(50):
