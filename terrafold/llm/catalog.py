@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, html_extract, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, twins,
+from . import (chat_format, decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, twins,
                warc)
 
 
@@ -58,9 +58,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("rejected_by")  # the name of the first rule that rejects depends on the measured order
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_html_extraction, op4_language_id, op5_ngram_jaccard_join,
-                            op6_chat_formatting, op7_packing, op8_license_scan, op9_warc, op10_quality_rules)
+                            op6_chat_formatting, op7_packing, op8_license_scan, op9_warc, op10_quality_rules, op11_source_mixing)
 }
 
 

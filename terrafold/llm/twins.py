@@ -6,7 +6,7 @@ with lines as (
   from documents where text is not null),
 worded as (
   select doc_id, line, list_filter(regexp_split_to_array(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from lines),
-candidates as (select doc_id, line, list_sort(list_distinct(w)) as s from worded where len(w) >= 5),
+candidates as (select doc_id, line, list_sort(list_distinct(w)) as s from worded where len(w) >= 1),
 sets as (select s, min((doc_id, line)) as head, row_number() over (order by min((doc_id, line))) as id from candidates group by s),
 tokens as (select id, len(s) as n, unnest(s) as t from sets),
 frequency as (select t, count(*) as f from tokens group by t),
@@ -103,5 +103,30 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from f
 """
 
+MIXING = r"""
+with recursive d as (
+  select doc_id, source, coalesce(text, '') as text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as size
+  from documents),
+s as (
+  select source, sum(size) as source_size, [5, 2, 1][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)] as weight
+  from d group by source),
+level as (
+  select cast(0 as double) as x, 0 as step
+  union all
+  select (select (sum(source_size) * 150 / 100.0 - coalesce(sum(2 * source_size) filter (where weight * level.x >= 2 * source_size), 0))
+          / nullif(sum(weight) filter (where weight * level.x < 2 * source_size), 0) from s), step + 1
+  from level where level.x is not null and step < 60),
+t as (select source, source_size, least(2.0 * source_size, weight * (select max(x) from level)) as target from s),
+r as (
+  select doc_id, d.source, size, source_size, target, cast(floor(target + 0.5) as bigint) as words,
+    sum(size) over (partition by d.source order by cast(concat('0x', substr(md5(concat(coalesce(cast(doc_id as varchar), ''), ':', text)), 1, 15)) as bigint),
+                    text rows unbounded preceding) - size as before
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, cast(source_size as bigint) as source_size, cast(target as double) as target,
+  cast(case when size = 0 then 0 else words // cast(source_size as bigint) * size
+    + least(greatest(words % cast(source_size as bigint) - before, 0), size) end as bigint) as taken, source
+from r
+"""
+
 SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op5_ngram_jaccard_join": NGRAM_JOIN, "op6_chat_formatting": CHAT, "op9_warc": WARC,
-                       "op10_quality_rules": QUALITY}
+                       "op10_quality_rules": QUALITY, "op11_source_mixing": MIXING}
