@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, twins,
-               warc)
+from . import (chat_format, decontaminate, hard_negatives, html_extract, language_id, license_scan, line_dedup, mixing, ngram_join, packing,
+               quality_rules, twins, warc, whitening)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,17 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.with_moved_labels(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_html_extraction, op4_language_id, op5_ngram_jaccard_join,
-                            op6_chat_formatting, op7_packing, op8_license_scan, op9_warc, op10_quality_rules, op11_source_mixing)
+                            op6_chat_formatting, op7_packing, op8_license_scan, op9_warc, op10_quality_rules, op11_source_mixing, op12_embedding_whitening, op13_hard_negatives)
 }
 
 

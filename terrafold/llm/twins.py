@@ -128,5 +128,24 @@ select doc_id, size, cast(source_size as bigint) as source_size, cast(target as
 from r
 """
 
+HARD_NEGATIVES = r"""
+with e as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select * from e where vec_id % 100 = 0),
+s as (
+  select a.vec_id as anchor_id, e.vec_id, a.label = e.label as same, list_sum(list_transform(list_zip(a.v, e.v), lambda p: p[1] * p[2])) as score
+  from a join e on a.vec_id <> e.vec_id),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank, vec_id as negative_id,
+  cast(positive_score as bigint) as positive_score, cast(score as bigint) as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
 SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op5_ngram_jaccard_join": NGRAM_JOIN, "op6_chat_formatting": CHAT, "op9_warc": WARC,
-                       "op10_quality_rules": QUALITY, "op11_source_mixing": MIXING}
+                       "op10_quality_rules": QUALITY, "op11_source_mixing": MIXING, "op13_hard_negatives": HARD_NEGATIVES}
