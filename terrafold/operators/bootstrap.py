@@ -4,21 +4,35 @@ A replicate needs only how often each block was drawn, so rows are reduced to on
 per block first. Draw ``j`` of replicate ``r`` is a slice of a SHA-256 digest, hence the
 result does not depend on partitioning and any SQL engine can repeat it. The law is that
 of the usual bootstrap: ``n_blocks`` independent uniform draws with replacement.
+
+No draw is a row. The sums of up to ``RANGE`` neighbouring blocks are packed into one record; it goes to every chunk of
+replicates, where the draws are made as arrays, counted, and multiplied with the sums. Above a million blocks the draws
+of a replicate are made again for every further range, which keeps a task's memory fixed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import finite
-from ..session import join_lookup, materialise
+from ..session import materialise
 from .order_stats import dense_index
 
 DRAWS_PER_DIGEST = 4
-DIGITS = 15
+#: Blocks whose sums are in a task at once, and digests made at once.
+RANGE, DIGESTS = 1 << 20, 1 << 16
+#: Replicates of a task.
+CHUNK = 32
+METRICS = ("mae", "rmse")
+WEIGHTINGS = ("observation_weighted", "block_balanced")
+SUMS = ("n", "model_abs", "base_abs", "model_sq", "base_sq")
+GAINS = tuple(f"gain_{m}" for m in METRICS)
 
 
 def block_statistics(
@@ -47,31 +61,75 @@ def indexed_blocks(blocks: DataFrame, block: Sequence[str]) -> DataFrame:
     return materialise(keyed.join(dense_index(keyed, "block_key"), "block_key"), "blocks")
 
 
-def draws(spark, n_blocks: int, replicates: int, seed: int) -> DataFrame:
-    """``(replicate, position)``: every draw of every replicate, four per digest."""
+def positions(seed: int, replicate: int, first: int, last: int, n_blocks: int) -> np.ndarray:
+    """Positions drawn by the digests ``first`` to ``last - 1`` of a replicate, four a digest: 15 hexadecimal digits each."""
+    stem = f"{seed}|{replicate}|".encode()
+    words = np.frombuffer(b"".join(sha256(stem + b"%d" % j).digest() for j in range(first, last)), ">u8").astype(np.uint64).reshape(-1, 4)
+
+    def bits(word: int, kept: int, after: int) -> np.ndarray:
+        """The last ``kept`` bits of a word and the first ``after`` of the next."""
+        low = words[:, word] & np.uint64((1 << kept) - 1)
+        return (low << np.uint64(after)) | (words[:, word + 1] >> np.uint64(64 - after)) if after else low
+
+    values = np.stack([words[:, 0] >> np.uint64(4), bits(0, 4, 56), bits(1, 8, 52), bits(2, 12, 48)], 1)
+    return (values.ravel() % np.uint64(n_blocks)).astype(np.int64)
+
+
+def packed_ranges(blocks: DataFrame, size: int = RANGE) -> DataFrame:
+    """``(range, sums)``: the sums of neighbouring blocks in order of position, 7 numbers a block."""
+    numbered = blocks.select((F.col("position") / size).cast("bigint").alias("range"), "position",
+                             *[F.col(c).cast("double").alias(c) for c in SUMS],
+                             *[(_loss(m, "base", F.col("n")) - _loss(m, "model", F.col("n"))).alias(g) for m, g in zip(METRICS, GAINS)])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            ranges = batch.column(0).to_numpy()
+            table = np.column_stack([batch.column(i).to_numpy() for i in range(2, batch.num_columns)])
+            for r in np.unique(ranges).tolist():
+                if at not in (None, r):
+                    yield one(at, held)
+                    held = []
+                at = r
+                held.append(table[ranges == r])
+        if held:
+            yield one(at, held)
+
+    def one(r: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int64()), "sums": pa.array([np.concatenate(held).tobytes()], pa.binary())})
+
+    return (numbered.repartition("range").sortWithinPartitions("range", "position").mapInArrow(pack, "range bigint, sums binary"))
+
+
+def replicate_sums(blocks: DataFrame, n_blocks: int, replicates: int, seed: int, size: int = RANGE) -> DataFrame:
+    """``(replicate, sums, gains)``: totals over the blocks that each replicate draws."""
     digests = -(-n_blocks // DRAWS_PER_DIGEST)
-    total = replicates * digests
-    partitions = max(spark.sparkContext.defaultParallelism, min(20_000, total // 2_000_000))
-    base = spark.range(0, total, 1, partitions).select(
-        F.floor(F.col("id") / F.lit(digests)).alias("replicate"),
-        (F.col("id") % F.lit(digests)).alias("digest_no"),
-    )
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("digest_no").cast("string"))
-    hashed = base.withColumn("digest", F.sha2(text, 256))
-    slices = F.array(
-        *[
-            F.struct(
-                (F.col("digest_no") * DRAWS_PER_DIGEST + i).alias("draw"),
-                F.conv(F.substring("digest", 1 + i * DIGITS, DIGITS), 16, 10).cast("bigint").alias("value"),
-            )
-            for i in range(DRAWS_PER_DIGEST)
-        ]
-    )
-    return (
-        hashed.select("replicate", F.inline(slices))
-        .filter(F.col("draw") < n_blocks)
-        .select("replicate", (F.col("value") % F.lit(n_blocks)).alias("position"))
-    )
+    width = len(SUMS) + len(GAINS)
+    chunks = -(-replicates // CHUNK)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, blob, chunk in zip(*(c.to_pylist() for c in batch.columns)):
+                sums = np.frombuffer(blob).reshape(-1, width)
+                low, mine = r * size, range(chunk * CHUNK, min(replicates, (chunk + 1) * CHUNK))
+                totals = []
+                for replicate in mine:
+                    count = np.zeros(len(sums), np.int64)
+                    for first in range(0, digests, DIGESTS):
+                        last = min(digests, first + DIGESTS)
+                        found = positions(seed, replicate, first, last, n_blocks)[: n_blocks - first * DRAWS_PER_DIGEST] - low
+                        if n_blocks > size:
+                            found = found[(found >= 0) & (found < len(sums))]
+                        count += np.bincount(found, minlength=len(sums))
+                    totals.append(count @ sums)
+                columns = np.array(totals).T
+                yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int64()), *(pa.array(c) for c in columns)], ["replicate", *SUMS, *GAINS])
+
+    spread = (packed_ranges(blocks, size).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+              .repartition(max(blocks.sparkSession.sparkContext.defaultParallelism, min(20_000, chunks * -(-n_blocks // size))), "range", "chunk"))
+    kinds = ", ".join(f"{c} double" for c in (*SUMS, *GAINS))
+    drawn = spread.mapInArrow(draw, f"replicate bigint, {kinds}")
+    return drawn.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in (*SUMS, *GAINS)])
 
 
 def _loss(metric: str, sums: str, n) -> Column:
@@ -80,25 +138,11 @@ def _loss(metric: str, sums: str, n) -> Column:
     return F.sqrt(F.col(f"{sums}_sq") / n)
 
 
-def improvement_samples(blocks: DataFrame, replicates: int, seed: int, metric: str, weighting: str) -> DataFrame:
-    """``(replicate, improvement)`` of the model over the baseline.
-
-    The draws join the numbered blocks; the map side of the aggregation reduces them to one
-    row per replicate and task, so the shuffle carries ``replicates x tasks`` rows. Blocks are
-    broadcast while few; otherwise draws and blocks meet in a shuffled join on an evenly
-    spread integer key.
-    """
-    n_blocks = blocks.count()
-    drawn = join_lookup(draws(blocks.sparkSession, n_blocks, replicates, seed), blocks, ["position"], "inner")
+def improvement_samples(sums: DataFrame, n_blocks: int, metric: str, weighting: str) -> DataFrame:
+    """``(replicate, improvement)`` of the model over the baseline, from ``replicate_sums``."""
     if weighting == "block_balanced":
-        gain = _loss(metric, "base", F.col("n")) - _loss(metric, "model", F.col("n"))
-        return drawn.groupBy("replicate").agg(F.avg(gain).alias("improvement"))
-    sums = drawn.groupBy("replicate").agg(
-        *[F.sum(c).alias(c) for c in ("n", "model_abs", "base_abs", "model_sq", "base_sq")]
-    )
-    return sums.select(
-        "replicate", (_loss(metric, "base", F.col("n")) - _loss(metric, "model", F.col("n"))).alias("improvement")
-    )
+        return sums.select("replicate", (F.col(f"gain_{metric}") / n_blocks).alias("improvement"))
+    return sums.select("replicate", (_loss(metric, "base", F.col("n")) - _loss(metric, "model", F.col("n"))).alias("improvement"))
 
 
 def point_improvement(blocks: DataFrame, metric: str, weighting: str) -> DataFrame:
@@ -117,38 +161,61 @@ def point_improvement(blocks: DataFrame, metric: str, weighting: str) -> DataFra
     )
 
 
-def block_bootstrap(
+def block_bootstraps(
     df: DataFrame,
     truth: str,
     model: str,
     baseline: str,
     block: Sequence[str],
-    metric: str = "mae",
-    weighting: str = "observation_weighted",
+    kinds: Sequence[tuple[str, str]],
     replicates: int = 2000,
     confidence: float = 0.95,
     seed: int = 2026,
-) -> DataFrame:
-    """One row: point improvement with its percentile interval; positive favours the model."""
-    if metric not in ("mae", "rmse") or weighting not in ("observation_weighted", "block_balanced"):
+) -> dict[tuple[str, str], DataFrame]:
+    """One row for each (metric, weighting) of ``kinds``; all of them share one pass over the rows and the same draws."""
+    if any(metric not in METRICS or weighting not in WEIGHTINGS for metric, weighting in kinds):
         raise ValueError("unknown metric or weighting")
     if replicates <= 0 or not 0.0 < confidence < 1.0:
         raise ValueError("replicates must be positive and confidence inside (0, 1)")
     blocks = indexed_blocks(block_statistics(df, truth, model, baseline, block), block)
-    if blocks.count() < 2:
+    n_blocks = blocks.count()
+    if n_blocks < 2:
         raise ValueError("at least two non-empty blocks are needed")
+    sums = replicate_sums(blocks, n_blocks, replicates, seed)
+    if len(kinds) > 1:
+        sums = materialise(sums, "replicates")
     tail = (1.0 - confidence) / 2.0
-    samples = improvement_samples(blocks, replicates, seed, metric, weighting)
-    # ``percentile`` is exact and holds one number per replicate.
-    interval = samples.agg(
-        F.percentile("improvement", F.lit(tail)).alias("lower"),
-        F.percentile("improvement", F.lit(1.0 - tail)).alias("upper"),
-        F.count(F.lit(1)).alias("n_bootstrap"),
-    )
-    one = F.lit(1).alias("one")
-    joined = point_improvement(blocks, metric, weighting).select("*", one).join(interval.select("*", one), "one")
-    return joined.select(
-        F.lit(metric).alias("metric"), F.lit(weighting).alias("weighting"), "point", "lower", "upper",
-        F.lit(confidence).alias("confidence"), "n_bootstrap",
-        F.col("n_observations").cast("bigint"), "n_blocks", F.lit(seed).alias("seed"),
-    )
+
+    def report(metric: str, weighting: str) -> DataFrame:
+        # ``percentile`` is exact and holds one number per replicate.
+        interval = improvement_samples(sums, n_blocks, metric, weighting).agg(
+            F.percentile("improvement", F.lit(tail)).alias("lower"),
+            F.percentile("improvement", F.lit(1.0 - tail)).alias("upper"),
+            F.count(F.lit(1)).alias("n_bootstrap"),
+        )
+        one = F.lit(1).alias("one")
+        joined = point_improvement(blocks, metric, weighting).select("*", one).join(interval.select("*", one), "one")
+        return joined.select(
+            F.lit(metric).alias("metric"), F.lit(weighting).alias("weighting"), "point", "lower", "upper",
+            F.lit(confidence).alias("confidence"), "n_bootstrap",
+            F.col("n_observations").cast("bigint"), "n_blocks", F.lit(seed).alias("seed"),
+        )
+
+    return {kind: report(*kind) for kind in kinds}
+
+
+def block_bootstrap(
+    df: DataFrame,
+    truth: str,
+    model: str,
+    baseline: str,
+    block: Sequence[str],
+    metric: str = "mae",
+    weighting: str = "observation_weighted",
+    replicates: int = 2000,
+    confidence: float = 0.95,
+    seed: int = 2026,
+) -> DataFrame:
+    """One row: point improvement with its percentile interval; positive favours the model."""
+    kind = (metric, weighting)
+    return block_bootstraps(df, truth, model, baseline, block, [kind], replicates, confidence, seed)[kind]

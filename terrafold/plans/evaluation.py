@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import number
 from ..functions.heat import coast_distance_group, local_hour, sun_shade_group, time_of_day_group
-from ..operators.bootstrap import block_bootstrap
+from ..operators.bootstrap import WEIGHTINGS, block_bootstraps
 from ..operators.joins import AlignmentError, join_predictions
 from ..operators.metrics import full_report, identical_rows_report, long_predictions, subgroup_report, support_mismatches
 
@@ -85,9 +85,9 @@ def evaluate(
     needed = {"direct_core", "baseline_background_air_temperature", block_column, "site_id", "date"}
     if needed <= set(joined.columns):
         for name, location in (("spatial_day", block_column), ("site_day", "site_id")):
-            for weighting in ("observation_weighted", "block_balanced"):
-                bootstrap[f"{name}_{weighting}"] = block_bootstrap(
-                    joined, target, "direct_core", "baseline_background_air_temperature", [location, "date"],
-                    weighting=weighting, replicates=replicates, seed=seed,
-                )
+            found = block_bootstraps(
+                joined, target, "direct_core", "baseline_background_air_temperature", [location, "date"],
+                [("mae", weighting) for weighting in WEIGHTINGS], replicates, seed=seed,
+            )
+            bootstrap |= {f"{name}_{weighting}": table for (_, weighting), table in found.items()}
     return Evaluation(joined, metrics, subgroups, paired, bootstrap)

@@ -1,5 +1,6 @@
 """Invariants and brute-force checks of the operators."""
 
+import hashlib
 import math
 import random
 import uuid
@@ -186,7 +187,7 @@ def test_hash_threshold_paths_agree(spark):
 def test_recall_without_positives(spark):
     long = spark.createDataFrame([("m", 37.0, 40.0)], "model string, truth double, prediction double")
     r = metrics.threshold_recalls(long, thresholds=[38.0]).first()
-    assert r.recall is None and not r.available and r.positive_support == 0 and "unavailable" in r.reason
+    assert r.recall is None and not r.available and r.positive_support == 0 and "no observed case" in r.reason
 
 
 def test_metrics_of_empty_and_constant_groups(spark):
@@ -199,7 +200,6 @@ def test_metrics_of_empty_and_constant_groups(spark):
 
 
 def test_bootstrap_against_brute_force(spark):
-    import hashlib
 
     rng = np.random.default_rng(5)
     rows = [(f"s{i % 7}", f"d{i % 3}", float(t), float(t + a), float(t + b))
@@ -220,6 +220,17 @@ def test_bootstrap_against_brute_force(spark):
     assert [got.lower, got.upper] == pytest.approx(list(np.quantile(samples, [0.025, 0.975])))
     with pytest.raises(ValueError):
         bootstrap.block_bootstrap(df.filter("s = 's0' and d = 'd0'"), "t", "m", "b", ["s", "d"])
+    # ranges of three blocks give the totals of one range
+    indexed = bootstrap.indexed_blocks(bootstrap.block_statistics(df, "t", "m", "b", ["s", "d"]), ["s", "d"])
+    one, many = (bootstrap.replicate_sums(indexed, len(names), 30, 9, size).orderBy("replicate").collect() for size in (bootstrap.RANGE, 3))
+    assert [list(r) for r in one] == [pytest.approx(list(r)) for r in many]
+    plan = bootstrap.replicate_sums(indexed, len(names), 30, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(position" not in plan
+
+
+def test_draws_are_the_slices_of_digests():
+    want = [int(hashlib.sha256(f"7|3|{j}".encode()).hexdigest()[15 * i:15 * i + 15], 16) % 1_000_003 for j in range(5, 90) for i in range(4)]
+    assert bootstrap.positions(7, 3, 5, 90, 1_000_003).tolist() == want
 
 
 def test_infinite_interval_widths(spark):
