@@ -7,9 +7,10 @@ projection of native expressions.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,18 @@ class Encoder:
                 out[f"{c}_{value}"] = (text == F.lit(value)).cast("double")
         return out
 
+    def arrays(self, raw: Mapping[str, np.ndarray]) -> list[np.ndarray]:
+        """``feature_columns`` of a batch in a task: numbers (NaN where missing) and texts by column."""
+        out = []
+        for c in self.numeric:
+            x = np.where(np.isnan(raw[c]), self.medians[c], raw[c])
+            out.append((x - self.centres[c]) / self.scales[c] if self.scales else x)
+        out += [np.isnan(raw[c]).astype(float) for c in self.indicators]
+        for c in self.categorical:
+            text = np.array([self.missing_token if v is None else v for v in raw[c]], object)
+            out += [(text == value).astype(float) for value in self.categories[c]]
+        return out
+
     def refusals(self, df: DataFrame) -> DataFrame:
         """One row: per numeric column, values that are present but no finite number (column names as in ``df``)."""
         types = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -7,22 +7,25 @@ import math
 import statistics
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
-from pyspark import SparkContext
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import finite
 from ..functions.heat import heat_weight
 from ..functions.physics import COMPONENT_TARGETS, component_targets
 from ..functions.predictors import PredictorPolicy
-from ..session import concurrently, materialise
+from ..session import concurrently, discard, materialise
+from . import boosting
+from .boosting import BoostedParams, BoostedTrees
 from .encode import Encoder, fit_encoder
 from .folds import SplitDesign, dual_blocked_parts, in_part, nested_parts, with_frozen_folds, with_parts
 from .linear import LinearFit, candidate_scores, fit_elastic_net
-from .metrics import grouped_mae, high_value_mae, long_predictions
+from .metrics import grouped_mae, high_value_mae
 
 # Search space of the boosted trees, by Spark parameter.
 SEARCH_SPACE = {
@@ -37,29 +40,20 @@ SEARCH_SPACE = {
 PATIENCE = 50
 
 
-@dataclass(frozen=True)
-class BoostedParams:
-    """Settings of one boosted-tree fit (absolute-error loss)."""
-
-    trees: int = 800
-    depth: int = 5
-    step_size: float = 0.05
-    subsample: float = 0.8
-    feature_fraction: float = 0.8
-    min_instances: int = 1
-    min_info_gain: float = 0.0
-
-
 @dataclass
 class FittedModel:
-    """A Spark ML tree model with its encoder."""
+    """Boosted trees, or a Spark ML tree model, with their encoder."""
 
     model: object
     encoder: Encoder
     tree_count: int
     variant: str = "primary_unweighted"
+    curve: tuple[float, ...] = ()  # validation error after each fitted tree
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+        if isinstance(self.model, BoostedTrees):
+            scored = self.encoder.with_array(df.drop(output), "__x")
+            return scored.withColumn(output, self.model.column("__x")).drop("__x")
         scored = self.model.setPredictionCol(output).transform(self.encoder.with_features(df.drop(output)))
         return scored.drop("features")
 
@@ -92,29 +86,92 @@ def _labelled(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("__label", finite(label))
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """A model to be fitted together with others on the same table."""
+
+    encoder: Encoder
+    label: str
+    train: Column
+    params: BoostedParams
+    seed: int
+    validation: Column | None = None
+    patience: int | None = None
+    weights: tuple[Sequence[float], Sequence[float]] | None = None
+
+
+def row_hash(columns: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(c).cast("string") for c in columns])
+
+
+def fit_together(df: DataFrame, wanted: Sequence[Wanted], block: Sequence[str] = (), observe=None, board: bool = False):
+    """``(fits, scores)``: every wanted model, fitted in common passes, and with ``board`` their predictions of validation rows at the best
+    tree count as (model, truth, prediction, block), where model is the position in ``wanted``."""
+    encoders, labels, roles = [], [], []
+
+    def place(items: list, item) -> int:
+        for i, x in enumerate(items):
+            if x is item or (not isinstance(item, tuple) and x == item):
+                return i
+        items.append(item)
+        return len(items) - 1
+
+    fitted: list[Column] = []
+    named: dict[tuple, int] = {}
+    models = []
+    for i, w in enumerate(wanted):
+        e = place(encoders, w.encoder)
+        if e == len(fitted):
+            fitted.append(w.train)
+        label = named.setdefault((w.label, w.weights), len(named))
+        if label == len(labels):
+            labels.append((w.label, w.weights))
+        same = [j for j in range(i) if wanted[j].train is w.train and wanted[j].validation is w.validation]
+        if same:
+            role = models[same[0]].role
+        else:
+            role = len(roles)
+            held = F.lit(False) if w.validation is None else w.validation
+            roles.append(F.when(w.train, boosting.TRAIN).when(held, boosting.VALIDATION).otherwise(0))
+        models.append(boosting.Model(e, label, role, w.params, w.seed, w.patience))
+    values = [finite(name) for name, _ in labels]
+    weights = [F.lit(1.0) if steps is None else F.coalesce(heat_weight(finite(name), *steps), F.lit(1.0)) for name, steps in labels]
+    predictors = list(dict.fromkeys(c for e in encoders for c in e.predictors))
+    table = boosting.binned(df, row_hash([*predictors, *dict.fromkeys(name for name, _ in labels)]), encoders, fitted, values, roles, block, weights)
+    fits = boosting.boost(table, models, boosting.starts(table, models, df, values, roles), observe)
+    scores = None
+    if board:
+        best = [f.trees.first(best_tree_count(f.curve, m.patience or PATIENCE)) if f.curve else f.trees for f, m in zip(fits, models)]
+        scores = materialise(boosting.scores(table, models, best), "scores")
+    discard(table.blocks)
+    return fits, scores
+
+
 def fit_boosted(
     train: DataFrame, label: str, policy: PredictorPolicy, predictors: Sequence[str],
     params: BoostedParams, seed: int, predictor_set: str = "core",
     weights: tuple[Sequence[float], Sequence[float]] | None = None, encoder: Encoder | None = None,
+    validation: DataFrame | None = None, patience: int = PATIENCE,
 ) -> FittedModel:
-    """Fit fixed settings on all given rows; optional (thresholds, weights) by label value."""
+    """Fit on all given rows; optional (thresholds, weights) by label value.
+
+    With ``validation`` the fit ends ``patience`` trees after the best validation error and keeps the trees up to it.
+    """
     encoder = encoder or fit_encoder(train, policy, predictor_set, predictors)
-    data = encoder.with_features(_labelled(train, label))
-    columns = ["features", "__label"]
-    if weights is not None:
-        data = data.withColumn("__weight", heat_weight("__label", *weights))
-        columns.append("__weight")
-    learner = GBTRegressor(
-        featuresCol="features", labelCol="__label", lossType="absolute", maxIter=params.trees,
-        maxDepth=params.depth, stepSize=params.step_size, subsamplingRate=params.subsample,
-        featureSubsetStrategy=str(params.feature_fraction), minInstancesPerNode=params.min_instances,
-        minInfoGain=params.min_info_gain, seed=seed,
-    )
-    if weights is not None:
-        learner = learner.setWeightCol("__weight")
-    model = learner.fit(data.select(*columns))
+    used = list(dict.fromkeys([label, *encoder.predictors]))
+    weights = None if weights is None else (tuple(weights[0]), tuple(weights[1]))
     variant = "primary_unweighted" if weights is None else "secondary_heat_weighted"
-    return FittedModel(model, encoder, params.trees, variant)
+    mark = "__held"
+    rows = train.select(*used).withColumn(mark, F.lit(False))
+    if validation is not None:
+        rows = rows.unionByName(validation.select(*used).withColumn(mark, F.lit(True)))
+    one = Wanted(encoder, label, ~F.col(mark), params, seed, F.col(mark) if validation is not None else None,
+                 patience if validation is not None else None, weights)
+    (fit,), _ = fit_together(rows, [one])
+    if validation is not None:
+        count = best_tree_count(fit.curve, patience)
+        return FittedModel(fit.trees.first(count), encoder, count, variant, tuple(fit.curve))
+    return FittedModel(fit.trees, encoder, params.trees, variant)
 
 
 def best_tree_count(losses: Sequence[float], patience: int = PATIENCE) -> int:
@@ -129,9 +186,25 @@ def best_tree_count(losses: Sequence[float], patience: int = PATIENCE) -> int:
 
 
 def loss_curve(fitted: FittedModel, validation: DataFrame, label: str) -> list[float]:
-    """Mean absolute error on the validation rows after each tree."""
-    data = fitted.encoder.with_features(_labelled(validation, label)).filter("__label is not null")
-    return list(fitted.model.evaluateEachIteration(data, "absolute"))
+    """Mean absolute error on the given rows after each tree, in one pass."""
+    trees, steps = fitted.model, boosting.staged
+    rows = fitted.encoder.with_array(_labelled(validation, label), "__x").filter("__label is not null").select("__x", "__label")
+
+    def add(batches):
+        n, total = 0, np.zeros(len(trees))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            left = batch.column(1).to_numpy() - trees.start
+            n += len(left)
+            for i, part in enumerate(steps(x, trees.feature, trees.split, trees.value)):
+                left = left - part
+                total[i] += np.abs(left).sum()
+        yield pa.RecordBatch.from_pydict({"tree": pa.array(range(len(trees)), pa.int32()), "total": pa.array(total), "n": pa.array([n] * len(trees), pa.int64())})
+
+    found = rows.mapInArrow(add, "tree int, total double, n bigint").groupBy("tree").agg((F.sum("total") / F.sum("n")).alias("loss"))
+    return [r["loss"] for r in found.orderBy("tree").collect()]  # one number a tree
 
 
 @dataclass
@@ -150,51 +223,68 @@ def clamp_count(counts: Sequence[int], minimum: int, maximum: int) -> int:
 
 def first_trees(fitted: FittedModel, count: int) -> FittedModel:
     """The boosted model as it was after its first ``count`` trees."""
-    java, gateway = fitted.model._java_obj, SparkContext._gateway
-    package = gateway.jvm.org.apache.spark.ml.regression
-    trees = gateway.new_array(package.DecisionTreeRegressionModel, count)
-    weights = gateway.new_array(gateway.jvm.double, count)
-    for i, (tree, weight) in enumerate(zip(list(java.trees())[:count], list(java.treeWeights())[:count])):
-        trees[i], weights[i] = tree, float(weight)
-    short = package.GBTRegressionModel(java.uid(), trees, weights)
-    short.setFeaturesCol("features")
-    return FittedModel(GBTRegressionModel(short), fitted.encoder, count, fitted.variant)
+    return FittedModel(fitted.model.first(count), fitted.encoder, count, fitted.variant, fitted.curve)
+
+
+#: Train and validation rows of the inner folds of a search.
+Parts = Sequence[tuple[Column, Column]]
+
+
+def fold_encoders(df: DataFrame, searches: Mapping[str, tuple[str, Sequence[str], Parts]],
+                  policy: PredictorPolicy) -> dict[tuple[str, int], Encoder]:
+    """One encoder a search and fold, fitted on its train rows only; the fits overlap."""
+    at = [(name, f) for name, (_, _, parts) in searches.items() for f in range(len(parts))]
+    fits = [partial(fit_encoder, df.filter(searches[name][2][f][0]), policy, *searches[name][:2]) for name, f in at]
+    return dict(zip(at, concurrently(df.sparkSession, fits, 12)))
+
+
+def search_all(
+    df: DataFrame, label: str, policy: PredictorPolicy, searches: Mapping[str, tuple[str, Sequence[str], Parts]],
+    trials: Sequence[BoostedParams], seed: int, block: Sequence[str], minimum_trees: int = 1, maximum_trees: int = 1500,
+    high_threshold: float = 32.0, weights=None, patience: int = PATIENCE, observe=None,
+) -> dict[str, Selection]:
+    """Several searches at once: by name, a predictor set, its predictors and the inner folds.
+
+    Every candidate is fitted on every fold of every search in the same passes over the rows and stops ``patience`` trees after its
+    best validation error. Candidates are ranked by grouped MAE at their best tree count.
+    """
+    weights = None if weights is None else (tuple(weights[0]), tuple(weights[1]))
+    wanted, at = [], []
+    encoders = fold_encoders(df, searches, policy)
+    for name, (_, _, parts) in searches.items():
+        for f, (train, held) in enumerate(parts):
+            for t, params in enumerate(trials):
+                wanted.append(Wanted(encoders[name, f], label, train, params, seed + f, held, patience, weights))
+                at.append((name, f, t))
+    fits, long = fit_together(df, wanted, block, observe, board=True)
+    grouped = {r["model"]: r["grouped_mae"] for r in grouped_mae(long, block).collect()}  # one row a model
+    high = {r["model"]: r["high_mae"] for r in high_value_mae(long, threshold=high_threshold).collect()}
+    discard(long)
+    board: dict[str, dict[int, list[dict]]] = {name: {t: [] for t in range(len(trials))} for name in searches}
+    for i, ((name, f, t), fit) in enumerate(zip(at, fits)):
+        board[name][t].append({"trial": t, "fold": f, "grouped_mae": grouped[i], "high_mae": high[i],
+                               "trees": best_tree_count(fit.curve, patience), "fitted": len(fit.trees)})
+    out = {}
+    for name, rows in board.items():
+        means = {t: sum(s["grouped_mae"] for s in own) / len(own) for t, own in rows.items()}
+        best = min(means, key=lambda t: (means[t], t))
+        count = clamp_count([s["trees"] for s in rows[best]], minimum_trees, maximum_trees)
+        out[name] = Selection(trials[best], count, means[best], [s for own in rows.values() for s in own])
+    return out
+
+
+def fold_parts(n_folds: int, folds: str = "folds") -> Parts:
+    return [(in_part(f, "train", folds), in_part(f, "validation", folds)) for f in range(n_folds)]
 
 
 def search(
     df: DataFrame, label: str, policy: PredictorPolicy, predictors: Sequence[str],
     trials: Sequence[BoostedParams], seed: int, block: Sequence[str], n_folds: int, folds: str = "folds",
-    predictor_set: str = "core", minimum_trees: int = 1,
-    maximum_trees: int = 1500, high_threshold: float = 32.0, weights=None, patience: int = PATIENCE,
+    predictor_set: str = "core", **limits,
 ) -> Selection:
-    """Score every candidate on every fold by grouped MAE at its best tree count; only train rows are fitted.
-
-    ``df`` has the fold membership of each row in its array ``folds``, so a fold is a filter.
-    Encoders depend on the fold, not the candidate, so each fold is encoded once.
-    """
+    """Score every candidate on every fold; ``df`` has the fold membership of each row in its array ``folds``, so a fold is a filter."""
     df = df.select(*dict.fromkeys([folds, label, *block, *predictors]))
-
-    def one_fold(f: int) -> list[dict]:
-        train, held = df.filter(in_part(f, "train", folds)), df.filter(in_part(f, "validation", folds))
-        encoder = fit_encoder(train, policy, predictor_set, predictors)
-        rows = []
-        for t, params in enumerate(trials):
-            fitted = fit_boosted(train, label, policy, predictors, params, seed + f, predictor_set, weights, encoder)
-            count = best_tree_count(loss_curve(fitted, held, label), patience)
-            long = long_predictions(first_trees(fitted, count).predict(held, "candidate"), label, ["candidate"], block)
-            score = grouped_mae(long, block).first()
-            high = high_value_mae(long, threshold=high_threshold).first()
-            rows.append(
-                {"trial": t, "fold": f, "grouped_mae": score["grouped_mae"], "high_mae": high["high_mae"], "trees": count}
-            )
-        return rows
-
-    scores = [s for rows in concurrently(df.sparkSession, [partial(one_fold, f) for f in range(n_folds)]) for s in rows]
-    board = {t: [s for s in scores if s["trial"] == t] for t in range(len(trials))}
-    means = {t: sum(s["grouped_mae"] for s in rows) / len(rows) for t, rows in board.items()}
-    best = min(means, key=lambda t: (means[t], t))
-    count = clamp_count([s["trees"] for s in board[best]], minimum_trees, maximum_trees)
-    return Selection(trials[best], count, means[best], [s for rows in board.values() for s in rows])
+    return search_all(df, label, policy, {"": (predictor_set, predictors, fold_parts(n_folds, folds))}, trials, seed, block, **limits)[""]
 
 
 def refit(params: BoostedParams, trees: int) -> BoostedParams:
@@ -217,6 +307,59 @@ def inner_rows(rows: DataFrame, parts: DataFrame, split: SplitDesign, fold: int)
     return with_parts(outer_part(rows, fold, "train"), own, split)
 
 
+def nested_rows(df: DataFrame, split: SplitDesign, inner_folds: int, with_final: bool) -> DataFrame:
+    """Rows with their stored outer folds as ``outer``, the inner folds of every outer training part as ``nested``, and those of all
+    rows as ``final``. Written once; every fold of every level is a filter on it."""
+    rows, parts = outer_rows(df, split, inner_folds)
+    inner = split.inner(inner_folds)
+    cells = parts.groupBy("block", "day", "event").agg(F.collect_list(F.struct("outer_fold", "folds")).alias("folds"))  # one entry an outer fold
+    out = with_parts(rows.withColumnRenamed("folds", "outer"), materialise(cells, "cells"), inner, how="left").withColumnRenamed("folds", "nested")
+    if with_final:
+        out = with_parts(out, dual_blocked_parts(rows, inner), inner).withColumnRenamed("folds", "final")
+    return materialise(out, "nested")
+
+
+def inner_parts(fold: int, inner_folds: int) -> Parts:
+    """Inner train and validation rows of an outer fold of ``nested_rows``."""
+    def of(f: int, part: str) -> Column:
+        held = F.exists("nested", lambda o: (o["outer_fold"] == fold) & F.exists(o["folds"], lambda x: (x["fold"] == f) & (x["part"] == part)))
+        return F.coalesce(held, F.lit(False))
+
+    return [(of(f, "train"), of(f, "validation")) for f in range(inner_folds)]
+
+
+def nested_variants(
+    df: DataFrame, split: SplitDesign, label: str, policy: PredictorPolicy, variants: Mapping[str, tuple[str, Sequence[str]]],
+    trials: Sequence[BoostedParams], block: Sequence[str], inner_folds: int = 4, seed: int = 0, weights=None,
+    select_final: bool = True, **limits,
+) -> dict[str, tuple[DataFrame, Selection | None, list[Selection]]]:
+    """Nested out-of-fold predictions of several predictor sets, by output column: the searches of all sets, outer folds and the
+    final selection run in the same passes, and so do the refits."""
+    rows = nested_rows(df, split, inner_folds, select_final)
+    searches: dict[str, tuple[str, Sequence[str], Parts]] = {}
+    for output, (kind, predictors) in variants.items():
+        searches |= {f"{output}|{f}": (kind, predictors, inner_parts(f, inner_folds)) for f in range(split.n_folds)}
+        if select_final:
+            searches[f"{output}|final"] = (kind, predictors, fold_parts(inner_folds, "final"))
+    found = search_all(rows, label, policy, searches, trials, seed, block, weights=weights, **limits)
+    wanted, at = [], []
+    steps = None if weights is None else (tuple(weights[0]), tuple(weights[1]))
+    trains = [in_part(f, "train", "outer") for f in range(split.n_folds)]
+    encoders = fold_encoders(rows, {output: (*variant, [(t, t) for t in trains]) for output, variant in variants.items()}, policy)
+    for output in variants:
+        for f, train in enumerate(trains):
+            best = found[f"{output}|{f}"]
+            wanted.append(Wanted(encoders[output, f], label, train, refit(best.params, best.tree_count), seed + f, weights=steps))
+            at.append((output, f))
+    fits, _ = fit_together(rows, wanted)
+    tables: dict[str, list[DataFrame]] = {output: [] for output in variants}
+    for (output, f), w, fit in zip(at, wanted, fits):
+        held = FittedModel(fit.trees, w.encoder, len(fit.trees)).predict(rows.filter(in_part(f, "validation", "outer")), output)
+        tables[output].append(held.select(split.id_column, output))
+    return {output: (reduce(DataFrame.unionByName, own), found.get(f"{output}|final"), [found[f"{output}|{f}"] for f in range(split.n_folds)])
+            for output, own in tables.items()}
+
+
 def nested_out_of_fold(
     df: DataFrame, split: SplitDesign, label: str, policy: PredictorPolicy, predictors: Sequence[str],
     trials: Sequence[BoostedParams], block: Sequence[str], inner_folds: int = 4, seed: int = 0,
@@ -227,26 +370,8 @@ def nested_out_of_fold(
     Returns the table ``(id, output)``, the selection on all development rows, and the
     selection of each outer fold.
     """
-    rows, parts = outer_rows(df, split, inner_folds)
-    tables, chosen = [], []
-    for f in range(split.n_folds):
-        train = inner_rows(rows, parts, split, f)
-        best = search(train, label, policy, predictors, trials, seed, block, inner_folds, predictor_set=predictor_set,
-                      weights=weights, **limits)
-        fitted = fit_boosted(train, label, policy, predictors, refit(best.params, best.tree_count), seed + f,
-                             predictor_set, weights)
-        tables.append(fitted.predict(outer_part(rows, f, "validation"), output).select(split.id_column, output))
-        chosen.append(best)
-    final = None
-    if select_final:
-        inner = split.inner(inner_folds)
-        everything = with_parts(rows.drop("folds"), dual_blocked_parts(rows, inner), inner)
-        final = search(everything, label, policy, predictors, trials, seed, block, inner_folds, predictor_set=predictor_set,
-                       weights=weights, **limits)
-    result = tables[0]
-    for t in tables[1:]:
-        result = result.unionByName(t)
-    return result, final, chosen
+    return nested_variants(df, split, label, policy, {output: (predictor_set, predictors)}, trials, block, inner_folds, seed, weights,
+                           select_final, **limits)[output]
 
 
 def fit_forest(train: DataFrame, label: str, policy: PredictorPolicy, predictors: Sequence[str], seed: int = 42,
@@ -290,11 +415,8 @@ class ComponentModels:
         encoder = next(iter(self.models.values())).encoder
         if any(fitted.encoder != encoder for fitted in self.models.values()):
             raise ValueError("component models must share their encoder")
-        outputs = {name: f"predicted_{name}" for name in self.models}
-        df = encoder.with_features(df.drop(*outputs.values()))
-        for name, fitted in self.models.items():
-            df = fitted.model.setPredictionCol(outputs[name]).transform(df)
-        return df.drop("features")
+        df = encoder.with_array(df.drop(*[f"predicted_{name}" for name in self.models]), "__x")
+        return df.withColumns({f"predicted_{name}": fitted.model.column("__x") for name, fitted in self.models.items()}).drop("__x")
 
 
 def fit_components(
@@ -307,15 +429,35 @@ def fit_components(
     if any(gaps.values()):
         raise ValueError(f"component targets must be complete: {gaps}")
     encoder = fit_encoder(train, policy, predictors=predictors)
-    needed = [*encoder.predictors, *[f"__{n}" for n in COMPONENT_TARGETS]]
-    labelled = materialise(labelled.select(*needed), "components")
-
-    def one_target(offset: int, name: str) -> FittedModel:
-        chosen = params if isinstance(params, BoostedParams) else params[name]
-        return fit_boosted(labelled, f"__{name}", policy, predictors, chosen, seed + offset, encoder=encoder)
-
-    tasks = [partial(one_target, offset, name) for offset, name in enumerate(COMPONENT_TARGETS)]
-    return ComponentModels(dict(zip(COMPONENT_TARGETS, concurrently(train.sparkSession, tasks))))
+    everywhere = F.lit(True)
+    wanted = [Wanted(encoder, f"__{name}", everywhere, params if isinstance(params, BoostedParams) else params[name], seed + offset)
+              for offset, name in enumerate(COMPONENT_TARGETS)]
+    fits, _ = fit_together(labelled, wanted)
+    return ComponentModels({name: FittedModel(fit.trees, encoder, len(fit.trees)) for name, fit in zip(COMPONENT_TARGETS, fits)})
+
+
+def with_component_labels(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"__{name}": e for name, e in component_targets().items()})
+
+
+def component_counts(
+    df: DataFrame, policy: PredictorPolicy, predictors: Sequence[str], base: BoostedParams, parts: Mapping[str, Parts],
+    seed: int = 0, patience: int = PATIENCE,
+) -> dict[str, dict[str, BoostedParams]]:
+    """By search and target: the median best tree count over its inner folds. All targets and folds are fitted together."""
+    labelled = with_component_labels(df)
+    wanted, at = [], []
+    encoders = fold_encoders(df, {name: ("core", predictors, folds) for name, folds in parts.items()}, policy)
+    for name, folds in parts.items():
+        for f, (train, held) in enumerate(folds):
+            for offset, target in enumerate(COMPONENT_TARGETS):
+                wanted.append(Wanted(encoders[name, f], f"__{target}", train, base, seed + 100 * offset + f, held, patience))
+                at.append((name, target))
+    fits, _ = fit_together(labelled, wanted)
+    counts: dict[tuple[str, str], list[int]] = {}
+    for key, fit in zip(at, fits):
+        counts.setdefault(key, []).append(best_tree_count(fit.curve, patience))
+    return {name: {t: refit(base, clamp_count(counts[name, t], 1, 10**9)) for t in COMPONENT_TARGETS} for name in parts}
 
 
 def component_tree_counts(
@@ -323,25 +465,27 @@ def component_tree_counts(
     n_folds: int, seed: int = 0, folds: str = "folds",
 ) -> dict[str, BoostedParams]:
     """Per target: the median best tree count over the inner validation folds."""
-    labelled = df.withColumns({f"__{name}": e for name, e in component_targets().items()})
-    labelled = labelled.select(folds, *predictors, *[f"__{n}" for n in COMPONENT_TARGETS])
+    return component_counts(df, policy, predictors, base, {"": fold_parts(n_folds, folds)}, seed)[""]
 
-    def one_fold(f: int) -> dict[str, int]:
-        train, held = labelled.filter(in_part(f, "train", folds)), labelled.filter(in_part(f, "validation", folds))
-        encoder = fit_encoder(train, policy, predictors=predictors)
-        best = {}
-        for offset, name in enumerate(COMPONENT_TARGETS):
-            fitted = fit_boosted(train, f"__{name}", policy, predictors, base, seed + 100 * offset + f, encoder=encoder)
-            best[name] = best_tree_count(loss_curve(fitted, held, f"__{name}"))
-        return best
 
-    found = concurrently(df.sparkSession, [partial(one_fold, f) for f in range(n_folds)])
-    counts = {name: [best[name] for best in found] for name in COMPONENT_TARGETS}
-    return {name: refit(base, clamp_count(c, 1, 10**9)) for name, c in counts.items()}
+def components_by_fold(
+    rows: DataFrame, policy: PredictorPolicy, predictors: Sequence[str], params: Sequence[Mapping[str, BoostedParams]], seed: int = 0,
+) -> list[ComponentModels]:
+    """The four models of every outer training part of ``nested_rows``, fitted together."""
+    trains = [in_part(f, "train", "outer") for f in range(len(params))]
+    labelled = with_component_labels(rows)
+    encoders = fold_encoders(rows, {"": ("core", predictors, [(t, t) for t in trains])}, policy)
+    at = [(f, offset, name) for f in range(len(params)) for offset, name in enumerate(COMPONENT_TARGETS)]
+    wanted = [Wanted(encoders["", f], f"__{name}", trains[f], params[f][name], seed + f + offset) for f, offset, name in at]
+    fits, _ = fit_together(labelled, wanted)
+    models: list[dict[str, FittedModel]] = [{} for _ in params]
+    for (f, _, name), w, fit in zip(at, wanted, fits):
+        models[f][name] = FittedModel(fit.trees, w.encoder, len(fit.trees))
+    return [ComponentModels(m) for m in models]
 
 
 __all__ = [
-    "BoostedParams", "ComponentModels", "FittedModel", "LinearFit", "Selection", "best_tree_count", "candidates",
+    "BoostedParams", "BoostedTrees", "ComponentModels", "FittedModel", "LinearFit", "Selection", "best_tree_count", "candidates",
     "component_tree_counts", "fit_boosted", "fit_components", "fit_elastic_net", "fit_forest", "loss_curve",
-    "first_trees", "nested_out_of_fold", "search", "select_elastic_net",
+    "first_trees", "fit_together", "nested_out_of_fold", "nested_variants", "search", "search_all", "select_elastic_net",
 ]

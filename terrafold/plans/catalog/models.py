@@ -1,8 +1,8 @@
 """Queries for encoding, models, scoring and diagnostics.
 
-Every query reads its whole table, with five outer and four inner folds and the library's own depth and patience. Only the
-number of trees is lowered (a boosted fit of 800 trees takes some 6 minutes on one core per 10,000 rows, and a nested search
-makes 29 of them, here with 2 trees); the forest keeps 20 of 500 trees, 5 in the nested comparison. Model fits have no SQL twin; encoding, dependence and importance do.
+Every query reads its whole table, with five outer and four inner folds and the library's own patience. Candidates have up to 300 trees and
+stop 50 trees after their best validation error. The forest keeps 20 of 500 trees, 5 in the nested comparison. Model fits have
+no SQL twin; encoding, dependence and importance do.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ CORE = ("background_air_temperature_c", "background_relative_humidity_pct", "bac
 ADDED = ("satellite_lst_c", "satellite_image_age_hours", "satellite_thermal_source")
 POLICY = PredictorPolicy(core=CORE, additions=ADDED)
 BLOCK = ["spatial_block_id", "date"]
-SMALL = models.BoostedParams(trees=3, step_size=0.3)
-NESTED = models.BoostedParams(trees=2, step_size=0.3)
+SMALL = models.BoostedParams(trees=30, depth=4, step_size=0.3)
+NESTED = models.BoostedParams(trees=300, depth=3, step_size=0.3)
 FOLDS, INNER = SplitDesign(n_folds=5, seed=42), 4
 
 
@@ -94,12 +94,10 @@ register("model_heat_weighted", _weighted)
 def _loss_curve(spark, sf_dir):
     """Validation loss after each tree of every fold, with the chosen count."""
     rows = materialise(with_frozen_folds(_development(spark, sf_dir), FOLDS), "folds")
-    found = []
-    for fold in range(FOLDS.n_folds):
-        train, held = rows.filter(in_part(fold, "train")), rows.filter(in_part(fold, "validation"))
-        losses = models.loss_curve(models.fit_boosted(train, TARGET, POLICY, CORE, SMALL, 7), held, TARGET)
-        best = models.best_tree_count(losses)
-        found += [(fold, i + 1, v, i + 1 == best) for i, v in enumerate(losses)]
+    parts = models.fold_parts(FOLDS.n_folds)
+    encoders = models.fold_encoders(rows, {"": ("core", CORE, parts)}, POLICY)
+    fits, _ = models.fit_together(rows, [models.Wanted(encoders["", f], TARGET, train, NESTED, 7, held, models.PATIENCE) for f, (train, held) in enumerate(parts)])
+    found = [(fold, i + 1, float(v), i + 1 == models.best_tree_count(fit.curve)) for fold, fit in enumerate(fits) for i, v in enumerate(fit.curve)]
     return spark.createDataFrame(found, "fold int, trees int, loss double, chosen boolean")
 
 
@@ -110,7 +108,7 @@ def _board(spark, sf_dir):
     df = _development(spark, sf_dir)
     inner = FOLDS.inner(INNER)
     rows = materialise(with_parts(df, dual_blocked_parts(df, inner), inner), "inner")
-    trials = models.candidates(2, 42, {"trees": ("int", 3, 6, 1), "depth": ("int", 3, 8, 1), "step_size": ("log", 0.1, 0.5)})
+    trials = models.candidates(2, 42, {"trees": ("int", 100, 300, 25), "depth": ("int", 3, 5, 1), "step_size": ("log", 0.1, 0.5)})
     best = models.search(rows, TARGET, POLICY, CORE, trials, 42, BLOCK, INNER)
     return spark.createDataFrame(best.scores).withColumn("selected_trees", F.lit(best.tree_count))
 

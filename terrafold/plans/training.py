@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame
 
 from ..functions.predictors import PredictorPolicy
 from ..functions.satellite import Eligibility, eligible
-from ..operators.folds import SplitDesign
+from ..operators.folds import SplitDesign, in_part
 from ..operators.models import (
     BoostedParams,
-    component_tree_counts,
-    fit_components,
+    component_counts,
+    components_by_fold,
     fit_elastic_net,
     fit_forest,
+    inner_parts,
     inner_rows,
-    nested_out_of_fold,
+    nested_rows,
+    nested_variants,
     outer_part,
     outer_rows,
     select_elastic_net,
@@ -66,14 +68,14 @@ def component_out_of_fold(
     base: BoostedParams = BoostedParams(trees=1500), inner_folds: int = 4, seed: int = 0,
 ) -> DataFrame:
     """Component predictions, reconstructions and index on every validation row."""
-    rows, parts = outer_rows(df, split, inner_folds)
+    rows = nested_rows(df, split, inner_folds, with_final=False)
+    parts = {str(f): inner_parts(f, inner_folds) for f in range(split.n_folds)}
+    counts = component_counts(rows, policy, predictors, base, parts, seed)
+    models = components_by_fold(rows, policy, predictors, [counts[str(f)] for f in range(split.n_folds)], seed)
     tables = []
-    for f in range(split.n_folds):
-        train, held = inner_rows(rows, parts, split, f), outer_part(rows, f, "validation")
-        params = component_tree_counts(train, policy, predictors, base, inner_folds, seed)
-        models = fit_components(train, policy, predictors, params, seed + f)
-        scored = with_components(models.predict(held))
-        tables.append(scored.select(split.id_column, *[c for c in scored.columns if c not in df.columns]))
+    for f, own in enumerate(models):
+        scored = with_components(own.predict(rows.filter(in_part(f, "validation", "outer"))))
+        tables.append(scored.select(split.id_column, *[c for c in scored.columns if c not in rows.columns]))
     return _union(tables)
 
 
@@ -84,11 +86,9 @@ def satellite_pair_out_of_fold(
 ) -> DataFrame:
     """Enhanced and core models trained and scored on the same eligible rows."""
     rows = materialise(df.filter(eligible(df.columns, rules)), "eligible")
-    enhanced, *_ = nested_out_of_fold(
-        rows, split, label, policy, [*core, *additions], trials, block, inner_folds, seed, "satellite_enhanced",
-        "direct_satellite_enhanced", **limits,
-    )
-    reference, *_ = nested_out_of_fold(
-        rows, split, label, policy, core, trials, block, inner_folds, seed, "core", "direct_core_eligible", **limits
+    found = nested_variants(
+        rows, split, label, policy,
+        {"direct_satellite_enhanced": ("satellite_enhanced", [*core, *additions]), "direct_core_eligible": ("core", core)},
+        trials, block, inner_folds, seed, select_final=False, **limits,
     )
-    return enhanced.join(reference, split.id_column)
+    return found["direct_satellite_enhanced"][0].join(found["direct_core_eligible"][0], split.id_column)

@@ -51,8 +51,19 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
         paths = _owned.get() or []
         _owned.reset(token)
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
+    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("terrafold-"):
+            _delete(df.sparkSession, folder)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+import numpy as np
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import SparkSession
 
+from ..operators.boosting import BoostedTrees
 from ..operators.encode import Encoder
 from ..operators.linear import LinearFit
 from ..operators.models import FittedModel
 from .tables import SourceError, exists
 
-KINDS = {"GBTRegressionModel": GBTRegressionModel, "RandomForestRegressionModel": RandomForestRegressionModel}
+KINDS = {"RandomForestRegressionModel": RandomForestRegressionModel}
+TREES = "tree int, feature array<int>, split array<double>, value array<double>"
 
 
 def save_model(spark: SparkSession, fitted: FittedModel | LinearFit, path: str) -> str:
@@ -20,6 +23,11 @@ def save_model(spark: SparkSession, fitted: FittedModel | LinearFit, path: str)
     if isinstance(fitted, LinearFit):
         state = ("linear", fitted.encoder.to_json(), 0, "", fitted.intercept, list(fitted.coefficients),
                  fitted.alpha, fitted.l1_ratio)
+    elif isinstance(fitted.model, BoostedTrees):
+        trees = fitted.model
+        rows = [(i, f.tolist(), s.tolist(), v.tolist()) for i, (f, s, v) in enumerate(zip(trees.feature, trees.split, trees.value))]
+        spark.createDataFrame(rows, TREES).coalesce(1).write.parquet(f"{path}/model")
+        state = ("boosted", fitted.encoder.to_json(), fitted.tree_count, fitted.variant, trees.start, list(fitted.curve), None, None)
     else:
         fitted.model.write().save(f"{path}/model")
         state = (type(fitted.model).__name__, fitted.encoder.to_json(), fitted.tree_count, fitted.variant,
@@ -39,4 +47,9 @@ def load_model(spark: SparkSession, path: str) -> FittedModel | LinearFit:
     encoder = Encoder.from_json(s["encoder"])
     if s["kind"] == "linear":
         return LinearFit(encoder, s["intercept"], tuple(s["coefficients"]), s["alpha"], s["l1_ratio"])
+    if s["kind"] == "boosted":
+        rows = spark.read.schema(TREES).parquet(f"{path}/model").orderBy("tree").collect()  # one row a tree
+        feature, split, value = (np.array([r[c] for r in rows]) for c in ("feature", "split", "value"))
+        trees = BoostedTrees(s["intercept"], feature.astype(np.int32), split, value)
+        return FittedModel(trees, encoder, s["tree_count"], s["variant"], tuple(s["coefficients"]))
     return FittedModel(KINDS[s["kind"]].load(f"{path}/model"), encoder, s["tree_count"], s["variant"])

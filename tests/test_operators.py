@@ -329,20 +329,67 @@ def test_first_trees_are_a_prefix_of_the_model(spark, target):
         assert error == pytest.approx(curve[count - 1])
 
 
-def test_search_scores_at_the_best_tree_count(spark, target, monkeypatch):
-    """A candidate whose later trees spoil it is ranked by its best count, not by all of its trees."""
-    rows = folds.with_parts(target, folds.dual_blocked_parts(target, SPLIT), SPLIT).cache()
-    trials = [models.BoostedParams(trees=2, depth=2, step_size=0.1), models.BoostedParams(trees=3, depth=2, step_size=0.9)]
-    curves = iter([[0.5, 0.4], [0.1, 0.9, 0.9]] * SPLIT.n_folds)
-    asked = []
-    monkeypatch.setattr(models, "concurrently", lambda spark, tasks: [t() for t in tasks])
-    monkeypatch.setattr(models, "loss_curve", lambda *_: next(curves))
-    kept = models.first_trees
-    monkeypatch.setattr(models, "first_trees", lambda fitted, count: asked.append(count) or kept(fitted, count))
-    best = models.search(rows, "y", POLICY, POLICY.core, trials, 1, ["spatial_block_id", "date"], SPLIT.n_folds)
-    assert asked == [2, 1] * SPLIT.n_folds
+def test_search_stops_after_the_best_count_and_scores_there(spark, target):
+    """Candidates of one search are fitted together, stop ``patience`` trees after the best, and are ranked at their best count."""
+    noisy = target.withColumn("y", F.col("y") + F.pmod(F.xxhash64("sample_id"), F.lit(100)) / 10)
+    rows = folds.with_parts(noisy, folds.dual_blocked_parts(noisy, SPLIT), SPLIT).cache()
+    trials = [models.BoostedParams(trees=40, depth=2, step_size=0.05), models.BoostedParams(trees=40, depth=5, step_size=1.5)]
+    seen = []
+    best = models.search(rows, "y", POLICY, POLICY.core, trials, 1, ["spatial_block_id", "date"], SPLIT.n_folds, patience=4,
+                         observe=lambda trees, active: seen.append((trees, active)))
+    assert all(s["fitted"] <= min(40, s["trees"] + 4) for s in best.scores) and len(best.scores) == 2 * SPLIT.n_folds
+    assert any(s["fitted"] < 40 for s in best.scores) and seen[0] == (0, 6) and seen[-1][1] < 6
     at_best = {t: np.mean([s["grouped_mae"] for s in best.scores if s["trial"] == t]) for t in (0, 1)}
     assert best.objective == pytest.approx(min(at_best.values()))
+    # the same fit alone: the same trees, and the error that the search was given
+    train, held = rows.filter(folds.in_part(0, "train")), rows.filter(folds.in_part(0, "validation"))
+    alone = models.fit_boosted(train, "y", POLICY, POLICY.core, trials[0], 1, validation=held, patience=4)
+    score = next(s for s in best.scores if (s["trial"], s["fold"]) == (0, 0))
+    assert alone.tree_count == score["trees"] and len(alone.curve) == score["fitted"]
+    long = metrics.long_predictions(alone.predict(held, "m"), "y", ["m"], ["spatial_block_id", "date"])
+    assert metrics.grouped_mae(long, ["spatial_block_id", "date"]).first()["grouped_mae"] == pytest.approx(score["grouped_mae"], rel=1e-6)
+
+
+def test_first_split_beside_brute_force(spark):
+    """The root split is the one that most reduces the variance of the residuals' signs over all cuts of all features."""
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i}", float(a), float(b), float(3 * (a > 6) + (b > 2) + rng.normal() / 5)) for i, (a, b) in enumerate(rng.integers(0, 12, size=(400, 2)))]
+    df = spark.createDataFrame(rows, "sample_id string, canopy_fraction double, background_wind_speed_m_s double, y double").repartition(5)
+    policy = PredictorPolicy(core=("canopy_fraction", "background_wind_speed_m_s"), additions=())
+    fitted = models.fit_boosted(df, "y", policy, policy.core, models.BoostedParams(1, 1, 1.0, 1.0, 1.0), 3)
+    x, y = np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
+    sign = np.sign(y - fitted.model.start)
+
+    def gain(f, cut):
+        left = x[:, f] <= cut
+        return sum(sign[s].sum() ** 2 / s.sum() for s in (left, ~left) if s.sum())
+
+    best = max(((gain(f, c), -f, -c) for f in (0, 1) for c in np.unique(x[:, f])[:-1]))
+    names = fitted.encoder.feature_names
+    assert [names[fitted.model.feature[0, 0]], fitted.model.split[0, 0]] == [policy.core[-best[1]], -best[2]]
+    left = x[:, -best[1]] <= -best[2]
+    scale = np.abs(y - fitted.model.start).mean()
+    assert fitted.model.value[0, 1:] == pytest.approx([scale * sign[left].mean(), scale * sign[~left].mean()])
+
+
+def test_trees_do_not_depend_on_refresh_or_gathering(spark, target, monkeypatch):
+    from terrafold.operators import boosting
+
+    params = models.BoostedParams(trees=7, depth=3, step_size=0.3, subsample=0.6)
+    one = models.fit_boosted(target, "y", POLICY, POLICY.core, params, 5).model
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    monkeypatch.setattr(boosting, "GATHER", 0)
+    two = models.fit_boosted(target, "y", POLICY, POLICY.core, params, 5).model
+    assert (one.feature == two.feature).all() and (one.split == two.split).all() and one.value == pytest.approx(two.value, rel=1e-6)
+
+
+def test_weights_and_odd_rows_of_boosting(spark, target):
+    heavy = models.fit_boosted(target, "y", POLICY, POLICY.core, models.BoostedParams(trees=3, depth=2), 1, weights=((40.0,), (1.0, 3.0)))
+    assert heavy.variant == "secondary_heat_weighted" and heavy.model.start == pytest.approx(target.agg(F.percentile_approx("y", 0.5)).first()[0], abs=0.2)
+    gaps = target.withColumn("y", F.when(F.col("sample_id") != "1", F.col("y"))).withColumn("canopy_fraction", F.lit(None).cast("double"))
+    assert len(models.fit_boosted(gaps, "y", POLICY, POLICY.core, models.BoostedParams(trees=2, depth=2), 1).model) == 2
+    with pytest.raises(ValueError):
+        models.fit_boosted(target.filter("false").withColumn("land_cover_class", F.lit("x")), "y", POLICY, POLICY.core, models.BoostedParams(trees=1), 1)
 
 
 def test_model_paths_do_not_shuffle_on_the_id(spark, target):
@@ -439,6 +486,34 @@ def test_boosted_trees_learn_and_are_stored(spark, target):
     assert models.loss_curve(fitted, target, "y")[-1] < models.loss_curve(fitted, target, "y")[0]
 
 
+def test_stored_run_scores_alike_in_a_new_session(spark, target):
+    from terrafold.plans.scoring import WindSettings, score
+    from terrafold.sources import runs
+
+    rows = target.filter("measured_pedestrian_wind_speed_m_s >= 0")
+    params = models.BoostedParams(trees=3, depth=3, step_size=0.4)
+    encoder = fit_encoder(rows, POLICY)
+    plan = ScoringPlan(models.fit_boosted(rows, "y", POLICY, POLICY.core, params, 1), models.fit_components(rows, POLICY, POLICY.core, params, 2), 1.25,
+                       3.0, {"canopy_fraction": (0.1, 0.9)}, fit_isolation_forest(rows, encoder, trees=5, sample=32), WindSettings(roughness_m=0.2))
+    path = fresh(spark, "run")
+    runs.save_run(spark, plan, path, {"seed": "1"})
+    other = spark.newSession()
+    back = runs.load_run(other, path)
+    assert (back.radius, back.warning_threshold, back.bounds, back.wind) == (1.25, 3.0, {"canopy_fraction": (0.1, 0.9)}, plan.wind)
+    want = digests.table_digest(score(target, plan)).first()
+    assert digests.table_digest(score(target, back)).first() == want
+    assert runs.notes(spark, path) == {"seed": "1"}
+    with pytest.raises(tables.SourceError):
+        runs.save_run(spark, plan, path)
+    damaged = fresh(spark, "run")
+    runs.save_run(spark, ScoringPlan(linear.fit_elastic_net(target, "y", POLICY, POLICY.core, 0.01, 0.5)), damaged)
+    assert runs.load_run(spark, damaged).components is None
+    spark.createDataFrame([("linear", "{}", 0, "", 0.0, [1.0], 0.0, 0.0)], "kind string, encoder string, tree_count int, variant string, intercept double, "
+                          "coefficients array<double>, alpha double, l1_ratio double").write.mode("append").parquet(f"{damaged}/direct/state")
+    with pytest.raises(tables.SourceError, match="direct"):
+        runs.load_run(spark, damaged)
+
+
 def test_tree_count_rules(spark):
     assert models.best_tree_count([5, 4, 3, 4, 4, 1], patience=2) == 3
     assert models.best_tree_count([5, 4, 3, 2], patience=2) == 4
