@@ -15,7 +15,8 @@ threshold. Lines of fewer than ``min_words`` words stay; with ``EVERY_LINE`` onl
    their candidates.
 4. A class's cutoff is the earliest match or its own first line; every later line of the class goes.
 
-Rows with the same id are one document and treated alike; a null id comes last. A null text stays null with no line; an
+Rows of one id are told apart by their texts, and lines at one place of them by nothing, so neither of two equal ones goes for the other;
+rows equal in both are treated alike. A null id comes last. A null text stays null with no line; an
 empty text is one line that stays. An empty table gives no row. Other columns pass through unread.
 """
 
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .ngram_join import blocks, unpacked
+from .quality_rules import value_of
 from .shared import (SKETCH, arrow_batches, bitmap, id_bitmap, id_value, in_bitmap, partitions, perhaps, sketch_rows, sketch_slot, sketch_sum,
                      stored)
 
 THRESHOLD = 0.8
-MIN_WORDS = 5
+MIN_WORDS = 1
 #: ``min_words`` with which every line that has a word takes part.
 EVERY_LINE = 1
 #: Pairs compared at once in a task.
@@ -42,9 +44,9 @@ POSTING = np.dtype([("key", "<u4"), ("n", "<i4"), ("digest", "<i8"), ("low", "<u
                     ("place", "<u2")])
 
 
-def line_sets(ids: pa.Array, texts: pa.Array, min_words: int):
-    """Per slice: document ids, line numbers, token sets, bounds, digests of the lines that take part."""
-    value = id_value(ids)
+def line_sets(ids: pa.Array, texts: pa.Array, min_words: int, values: np.ndarray | None = None):
+    """Per slice: document ids (or other ``values`` of the rows), line numbers, token sets, bounds, digests of the lines that take part."""
+    value = id_value(ids) if values is None else values
     for a, b, data, bounds in W.slices(texts):
         edges, unit, number = W.line_bounds(data, bounds)
         found = W.words(data, edges)
@@ -57,20 +59,23 @@ def line_sets(ids: pa.Array, texts: pa.Array, min_words: int):
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """(digest, doc, line) of every line that takes part, and rows with a part: the token sketch."""
+    """(digest, doc, text, line) of every line that takes part, and rows with a part: the token sketch. ``text`` is the hash of the
+    row's text, which tells rows of one id apart."""
     def read(batches):
         counts = np.zeros(SKETCH, np.uint64)
         for batch in batches:
-            for doc, line, members, _, digest in line_sets(batch.column(0), batch.column(1), min_words):
+            ids, hashes = id_value(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
+            for row, line, members, _, digest in line_sets(batch.column(0), batch.column(1), min_words, np.arange(batch.num_rows)):
                 counts += np.bincount(sketch_slot(members), minlength=SKETCH).astype(np.uint64)
                 yield pa.RecordBatch.from_pydict({
-                    "digest": pa.array(digest.view(np.int64)), "doc": pa.array(doc), "line": pa.array(line.astype(np.int32)),
-                    "part": pa.nulls(len(doc), pa.int32()), "counts": pa.nulls(len(doc), pa.binary())})
+                    "digest": pa.array(digest.view(np.int64)), "doc": pa.array(ids[row]), "text": pa.array(hashes[row]),
+                    "line": pa.array(line.astype(np.int32)), "part": pa.nulls(len(row), pa.int32()), "counts": pa.nulls(len(row), pa.binary())})
         rows = sketch_rows(counts)
         none = pa.nulls(rows.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), *rows.columns], ["digest", "doc", "line", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none.cast(pa.int32()), *rows.columns], ["digest", "doc", "text", "line", "part", "counts"])
 
-    return docs.mapInArrow(read, "digest long, doc long, line int, part int, counts binary")
+    return (docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+            .mapInArrow(read, "digest long, doc long, text long, line int, part int, counts binary"))
 
 
 def may_link(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -275,13 +280,13 @@ def searched(docs: DataFrame, open_sets: DataFrame, min_words: int, threshold: f
 
 
 def removed_lines(docs: DataFrame, text: str, ids: str, threshold: float, min_words: int) -> DataFrame:
-    """(doc, removed): sorted numbers of the lines of a document that have an earlier match; only documents with such lines."""
+    """(doc, text, removed): sorted numbers of the lines of a row that have an earlier match; only rows with such lines."""
     spark = docs.sparkSession
     arrow_batches(spark)
     targets = 2 * partitions(spark)
     docs = docs.select(F.col(ids).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     read = stored(occurrences(docs, min_words))
-    lines = read.where("part is null").select("digest", "doc", "line")
+    lines = read.where("part is null").select("digest", "doc", "text", "line")
     rarity = spark.sparkContext.broadcast(sketch_sum(read.where("part is not null").select("part", "counts")))
     found = stored(earliest(posting_blocks(docs, min_words, threshold, rarity, targets), threshold, targets))
     wanted = spark.sparkContext.broadcast(bitmap(found.select(F.explode(F.array("x", "y")).alias("digest"))))
@@ -295,7 +300,7 @@ def removed_lines(docs: DataFrame, text: str, ids: str, threshold: float, min_wo
     cutoff = (own.join(near, "digest", "left").where("n > 1 or cutoff is not null")
               .select("digest", F.least("first", F.coalesce("cutoff", "first")).alias("cutoff")))
     return (lines.join(cutoff, "digest").where(F.struct("doc", "line") > F.col("cutoff"))
-            .groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed")))
+            .groupBy("doc", "text").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", ids: str = "doc_id", threshold: float = THRESHOLD,
@@ -309,8 +314,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", ids: str = "doc_id", thresh
             name = f"_{name}"
         return name
 
-    doc, lines = fresh("doc"), fresh("removed")
-    gone = gone.toDF(doc, lines)
+    doc, digest, lines = fresh("doc"), fresh("digest"), fresh("removed")
+    gone = gone.toDF(doc, digest, lines)
     split: Column = F.split(F.col(text), "\n", -1)
     none = F.array().cast("array<int>")
     # Only documents that may lose a line are shuffled; the others pass by.
@@ -319,11 +324,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", ids: str = "doc_id", thresh
     key_of = F.coalesce(F.col(ids).cast("long"), F.lit(int(np.iinfo(np.int64).max)))
     place, hit = fresh("place"), fresh("hit")
     told = docs.withColumn(place, key_of).withColumn(hit, perhaps(place, bits))
-    touched = told.where(F.col(hit)).join(gone.hint("merge"), F.col(place) == F.col(doc), "left")  # it grows with the corpus: no broadcast
-    passed = told.where(~F.col(hit)).withColumns({doc: F.lit(None).cast("long"), lines: F.lit(None).cast("array<int>")})
+    same = (F.col(place) == F.col(doc)) & (F.xxhash64(F.col(text).cast("string")) == F.col(digest))
+    touched = told.where(F.col(hit)).join(gone.hint("merge"), same, "left")  # it grows with the corpus: no broadcast
+    passed = told.where(~F.col(hit)).withColumns({doc: F.lit(None).cast("long"), digest: F.lit(None).cast("long"), lines: F.lit(None).cast("array<int>")})
     joined = touched.unionByName(passed)
     left = F.when(F.col(lines).isNull(), F.col(text)).otherwise(
-        F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col(lines), i)), "\n"))
+        value_of(split, lambda s: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.col(lines)), lambda i: F.get(s, i)), "\n")))
     kept = [left.alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", key)]
     return joined.select(*kept, F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
                          F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_removed"),
