@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_folder
+
 #: Counters of a sketch. Its size is fixed, so it may be sent to every task (8 bytes a counter) whatever the corpus holds.
 SKETCH = 1 << 20
 #: Rows that one table of a sketch is cut into for the sum.
@@ -23,12 +25,8 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); the session's own checkpoint folder or the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder in the one that the cluster's machines share; a cluster that names none is refused."""
+    return f"{work_folder(spark)}/llm-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -38,6 +36,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if path.rsplit("/", 1)[-1].startswith("llm-"):
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
