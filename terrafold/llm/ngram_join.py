@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .shared import (SKETCH, arrow_batches, components, id_bitmap, id_value, partitions, perhaps, sketch_rows, sketch_slot,
-                     sketch_sum, stored)
+                     release, sketch_sum, stored)
 
 K = 5
 THRESHOLD = 0.8
@@ -184,11 +184,15 @@ def first_groups(homes: DataFrame, chunk: int) -> DataFrame:
     return placed.select(F.col("shard").alias("group"), "digest").union(pivots)
 
 
-def second_groups(met: DataFrame, homes: DataFrame, components_of: DataFrame, chunk: int) -> DataFrame:
+def second_groups(met: DataFrame, homes: DataFrame, components_of: DataFrame, chunk: int, threshold: float) -> DataFrame:
     """(group, digest, known): pairs of chunks of classes that meet in a list but are not connected yet."""
     known = (homes.join(components_of.select(F.col("node").alias("digest"), "component"), "digest", "left")
              .withColumn("known", F.coalesce("component", "digest")).select("digest", "n", "home", "known"))
-    lists_of = met.select("list", "digest").join(known.select("digest", "known"), "digest")
+    # Linked sizes differ by the threshold at most, so they fall into one or two neighbouring classes of size; a list is cut into these.
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
+    cut = (met.select("list", "digest", F.explode(F.array(size, size + 1)).alias("size"))
+           .select(F.xxhash64("list", "size").alias("list"), "digest"))
+    lists_of = cut.join(known.select("digest", "known"), "digest")
     mixed = lists_of.groupBy("list").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("list")
     asked = stored(lists_of.join(mixed, "list"))
     left = known.join(asked.select("digest").distinct(), "digest")
@@ -203,7 +207,7 @@ def second_groups(met: DataFrame, homes: DataFrame, components_of: DataFrame, ch
             .select(F.xxhash64(F.least("shard", "o.shard"), F.greatest("shard", "o.shard")).alias("group"), "digest", "known").distinct())
 
 
-#: Postings up to which a heap merges the short lists; more are merged by counting in an array.
+#: Postings up to which a heap merges the short lists; more are merged by one sort of their concatenation.
 HEAP_POSTINGS = 256
 
 
@@ -212,9 +216,7 @@ def merged(lists: list) -> tuple[np.ndarray, np.ndarray]:
     if sum(map(len, lists)) <= HEAP_POSTINGS:
         found = [(doc, sum(1 for _ in run)) for doc, run in groupby(heapq.merge(*lists))]
         return np.array([d for d, _ in found], np.int64), np.array([c for _, c in found], np.int64)
-    count = np.bincount(np.concatenate([np.asarray(x, np.int64) for x in lists]))
-    doc = np.flatnonzero(count)
-    return doc, count[doc]
+    return np.unique(np.concatenate([np.asarray(x, np.int64) for x in lists]), return_counts=True)
 
 
 def divide_skip(lists: list, need: int, wanted=None) -> dict[int, int]:
@@ -358,13 +360,15 @@ def linked_components(docs: DataFrame, text: str = "text", ids: str = "doc_id",
     rarity = spark.sparkContext.broadcast(sketch_sum(read.where("part is not null").select("part", "counts")))
     sets = read.where("part is null").select("doc_id", "n_shingles", "digest")
     postings = prefix_blocks(docs, k, threshold, rarity, targets)
-    met = stored(meeting_often(stored(lists(postings, targets)), threshold))
+    listed = stored(lists(postings, targets))
+    met = stored(meeting_often(listed, threshold))
+    release(listed)
     homes = stored(class_homes(met))
     heads = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("head"))
     members = sets_to_search(docs, heads, homes, k)
     none = F.lit(None).cast("long").alias("known")
     edges = stored(search(first_groups(homes, chunk).select("group", "digest", none).join(members, "digest"), threshold, targets))
-    again = second_groups(met, homes, components(edges), chunk)
+    again = second_groups(met, homes, components(edges), chunk, threshold)
     edges = edges.union(search(again.join(members, "digest"), threshold, targets))
     named = (edges.join(heads.select(F.col("digest").alias("a"), F.col("head").alias("u")), "a")
              .join(heads.select(F.col("digest").alias("b"), F.col("head").alias("v")), "b").select("u", "v"))
