@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_batches, folder
+from .shared import arrow_batches, folder, stored
 
 #: Payloads of fewer bytes are always responses. 0: every equal payload is shared.
 SMALLEST = 0
@@ -67,11 +67,11 @@ def write_archive(pages: DataFrame, path: str, html: str = "html", ids: str = "p
     rows = pages.select(F.col(ids).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("key", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    by_key = keyed.groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("head"),
+    small = stored(keyed.select("page_id", "url", "key", "size", F.base64(F.unhex(F.sha1("payload"))).alias("sha1")))
+    by_key = small.groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("head"),
                                       F.min("size").alias("low"), F.max("size").alias("high"))
     by_key = by_key.select("key", F.when(F.col("low") == F.col("high"), F.col("head")).otherwise(
         F.raise_error(F.concat(F.lit("payloads of different length under digest "), F.col("key")))).alias("head"))
-    small = keyed.select("page_id", "url", "key", "size", F.base64(F.unhex(F.sha1("payload"))).alias("sha1"))
     joined = small.join(by_key, "key").select("page_id", "url", "key", "size", "sha1", F.col("head.page_id").alias("head"), F.col("head.url").alias("head_url"))
 
     def compose(batches):
@@ -87,11 +87,12 @@ def write_archive(pages: DataFrame, path: str, html: str = "html", ids: str = "p
 
     (joined.mapInArrow(compose, "page_id long, key string, warc binary, http binary")
      .write.parquet(f"{path}/headers"))
-    # One copy of each payload: the bytes of the response's page, whose key is its own.
-    # The page is part of the join key, which deals the copies of a frequent payload out.
-    heads = by_key.select(F.col("key").alias("head_key"), F.col("head.page_id").alias("head"))
-    first = keyed.join(heads, (F.col("key") == F.col("head_key")) & F.col("page_id").eqNullSafe(F.col("head")))
-    first.select("key", "payload").dropDuplicates(["key"]).write.parquet(f"{path}/payloads")
+    # One copy of each payload: the bytes of the response's page. Payloads are dealt out once, by key and page, which spreads
+    # the copies of a frequent payload and also brings the repeated rows of one page together.
+    slot = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
+    heads = by_key.select("key", F.coalesce(F.col("head.page_id").cast("string"), F.lit("-")).alias("slot"))
+    first = keyed.withColumn("slot", slot).select("key", "slot", "payload").join(heads, ["key", "slot"], "left_semi")
+    first.dropDuplicates(["key", "slot"]).select("key", "payload").write.parquet(f"{path}/payloads")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -152,11 +153,11 @@ def archive(pages: DataFrame, html: str = "html", ids: str = "page_id", url: str
     spark = pages.sparkSession
     path = path or folder(spark)
     write_archive(pages, path, html, ids, url, **settings)
-    read = read_archive(spark, path)
-    # WARC-Refers-To names a record; its page is the response of the same payload.
-    named = (spark.read.schema("page_id long, key string, warc binary, http binary").parquet(f"{path}/headers")
-             .where(F.instr(F.col("warc").cast("string"), "WARC-Type: response") > 0)
-             .groupBy("key").agg(F.min("page_id").alias("refers_to")))
-    return (read.join(named, "key", "left")
-            .select("page_id", "payload_bytes", "payload_digest", "record_type",
-                    F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to")))
+    read = stored(read_archive(spark, path))  # parsed fields only
+    # WARC-Refers-To names a record: the response of that name, which must hold the same payload.
+    named = (read.where("record_type = 'response'").groupBy("key", F.col("name").alias("refers"))
+             .agg(F.first("page_id").alias("target"), F.lit(True).alias("found")))
+    joined = read.join(named, ["key", "refers"], "left")
+    refers_to = F.when(F.col("record_type") == "revisit", F.when(F.col("found"), F.col("target")).otherwise(
+        F.raise_error(F.concat(F.lit("no response of the payload is named "), F.coalesce("refers", F.lit("null")))).cast("long")))
+    return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", refers_to.alias("refers_to"))
