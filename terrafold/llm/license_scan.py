@@ -130,7 +130,9 @@ def spans(scanned: DataFrame, templates, k: int, threshold: float, drift: int) -
               .agg(F.sum("votes").alias("votes"), F.min("lo").alias("first_word"), (F.max("hi") + k - 1).alias("last_word"),
                    F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats")))
     covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (k - 1))))))
-    verified = (merged.select("row", "template", "label", "first_word", "last_word", "votes", (covered / F.col("size")).alias("similarity"))
+    # Words of the template that stand in the span, over the longer of the two: inserted words count as well as missing ones.
+    longer = F.greatest(F.col("size"), F.col("last_word") - F.col("first_word") + 1)
+    verified = (merged.select("row", "template", "label", "first_word", "last_word", "votes", (covered / longer).alias("similarity"))
                 .where(F.col("similarity") >= threshold))
     # Of spans that overlap, those of the best template stay: versions of one licence differ in a word.
     place = Window.partitionBy("row").orderBy("first_word", "last_word", "template")
