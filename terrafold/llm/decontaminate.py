@@ -41,7 +41,7 @@ BLOCKS, BITS = 8, 8
 #: Bytes of item text in one block of the benchmark; a block is what a task holds. 16 MB of text make about 60 MB of index.
 BLOCK_BYTES = 16 << 20
 
-HITS = "doc_id long, item_id long, start long, length long, distance int, similarity double"
+HITS = "doc_id long, text_hash long, item_id long, start long, length long, distance int, similarity double"
 
 
 class Index(NamedTuple):
@@ -197,7 +197,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", ids: str = "
     """(HITS): for each row and item that contaminates it, the best window (first word, words)."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    rows = docs.select(F.col(ids).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # Rows of one id may differ: a row is told by its id and the hash of its text.
+    rows = docs.select(F.col(ids).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     out = None
     for block in benchmark_blocks(benchmark, item_text, item_ids):
         items = spark.sparkContext.broadcast(block)
@@ -209,7 +210,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", ids: str = "
             sieve = np.zeros(1 << 20, bool)
             sieve[(index.shingle >> np.uint64(44)).astype(np.int64)] = True
             for batch in batches:
-                doc = batch.column(0).to_pylist()
+                doc, text_hash = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 found_rows = []
                 for a, b, data, bounds in W.slices(batch.column(1)):
                     found = W.words(data, bounds)
@@ -224,9 +225,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", ids: str = "
                         own = W.Words(*(x[lo:hi] for x in found))
                         shingle, weight, _ = weighted(own, bounds)
                         for i, start, distance, value in matches(shingle, weight, index, by_size, threshold):
-                            found_rows.append((doc[a + unit], int(index.ids[i]), start, min(int(index.size[i]), len(own.hash)), distance, value))
+                            found_rows.append((doc[a + unit], text_hash[a + unit], int(index.ids[i]), start, min(int(index.size[i]), len(own.hash)), distance, value))
                 if found_rows:
-                    kinds = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
+                    kinds = [pa.int64()] * 5 + [pa.int32(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found_rows), kinds)],
                                                      [x.split()[0] for x in HITS.split(", ")])
 
@@ -238,11 +239,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", ids: str = "
 def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", ids: str = "doc_id", **settings) -> DataFrame:
     """One row per document id: doc_id, contaminated, item_ids (sorted), max_similarity, spans (item, start, length, similarity)."""
     found = (hits(docs, benchmark, text, ids, **settings)
-             .groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("max_similarity"),
-                                    F.array_sort(F.collect_set(F.struct("item_id", "start", "length", "similarity"))).alias("spans")))
-    every = docs.select(F.col(ids).cast("long").alias("doc_id"))
-    found = found.withColumnRenamed("doc_id", "hit_id")
-    return (every.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+             .groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
+             .agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("max_similarity"),
+                  F.array_sort(F.collect_set(F.struct("item_id", "start", "length", "similarity"))).alias("spans")))
+    every = docs.select(F.col(ids).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
+    return (every.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
             .select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"),
                     F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
                     F.coalesce("max_similarity", F.lit(0.0)).alias("max_similarity"), "spans"))
@@ -250,5 +251,6 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", ids: str =
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", ids: str = "doc_id", **settings) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, all columns."""
-    bad = hits(docs, benchmark, text, ids, **settings).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(bad, docs[ids].cast("long").eqNullSafe(bad["hit_id"]), "left_anti")
+    bad = hits(docs, benchmark, text, ids, **settings).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    same = docs[ids].cast("long").eqNullSafe(bad["hit_id"]) & (F.xxhash64(docs[text].cast("string")) == bad["hit_hash"])
+    return docs.join(bad, same, "left_anti")
