@@ -33,4 +33,26 @@ PAGES = (
     trouble this may cause.</div><article data-keep><h1>Trees</h1><p><b>Plant in autumn.</b> The ground is warm and wet then, and roots grow until the frost.
     </p><p>Water.</p><figure><figcaption>An old pear</figcaption></figure></article><div class=related><a href=/r1>Roses</a><p>More about roses, pruning
     and the right soil for a long summer of flowers</p></div><div class=social><a href=/f>Share</a></div></body>""",
+    # Articles that open or close the page, alone or nearly so.
+    """<p data-keep>A page may hold one paragraph and nothing else, and then that paragraph is what it has to say.</p>""",
+    """<div data-keep>Plain text without any markup around it, as old pages had it.</div>""",
+    """<div data-keep><h1>Salt</h1><p>Salt was carried over these hills on mules for six hundred years, and the paths are still there.</p></div>""",
+    """<div data-keep><p>The first snow fell in October and stayed.</p><p>Nobody had cut enough wood, so the school closed for a week and the
+    children carried logs from the edge of the forest.</p><p>It was a good week.</p></div><div><a href=/1>Older</a> <a href=/2>Newer</a> <a href=/3>All of them</a></div>""",
+    """<div><a href=/>Front</a> <a href=/w>Weather</a> <a href=/m>Markets</a> <a href=/o>Opinion pieces</a></div><div data-keep><h1>Rain again</h1>
+    <p>It rained for the ninth day and the lower road is under water.</p><p>Buses take the hill.</p><p>The mayor asks everybody to stay at home until Sunday, when
+    the river should fall below the second mark on the old bridge.</p></div>""",
+    """<article data-keep><p>Bees find their way by the sun.</p><p>See <a href=/b>the second part</a>.</p></article>""",
+    """<article data-keep><h1>Clocks</h1><p>Yes.</p><p>A clock with one hand tells the time well enough for bread.</p></article><ul><li><a href=/1>Sand glasses and their
+    makers</a></li><li><a href=/2>Sundials of the north</a></li><li><a href=/3>Why noon moved</a></li></ul>""",
+    """<ul><li><a href=/a>Bread</a></li><li><a href=/b>Cakes and tarts</a></li><li><a href=/c>Jam</a></li></ul><main data-keep><p>Flour, water, salt and a day of
+    waiting make bread.</p><p>Heat.</p><ul><li>Flour</li><li>Water</li></ul></main><p><a href=/top>Up to the start of this page</a></p>""",
+    # Links within a text, and lists of links between texts.
+    """<div data-keep><p>Read <a href=/x>the law</a> and <a href=/y>the comment of the court</a> before you sign anything, said the old judge.</p>
+    <p>He had signed <a href=/z>too early</a> once.</p></div><div><a href=/r>The law for tenants</a><br><a href=/s>The law for owners</a><br><a href=/t>Forms</a></div>
+    <div data-keep><p>He never rented a house again and lived on a boat that he had built himself from the doors of the court.</p></div>""",
+    """<table><tr><td><a href=/1>One</a></td><td><a href=/2>Two</a></td><td><a href=/3>Three</a></td></tr></table><div data-keep><h2>Numbers</h2><p>People counted on
+    fingers long before they wrote, and many still do when nobody looks.</p></div><p><a href=/p>Previous number</a> | <a href=/n>Next number</a></p>""",
+    """<div><p><a href=/in>Sign in</a></p></div><div data-keep><p>Wool holds warmth even when it is wet, which is why sailors wore it on all seas.</p><p>It also smells.</p></div>
+    <div><p><a href=/k>Knitting for beginners in ten steps</a></p><p><a href=/l>Linen, cotton and hemp: a comparison</a></p></div>""",
 )
