@@ -179,3 +179,9 @@ def test_components_of_chains_and_stars(spark):
     want = least_reachable(edges, {x for e in edges for x in e})
     out = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in out} == want
+
+
+def test_rows_of_one_id_lose_only_their_own_lines(spark):
+    rows = spark.createDataFrame([(1, "alpha beta gamma delta eps"), (2, "unique line one two three"), (2, "alpha beta gamma delta eps")], "doc_id long, text string")
+    out = line_dedup.dedup_lines(rows).select("doc_id", "text", "n_removed").collect()
+    assert sorted(map(tuple, out)) == [(1, "alpha beta gamma delta eps", 0), (2, "", 1), (2, "unique line one two three", 0)]

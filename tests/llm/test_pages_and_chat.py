@@ -154,3 +154,15 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     docs = docs.union(docs.where("doc_id = 3"))
     kept = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == [1, 3]
+
+
+def test_pages_without_a_telling_name(spark):
+    from terrafold.llm import html_extract
+
+    tree = html_extract.train_tree(spark)
+    first, last = "A text that opens the page and goes on for some words.", "Short end."
+    links = "<p><a href=1>One list of links</a></p><p><a href=2>Another link</a></p>"
+    assert html_extract.main_text(f"<p>{first}</p>", tree) == first
+    assert html_extract.main_text(f"<div><p>{first}</p><p>{last}</p></div>", tree) == f"{first}\n{last}"
+    assert html_extract.main_text(f"{links}<div><p>{first}</p><p>See <a href=3>this</a> in the third of our books.</p></div>{links}", tree) == (
+        f"{first}\nSee this in the third of our books.")

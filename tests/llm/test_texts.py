@@ -23,9 +23,11 @@ def weighted(w):
 
 def brute_items(text, items):
     w, found = words(text), set()
+    grams = {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
     for item, v in items:
         a = weighted(v)
-        for start in range(len(w) - len(v) + 1 if a else 0):
+        # a window without a gram of the item has similarity 0; a document shorter than the item is one window
+        for start in range(max(1, len(w) - len(v) + 1) if grams & set(a) else 0):
             b = weighted(w[start:start + len(v)])
             low = sum(min(a[g], b[g]) * sum(len(x.encode()) for x in g) for g in a)
             high = sum(max(a[g], b[g]) * sum(len(x.encode()) for x in g) for g in a | b)
@@ -65,6 +67,14 @@ def test_decontamination_of_documents_shorter_than_the_item(spark):
     assert decontaminate.clean(document_rows(spark, texts), benchmark).count() == 2
 
 
+def test_contamination_of_rows_that_share_an_id(spark):
+    benchmark = spark.createDataFrame([(1, prose(0, 30))], "item_id long, text string")
+    docs = spark.createDataFrame([(2, f"{prose(100, 9)} {prose(0, 30)}"), (2, prose(200)), (None, prose(0, 30)), (None, prose(300))], "doc_id long, text string")
+    out = decontaminate.report(docs, benchmark).select("doc_id", "contaminated").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(2, True), (2, False), (None, True), (None, False)], key=str)
+    assert {r.text for r in decontaminate.clean(docs, benchmark).collect()} == {prose(200), prose(300)}
+
+
 def test_hamming_blocks_find_all_within_radius():
     draw = np.random.default_rng(1)
     prints = draw.integers(0, 1 << 64, 300, dtype=np.uint64)
@@ -170,9 +180,8 @@ def test_words_encoded_apart_give_the_ids_of_the_whole():
 
     coder = packing.word_tokenizer(packing.byte_bpe_path())
     tokenizer = Tokenizer.from_file(packing.byte_bpe_path())
-    tokenizer.encode_special_tokens = True
     for text in ["don't  stop", " a b", "a b ", "a\nb c\n\n d", "x y z", "it's 's '", "I'll  we've\t'd o' clock", "é à 12 3.5 %% <|endoftext|> x", "a  b", "  a b"]:
-        whole = coder.tokenizer.encode(text, add_special_tokens=False).ids
+        whole = tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(coder.encode([text])[0], coder.kind).tolist() == whole, text
 
 
