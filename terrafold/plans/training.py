@@ -11,6 +11,7 @@ from ..functions.predictors import PredictorPolicy
 from ..functions.satellite import Eligibility, eligible
 from ..operators.folds import SplitDesign, in_part
 from ..operators.models import (
+    PATIENCE,
     BoostedParams,
     component_counts,
     components_by_fold,
@@ -65,12 +66,12 @@ def baseline_out_of_fold(
 
 def component_out_of_fold(
     df: DataFrame, split: SplitDesign, policy: PredictorPolicy, predictors: Sequence[str],
-    base: BoostedParams = BoostedParams(trees=1500), inner_folds: int = 4, seed: int = 0,
+    base: BoostedParams = BoostedParams(trees=1500), inner_folds: int = 4, seed: int = 0, patience: int = PATIENCE,
 ) -> DataFrame:
     """Component predictions, reconstructions and index on every validation row."""
     rows = nested_rows(df, split, inner_folds, with_final=False)
     parts = {str(f): inner_parts(f, inner_folds) for f in range(split.n_folds)}
-    counts = component_counts(rows, policy, predictors, base, parts, seed)
+    counts = component_counts(rows, policy, predictors, base, parts, seed, patience)
     models = components_by_fold(rows, policy, predictors, [counts[str(f)] for f in range(split.n_folds)], seed)
     tables = []
     for f, own in enumerate(models):
