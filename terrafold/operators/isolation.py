@@ -1,12 +1,11 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) as Spark jobs.
 
-Each tree is grown from at most 256 hash-chosen rows, one small group per tree. Scoring maps
-the trees, whose size depends only on the settings, over Arrow batches.
+Each tree is grown from at most 256 hash-chosen rows, one small group per tree. Scoring walks all
+trees, whose size depends only on the settings, at once over pieces of Arrow batches.
 """
 
 from __future__ import annotations
 
-
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +18,8 @@ from .encode import Encoder
 
 EULER_GAMMA = 0.5772156649015329
 OFFSET = -0.5
+#: Rows walked through all trees at once.
+SCORED_AT_ONCE = 512
 TREE_SCHEMA = "tree int, feature array<int>, split array<double>, left array<int>, right array<int>, size array<int>"
 
 
@@ -54,18 +55,49 @@ def grow(x: np.ndarray, seed: int) -> dict[str, list]:
     return nodes
 
 
-def path_lengths(x: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
-    """Depth at which each row is isolated, plus the expected rest of its leaf."""
-    node = np.zeros(len(x), dtype=int)
-    depth = np.zeros(len(x))
-    active = tree["feature"][node] >= 0
-    while active.any():
-        at = node[active]
-        below = x[active, tree["feature"][at]] <= tree["split"][at]
-        node[active] = np.where(below, tree["left"][at], tree["right"][at])
-        depth[active] += 1
-        active = tree["feature"][node] >= 0
-    return depth + mean_path(tree["size"][node])
+@dataclass(frozen=True)
+class Stack:
+    """The nodes of all trees in one set of arrays. A leaf is its own child, so every row walks the same number of steps."""
+
+    root: np.ndarray
+    feature: np.ndarray
+    split: np.ndarray
+    child: np.ndarray  # two a node: at most the split, above it
+    path: np.ndarray  # depth of a node and the expected rest below it
+    levels: int
+
+    def mean_depth(self, x: np.ndarray) -> np.ndarray:
+        """Path length of each row, averaged over the trees."""
+        out = np.empty(len(x))
+        width = x.shape[1]
+        for a in range(0, len(x), SCORED_AT_ONCE):
+            part = x[a:a + SCORED_AT_ONCE]
+            flat, base = part.ravel(), (np.arange(len(part), dtype=np.int32) * width)[:, None]
+            node = np.tile(self.root, (len(part), 1))
+            for _ in range(self.levels):
+                above = ~(flat[base + self.feature[node]] <= self.split[node])
+                node = self.child[2 * node + above]
+            out[a:a + SCORED_AT_ONCE] = self.path[node].mean(axis=1)
+        return out
+
+
+def stacked(trees: tuple[dict, ...]) -> Stack:
+    size = np.concatenate([np.asarray(t["size"]) for t in trees])
+    root = np.cumsum([0] + [len(t["size"]) for t in trees[:-1]]).astype(np.int32)
+    feature = np.concatenate([np.asarray(t["feature"], np.int32) for t in trees])
+    leaf = feature < 0
+    itself = np.arange(len(size), dtype=np.int32)
+    sides = [np.concatenate([np.asarray(t[side], np.int32) + o for t, o in zip(trees, root)]) for side in ("left", "right")]
+    child = np.stack([np.where(leaf, itself, x) for x in sides], axis=1)
+    depth = np.zeros(len(size))
+    level, levels = root, 0
+    while len(level := level[~leaf[level]]):
+        levels += 1
+        for side in (0, 1):
+            depth[child[level, side]] = levels
+        level = child[level].ravel()
+    split = np.where(leaf, np.inf, np.concatenate([np.asarray(t["split"], float) for t in trees]))
+    return Stack(root, np.maximum(feature, 0), split, child.ravel().astype(np.int32), depth + mean_path(size), levels)
 
 
 def tree_samples(df: DataFrame, n_rows: int, trees: int, sample: int, seed: int, id_column: str) -> DataFrame:
@@ -102,14 +134,13 @@ class IsolationForest:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``anomaly_score`` (negative is anomalous) and ``is_anomaly``."""
-        forest = [{k: np.asarray(v) for k, v in t.items()} for t in self.trees]
+        forest = stacked(self.trees)
         scale = float(mean_path(self.sample))
 
         @F.pandas_udf("double")
         def anomaly(x: pd.Series) -> pd.Series:
             rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1))
-            depth = sum(path_lengths(rows, t) for t in forest) / len(forest)
-            return pd.Series(-np.exp2(-depth / scale) - OFFSET)
+            return pd.Series(-np.exp2(-forest.mean_depth(rows) / scale) - OFFSET)
 
         scored = self.encoder.with_array(df, "__x").withColumn("anomaly_score", anomaly("__x"))
         return scored.drop("__x").withColumn("is_anomaly", F.col("anomaly_score") < 0)
@@ -131,5 +162,3 @@ def fit_isolation_forest(
     ordered = sorted(grown, key=lambda r: r["tree"])
     fitted = tuple({k: list(r[k]) for k in ("feature", "split", "left", "right", "size")} for r in ordered)
     return IsolationForest(encoder, fitted, min(sample, n))
-
-

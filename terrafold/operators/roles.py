@@ -159,16 +159,26 @@ def role_overlaps(df: DataFrame, split: SplitDesign, role_column: str = "split_r
     return counts.select("key_type", F.inline(F.array(*rows)))
 
 
+def _distinct_keys(split: SplitDesign, design: RoleDesign) -> tuple[Column, Column, Column]:
+    """Distinct sites, blocks and dates with a hot value."""
+    hot = number(design.target) >= design.hot_threshold_c
+    return (F.count_distinct(design.site_column), F.count_distinct(split.block_column),
+            F.count_distinct(F.when(hot, F.col(split.date_column).cast("string"))))
+
+
+def distinct_counts(df: DataFrame, split: SplitDesign, design: RoleDesign = RoleDesign(), role_column: str = "split_role") -> DataFrame:
+    """Per role: its distinct sites, blocks and hot dates."""
+    sites, blocks, hot_dates = _distinct_keys(split, design)
+    return df.groupBy(role_column).agg(sites.alias("sites"), blocks.alias("blocks"), hot_dates.alias("hot_dates"))
+
+
 def final_design(df: DataFrame, split: SplitDesign, design: RoleDesign = RoleDesign(), role_column: str = "split_role") -> DataFrame:
     """Checks of the final role as ``(requirement, observed, required, passed)``."""
     final = df.filter(F.col(role_column) == "final_test")
     hot = number(design.target) >= design.hot_threshold_c
     day = F.col(split.date_column).cast("string")
-    counts = final.agg(
-        F.count_distinct(design.site_column).alias("final_sites"),
-        F.count_distinct(split.block_column).alias("final_blocks"),
-        F.count_distinct(F.when(hot, day)).alias("hot_dates"),
-    )
+    sites, blocks, hot_dates = _distinct_keys(split, design)
+    counts = final.agg(sites.alias("final_sites"), blocks.alias("final_blocks"), hot_dates.alias("hot_dates"))
     minima = {"final_sites": design.minimum_sites, "final_blocks": design.minimum_sites, "hot_dates": design.minimum_hot}
     met = counts.select(
         F.inline(

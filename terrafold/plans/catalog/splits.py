@@ -256,9 +256,7 @@ register(
 )
 register(
     "role_distinct_counts",
-    lambda s, d: _supplied(s, d).groupBy("split_role").agg(
-        F.count_distinct("site_id").alias("sites"), F.count_distinct("spatial_block_id").alias("blocks"),
-        F.count_distinct(F.when(F.col("calculated_utci_c") >= 32, F.col("date"))).alias("hot_dates")),
+    lambda s, d: roles.distinct_counts(_supplied(s, d), SPLIT),
     f"{SUPPLIED} select split_role, count(distinct site_id) as sites, count(distinct block) as blocks, count(distinct day) filter "
     "(where calculated_utci_c >= 32) as hot_dates from sup group by 1",
 )
@@ -280,16 +278,23 @@ def _findings(spark, sf_dir):
     stored = materialise(manifest.create_manifest(df, SPLIT), "manifest")
     renamed = F.when(F.col("canopy_fraction") > 0.98, F.concat(F.lit("x"), F.col("sample_id"))).otherwise(F.col("sample_id"))
     moved = F.when(F.col("canopy_fraction") < 0.02, F.lit("2000-01-01")).otherwise(F.col("date"))
-    found = manifest.manifest_findings(stored, df.withColumns({"sample_id": renamed, "date": moved}), SPLIT)
-    return found.filter(~F.col("check_name").startswith("final_design"))
+    return manifest.manifest_findings(stored, df.withColumns({"sample_id": renamed, "date": moved}), SPLIT)
 
 
 register(
     "manifest_findings", _findings,
-    f"{OBS}, c as (select count(*) filter (where canopy_fraction > 98e-2) as r, count(*) filter (where canopy_fraction < 2e-2) as m from obs) "
+    # A renamed row has no measured value, so the final design is judged without it.
+    f"{ROLES}, c as (select count(*) filter (where canopy_fraction > 98e-2) as r, count(*) filter (where canopy_fraction < 2e-2) as m from obs), "
+    "f as (select * from assigned where split_role = 'final_test'), hd as (select distinct day from f where calculated_utci_c >= 32 and "
+    "coalesce(canopy_fraction, 0) <= 98e-2), others as (select * from assigned where split_role in ('development', 'calibration')) "
     "select 'left_duplicates' as check_name, 0 as failures from c union all select 'right_duplicates', 0 from c union all select 'left_only', r from c "
     "union all select 'right_only', r from c union all select 'differing_spatial_block_id', 0 from c union all select 'differing_date', m from c "
-    "union all select 'unknown_roles', 0 from c union all select 'keys_shared_by_roles', 0 from c union all select 'keys_shared_by_folds', 0 from c",
+    "union all select 'unknown_roles', 0 from c union all select 'keys_shared_by_roles', 0 from c union all select 'keys_shared_by_folds', 0 from c "
+    "union all select 'final_design_final_sites', case when count(distinct site_id) >= 4 then 0 else 1 end from f "
+    "union all select 'final_design_final_blocks', case when count(distinct block) >= 4 then 0 else 1 end from f "
+    "union all select 'final_design_hot_dates', case when count(*) >= 1 then 0 else 1 end from hd "
+    "union all select 'final_design_reused_final_sites', case when count(*) = 0 then 0 else 1 end from (select site_id from f intersect select site_id from others) "
+    "union all select 'final_design_partly_final_hot_dates', case when count(*) = 0 then 0 else 1 end from (select day from others intersect select day from hd)",
 )
 
 # --------------------------------------------------------------------------------- flagship

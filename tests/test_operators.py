@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from terrafold.functions.grid import with_blocks
 from terrafold.functions.predictors import PredictorPolicy
-from terrafold.operators import bootstrap, diagnostics, digests, folds, intervals, joins, linear, manifest, metrics, models, order_stats, quality, roles
+from terrafold.operators import (bootstrap, diagnostics, digests, folds, intervals, isolation, joins, linear, manifest, metrics, models, order_stats, quality,
+                                 roles)
 from terrafold.operators.encode import Encoder, EncodingError, fit_encoder
 from terrafold.operators.isolation import fit_isolation_forest, mean_path
 from terrafold.plans.evaluation import evaluate
@@ -533,6 +534,22 @@ def test_isolation_forest_finds_the_outlier(spark, target):
     assert mean_path(2) == 1.0 and mean_path(256) == pytest.approx(10.2448, abs=1e-3)
 
 
+def test_stacked_trees_give_the_path_of_each_tree():
+    draw = np.random.default_rng(3)
+    trees = tuple(isolation.grow(draw.normal(size=(n, 4)), n) for n in (1, 2, 40, 256))
+    x = draw.normal(size=(700, 4))
+
+    def walk(row, t):
+        node = depth = 0
+        while t["feature"][node] >= 0:
+            node = t["left" if row[t["feature"][node]] <= t["split"][node] else "right"][node]
+            depth += 1
+        return depth + float(mean_path(t["size"][node]))
+
+    want = [np.mean([walk(row, t) for t in trees]) for row in x]
+    assert isolation.stacked(trees).mean_depth(x) == pytest.approx(want)
+
+
 def test_partial_dependence_of_a_line(spark, target):
     curve = diagnostics.partial_dependence(target, "canopy_fraction", lambda d: d.withColumn("prediction", F.col("canopy_fraction") * 2), size=5)
     assert all(r.mean_prediction == pytest.approx(2 * r.value) for r in curve.collect()) and curve.count() == 5
