@@ -16,7 +16,8 @@ n words is one window.
 At 0.8 similarity two fingerprints differ in about 10 of 64 bits; the default radius of 20 keeps all but about one in a
 thousand of such windows, and the blocks still spare most comparisons.
 
-Items of fewer than 5 words have no shingle and match nothing. Null or empty texts are clean. Repeated rows and equal items
+An item of fewer than 5 words is one shingle, its whole sequence: it is found where its words stand consecutively. Items without a
+word match nothing. Null or empty texts are clean. Repeated rows and equal items
 each give their own result. An empty benchmark leaves every document clean; an empty table gives no row.
 """
 
@@ -54,12 +55,12 @@ class Index(NamedTuple):
     sets: list[tuple[np.ndarray, np.ndarray]]  # per item: distinct shingles, weights
 
 
-def weighted(found: W.Words, unit_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle, weight, first word) of all runs of K words within a unit."""
-    shingle = W.shingles(found.hash, K)
+def weighted(found: W.Words, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, weight, first word) of all runs of k words within a unit."""
+    shingle = W.shingles(found.hash, k)
     size = np.concatenate(([0], np.cumsum(found.end - found.start)))
-    weight = (size[K:] - size[:-K]) if len(shingle) else size[:0]
-    inside = found.unit[:len(shingle)] == found.unit[K - 1:] if len(shingle) else np.zeros(0, bool)
+    weight = (size[k:] - size[:-k]) if len(shingle) else size[:0]
+    inside = found.unit[:len(shingle)] == found.unit[k - 1:] if len(shingle) else np.zeros(0, bool)
     return shingle[inside], weight[inside], np.flatnonzero(inside)
 
 
@@ -95,12 +96,11 @@ def build(ids: list[int], texts: list[str]) -> Index:
     rows = []
     for a, b, data, bounds in W.slices(pa.array(texts, pa.string())):
         found = W.words(data, bounds)
-        shingle, weight, at = weighted(found, bounds)
-        unit = found.unit[at]
-        for i in range(b - a):
-            own = unit == i
-            if own.any():
-                rows.append((ids[a + i], int((found.unit == i).sum()), shingle[own], weight[own]))
+        edge = np.searchsorted(found.unit, np.arange(b - a + 1))
+        for i, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+            if hi > lo:
+                shingle, weight, _ = weighted(W.Words(*(x[lo:hi] for x in found)), min(K, hi - lo))
+                rows.append((ids[a + i], hi - lo, shingle, weight))
     rows.sort(key=lambda r: (r[1], r[0]))
     sets = [multiset(s, w) for _, _, s, w in rows]
     prints = [window_fingerprints(s, w, np.array([0]), len(s))[0] for _, _, s, w in rows]
@@ -144,24 +144,26 @@ class HammingBlocks:
         return out
 
 
-def matches(shingle: np.ndarray, weight: np.ndarray, index: Index, by_size: dict, threshold: float) -> list[tuple]:
+def matches(shingle: np.ndarray, weight: np.ndarray, index: Index, by_size: dict, threshold: float, k: int = K) -> list[tuple]:
     """(item position, start, distance, similarity) of the best window of each item found in one document's shingles.
 
-    The document's shingles are consecutive: the shingle at i is made of the words from i on.
+    The document's shingles are consecutive: the shingle at i is made of the k words from i on. Items of fewer than K words are met
+    by shingles of their own size only, the others by those of K words.
     """
     lo, hi = np.searchsorted(index.shingle, shingle, "left"), np.searchsorted(index.shingle, shingle, "right")
     starts: dict[int, set[int]] = {}
     for p in np.flatnonzero(hi > lo).tolist():
         for n in {int(index.size[i]) for i in index.item[lo[p]:hi[p]]}:
             # A document shorter than the window is one window itself.
-            starts.setdefault(n, set()).update(range(max(0, p - (n - K)), min(p, max(0, len(shingle) - (n - K + 1))) + 1))
+            if min(n, K) == k:
+                starts.setdefault(n, set()).update(range(max(0, p - (n - k)), min(p, max(0, len(shingle) - (n - k + 1))) + 1))
     best: dict[int, tuple] = {}
     for n, found in starts.items():
         begin = np.array(sorted(found), np.int64)
         if not len(begin):
             continue
         first, blocks_of = by_size[n]
-        span = min(n - K + 1, len(shingle))
+        span = min(n - k + 1, len(shingle))
         cuts = np.flatnonzero(np.diff(begin) > span) + 1
         for run in np.split(begin, cuts):  # only the stretch that the windows cover is summed
             lo_, hi_ = int(run[0]), int(run[-1]) + span
@@ -209,23 +211,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", ids: str = "
                        for n in np.unique(index.size)}
             sieve = np.zeros(1 << 20, bool)
             sieve[(index.shingle >> np.uint64(44)).astype(np.int64)] = True
+            lengths = np.unique(np.minimum(index.size, K)).tolist()
             for batch in batches:
                 doc, text_hash = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 found_rows = []
                 for a, b, data, bounds in W.slices(batch.column(1)):
                     found = W.words(data, bounds)
-                    every = W.shingles(found.hash, K)
-                    maybe = np.flatnonzero(sieve[(every >> np.uint64(44)).astype(np.int64)])
-                    if not len(index.shingle) or not len(maybe):
-                        continue
-                    at = np.minimum(np.searchsorted(index.shingle, every[maybe]), len(index.shingle) - 1)
-                    maybe = maybe[index.shingle[at] == every[maybe]]
-                    for unit in np.unique(found.unit[maybe]).tolist():
-                        lo, hi = np.searchsorted(found.unit, [unit, unit + 1])
-                        own = W.Words(*(x[lo:hi] for x in found))
-                        shingle, weight, _ = weighted(own, bounds)
-                        for i, start, distance, value in matches(shingle, weight, index, by_size, threshold):
-                            found_rows.append((doc[a + unit], text_hash[a + unit], int(index.ids[i]), start, min(int(index.size[i]), len(own.hash)), distance, value))
+                    for k in lengths:
+                        every = W.shingles(found.hash, k)
+                        maybe = np.flatnonzero(sieve[(every >> np.uint64(44)).astype(np.int64)])
+                        if not len(maybe):
+                            continue
+                        at = np.minimum(np.searchsorted(index.shingle, every[maybe]), len(index.shingle) - 1)
+                        maybe = maybe[index.shingle[at] == every[maybe]]
+                        for unit in np.unique(found.unit[maybe]).tolist():
+                            lo, hi = np.searchsorted(found.unit, [unit, unit + 1])
+                            own = W.Words(*(x[lo:hi] for x in found))
+                            shingle, weight, _ = weighted(own, k)
+                            for i, start, distance, value in matches(shingle, weight, index, by_size, threshold, k):
+                                found_rows.append((doc[a + unit], text_hash[a + unit], int(index.ids[i]), start, min(int(index.size[i]), len(own.hash)), distance, value))
                 if found_rows:
                     kinds = [pa.int64()] * 5 + [pa.int32(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found_rows), kinds)],

@@ -75,6 +75,16 @@ def test_contamination_of_rows_that_share_an_id(spark):
     assert {r.text for r in decontaminate.clean(docs, benchmark).collect()} == {prose(200), prose(300)}
 
 
+def test_items_shorter_than_a_shingle_match_their_whole_sequence(spark):
+    benchmark = spark.createDataFrame([(1, "Alpha beta, gamma DELTA"), (2, "omega psi"), (3, "omega psi"), (4, " \n "), (5, prose(0, 30))], "item_id long, text string")
+    texts = ["alpha beta, gamma delta", f"{prose(50)} ALPHA beta, gamma delta {prose(90)}", "alpha beta, gamma", "beta, gamma delta alpha", "omega\tpsi", "omega",
+             f"omega psi {prose(0, 30)}", "psi omega", f"{prose(200)} omega", "psi"]
+    out = {r.doc_id: r for r in decontaminate.report(document_rows(spark, texts), benchmark).collect()}
+    assert [out[i].item_ids for i in range(1, 11)] == [[1], [1], [], [], [2, 3], [], [2, 3, 5], [], [], []]
+    assert all(s.similarity == pytest.approx(1) for r in out.values() for s in r.spans or ())
+    assert [(s.item_id, s.start, s.length) for s in out[2].spans] == [(1, len(prose(50).split()), 4)]
+
+
 def test_hamming_blocks_find_all_within_radius():
     draw = np.random.default_rng(1)
     prints = draw.integers(0, 1 << 64, 300, dtype=np.uint64)
@@ -88,9 +98,9 @@ def test_hamming_blocks_find_all_within_radius():
 def test_decontamination_odd_rows(spark, odd, empty):
     benchmark = spark.createDataFrame([(1, prose(0)), (2, None), (3, ""), (4, "a b c d")], "item_id long, text string")
     rows = decontaminate.report(odd, benchmark).collect()
-    assert len(rows) == odd.count() and {r.doc_id for r in rows if r.contaminated} == {7, 8, 9}
+    assert len(rows) == odd.count() and {r.doc_id for r in rows if r.contaminated} == {7, 8, 9, 10}
     assert decontaminate.clean(odd, benchmark).columns == odd.columns
-    assert decontaminate.clean(odd, benchmark).count() == odd.count() - 4
+    assert decontaminate.clean(odd, benchmark).count() == odd.count() - 5
     assert decontaminate.report(empty, benchmark).count() == 0
     assert decontaminate.report(odd, benchmark.where("false")).where("contaminated").count() == 0
 
