@@ -3,10 +3,11 @@
 Features are hashed character n-grams (1 to 3) of the whole text, lower case, every run of other characters than letters as one
 space. Document frequencies are counted over all training rows in one scan. The weights are fitted by follow-the-regularised-leader
 (per-coordinate steps, L1 and L2 penalties, so most weights are exactly zero) on at most ``max_train`` labelled rows, those with the
-smallest hash of their id; the last fifth of them calibrates one temperature. Prediction is a scan: every whole text, any size.
+smallest hash of their id, and for each label the first ``per_label`` rows in that order, so a rare language is learned however large
+the table is. Every fifth row of a label calibrates the one temperature. Prediction is a scan: every whole text, any size.
 
-Bounds: the feature space (SLOTS counters) and the weights (SLOTS x languages) are of fixed size. Labels are the distinct values
-among the fitted rows.
+Bounds: the feature space (SLOTS counters) is of fixed size; the weights are SLOTS x languages. Labels are the distinct values among
+all training rows with a letter.
 
 Nulls and ties: a null text or one without a letter is ``und`` with score 0. A null label is not learned from. Equal scores go to
 the first label in sorted order. Without any training row everything is ``und``. Repeated rows are predicted alike. Other columns
@@ -15,18 +16,20 @@ are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_batches, sketch_rows, sketch_sum
+from .shared import arrow_batches, release, sketch_rows, sketch_sum, stored
 
 SLOTS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_TRAIN = 4000
+PER_LABEL = 50
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -130,7 +133,7 @@ def held_out(ids: Column) -> Column:
 
 
 def train(docs: DataFrame, text: str = "text", ids: str = "doc_id", lang: str = "lang", max_train: int = MAX_TRAIN,
-          alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-4, epochs: int = 4, seed: int = 7) -> Model:
+          per_label: int = PER_LABEL, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-4, epochs: int = 4, seed: int = 7) -> Model:
     spark = docs.sparkSession
     arrow_batches(spark)
     known = (docs.where(~held_out(F.col(ids)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -149,6 +152,10 @@ def train(docs: DataFrame, text: str = "text", ids: str = "doc_id", lang: str =
     idf = np.log((1.0 + rows_in_all) / (1.0 + counted[:SLOTS])) + 1.0
     hashed = known.withColumn("h", F.xxhash64("doc_id"))
     last = hashed.select("h").orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
+    # One number a language. The rank is cut before the shuffle, so a label of a third of all rows is no large group.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    lettered = hashed.where(F.col("text").rlike("\\p{L}")).select("lang", "h")
+    first = {r.lang: r.h for r in lettered.withColumn("place", place).where(F.col("place") <= per_label).groupBy("lang").agg(F.max("h").alias("h")).collect()}
 
     def sample(batches):
         for batch in batches:
@@ -161,19 +168,29 @@ def train(docs: DataFrame, text: str = "text", ids: str = "doc_id", lang: str =
 
     fitted = []
     if last is not None:
-        picked = hashed.where(F.col("h") <= last).select("h", "text", "lang").mapInArrow(
-            sample, "h long, slot binary, count binary, lang string").orderBy("h", "lang", "slot").limit(max_train).collect()
-        fitted = [r for r in picked if r.slot]
+        own = F.lit(None).cast("long") if not first else F.create_map(*[F.lit(x) for pair in sorted(first.items()) for x in pair])[F.col("lang")]
+        rows_of = stored(hashed.where((F.col("h") <= last) | F.coalesce(F.col("h") <= own, F.lit(False))).select("h", "text", "lang").mapInArrow(
+            sample, "h long, slot binary, count binary, lang string"))
+        general = rows_of.orderBy("h", "lang", "slot").limit(max_train)
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "slot"))
+        by_label = rows_of.withColumn("place", place).where(F.col("place") <= per_label).drop("place")
+        taken = {(r.h, r.lang, bytes(r.slot)): r for part in (general, by_label) for r in part.collect()}  # bounded by the two settings
+        fitted = [taken[k] for k in sorted(taken) if k[2]]
+        release(rows_of)
     labels = sorted({r.lang for r in fitted})
     rows = []
     for r in fitted:
         slot = np.frombuffer(bytes(r.slot), np.int32).astype(np.int64)
         rows.append((slot, vector(slot, np.frombuffer(bytes(r["count"]), np.int32), idf), labels.index(r.lang)))
-    cut = len(rows) - len(rows) // 5
-    weight, bias = (fit_ftrl(rows[:cut], len(labels), alpha, beta, l1, l2, epochs, seed) if rows
+    seen = Counter()
+    fit_on, held_back = [], []
+    for row in rows:
+        seen[row[2]] += 1
+        (fit_on if seen[row[2]] % 5 else held_back).append(row)
+    weight, bias = (fit_ftrl(fit_on, len(labels), alpha, beta, l1, l2, epochs, seed) if rows
                     else (np.zeros((SLOTS, 0), np.float32), np.zeros(0)))
-    logits = np.array([x @ weight[s] + bias for s, x, _ in rows[cut:]])
-    return Model(labels, idf, weight, bias, calibrate(logits, np.array([y for *_, y in rows[cut:]], np.int64)))
+    logits = np.array([x @ weight[s] + bias for s, x, _ in held_back])
+    return Model(labels, idf, weight, bias, calibrate(logits, np.array([y for *_, y in held_back], np.int64)))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", ids: str = "doc_id") -> DataFrame:
@@ -204,5 +221,3 @@ def predict(docs: DataFrame, model: Model, text: str = "text", ids: str = "doc_i
 
 def identify(docs: DataFrame, text: str = "text", ids: str = "doc_id", lang: str = "lang", **settings) -> DataFrame:
     return predict(docs, train(docs, text, ids, lang, **settings), text, ids)
-
-

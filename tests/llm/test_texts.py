@@ -126,6 +126,17 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert "xx" not in language_id.train(known).labels
 
 
+def test_a_rare_language_is_learned_beside_many_rows_of_others(spark):
+    rare = [f"żółć gęślą jaźń {'ąęś ' * (i % 4)}" for i in range(12)]
+    docs = document_rows(spark, [prose(i, 20) for i in range(400)]).selectExpr("doc_id", "text", "'en' as lang").union(
+        document_rows(spark, rare, 10_000).selectExpr("doc_id", "text", "'pl' as lang")).union(
+        document_rows(spark, ["...", None], 20_000).selectExpr("doc_id", "text", "'none' as lang"))
+    model = language_id.train(docs, max_train=20, per_label=6)
+    assert model.labels == ["en", "pl"]
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert all(found[10_000 + i] == "pl" for i in range(12)) and all(found[i + 1] == "en" for i in range(400))
+
+
 def test_language_odd_rows(spark, odd, empty):
     rows = language_id.identify(odd).collect()
     assert len(rows) == odd.count()
