@@ -117,6 +117,19 @@ def test_chat_perspectives(spark):
     assert chat_format.rotate(rows.where("false")).count() == 0
 
 
+def test_whole_dialogues_and_roles_with_marks(spark):
+    turns = [(1, i, "ann" if i % 2 else "b\no<|im_end|>b", f"t{i}") for i in range(200)] + [(1, None, "ann", "first")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = {r.speaker: r for r in chat_format.rotate(rows, block_turns=None).collect()}
+    assert set(out) == {"ann", "b\no<|im_end|>b"} and all(r.n_turns == 201 for r in out.values())
+    ann = out["ann"]
+    assert ann.rendered.startswith("<|im_start|>assistant\nfirst<|im_end|>\n<|im_start|>user name=b o< |im_end|>b\nt0<|im_end|>\n")
+    assert ann.rendered.count("<|im_end|>") == ann.rendered.count("<|im_start|>") == 201
+    assert [ann.rendered[int(a):int(b)] for a, b in (x.split("-") for x in ann.mask.split(","))] == [
+        f"{t}<|im_end|>" for t in ["first", *(f"t{i}" for i in range(1, 200, 2))]]
+    assert sum(r.n_turns for r in chat_format.rotate(rows, block_turns=16).where("speaker = 'ann'").collect()) == 201
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_twin(spark, sf_dir, name):
     assert difference(catalog.queries()[name](spark, sf_dir), connect(sf_dir), catalog.oracle_sql()[name]) is None
