@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import finite, number
 from ..functions.keys import stable_hash
-from .order_stats import column_quantiles, dense_index
+from .order_stats import columns_quantiles, dense_index
 
 ASSOCIATION_NOTE = "predictive association, not causation"
 
@@ -63,10 +63,10 @@ def extrapolation_count(columns: Sequence[str], bounds: Mapping[str, tuple[float
 def dependence_grid(df: DataFrame, feature: str, lower: float = 0.02, upper: float = 0.98, size: int = 30) -> list[float]:
     """Evenly spaced values between two exact quantiles of the finite values."""
     known = df.select(finite(feature).alias(feature))
-    low = column_quantiles(known, [feature], lower)[feature]
-    high = column_quantiles(known, [feature], upper)[feature]
-    if low is None or high is None:
+    ends = columns_quantiles(known, [feature], [lower, upper])[feature]
+    if ends is None:
         raise ValueError(f"{feature} has no finite values")
+    low, high = ends
     if size < 2:
         return [low]
     return [low + (high - low) * i / (size - 1) for i in range(size)]
@@ -107,29 +107,31 @@ def permutation_importance(
     """MAE increase when one column is shuffled: ``(feature, base_mae, shuffled_mae, importance)``.
 
     The shuffle is a seeded permutation: the i-th row by id takes the value of the i-th row
-    by hash, both numbered without a global window.
-    """
-
-    def mae(scored: DataFrame, name: str) -> DataFrame:
-        return scored.agg(F.avg(F.abs(finite(output) - finite(label))).alias(name))
+    by hash, both numbered without a global window. Rows without an id take no part.
 
+    A row meets its donor once, whatever the number of features. It is then repeated by a literal array, once
+    unchanged and once per feature with that column taken from the donor, so one prediction pass gives all errors.
+    """
+    features = list(features)
     keyed = df.withColumn("__h", stable_hash(id_column, seed, "permutation"))
     by_id = dense_index(keyed, id_column, "__slot")
     by_hash = dense_index(keyed, "__h", "__slot")
-    base = mae(predict(df), "base_mae").withColumn("one", F.lit(1))
-    out = None
-    for feature in features:
-        donors = keyed.select("__h", F.col(feature).alias("__value")).join(by_hash, "__h").select("__slot", "__value")
-        moved = df.join(by_id, id_column).join(donors, "__slot").withColumn(feature, F.col("__value"))
-        moved = moved.drop("__slot", "__value")
-        if recompute is not None:
-            moved = recompute(moved)
-        one = mae(predict(moved), "shuffled_mae").select(F.lit(feature).alias("feature"), "shuffled_mae")
-        out = one if out is None else out.unionByName(one)
-    joined = out.withColumn("one", F.lit(1)).join(F.broadcast(base), "one")  # base is one row
-    return joined.select(
-        "feature", "base_mae", "shuffled_mae", (F.col("shuffled_mae") - F.col("base_mae")).alias("importance")
-    )
+    given = [f"__v{i}" for i in range(len(features))]
+    donors = keyed.select("__h", *[F.col(c).alias(v) for c, v in zip(features, given)]).join(by_hash, "__h").drop("__h")
+    moved = df.join(by_id, id_column).join(donors, "__slot").drop("__slot")
+    moved = moved.withColumn("__moved", F.explode(F.array(*[F.lit(i) for i in range(-1, len(features))])))
+    moved = moved.withColumns(
+        {c: F.when(F.col("__moved") == i, F.col(v)).otherwise(F.col(c)) for i, (c, v) in enumerate(zip(features, given))}
+    ).drop(*given)
+    if recompute is not None:
+        moved = recompute(moved)
+    errors = predict(moved).groupBy("__moved").agg(F.avg(F.abs(finite(output) - finite(label))).alias("mae"))
+    # At most one row per feature from here on.
+    wide = errors.groupBy().agg(*[F.max(F.when(F.col("__moved") == i, F.col("mae"))).alias(f"m{i + 1}")
+                                  for i in range(-1, len(features))])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("m0").alias("base_mae"), F.col(f"m{i}").alias("shuffled_mae"))
+                     for i, c in enumerate(features, 1)])
+    return wide.select(F.inline(rows)).withColumn("importance", F.col("shuffled_mae") - F.col("base_mae"))
 
 
 def with_disagreement(df: DataFrame, direct: str, component: str, threshold: float | Column) -> DataFrame:

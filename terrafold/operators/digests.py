@@ -6,14 +6,22 @@ or partitioning, combine before the shuffle, and never gather rows in one task.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow.fs as fs
+from pyarrow import NativeFile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICES = 4
 DIGITS = 15
+PIECE_BYTES = 1 << 20
+#: Above this a file is not handed over whole by Spark's binary reader, which ends at 2 GB.
+READER_BYTES = 1 << 30
 
 
 def _value_text(value: Column, kind: str) -> Column:
@@ -46,30 +54,46 @@ def table_digest(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequ
     return sums.select(*keys, "n_rows", F.sha2(text, 256).alias("digest"))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
+def file_digests(spark: SparkSession, path: str, reader_bytes: int = READER_BYTES) -> DataFrame:
     """(path, length, digest) of each file: SHA-256 of its bytes.
 
-    Only names and lengths are listed on the driver. A file on a mounted file system is read by a task in pieces of a megabyte,
-    whatever its size; in another store Spark's binary reader hands the content over (up to its own limit of 2 GB a file).
+    Only names and lengths are listed on the driver. A file on a mounted file system, and one of more than
+    ``reader_bytes`` in any store that Arrow opens (HDFS, S3, GCS, Azure), is read by a task in pieces of a megabyte,
+    whatever its size. Smaller files of other stores come through Spark's binary reader, which needs no client library.
     """
     listed = spark.read.format("binaryFile").load(path)
-    files = [tuple(r) for r in listed.select("path", "length").collect()]  # names, no content
-    if not all(p.startswith("file:") for p, _ in files):
-        return listed.select("path", "length", F.sha2("content", 256).alias("digest"))
-    table = spark.createDataFrame(files, "path string, length long").repartition(max(1, len(files)))
-    return table.mapInPandas(_stream_digests, "path string, length long, digest string")
+    by_reader = ~F.col("path").startswith("file:") & (F.col("length") <= reader_bytes)
+    files = listed.select("path", "length", by_reader.alias("by_reader")).collect()  # names, no content
+    pieces = [(r["path"], r["length"]) for r in files if not r["by_reader"]]
+    # The reader lists files without content, but makes no rows of them.
+    named = {re.sub("^file:/+", "file:/", unquote(f)) for f in listed.inputFiles()}
+    empty = [(f, 0, hashlib.sha256(b"").hexdigest()) for f in sorted(named - {r["path"] for r in files})]
+    schema = "path string, length long, digest string"
+    out = listed.filter(by_reader).select("path", "length", F.sha2("content", 256).alias("digest"))
+    if pieces:
+        table = spark.createDataFrame(pieces, "path string, length long").repartition(len(pieces))
+        streamed = table.mapInPandas(_stream_digests, schema)
+        out = streamed if len(pieces) == len(files) else streamed.unionByName(out)
+    return out.unionByName(spark.createDataFrame(empty, schema)) if empty else out
+
+
+def open_stream(name: str) -> NativeFile:
+    """The bytes of a file by its full name, read in order. The name is no encoded URI: a percent sign stands for itself."""
+    store, place = name.split(":", 1)
+    if store == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + place.lstrip("/"), compression=None)
+    authority, _, rest = place.removeprefix("//").partition("/")
+    system, root = fs.FileSystem.from_uri(f"{'s3' if store == 's3a' else store}://{authority}/")
+    return system.open_input_stream(f"{root.rstrip('/')}/{rest}", compression=None)
 
 
 def _stream_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
-    from urllib.parse import unquote, urlparse
-
     for batch in batches:
         found = []
         for name in batch["path"]:
             digest = hashlib.sha256()
-            with open(unquote(urlparse(name).path), "rb") as file:
-                while piece := file.read(1 << 20):
+            with open_stream(name) as file:
+                while piece := file.read(PIECE_BYTES):
                     digest.update(piece)
             found.append(digest.hexdigest())
         yield batch.assign(digest=found)

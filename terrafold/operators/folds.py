@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import day_text, is_blank, stable_hash, time_group
-from ..session import join_lookup, materialise
+from ..session import join_lookup, materialise, new_folder
 
 INNER_SEED_OFFSET = 10_007
 
@@ -87,9 +87,8 @@ def assign_groups(
     """``(partition, group, fold)`` from ``(partition, group, rows)``, one record per group.
 
     The rule depends on the order of groups, so it runs over the *group* table only. That
-    table is cut along the hash order into chunks of bounded size; the fold totals that enter
-    a chunk are the only state carried from chunk to chunk, and once they are known all
-    chunks are assigned in parallel.
+    table is cut along the hash order into chunks of bounded size, written one folder a chunk. Each
+    chunk is read and assigned once; the fold totals that enter it are the only state carried on.
     """
     partition = list(partition)
     hashed = groups.filter(~is_blank("group")).withColumn("h", stable_hash("group", seed, salt))
@@ -119,17 +118,21 @@ def assign_groups(
         return table.select(*keys, "group", "rows", "h").groupBy(*keys).applyInPandas(one_chunk, f"{fields}, fold int")
 
     names = [tuple(s[p] for p in partition) for s in sizes]
-    start = {(*name, 0): [0] * n_folds for name in names}
-    if n_chunks > 1:
-        chunked = materialise(chunked, "groups")
-        for c in range(1, n_chunks):
-            before = run(chunked.filter(F.col("chunk") == c - 1), start)
-            gained = before.groupBy(*partition, "fold").agg(F.sum("rows").alias("rows")).collect()
-            for name in names:
-                start[(*name, c)] = list(start[(*name, c - 1)])
-            for g in gained:
-                start[(*(g[p] for p in partition), c)][g["fold"]] += g["rows"]
-    return run(chunked, start).select(*partition, "group", "fold")
+    totals = {name: [0] * n_folds for name in names}
+    if n_chunks == 1:
+        return run(chunked, {(*name, 0): t for name, t in totals.items()}).select(*partition, "group", "fold")
+    spark = groups.sparkSession
+    waiting, done = new_folder(spark, "chunks"), new_folder(spark, "folds")
+    chunked.repartition(*keys).write.partitionBy("chunk").parquet(waiting)
+    stored = spark.read.schema(chunked.schema).parquet(waiting)
+    for c in range(n_chunks):
+        assigned = run(stored.filter(F.col("chunk") == c), {(*name, c): t for name, t in totals.items()})
+        part = f"{done}/chunk={c}"
+        assigned.select(*partition, "group", "rows", "fold").write.parquet(part)
+        gained = spark.read.schema(assigned.drop("chunk", "h").schema).parquet(part)
+        for g in gained.groupBy(*partition, "fold").agg(F.sum("rows").alias("rows")).collect():  # one row a fold
+            totals[tuple(g[p] for p in partition)][g["fold"]] += g["rows"]
+    return spark.read.schema(assigned.drop("h").schema).parquet(done).select(*partition, "group", "fold")
 
 
 def balanced_folds(df: DataFrame, group: str, n_folds: int, seed: int, salt: str) -> DataFrame:

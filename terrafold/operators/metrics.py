@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import finite
 from ..functions.heat import CATEGORY_LABELS, RECALL_THRESHOLDS_C, heat_category
+from ..session import materialise
 from .order_stats import average_ranks
 
 
@@ -71,18 +72,22 @@ def regression_report(long: DataFrame, keys: Sequence[str] = ("model",), with_sp
 def spearman(long: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Rank correlation with mean ranks for ties; null if a side is constant.
 
-    Ranks come from value counts (see ``order_stats``). Rows are reduced to counted pairs
-    before they meet the ranks, and centred ranks keep the sums well conditioned.
+    The input is read once: its rows become counted (keys, truth, prediction) pairs in a written table. Both sides of
+    the pairs are ranked in one pass, the side being one more key. Centred ranks keep the sums well conditioned.
     """
     keys = list(keys)
-    rows = paired(long)
-    truth_ranks = average_ranks(rows, "truth", keys).select(
-        *keys, "truth", (F.col("avg_rank") - (F.col("n_total") + 1) / F.lit(2.0)).alias("rt")
+    pairs = materialise(paired(long).groupBy(*keys, "truth", "prediction").agg(F.count(F.lit(1)).alias("w")), "pairs")
+    sides = F.array(
+        F.struct(F.lit("t").alias("side"), _truth().alias("value")),
+        F.struct(F.lit("p").alias("side"), _prediction().alias("value")),
     )
-    prediction_ranks = average_ranks(rows, "prediction", keys).select(
-        *keys, "prediction", (F.col("avg_rank") - (F.col("n_total") + 1) / F.lit(2.0)).alias("rp")
+    ranks = average_ranks(pairs.select(*keys, "w", F.inline(sides)), "value", [*keys, "side"], F.col("w")).select(
+        *keys, "side", "value", (F.col("avg_rank") - (F.col("n_total") + 1) / F.lit(2.0)).alias("centred")
     )
-    pairs = rows.groupBy(*keys, "truth", "prediction").agg(F.count(F.lit(1)).alias("w"))
+    # Both joins read the ranks: written once they are a scan with a true size, not the windows again.
+    ranks = materialise(ranks, "ranks")
+    truth_ranks = ranks.filter("side = 't'").select(*keys, F.col("value").alias("truth"), F.col("centred").alias("rt"))
+    prediction_ranks = ranks.filter("side = 'p'").select(*keys, F.col("value").alias("prediction"), F.col("centred").alias("rp"))
     ranked = pairs.join(truth_ranks, [*keys, "truth"]).join(prediction_ranks, [*keys, "prediction"])
     w, rt, rp = F.col("w"), F.col("rt"), F.col("rp")
     sums = ranked.groupBy(*keys).agg(

@@ -49,9 +49,9 @@ def cumulative_counts(
     )
 
 
-def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rank of each distinct value, ties sharing their mean rank."""
-    return cumulative_counts(df, value, keys).withColumn(
+def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+    """Rank of each distinct value, ties sharing their mean rank; ``weight`` tells how many rows a row stands for."""
+    return cumulative_counts(df, value, keys, weight).withColumn(
         "avg_rank", F.col("cum") - (F.col("n") - 1) / F.lit(2.0)
     )
 
@@ -204,16 +204,24 @@ def selected_tree_count(counts: DataFrame, column: str, minimum: int = 1, maximu
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probability: float = 0.5, accuracy: int = 1000
 ) -> dict[str, float | None]:
-    """Exact linear-interpolated quantile of many numeric columns; None where all is missing.
+    """Exact linear-interpolated quantile of many numeric columns; None where all is missing."""
+    found = columns_quantiles(df, columns, [probability], accuracy)
+    return {c: None if q is None else q[0] for c, q in found.items()}
 
-    A sketch with a guaranteed rank error brackets each quantile, the rows below the bracket
-    are counted, and only values inside it (some 4/accuracy of the rows) are shuffled. The
-    result is two numbers per column.
+
+def columns_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 1000
+) -> dict[str, list[float] | None]:
+    """Exact linear-interpolated quantiles of many numeric columns, one per probability; None where all is missing.
+
+    A sketch with a guaranteed rank error brackets each quantile, the rows below the bracket are counted, and only
+    values inside it (some 4/accuracy of the rows) are shuffled. All probabilities share the three passes, and the
+    result is a few numbers per column.
     """
-    if not columns:
-        return {}
+    if not columns or not probabilities:
+        return {c: [] for c in columns}
     slack = 2.0 / accuracy
-    ends = F.array(F.lit(max(0.0, probability - slack)), F.lit(min(1.0, probability + slack)))
+    ends = F.array(*[F.lit(end) for p in probabilities for end in (max(0.0, p - slack), min(1.0, p + slack))])
     first = df.agg(
         *[F.percentile_approx(number(c), ends, accuracy).alias(f"e{i}") for i, c in enumerate(columns)],
         *[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(columns)],
@@ -221,28 +229,29 @@ def column_quantiles(
     known = [i for i in range(len(columns)) if first[f"n{i}"]]
     if not known:
         return dict.fromkeys(columns)
-    low = {i: first[f"e{i}"][0] for i in known}
-    high = {i: first[f"e{i}"][1] for i in known}
-    below = df.agg(*[F.count_if(number(columns[i]) < low[i]).alias(f"b{i}") for i in known]).first()
+    # A bracket is a column and a probability; its number tells both.
+    wide = len(probabilities)
+    bracket = {i * wide + j: (i, first[f"e{i}"][2 * j], first[f"e{i}"][2 * j + 1]) for i in known for j in range(wide)}
+    below = df.agg(*[F.count_if(number(columns[i]) < low).alias(f"b{b}") for b, (i, low, _) in bracket.items()]).first()
     entries = F.array_compact(
         F.array(*[
-            F.when(number(columns[i]).between(low[i], high[i]),
-                   F.struct(F.lit(i).alias("feature"), number(columns[i]).alias("value")))
-            for i in known
+            F.when(number(columns[i]).between(low, high), F.struct(F.lit(b).alias("bracket"), number(columns[i]).alias("value")))
+            for b, (i, low, high) in bracket.items()
         ])
     )
-    inside = cumulative_counts(df.select(F.inline(entries)), "value", ["feature"])
-    before = F.create_map(*[F.lit(v) for i in known for v in (i, below[f"b{i}"])])
-    size = F.create_map(*[F.lit(v) for i in known for v in (i, first[f"n{i}"])])
-    position = F.lit(probability) * (size[F.col("feature")] - 1)
-    reached = F.col("cum") + before[F.col("feature")]
-    picks = inside.groupBy("feature").agg(
+    inside = cumulative_counts(df.select(F.inline(entries)), "value", ["bracket"])
+    before = F.create_map(*[F.lit(v) for b in bracket for v in (b, below[f"b{b}"])])
+    place = F.create_map(*[F.lit(v) for b, (i, _, _) in bracket.items()
+                           for v in (b, float(probabilities[b % wide]) * (first[f"n{i}"] - 1))])
+    position = place[F.col("bracket")]
+    reached = F.col("cum") + before[F.col("bracket")]
+    picks = inside.groupBy("bracket").agg(
         F.min(F.when(reached >= F.floor(position) + 1, F.col("value"))).alias("low"),
         F.min(F.when(reached >= F.ceil(position) + 1, F.col("value"))).alias("high"),
         F.first(position - F.floor(position)).alias("part"),
-    ).collect()  # one row per column
-    found = {columns[r["feature"]]: r["low"] + (r["high"] - r["low"]) * r["part"] for r in picks}
-    return {c: found.get(c) for c in columns}
+    ).collect()  # one row per bracket
+    found = {r["bracket"]: r["low"] + (r["high"] - r["low"]) * r["part"] for r in picks}
+    return {c: [found[i * wide + j] for j in range(wide)] if i in known else None for i, c in enumerate(columns)}
 
 
 def disagreement_threshold(

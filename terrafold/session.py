@@ -72,12 +72,18 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     Unlike a cache this survives the loss of executors, and the file sizes give the
     planner a true estimate for the join strategy.
     """
-    path = f"{work_folder(df.sparkSession)}/terrafold-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a new intermediate table in the shared folder, for tables written part by part."""
+    path = f"{work_folder(spark)}/terrafold-{name}-{uuid.uuid4().hex}"
     owned = _owned.get()
     if owned is not None:
         owned.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,13 @@ def test_chunked_assignment_equals_one_chunk(spark):
     whole = {r.group: r.fold for r in folds.assign_groups(groups, 5, 7, "space").collect()}
     cut = {r.group: r.fold for r in folds.assign_groups(groups, 5, 7, "space", max_groups_per_task=60).collect()}
     assert whole == cut and len(set(whole.values())) == 5
+    # Every chunk is one folder of the written table, and the result reads the assigned chunks, not the groups.
+    files = folds.assign_groups(groups, 5, 7, "space", max_groups_per_task=60).inputFiles()
+    assert {f.rsplit("/", 2)[-2] for f in files} == {f"chunk={c}" for c in range(9)}
+    both = groups.withColumn("fold_no", F.lit(0)).unionByName(groups.filter("rows > 8").withColumn("fold_no", F.lit(1)))
+    one = folds.assign_groups(both, 5, 7, "space", ["fold_no"])
+    many = folds.assign_groups(both, 5, 7, "space", ["fold_no"], max_groups_per_task=60)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
     with pytest.raises(folds.SplitError):
         folds.assign_groups(groups.limit(3), 5, 7, "space")
 
@@ -159,6 +167,73 @@ def test_order_statistics_against_numpy(spark):
         "v": pytest.approx(np.median(x)), "w": None}
 
 
+def test_several_quantiles_share_their_passes(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25)])
+    df = spark.createDataFrame([(float(v), float(i % 7)) for i, v in enumerate(values)], "v double, w double").repartition(7)
+    probabilities = [0.0, 0.02, 0.5, 0.98, 1.0]
+    found = order_stats.columns_quantiles(df.withColumn("none", F.lit(None).cast("double")), ["v", "none", "w"], probabilities)
+    assert found["none"] is None
+    assert np.allclose(found["v"], np.quantile(values, probabilities), rtol=0, atol=1e-12)
+    assert found["w"] == list(np.quantile(np.arange(4500) % 7, probabilities))
+    assert order_stats.columns_quantiles(df.limit(0), ["v"], [0.5]) == {"v": None}
+    assert order_stats.columns_quantiles(df.limit(1), ["v"], [0.1, 0.9])["v"][0] == order_stats.column_quantiles(df.limit(1), ["v"], 0.9)["v"]
+
+
+def test_rank_correlation_with_ties_reads_its_input_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"m{i % 3}", None if i % 50 == 0 else float(rng.integers(0, 9)), float(rng.integers(-4, 5)) + 0.0) for i in range(2000)]
+    # A group that holds most rows, a constant one, one of nulls only, and zeros of both signs.
+    rows += [("m0", 5.0, -0.0 if i % 2 else 0.0) for i in range(3000)]
+    rows += [("flat", 1.0, float(i)) for i in range(5)] + [("none", None, 1.0)]
+    path = fresh(spark, "long")
+    spark.createDataFrame(rows, "model string, truth double, prediction double").write.parquet(path)
+    long = spark.read.parquet(path)
+    out = metrics.spearman(long)
+    assert not [f for f in out.inputFiles() if path in f]
+    got = {r.model: r.spearman for r in out.collect()}
+    pdf = pd.DataFrame(rows, columns=["model", "truth", "prediction"]).dropna()
+    for model, part in pdf.groupby("model"):
+        if model == "flat":
+            assert got[model] is None
+        else:
+            assert got[model] == pytest.approx(part["truth"].rank().corr(part["prediction"].rank()), abs=1e-12)
+    assert "none" not in got and len(got) == 4
+    report = metrics.full_report(long)
+    assert sum(path in f for f in report.inputFiles()) == len({f for f in long.inputFiles()})
+
+
+def test_importance_joins_donors_once(spark):
+    rows = [(f"s{i:03d}", float(i), float(i % 5), float(2 * i - i % 5)) for i in range(300)] + [("s999", None, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "sample_id string, a double, b double, y double")
+
+    def predict(table):
+        return table.withColumn("prediction", 2 * F.col("a") - F.col("b"))
+
+    ids = sorted(r[0] for r in rows)
+    by_hash = sorted(ids, key=lambda v: hashlib.sha256(f"9|permutation|{v}".encode()).hexdigest())
+    row_of, donor = {r[0]: r for r in rows}, dict(zip(ids, by_hash))
+
+    def error(column):
+        errors = []
+        for i in ids:
+            a, b, y = row_of[i][1:]
+            a, b = (row_of[donor[i]][1] if column == "a" else a), (row_of[donor[i]][2] if column == "b" else b)
+            errors += [] if a is None else [abs(2 * a - b - y)]
+        return sum(errors) / len(errors)
+
+    table = diagnostics.permutation_importance(df, ["a", "b"], "y", predict, seed=9)
+    got = {r.feature: r for r in table.collect()}
+    for c in ("a", "b"):
+        assert got[c].base_mae == pytest.approx(error(None)) and got[c].shuffled_mae == pytest.approx(error(c))
+
+    def joins(features):
+        plan = diagnostics.permutation_importance(df, features, "y", predict, seed=9)
+        return plan._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert joins(["a"]) == joins(["a", "b"]) > 0
+
+
 def test_conformal_order_statistic(spark):
     nine = spark.createDataFrame([(i / 10,) for i in range(1, 10)], "r double")
     r = order_stats.conformal_radius(nine, "r", 0.1).first()
@@ -253,6 +328,17 @@ def test_digest_ignores_order_and_sees_one_cell(spark, obs):
             digests.authorise_final(unlock, named, other)
 
 
+def test_file_digests_stream_names_as_they_are(spark, tmp_path):
+    sizes = {"a%20b.bin": 0, "plain.bin": digests.PIECE_BYTES, "long é.gz": 3 * digests.PIECE_BYTES + 17}
+    want = {}
+    for name, size in sizes.items():
+        content = random.Random(size).randbytes(size)
+        (tmp_path / name).write_bytes(content)
+        want[name] = (size, hashlib.sha256(content).hexdigest())
+    got = {r.path.rsplit("/", 1)[-1]: (r.length, r.digest) for r in digests.file_digests(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_joins_refuse_mismatches(spark, obs):
     left, right = obs.select("sample_id"), obs.filter("sample_id <> '3'").select("sample_id")
     with pytest.raises(joins.AlignmentError):
