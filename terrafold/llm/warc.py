@@ -7,7 +7,8 @@ no payload. Reading joins the tables again, puts the exact bytes of each record
 lengths and digests.
 
 Texts are hashed where they are read. Only (id, key) is grouped to find the responses, with a partial minimum, so a payload that a
-third of all records share is one aggregated row. Equal keys are verified: payloads of one key must be of one length and
+third of all records share is one aggregated row. Only payloads that a bitmap of the shared keys lets through are shuffled on
+writing (a bitmap that many shared keys have filled lets more through, and the exact join after it decides alike). Equal keys are verified: payloads of one key must be of one length and
 reread payloads must hash to their key.
 
 Null or empty html: an empty payload. Rows with equal ids and payloads are one page repeated: the first is no different, each
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_batches, folder, stored
+from .shared import arrow_batches, folder, id_bitmap, perhaps, release, stored
 
 #: Payloads of fewer bytes are always responses. 0: every equal payload is shared.
 SMALLEST = 0
@@ -69,9 +70,9 @@ def write_archive(pages: DataFrame, path: str, html: str = "html", ids: str = "p
     keyed = rows.withColumn("key", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     small = stored(keyed.select("page_id", "url", "key", "size", F.base64(F.unhex(F.sha1("payload"))).alias("sha1")))
     by_key = small.groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("head"),
-                                      F.min("size").alias("low"), F.max("size").alias("high"))
-    by_key = by_key.select("key", F.when(F.col("low") == F.col("high"), F.col("head")).otherwise(
-        F.raise_error(F.concat(F.lit("payloads of different length under digest "), F.col("key")))).alias("head"))
+                                      F.min("size").alias("low"), F.max("size").alias("high"), F.count(F.lit(1)).alias("n"))
+    by_key = stored(by_key.select("key", "n", F.when(F.col("low") == F.col("high"), F.col("head")).otherwise(
+        F.raise_error(F.concat(F.lit("payloads of different length under digest "), F.col("key")))).alias("head")))
     joined = small.join(by_key, "key").select("page_id", "url", "key", "size", "sha1", F.col("head.page_id").alias("head"), F.col("head.url").alias("head_url"))
 
     def compose(batches):
@@ -87,12 +88,21 @@ def write_archive(pages: DataFrame, path: str, html: str = "html", ids: str = "p
 
     (joined.mapInArrow(compose, "page_id long, key string, warc binary, http binary")
      .write.parquet(f"{path}/headers"))
-    # One copy of each payload: the bytes of the response's page. Payloads are dealt out once, by key and page, which spreads
-    # the copies of a frequent payload and also brings the repeated rows of one page together.
+    # One copy of each payload: the bytes of the response's page. A payload of one record is written where it is read. A bitmap
+    # of the shared keys, of fixed size, tells which rows need a closer look: they are dealt out by key and page, which
+    # spreads the copies of a frequent payload and also brings the repeated rows of one page together.
+    mark = F.xxhash64("key")
+    shared = by_key.where("n > 1")
+    bits = spark.sparkContext.broadcast(id_bitmap(shared.select(mark.alias("mark"))))
+    marked = keyed.select("page_id", "key", "payload", mark.alias("mark")).withColumn("perhaps", perhaps("mark", bits))
+    alone = marked.where("not perhaps").select("key", "payload")
     slot = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
-    heads = by_key.select("key", F.coalesce(F.col("head.page_id").cast("string"), F.lit("-")).alias("slot"))
-    first = keyed.withColumn("slot", slot).select("key", "slot", "payload").join(heads, ["key", "slot"], "left_semi")
-    first.dropDuplicates(["key", "slot"]).select("key", "payload").write.parquet(f"{path}/payloads")
+    heads = by_key.select("key", F.coalesce(F.col("head.page_id").cast("string"), F.lit("-")).alias("slot"), F.xxhash64("key").alias("mark"))
+    heads = heads.withColumn("perhaps", perhaps("mark", bits)).where("perhaps").select("key", "slot")
+    copies = marked.where("perhaps").select("key", slot.alias("slot"), "payload").join(heads, ["key", "slot"], "left_semi")
+    first = copies.dropDuplicates(["key", "slot"]).select("key", "payload")
+    alone.unionByName(first).write.parquet(f"{path}/payloads")
+    release(small, by_key)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:

@@ -4,12 +4,13 @@ import base64
 import hashlib
 import sys
 
+import numpy as np
 import pytest
 from compare import connect, difference
 from conftest_llm import document_rows, prose
 
 import corpus_pipeline
-from terrafold.llm import catalog, chat_format, html_extract, warc
+from terrafold.llm import catalog, chat_format, html_extract, shared, warc
 
 sys.setrecursionlimit(10_000)
 
@@ -82,6 +83,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_warc_stores_each_payload_once(spark, tmp_path, monkeypatch, full):
+    """Payloads of one record pass the bitmap of shared keys by; with every bit set all take the exact join."""
+    if full:
+        monkeypatch.setattr(warc, "id_bitmap", lambda ids: np.full(shared.BITS // 8, 255, np.uint8))
+    rows = [(i, f"http://h/{i}", "same" if i % 3 == 0 else f"page {i // 2 if i % 2 else i}") for i in range(600)] + [(None, "u", "same"), (None, "v", "none"), (None, "v", "none")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    path = f"file://{tmp_path}/once"
+    warc.write_archive(pages, path)
+    payloads = sorted(bytes(r.payload).decode() for r in spark.read.parquet(f"{path}/payloads").collect())
+    assert payloads == sorted({r[2] for r in rows})
+    assert warc.read_archive(spark, path).count() == len(rows)
+
+
 def test_warc_finds_a_damaged_payload(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
     path = f"file://{tmp_path}/damaged"
