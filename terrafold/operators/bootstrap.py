@@ -5,13 +5,16 @@ per block first. Draw ``j`` of replicate ``r`` is a slice of a SHA-256 digest, h
 result does not depend on partitioning and any SQL engine can repeat it. The law is that
 of the usual bootstrap: ``n_blocks`` independent uniform draws with replacement.
 
-No draw is a row. The sums of up to ``RANGE`` neighbouring blocks are packed into one record; it goes to every chunk of
+No draw is a row. The sums of up to ``RANGE`` blocks are packed into one record; it goes to every chunk of
 replicates, where the draws are made as arrays, counted, and multiplied with the sums. Above a million blocks the draws
-of a replicate are made again for every further range, which keeps a task's memory fixed.
+of a replicate are still made once: their counts are cut into slices of neighbouring blocks and meet the sums of their
+slice, so the work grows with the blocks. Only above ``HELD`` blocks are draws made again, once for every further ``HELD``,
+which keeps a task's memory fixed.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
@@ -27,6 +30,8 @@ from .order_stats import dense_index
 DRAWS_PER_DIGEST = 4
 #: Blocks whose sums are in a task at once, and digests made at once.
 RANGE, DIGESTS = 1 << 20, 1 << 16
+#: Blocks of a slice of counts, and blocks that a task counts at once, four bytes each.
+SLICE, HELD = 1 << 15, 1 << 26
 #: Replicates of a task.
 CHUNK = 32
 METRICS = ("mae", "rmse")
@@ -102,34 +107,97 @@ def packed_ranges(blocks: DataFrame, size: int = RANGE) -> DataFrame:
 
 
 def replicate_sums(blocks: DataFrame, n_blocks: int, replicates: int, seed: int, size: int = RANGE) -> DataFrame:
-    """``(replicate, sums, gains)``: totals over the blocks that each replicate draws."""
+    """``(replicate, sums, gains)``: totals over the blocks that each replicate draws; above ``size`` blocks by slices."""
+    drawn = _drawn_whole(blocks, n_blocks, replicates, seed) if n_blocks <= size else _drawn_in_slices(blocks, n_blocks, replicates, seed, min(SLICE, size))
+    return drawn.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in (*SUMS, *GAINS)])
+
+
+TOTALS = "replicate bigint, " + ", ".join(f"{c} double" for c in (*SUMS, *GAINS))
+
+
+def _totals(replicates: Sequence[int], totals: Sequence[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(replicates), pa.int64()), *(pa.array(c) for c in np.array(totals).T)], ["replicate", *SUMS, *GAINS])
+
+
+def draws(seed: int, replicate: int, n_blocks: int) -> Iterator[np.ndarray]:
+    """The positions that a replicate draws, ``DIGESTS`` digests at a time."""
     digests = -(-n_blocks // DRAWS_PER_DIGEST)
+    for first in range(0, digests, DIGESTS):
+        yield positions(seed, replicate, first, min(digests, first + DIGESTS), n_blocks)[: n_blocks - first * DRAWS_PER_DIGEST]
+
+
+def _drawn_whole(blocks: DataFrame, n_blocks: int, replicates: int, seed: int) -> DataFrame:
+    """Totals of every replicate, made where the sums of all blocks are one record."""
     width = len(SUMS) + len(GAINS)
     chunks = -(-replicates // CHUNK)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, blob, chunk in zip(*(c.to_pylist() for c in batch.columns)):
+            for blob, chunk in zip(*(batch.column(c).to_pylist() for c in ("sums", "chunk"))):
                 sums = np.frombuffer(blob).reshape(-1, width)
-                low, mine = r * size, range(chunk * CHUNK, min(replicates, (chunk + 1) * CHUNK))
+                mine = range(chunk * CHUNK, min(replicates, (chunk + 1) * CHUNK))
                 totals = []
                 for replicate in mine:
                     count = np.zeros(len(sums), np.int64)
-                    for first in range(0, digests, DIGESTS):
-                        last = min(digests, first + DIGESTS)
-                        found = positions(seed, replicate, first, last, n_blocks)[: n_blocks - first * DRAWS_PER_DIGEST] - low
-                        if n_blocks > size:
-                            found = found[(found >= 0) & (found < len(sums))]
+                    for found in draws(seed, replicate, n_blocks):
                         count += np.bincount(found, minlength=len(sums))
                     totals.append(count @ sums)
-                columns = np.array(totals).T
-                yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int64()), *(pa.array(c) for c in columns)], ["replicate", *SUMS, *GAINS])
+                yield _totals(mine, totals)
 
-    spread = (packed_ranges(blocks, size).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-              .repartition(max(blocks.sparkSession.sparkContext.defaultParallelism, min(20_000, chunks * -(-n_blocks // size))), "range", "chunk"))
-    kinds = ", ".join(f"{c} double" for c in (*SUMS, *GAINS))
-    drawn = spread.mapInArrow(draw, f"replicate bigint, {kinds}")
-    return drawn.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in (*SUMS, *GAINS)])
+    spread = (packed_ranges(blocks, n_blocks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+              .repartition(max(blocks.sparkSession.sparkContext.defaultParallelism, chunks), "range", "chunk"))
+    return spread.mapInArrow(draw, TOTALS)
+
+
+def _drawn_in_slices(blocks: DataFrame, n_blocks: int, replicates: int, seed: int, size: int, held: int = HELD) -> DataFrame:
+    """Totals of every replicate and slice of ``size`` blocks: counts of the draws, made once, meet the sums of their slice."""
+    width = len(SUMS) + len(GAINS)
+    slices, window = -(-n_blocks // size), -(-held // size) * size
+    windows = -(-n_blocks // window)
+    spark = blocks.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                replicate, low = task // windows, task % windows * window
+                counts = np.zeros(min(window, n_blocks - low), np.int32)
+                for found in draws(seed, replicate, n_blocks):
+                    if windows > 1:
+                        found = found[(found >= low) & (found < low + window)] - low
+                    np.add.at(counts, found, np.int32(1))
+                for first in range(0, len(counts), size * 256):
+                    parts = [counts[at:at + size] for at in range(first, min(len(counts), first + size * 256), size)]
+                    start = (low + first) // size
+                    yield pa.RecordBatch.from_pydict({
+                        "range": pa.array(range(start, start + len(parts)), pa.int64()), "replicate": pa.array([replicate] * len(parts), pa.int64()),
+                        "data": pa.array([packed(p) for p in parts], pa.binary())})
+
+    def packed(counts: np.ndarray) -> bytes:
+        """Counts in as few bytes each as the largest needs; nearly all are 0 to 3, so by Huffman code they take two bits."""
+        coder = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+        return coder.compress(counts.astype(np.min_scalar_type(counts.max())).tobytes()) + coder.flush()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, None
+        for batch in batches:
+            mine, totals = [], []
+            for r, replicate, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if replicate < 0:
+                    at, sums = r, np.frombuffer(blob).reshape(-1, width)
+                    continue
+                if r != at:
+                    raise ValueError(f"no sums of slice {r}")
+                data = zlib.decompress(blob)
+                mine.append(replicate)
+                totals.append(np.frombuffer(data, f"u{len(data) // len(sums)}").astype(float) @ sums)
+            if mine:
+                yield _totals(mine, totals)
+
+    tasks = spark.range(0, replicates * windows, 1, max(spark.sparkContext.defaultParallelism, replicates * windows // 4))
+    counted = tasks.mapInArrow(count, "range bigint, replicate bigint, data binary")
+    own = packed_ranges(blocks, size).select("range", F.lit(-1).cast("bigint").alias("replicate"), F.col("sums").alias("data"))
+    together = own.unionAll(counted).repartition(min(20_000, slices), "range").sortWithinPartitions("range", "replicate")
+    return together.mapInArrow(add, TOTALS)
 
 
 def _loss(metric: str, sums: str, n) -> Column:

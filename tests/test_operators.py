@@ -304,6 +304,21 @@ def test_bootstrap_against_brute_force(spark):
     assert "hashpartitioning(position" not in plan
 
 
+def test_bootstrap_above_one_range_draws_once(spark):
+    rows = [(f"s{i}", "d", float(i % 5), float(i % 5 + i % 3), float(i % 7)) for i in range(41)]
+    df = spark.createDataFrame(rows, "s string, d string, t double, m double, b double")
+    indexed = bootstrap.indexed_blocks(bootstrap.block_statistics(df, "t", "m", "b", ["s", "d"]), ["s", "d"])
+    by_position = sorted(indexed.select("position", *bootstrap.SUMS).collect())
+    sums = np.array([list(r)[1:] for r in by_position], float)
+    want = [sums[bootstrap.positions(9, r, 0, 11, 41)[:41]].sum(0).tolist() for r in range(40)]
+    for found in (bootstrap.replicate_sums(indexed, 41, 40, 9, 4),
+                  bootstrap._drawn_in_slices(indexed, 41, 40, 9, 4, 10).groupBy("replicate").agg(*[F.sum(c).alias(c) for c in bootstrap.SUMS])):
+        got = found.select("replicate", *bootstrap.SUMS).orderBy("replicate").collect()
+        assert [list(r)[1:] for r in got] == [pytest.approx(w) for w in want]
+    plan = bootstrap.replicate_sums(indexed, 41, 40, 9, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan  # every range of blocks used to go to every chunk of replicates, where all draws were made again
+
+
 def test_draws_are_the_slices_of_digests():
     want = [int(hashlib.sha256(f"7|3|{j}".encode()).hexdigest()[15 * i:15 * i + 15], 16) % 1_000_003 for j in range(5, 90) for i in range(4)]
     assert bootstrap.positions(7, 3, 5, 90, 1_000_003).tolist() == want
