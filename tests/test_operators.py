@@ -698,3 +698,21 @@ def test_streaming_scoring_equals_batch(spark, target):
 
     want = digests.table_digest(score(target, plan)).first()
     assert digests.table_digest(spark.read.parquet(sink), score(target, plan).columns).first() == want
+
+
+def test_boosting_passes_use_the_cores_and_send_only_open_trees(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 60, (500, 4))
+    feature, split, value = rng.integers(-1, 4, (6, 31)), rng.integers(0, 60, (6, 31)).astype(float), rng.normal(size=(6, 31))
+    feature[:, 15:] = -1
+    for i in range(1, 31):
+        feature[:, i] = np.where(feature[:, (i - 1) // 2] < 0, -1, feature[:, i])
+    for columns in (x.astype(np.uint8), x + 0.5):
+        for part, f, s, v in zip(models.boosting.staged(columns, feature, split, value), feature, split, value):
+            assert (part == v[models.boosting.reached(columns, np.arange(500), f, s, 31)]).all()
+    rows = spark.range(0, 40_000, 1, 1).select(F.col("id"), (F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("y"))
+    encoder = models.fit_encoder(rows, models.PredictorPolicy(core=("a",), additions=()), predictors=("a",))
+    table = models.boosting.binned(rows, F.xxhash64("id"), [encoder], [F.lit(True)], [F.col("y")], [F.lit(1)])
+    assert table.few(table.blocks).rdd.getNumPartitions() > 1  # one file of blocks kept all but one core idle in every pass
+    g = models.boosting.Growing(0, models.boosting.Model(0, 0, 0, models.BoostedParams(), 1), 0.0, 3, trees=[(0, 0, i) for i in range(9)], pending=2)
+    assert len(g.sent().trees) == 2 and g.sent().before == 7
