@@ -716,3 +716,18 @@ def test_boosting_passes_use_the_cores_and_send_only_open_trees(spark):
     assert table.few(table.blocks).rdd.getNumPartitions() > 1  # one file of blocks kept all but one core idle in every pass
     g = models.boosting.Growing(0, models.boosting.Model(0, 0, 0, models.BoostedParams(), 1), 0.0, 3, trees=[(0, 0, i) for i in range(9)], pending=2)
     assert len(g.sent().trees) == 2 and g.sent().before == 7
+
+
+def test_candidates_are_scored_without_repeated_rows(spark):
+    rows = [(f"s{i % 5}" if i % 11 else None, i % 2, None if i % 7 == 0 else float(i), float(i * 3 % 8) if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:9], "site string, fold int, truth double, prediction double")
+    grid = [({"alpha": a}, F.col("prediction") * a) for a in (0.5, 2.0)]
+    got = metrics.grouped_mae(df, ["site"], ["alpha", "fold"], grid)
+    long = df.select("*", F.explode(F.array(F.lit(0.5), F.lit(2.0))).alias("alpha")).withColumn("prediction", F.col("prediction") * F.col("alpha"))
+    want = metrics.grouped_mae(long, ["site"], ["alpha", "fold"])
+    assert got.columns == want.columns
+    for g, w in zip(got.orderBy("alpha", "fold").collect(), want.orderBy("alpha", "fold").collect(), strict=True):
+        assert list(g) == pytest.approx(list(w))
+    from terrafold.plans import catalog
+    plan = catalog.queries()["metric_leaderboard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Relation") and "Generate" not in plan[plan.rindex("Aggregate"):]  # rows are not repeated
