@@ -6,7 +6,8 @@ A document is the set of its distinct word k-grams. Two documents link when thei
 2. Prefixes: with any global order of the shingles, linked sets share l of them among their first ``n - ceil(t*n) + l``. The
    order is rarity in a sketch of counters over all documents (fixed size, so it may go to every task), then the hash. Only
    prefix postings are shuffled, as blocks of packed records, one block per task and target. A class that meets others in
-   fewer than l of its prefix's lists links with nothing (l grows with the set: a shared passage is no near copy).
+   fewer than l of its prefix's lists links with nothing (l grows with the set: a shared passage is no near copy). Only partners
+   whose size allows a link count, and they are told apart by 64 bits: l lists with different partners are no near copy either.
 3. Shards: classes that meet in lists are gathered by the smallest class they meet (their home); a home of many shingles is
    salted into chunks, and a chunk never outgrows a task.
 4. Search: the sets of a group are indexed one after another. A set asks for the earlier ones that share T of its shingles: the L
@@ -14,7 +15,8 @@ A document is the set of its distinct word k-grams. Two documents link when thei
    the long lists by binary search. Sets that are already connected with the asking set are left out of the lists, so a
    group of thousands of near copies costs about one check a set.
 5. Two rounds. The first searches every chunk by itself, together with one pivot of its home, which connects the chunks of a group of
-   near copies. The second searches pairs of chunks, but only for classes in lists that still hold different components; a
+   near copies. The second searches pairs of chunks, but only for classes in lists that still hold different components (each
+   posting is sent to its list once, with its component and chunk); a
    component that fills chunks is there by itself and is never compared with itself. So a large group is not paired with itself.
 6. Components of all links found, over the whole table.
 
@@ -30,12 +32,13 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .shared import (SKETCH, arrow_batches, components, id_bitmap, id_value, partitions, perhaps, sketch_rows, sketch_slot,
-                     release, sketch_sum, stored)
+                     sketch_sum, stored)
 
 K = 5
 THRESHOLD = 0.8
@@ -85,7 +88,8 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(read, "doc_id long, n_shingles long, digest long, part int, counts binary")
 
 
-POSTING = np.dtype([("key", "<u8"), ("digest", "<i8"), ("n", "<i4")])
+#: ``key`` has the lower half of a shingle; its upper half deals it to a target. Lists that share a key only loosen the filters.
+POSTING = np.dtype([("key", "<u4"), ("digest", "<i8"), ("n", "<i4")])
 
 
 def prefix_blocks(docs: DataFrame, k: int, threshold: float, rarity, targets: int) -> DataFrame:
@@ -108,8 +112,9 @@ def prefix_blocks(docs: DataFrame, k: int, threshold: float, rarity, targets: in
                 keep = (place < length[unit]) & fresh[unit]
                 unit = unit[keep]
                 posting = np.empty(len(unit), POSTING)
-                posting["key"], posting["digest"], posting["n"] = members[pick][keep], digest[unit].view(np.int64), sizes[unit]
-                yield from blocks(posting, posting["key"], targets)
+                token = members[pick][keep]
+                posting["key"], posting["digest"], posting["n"] = token & np.uint64(0xFFFFFFFF), digest[unit].view(np.int64), sizes[unit]
+                yield from blocks(posting, token, targets)
 
     return docs.mapInArrow(read, "target int, block binary")
 
@@ -132,36 +137,84 @@ def unpacked(batches, kind: np.dtype) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, kind)
 
 
-def lists(blocks_of: DataFrame, targets: int) -> DataFrame:
-    """(list, digest, n, leader): the posting lists of two classes or more; the leader is a list's smallest class."""
+def columns(batches) -> list[np.ndarray]:
+    """The columns of a task's rows, of which no value is null; nothing if it has no row."""
+    batches = [batch for batch in batches if batch.num_rows]
+    return [c.to_numpy() for c in pa.Table.from_batches(batches).columns] if batches else []
+
+
+def over_windows(of, value: np.ndarray, a: np.ndarray, b: np.ndarray, empty) -> np.ndarray:
+    """``of`` (a ufunc like minimum or bitwise_or) over ``value[a:b]`` for each window, by runs of doubling length."""
+    out = np.full(len(a), empty, value.dtype)
+    length, run, step = b - a, value, 1
+    while step <= length.max(initial=0):
+        at = np.flatnonzero((length >= step) & (length < 2 * step))
+        out[at] = of(run[a[at]], run[b[at] - step])
+        run, step = of(run[:-step], run[step:]), 2 * step
+    return out
+
+
+def lists(blocks_of: DataFrame, threshold: float, targets: int) -> DataFrame:
+    """(list, digest, n, leader, wide, partners): the postings of classes that meet another one of a fitting size in the list.
+
+    A list is cut where neighbouring sizes do not fit; it is ``wide`` if its smallest and largest do not. The leader is the smallest
+    of a class and those it meets, ``partners`` has the bits of these (digest mod 64).
+    """
     def read(batches):
         rows = unpacked(batches, POSTING)
         key = np.sort(rows["key"])
         shared = key[1:][key[1:] == key[:-1]]
         at = np.minimum(np.searchsorted(shared, rows["key"]), max(len(shared) - 1, 0))
         rows = rows[shared[at] == rows["key"]] if len(shared) else rows[:0]
-        rows = rows[np.lexsort((rows["digest"], rows["key"]))]
+        rows = rows[np.lexsort((rows["digest"], rows["n"], rows["key"]))]
         again = (rows["key"][1:] == rows["key"][:-1]) & (rows["digest"][1:] == rows["digest"][:-1])
         rows = rows[np.concatenate((np.ones(min(1, len(rows)), bool), ~again))]
         if not len(rows):
             return
-        edge = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
-        size = np.diff(np.append(edge, len(rows)))
-        leader = np.repeat(rows["digest"][edge], size)
-        keep = np.repeat(size, size) > 1
+        key, digest, n, me = rows["key"].astype(np.int64), np.ascontiguousarray(rows["digest"]), rows["n"].astype(np.int64), np.arange(len(rows))
+        smallest = np.ceil(threshold * n - 1e-9).astype(np.int64)
+        listed = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (n[:-1] < smallest[1:])))) << 32
+        first = np.searchsorted(listed | n, listed | smallest)
+        end = np.searchsorted(listed | n, listed | np.floor(n / threshold + 1e-9).astype(np.int64), "right")
+        bit, none = np.uint64(1) << (digest.view(np.uint64) & np.uint64(63)), np.uint64(0)
+        partners = over_windows(np.bitwise_or, bit, first, me, none) | over_windows(np.bitwise_or, bit, me + 1, end, none)
+        leader = over_windows(np.minimum, digest, first, end, 0)
+        begin, last = np.searchsorted(listed, listed), np.searchsorted(listed, listed, "right") - 1
+        name = W.mix((listed >> 32 | TaskContext.get().partitionId() << 40).view(np.uint64)).view(np.int64)
+        keep = last > begin
         yield pa.RecordBatch.from_pydict({
-            "list": pa.array(rows["key"][keep].view(np.int64)), "digest": pa.array(rows["digest"][keep]),
-            "n": pa.array(rows["n"][keep].astype(np.int64)), "leader": pa.array(leader[keep])})
+            "list": pa.array(name[keep]), "digest": pa.array(digest[keep]), "n": pa.array(n[keep]), "leader": pa.array(leader[keep]),
+            "wide": pa.array((n[begin] < smallest[last])[keep]), "partners": pa.array(partners[keep].view(np.int64))})
+
+    return (blocks_of.repartition(targets, "target")
+            .mapInArrow(read, "list long, digest long, n long, leader long, wide boolean, partners long"))
 
-    return blocks_of.repartition(targets, "target").mapInArrow(read, "list long, digest long, n long, leader long")
 
+def meeting_often(met: DataFrame, threshold: float, targets: int) -> DataFrame:
+    """(list, digest, n, leader, wide): the postings by which a class meets others often enough.
 
-def meeting_often(met: DataFrame, threshold: float) -> DataFrame:
-    """The lists without the classes that stand in too few of them. The smallest partner of a set of n has ceil(t*n) members."""
-    partner = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))
-    often = (met.groupBy("digest").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
-             .where(F.col("times") >= 1 + F.floor(partner / 20)).select("digest"))
-    return met.join(often, "digest", "left_semi")
+    The smallest partner of a set of n has ceil(t*n) members, so a linked one stands in l of that many of its lists. Partners are
+    counted by their 64 bits: a bit that is set in fewer lists belongs to no linked class, and a posting without another bit goes.
+    """
+    def read(batches):
+        found = columns(batches)
+        if not found:
+            return
+        order = np.argsort(found[1], kind="stable")
+        listed, digest, n, leader, wide, partners = (x[order] for x in found)
+        partners = partners.view(np.uint64)
+        new = np.concatenate(([True], digest[1:] != digest[:-1]))
+        edge, unit = np.flatnonzero(new), np.cumsum(new) - 1
+        need = wanted_meetings(np.ceil(threshold * n[edge] - 1e-9).astype(np.int64))
+        often = np.zeros(len(edge), np.uint64)
+        for bit in range(64):
+            times = np.add.reduceat((partners >> np.uint64(bit) & np.uint64(1)).astype(np.int64), edge)
+            often |= (times >= need).astype(np.uint64) << np.uint64(bit)
+        keep = partners & often[unit] > 0
+        yield pa.RecordBatch.from_pydict({"list": pa.array(listed[keep]), "digest": pa.array(digest[keep]), "n": pa.array(n[keep]),
+                                          "leader": pa.array(leader[keep]), "wide": pa.array(wide[keep])})
+
+    return met.repartition(targets, "digest").mapInArrow(read, "list long, digest long, n long, leader long, wide boolean")
 
 
 def class_homes(met: DataFrame) -> DataFrame:
@@ -184,27 +237,63 @@ def first_groups(homes: DataFrame, chunk: int) -> DataFrame:
     return placed.select(F.col("shard").alias("group"), "digest").union(pivots)
 
 
-def second_groups(met: DataFrame, homes: DataFrame, components_of: DataFrame, chunk: int, threshold: float) -> DataFrame:
+#: Visits of a class to a chunk that are made at once in a task.
+VISITS = 1 << 18
+
+
+def visits(here: DataFrame, targets: int) -> DataFrame:
+    """(group, digest, known) of (list, digest, known, large, shard): in lists with several components, every class with every chunk of its list.
+
+    Classes of one ``large`` component do not meet each other.
+    """
+    def read(batches):
+        found = columns(batches)
+        if not found:
+            return
+        listed, _, known, large, shard = found
+        order = np.lexsort((np.where(large, known, 0), large, shard, listed))
+        listed, digest, known, large, shard = (x[order] for x in found)
+        edge = np.flatnonzero(np.concatenate(([True], listed[1:] != listed[:-1])))
+        mixed = np.repeat(np.minimum.reduceat(known, edge) != np.maximum.reduceat(known, edge), np.diff(np.append(edge, len(listed))))
+        listed, digest, known, large, shard = (x[mixed] for x in (listed, digest, known, large, shard))
+        component = np.where(large, known, 0)
+        same = np.ones(max(0, len(listed) - 1), bool)
+        for x in (listed, shard, large, component):
+            same &= x[1:] == x[:-1]
+        chunks = np.flatnonzero(np.concatenate((np.ones(min(1, len(listed)), bool), ~same)))
+        first, end = np.searchsorted(listed[chunks], listed), np.searchsorted(listed[chunks], listed, "right")
+        total = np.concatenate(([0], np.cumsum(end - first)))
+        a = 0
+        while a < len(listed):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + VISITS, "right")) - 1)
+            me = np.repeat(np.arange(a, b), (end - first)[a:b])
+            other = chunks[first[me] + total[a] + np.arange(len(me)) - total[me]]
+            apart = ((shard[other] != shard[me]) | ~large[me]) & ~(large[other] & large[me] & (known[other] == known[me]))
+            me, other = me[apart], other[apart]
+            low, high = np.minimum(shard[me], shard[other]).view(np.uint64), np.maximum(shard[me], shard[other]).view(np.uint64)
+            group = W.mix(W.mix(low) + high).view(np.int64)
+            order = np.lexsort((digest[me], group))
+            me, group = me[order], group[order]
+            new = np.ones(len(me), bool)
+            new[1:] = (group[1:] != group[:-1]) | (digest[me][1:] != digest[me][:-1])
+            yield pa.RecordBatch.from_pydict({"group": pa.array(group[new]), "digest": pa.array(digest[me][new]), "known": pa.array(known[me][new])})
+            a = b
+
+    return here.repartition(targets, "list").mapInArrow(read, "group long, digest long, known long").distinct()
+
+
+def second_groups(met: DataFrame, homes: DataFrame, components_of: DataFrame, chunk: int, threshold: float, targets: int) -> DataFrame:
     """(group, digest, known): pairs of chunks of classes that meet in a list but are not connected yet."""
     known = (homes.join(components_of.select(F.col("node").alias("digest"), "component"), "digest", "left")
              .withColumn("known", F.coalesce("component", "digest")).select("digest", "n", "home", "known"))
-    # Linked sizes differ by the threshold at most, so they fall into one or two neighbouring classes of size; a list is cut into these.
-    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
-    cut = (met.select("list", "digest", F.explode(F.array(size, size + 1)).alias("size"))
-           .select(F.xxhash64("list", "size").alias("list"), "digest"))
-    lists_of = cut.join(known.select("digest", "known"), "digest")
-    mixed = lists_of.groupBy("list").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("list")
-    asked = stored(lists_of.join(mixed, "list"))
-    left = known.join(asked.select("digest").distinct(), "digest")
-    large = left.groupBy("known").agg(F.sum("n").alias("size")).where(F.col("size") > chunk).select(F.col("known").alias("large"))
-    placed = left.join(large, F.col("known") == F.col("large"), "left").withColumn("base", F.coalesce("large", "home"))
+    large = known.groupBy("known").agg((F.sum("n") > chunk).alias("large"))
+    placed = known.join(large, "known").withColumn("base", F.when(F.col("large"), F.col("known")).otherwise(F.col("home")))
     placed = chunked(placed, "base", chunk).select("digest", "known", "large", "shard")
-    here = asked.select("list", "digest").join(placed, "digest")
-    there = here.groupBy("list").agg(F.collect_set(F.struct("shard", "large")).alias("others"))
-    visits = here.join(there, "list").select("digest", "known", "large", "shard", F.explode("others").alias("o"))
-    apart = (F.col("o.shard") != F.col("shard")) | F.col("large").isNull()
-    return (visits.where(apart & ~F.coalesce(F.col("o.large") == F.col("large"), F.lit(False)))
-            .select(F.xxhash64(F.least("shard", "o.shard"), F.greatest("shard", "o.shard")).alias("group"), "digest", "known").distinct())
+    # Linked sizes differ by the threshold at most, so they fall into one or two neighbouring classes of size; a wide list is cut into these.
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
+    cut = F.when(F.col("wide"), F.array(F.xxhash64("list", size), F.xxhash64("list", size + 1))).otherwise(F.array("list"))
+    here = met.select(F.explode(cut).alias("list"), "digest").join(placed, "digest")
+    return visits(here.select("list", "digest", "known", "large", "shard"), targets)
 
 
 #: Postings up to which a heap merges the short lists; more are merged by one sort of their concatenation.
@@ -360,15 +449,13 @@ def linked_components(docs: DataFrame, text: str = "text", ids: str = "doc_id",
     rarity = spark.sparkContext.broadcast(sketch_sum(read.where("part is not null").select("part", "counts")))
     sets = read.where("part is null").select("doc_id", "n_shingles", "digest")
     postings = prefix_blocks(docs, k, threshold, rarity, targets)
-    listed = stored(lists(postings, targets))
-    met = stored(meeting_often(listed, threshold))
-    release(listed)
+    met = stored(meeting_often(lists(postings, threshold, targets), threshold, targets))
     homes = stored(class_homes(met))
     heads = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("head"))
     members = sets_to_search(docs, heads, homes, k)
     none = F.lit(None).cast("long").alias("known")
     edges = stored(search(first_groups(homes, chunk).select("group", "digest", none).join(members, "digest"), threshold, targets))
-    again = second_groups(met, homes, components(edges), chunk, threshold)
+    again = second_groups(met, homes, components(edges), chunk, threshold, targets)
     edges = edges.union(search(again.join(members, "digest"), threshold, targets))
     named = (edges.join(heads.select(F.col("digest").alias("a"), F.col("head").alias("u")), "a")
              .join(heads.select(F.col("digest").alias("b"), F.col("head").alias("v")), "b").select("u", "v"))

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 from conftest_llm import document_rows, least_reachable, prose, shingles, words
+from pyspark.sql import functions as F
 
 from terrafold.llm import line_dedup, ngram_join
 
@@ -161,6 +162,67 @@ def test_ngram_join_links_near_copies_of_null_ids(spark):
     assert high in {v for k, v in out.items() if k not in (high, 5)}
 
 
+def test_lists_of_changing_partners_leave_no_candidate(spark):
+    """A text that shares one shingle with each of many texts meets nothing often; its sizes would allow a link."""
+    import numpy as np
+    import pyarrow as pa
+
+    from terrafold.llm.shared import SKETCH, sketch_slot
+
+    own = [f"own{i}" for i in range(120)]
+    texts = [" ".join(own)]
+    places = range(0, 115, 5)
+    for at in places:
+        texts.append(" ".join([f"t{at}x{j}" for j in range(60)] + own[at:at + 5] + [f"t{at}y{j}" for j in range(55)]))
+    texts += [" ".join([f"c{i}" for i in range(120)]), " ".join([f"c{i}" for i in range(118)] + ["d", "e"])]
+    docs = document_rows(spark, texts).select("doc_id", "text")
+    sizes = {r.doc_id: r.digest for r in ngram_join.classes(docs, 5).where("part is null").collect()}
+    rarity = np.ones(SKETCH, np.uint64)  # the shared shingles come first in every prefix
+    for _, members, _, _ in ngram_join.document_sets(pa.array(places, pa.int64()), pa.array([" ".join(own[at:at + 5]) for at in places]), 5):
+        rarity[sketch_slot(members)] = 0
+    blocks = ngram_join.prefix_blocks(docs, 5, 0.8, spark.sparkContext.broadcast(rarity), 4)
+    listed = ngram_join.lists(blocks, 0.8, 4)
+    assert listed.where(F.col("digest") == sizes[1]).count() == len(places)
+    kept = {r.digest for r in ngram_join.meeting_often(listed, 0.8, 4).collect()}
+    assert kept == {sizes[len(texts) - 1], sizes[len(texts)]}
+
+
+def test_windows_and_visits(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    value = draw.integers(0, 1 << 60, 200)
+    a = draw.integers(0, 200, 300)
+    b = np.minimum(200, a + draw.integers(0, 40, 300))
+    want = [min(value[x:y], default=-1) for x, y in zip(a, b)]
+    assert ngram_join.over_windows(np.minimum, value, a, b, -1).tolist() == want
+
+    rows = []  # (list, digest, known, large, shard)
+    for _ in range(400):
+        known = int(draw.integers(0, 6))
+        large = known > 3
+        rows.append((int(draw.integers(0, 60)), int(draw.integers(0, 1000)) * 6 + known, known, large, int(draw.integers(0, 3)) + (10 * known if large else 0)))
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    here = spark.createDataFrame(rows, "list long, digest long, known long, large boolean, shard long")
+    found = {(r.group, r.digest, r.known) for r in ngram_join.visits(here, 3).collect()}
+    names, pairs = {}, set()
+    for i, digest, known, large, shard in rows:
+        here_too = [r for r in rows if r[0] == i]
+        if len({r[2] for r in here_too}) > 1:
+            for _, _, k, big, other in here_too:
+                if (other != shard or not large) and not (large and big and k == known):
+                    pairs.add((min(shard, other), max(shard, other), digest, known))
+    assert len(found) == len(pairs)
+    by_digest = lambda rows_of: sorted((d, k) for *_, d, k in rows_of)
+    assert by_digest(found) == by_digest(pairs)
+    for low, high, digest, known in pairs:
+        names.setdefault((low, high), set()).add(digest)
+    groups = {}
+    for group, digest, _ in found:
+        groups.setdefault(group, set()).add(digest)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, names.values()))
+
+
 def test_divide_skip_counts():
     draw = random.Random(3)
     for _ in range(50):
