@@ -9,10 +9,10 @@ threshold. Lines of fewer than ``min_words`` words stay; with ``EVERY_LINE`` onl
    exact. Each class sends its prefix of ``n - ceil(t*n) + 1`` tokens, as packed records; a set so small that only an equal
    one is similar enough (at 0.8: fewer than four words) sends none. In a token's list, pairs pass the
    length filter, the positional filter, and a bound from 128-bit parity signatures (sets that differ in d tokens
-   differ in at most d bits). A class keeps only its earliest candidate, so output is linear in the classes.
-3. Token sets of these pairs are fetched by one scan and Jaccard is verified. An earliest candidate that
-   holds is the earliest match. The few classes whose candidate fails are joined again, and checked against all
-   their candidates.
+   differ in at most d bits). A class keeps its earliest candidates, at most ``kept`` a list and portion, so output is linear in the postings.
+3. Token sets of the earliest pairs are fetched by one scan and Jaccard is verified. An earliest candidate that
+   holds is the earliest match. For classes whose candidate fails the other kept ones are checked, with sets from the documents
+   that hold them. Only those that had more candidates than were kept are joined again, and checked against all.
 4. A class's cutoff is the earliest match or its own first line; every later line of the class goes.
 
 Rows of one id are told apart by their texts, and lines at one place of them by nothing, so neither of two equal ones goes for the other;
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .ngram_join import blocks, unpacked
 from .quality_rules import value_of
-from .shared import (SKETCH, arrow_batches, bitmap, id_bitmap, id_value, in_bitmap, partitions, perhaps, sketch_rows, sketch_slot, sketch_sum,
+from .shared import (SKETCH, arrow_batches, bitmap, id_bitmap, id_hash, id_value, in_bitmap, partitions, perhaps, sketch_rows, sketch_slot, sketch_sum,
                      stored)
 
 THRESHOLD = 0.8
@@ -39,6 +39,8 @@ MIN_WORDS = 1
 EVERY_LINE = 1
 #: Pairs compared at once in a task.
 PAIRS = 1 << 18
+#: Earliest candidates of a class that are kept from a list and portion of pairs.
+KEPT = 64
 
 POSTING = np.dtype([("key", "<u4"), ("n", "<i4"), ("digest", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("line", "<i4"),
                     ("place", "<u2")])
@@ -185,29 +187,36 @@ def pairs(before: np.ndarray):
         a = b
 
 
-def earliest(blocks_of: DataFrame, threshold: float, targets: int) -> DataFrame:
-    """(x, y, doc, line): for each class with a candidate, the earliest one and its place."""
+def earliest(blocks_of: DataFrame, threshold: float, targets: int, kept: int = KEPT) -> DataFrame:
+    """(x, at, more): for each class with a candidate, its earliest ones as (doc, line, y) in order, and whether there may be others."""
     def read(batches):
         rows, before, rank = in_lists(unpacked(batches, POSTING), threshold)
         for late, early in matches(rows, before, rank, threshold):
             order = np.lexsort((rank[early], late))
             late, early = late[order], early[order]
             first = np.flatnonzero(np.diff(late, prepend=-1))
-            x, y = rows[late[first]], rows[early[first]]
+            times = np.diff(np.append(first, len(late)))
+            keep = np.arange(len(late)) - np.repeat(first, times) < kept
+            more = np.repeat(times > kept, times)[keep]
+            x, y = rows[late[keep]], rows[early[keep]]
             if len(x):
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x["digest"]), "y": pa.array(y["digest"]),
-                                                  "doc": pa.array(y["doc"]), "line": pa.array(y["line"])})
+                                                  "doc": pa.array(y["doc"]), "line": pa.array(y["line"]), "more": pa.array(more)})
+
+    found = blocks_of.repartition(targets, "target").mapInArrow(read, "x long, y long, doc long, line int, more boolean")
+    return found.groupBy("x").agg(F.array_sort(F.collect_set(F.struct("doc", "line", "y"))).alias("at"), F.max("more").alias("more"))
 
-    found = blocks_of.repartition(targets, "target").mapInArrow(read, "x long, y long, doc long, line int")
-    return (found.groupBy("x").agg(F.min(F.struct("doc", "line", "y")).alias("best"))
-            .select("x", "best.y", "best.doc", "best.line"))
 
+def token_sets(docs: DataFrame, min_words: int, wanted, places=None) -> DataFrame:
+    """(digest, members): token sets of the lines whose digest is in a bitmap, once a task.
 
-def token_sets(docs: DataFrame, min_words: int, wanted) -> DataFrame:
-    """(digest, members): token sets of the lines whose digest is in a bitmap, once a task."""
+    With ``places``, a broadcast bitmap of ids, only texts of these are cut into words.
+    """
     def read(batches):
         seen: set[int] = set()
         for batch in batches:
+            if places is not None:
+                batch = batch.filter(pa.array(in_bitmap(places.value, id_hash(id_value(batch.column(0))))))
             for _, _, members, cut, digest in line_sets(batch.column(0), batch.column(1), min_words):
                 out = []
                 for i in np.flatnonzero(in_bitmap(wanted.value, digest)).tolist():
@@ -228,15 +237,16 @@ def jaccard_holds(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * overlap >= percent * (len(x) + len(y) - overlap)
 
 
-def verified(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs with ``holds``, from the exact sets of both sides."""
+def verified(found: DataFrame, sets: DataFrame, percent: int, own: DataFrame | None = None) -> DataFrame:
+    """The candidate pairs with ``holds``, from the exact sets of both sides; ``own`` has those of x, if not ``sets``."""
     def read(batches):
         for batch in batches:
             a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             holds = [jaccard_holds(x, y, percent) for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(holds, pa.bool_())], ["x", "y", "doc", "line", "members", "holds"])
 
-    both = (found.join(sets.select(F.col("digest").alias("x"), F.col("members").alias("a")), "x")
+    own = sets if own is None else own
+    both = (found.join(own.select(F.col("digest").alias("x"), F.col("members").alias("a")), "x")
             .join(sets.select(F.col("digest").alias("y"), F.col("members").alias("b")), "y"))
     return both.select("x", "y", "doc", "line", "a", "b").mapInArrow(
         read, "x long, y long, doc long, line int, members binary, holds boolean")
@@ -274,12 +284,24 @@ def searched(docs: DataFrame, open_sets: DataFrame, min_words: int, threshold: f
     keys = context.broadcast(bitmap(open_sets.select("members").mapInArrow(tokens, "digest long")))
     asked = context.broadcast(bitmap(open_sets.select("digest")))
     found = stored(candidates(posting_blocks(docs, min_words, threshold, rarity, targets, keys), threshold, targets, asked))
-    wanted = context.broadcast(bitmap(found.select(F.explode(F.array("x", "y")).alias("digest"))))
-    checked = verified(found, token_sets(docs, min_words, wanted), round(100 * threshold))
+    wanted = context.broadcast(bitmap(found.select("y")))
+    places = context.broadcast(id_bitmap(found.select("doc")))
+    checked = verified(found, token_sets(docs, min_words, wanted, places), round(100 * threshold), open_sets)
     return checked.where("holds").select("x", "doc", "line")
 
 
-def removed_lines(docs: DataFrame, text: str, ids: str, threshold: float, min_words: int) -> DataFrame:
+def rechecked(docs: DataFrame, found: DataFrame, failed: DataFrame, min_words: int, percent: int) -> DataFrame:
+    """(x, doc, line): matches among the kept candidates after the first, of the classes in ``failed`` (digest, members)."""
+    context = docs.sparkSession.sparkContext
+    rest = stored(found.join(failed.select(F.col("digest").alias("x")), "x", "left_semi")
+                  .select("x", F.explode(F.expr("slice(at, 2, size(at))")).alias("c")).select("x", "c.y", "c.doc", "c.line"))
+    wanted = context.broadcast(bitmap(rest.select("y")))
+    places = context.broadcast(id_bitmap(rest.select("doc")))
+    checked = verified(rest, token_sets(docs, min_words, wanted, places), percent, failed)
+    return stored(checked.where("holds").select("x", "doc", "line"))
+
+
+def removed_lines(docs: DataFrame, text: str, ids: str, threshold: float, min_words: int, kept: int = KEPT) -> DataFrame:
     """(doc, text, removed): sorted numbers of the lines of a row that have an earlier match; only rows with such lines."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -288,13 +310,18 @@ def removed_lines(docs: DataFrame, text: str, ids: str, threshold: float, min_wo
     read = stored(occurrences(docs, min_words))
     lines = read.where("part is null").select("digest", "doc", "text", "line")
     rarity = spark.sparkContext.broadcast(sketch_sum(read.where("part is not null").select("part", "counts")))
-    found = stored(earliest(posting_blocks(docs, min_words, threshold, rarity, targets), threshold, targets))
-    wanted = spark.sparkContext.broadcast(bitmap(found.select(F.explode(F.array("x", "y")).alias("digest"))))
-    checked = stored(verified(found, token_sets(docs, min_words, wanted), round(100 * threshold)))
+    percent = round(100 * threshold)
+    found = stored(earliest(posting_blocks(docs, min_words, threshold, rarity, targets), threshold, targets, kept))
+    first = found.select("x", F.col("at")[0].alias("c")).select("x", "c.y", "c.doc", "c.line")
+    wanted = spark.sparkContext.broadcast(bitmap(first.select(F.explode(F.array("x", "y")).alias("digest"))))
+    checked = stored(verified(first, token_sets(docs, min_words, wanted), percent))
     near = checked.where("holds").select("x", "doc", "line")
-    open_sets = checked.where("not holds").select(F.col("x").alias("digest"), "members")
-    if not open_sets.isEmpty():
-        near = near.union(searched(docs, open_sets, min_words, threshold, rarity, targets))
+    failed = checked.where("not holds").select(F.col("x").alias("digest"), "members")
+    if not failed.isEmpty():
+        near = near.union(rechecked(docs, found, failed, min_words, percent))
+        open_sets = failed.join(found.where("more").select(F.col("x").alias("digest")), "digest", "left_semi")
+        if not open_sets.isEmpty():
+            near = near.union(searched(docs, open_sets, min_words, threshold, rarity, targets))
     near = near.groupBy(F.col("x").alias("digest")).agg(F.min(F.struct("doc", "line")).alias("cutoff"))
     own = lines.groupBy("digest").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     cutoff = (own.join(near, "digest", "left").where("n > 1 or cutoff is not null")
@@ -304,9 +331,9 @@ def removed_lines(docs: DataFrame, text: str, ids: str, threshold: float, min_wo
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", ids: str = "doc_id", threshold: float = THRESHOLD,
-                min_words: int = MIN_WORDS) -> DataFrame:
+                min_words: int = MIN_WORDS, kept: int = KEPT) -> DataFrame:
     """All columns of ``docs`` with the text without its later matches, and n_lines, n_removed, removed_lines."""
-    gone = removed_lines(docs, text, ids, threshold, min_words)
+    gone = removed_lines(docs, text, ids, threshold, min_words, kept)
     key = "removed_lines"
 
     def fresh(name: str) -> str:
