@@ -76,6 +76,98 @@ def test_line_dedup_open_search(spark):
     assert {(r.doc, r.line) for r in found} == {(1, 0)} or min((r.doc, r.line) for r in found) == (1, 0)
 
 
+def test_line_dedup_settles_a_failed_candidate_without_a_second_search(spark, monkeypatch):
+    """The corpus is searched again only for classes that have more candidates than were kept."""
+    def refused(*args):
+        raise AssertionError("searched again")
+
+    line = " ".join(f"a{i}" for i in range(40))
+    far = " ".join([f"a{i}" for i in range(35)] + [f"b{i}" for i in range(5)])
+    near = " ".join([f"a{i}" for i in range(38)] + ["b0", "b1"])
+    wide = [" ".join(f"c{i}" for i in range(k, k + 300)) for k in (0, 45, 20)]          # of 300 words the signatures tell nothing
+    texts = [far, near, line, *wide, "\n".join([" ".join(f"c{i}" for i in [*range(30), *range(315, 345)])] * 30)]
+    monkeypatch.setattr(line_dedup, "searched", refused)
+    out = line_dedup.dedup_lines(document_rows(spark, texts), min_words=1).collect()
+    assert {r.doc_id: r.removed_lines for r in out if r.removed_lines} == brute_removed(list(enumerate(texts, 1)), min_words=1)
+
+
+def test_line_dedup_searches_on_beyond_the_kept_candidates(spark, monkeypatch):
+    """More lines than are kept pass the filters and fail; the match of the last line comes after them."""
+    draw = random.Random(9)
+    pool = [f"p{i}" for i in range(4000)]                                               # more frequent than the shared words
+    texts = ["\n".join([" ".join(pool)] * 120)]
+    texts += [" ".join([*(f"s{i}" for i in range(262)), *draw.sample(pool, 38)]) for _ in range(90)]
+    texts.append(" ".join([*texts[-1].split()[:-5], *(f"z{i}" for i in range(5))]))
+    searches = []
+    search = line_dedup.searched
+    monkeypatch.setattr(line_dedup, "searched", lambda docs, sets, *rest: searches.append(sets.count()) or search(docs, sets, *rest))
+    out = line_dedup.dedup_lines(document_rows(spark, texts), min_words=1).collect()
+    want = brute_removed(list(enumerate(texts, 1)), min_words=1)
+    assert {r.doc_id: r.removed_lines for r in out if r.removed_lines} == want
+    assert want[len(texts)] == [0] and searches and searches[0] > 1
+
+
+@pytest.mark.parametrize("sizes", [(3, 12), (40, 60)])
+def test_line_dedup_lists_lose_no_pair(sizes):
+    """Lists and filters pass every pair of sets that are similar enough, and no class meets itself."""
+    import numpy as np
+    import pyarrow as pa
+
+    from terrafold.llm.shared import SKETCH
+
+    draw = random.Random(sizes[0])
+    base = [[f"w{draw.randrange(90)}" for _ in range(draw.randrange(*sizes))] for _ in range(12)]
+    texts = pa.array(["\n".join(edited(" ".join(draw.choice(base)), draw, draw.randrange(4)) for _ in range(60)) for _ in range(2)])
+    doc, line, members, cut, digest = next(line_dedup.line_sets(pa.array([1, 2], pa.int64()), texts, 1))
+    low, high = line_dedup.signatures(members, cut)
+    unit, place, token = line_dedup.prefixes(members, cut, np.zeros(SKETCH, np.uint64), 0.8)
+    rows = np.zeros(len(unit), line_dedup.POSTING)
+    for name, value in {"key": token & np.uint64(0xFFFFFFFF), "n": np.diff(cut)[unit], "digest": digest[unit].view(np.int64), "low": low[unit],
+                        "high": high[unit], "doc": doc[unit], "line": line[unit], "place": place}.items():
+        rows[name] = value
+    rows, *lists = line_dedup.in_lists(rows, 0.8)
+    found = {(int(rows["digest"][a]), int(rows["digest"][b])) for late, early, _ in line_dedup.matches(rows, *lists, 0.8) for a, b in zip(late, early)}
+    first = {}
+    for i, d in enumerate(digest.view(np.int64).tolist()):
+        first.setdefault(d, set(members[cut[i]:cut[i + 1]].tolist()))
+    ids = list(first)
+    want = {(b, a) for k, a in enumerate(ids) for b in ids[k + 1:] if 100 * len(first[a] & first[b]) >= 80 * len(first[a] | first[b])}
+    assert want and want <= found and all(a != b for a, b in found)
+
+
+def test_line_dedup_first_candidates():
+    import numpy as np
+
+    rows = [(1, 9, 5, 0, True, False), (1, 8, 4, 0, False, False), (1, 7, 6, 0, True, False), (1, 6, 7, 0, True, False), (1, 8, 4, 0, False, False),
+            (2, 5, 3, 1, False, True), (2, 4, 3, 2, False, False), (3, 3, 1, 0, True, False)]
+    found = np.zeros(len(rows), line_dedup.CANDIDATE)
+    for i, row in enumerate(rows):
+        found[["x", "y", "doc", "line", "sure", "cut"]][i] = row
+    kept = line_dedup.first_candidates(found, 64)
+    assert [(int(r["x"]), int(r["y"]), bool(r["cut"])) for r in kept] == [(1, 8, False), (1, 9, False), (1, 7, True), (2, 5, True), (3, 3, False)]
+    assert [(int(r["x"]), int(r["y"]), bool(r["cut"])) for r in line_dedup.first_candidates(found, 1)] == [(1, 8, True), (2, 5, True), (3, 3, False)]
+    assert len(line_dedup.first_candidates(found[:0], 64)) == 0
+
+
+def test_line_sets_of_asked_places():
+    """Only the asked lines are read; sets and digests are those of the whole read."""
+    import numpy as np
+    import pyarrow as pa
+
+    from terrafold.llm.shared import BITS
+
+    ids, texts = pa.array([5, None, 7], pa.int64()), pa.array(["a b\n\nc d e\nf", "g h\ni", None])
+    every = [(int(d), int(n), int(g)) for doc, line, _, _, digest in line_dedup.line_sets(ids, texts, 1) for d, n, g in zip(doc, line, digest)]
+    wanted = [every[1], every[4]]
+    bits = np.zeros(BITS, bool)
+    at = line_dedup.place_hash(np.array([w[0] for w in wanted]), np.array([w[1] for w in wanted]))
+    bits[(at >> np.uint64(17)).astype(np.int64) & (BITS - 1)] = True
+    some = [(int(d), int(n), int(g)) for doc, line, _, _, digest in line_dedup.line_sets(ids, texts, 1, places=np.packbits(bits))
+            for d, n, g in zip(doc, line, digest)]
+    assert len(every) == 5 and some == wanted
+    assert [len(x[4]) for x in line_dedup.line_sets(ids, texts, 1, places=np.zeros(BITS // 8, np.uint8))] == [0]
+
+
 def test_line_dedup_odd_rows(spark, odd, odd_texts, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed", "removed_lines"]
