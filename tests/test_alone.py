@@ -82,3 +82,14 @@ def test_many_encoders_take_as_many_jobs_as_one(spark, rows):
     one = jobs([F.col("id") % 5 == 1])
     assert 0 < jobs([F.col("id") % 9 != f for f in range(9)]) < one + 5  # adaptive execution may run a job more
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_blocks_of_many_encodings_stay_small(spark, rows, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_BYTES", 40_000)
+    encoder = models.fit_encoder(rows, POLICY, predictors=POLICY.core)
+    y, encoders = F.col("y"), [encoder] * 4
+    with intermediates(spark):
+        table = boosting.binned(rows, F.xxhash64("id"), encoders, [F.lit(True)] * 4, [y], [F.lit(1)])
+        sizes = [sum(map(len, r["bins"])) for r in table.blocks.select("bins").collect()]
+    width = len(encoder.feature_names)
+    assert sum(sizes) == 9000 * 4 * width and max(sizes) <= max(40_000, 1024 * 4 * width)

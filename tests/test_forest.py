@@ -75,3 +75,65 @@ def test_grown_tree_splits_every_node_that_gains():
     assert len(feature) == 127 and sorted(value[feature < 0]) == list(range(64))
     assert (value[forest.walked(x, feature, cut, below)] == np.arange(64)).all()
     assert len(forest.grown(x, np.full(64, 0.1), np.ones(64, np.uint8), 30, 1)[0]) == 1
+
+
+def test_a_table_of_some_ten_thousand_rows_takes_no_pass_a_level(spark, monkeypatch):
+    df = spark.range(40_000).select((F.col("id") * 37 % 1009 / 100.0).alias("a"), (F.col("id") % 61 / 1.0).alias("b"), F.lit("x").alias("kind"),
+                                    (F.col("id") * 31 % 997 / 10.0).alias("y"))
+
+    def passed(*args):
+        raise AssertionError("a pass over all rows for a level")
+
+    monkeypatch.setattr(forest, "level_splits", passed)
+    assert fitted(df, depth=4).model.subtrees.count() == 5
+
+
+def test_a_level_reads_only_trees_with_open_nodes(monkeypatch):
+    drawn = []
+
+    def bagged(hashes, seed, tree):
+        drawn.append(tree)
+        return np.ones(len(hashes), np.uint8)
+
+    monkeypatch.setattr(forest, "bagged", bagged)
+    hashes, y, x = np.arange(8, dtype=np.uint64), np.arange(8.0), np.arange(8, dtype=np.uint8)
+    block = forest.Block((hashes.tobytes(), y.tobytes(), np.ones(8).tobytes(), np.ones(8, np.uint8).tobytes(), [x.tobytes()], [], []), [1])
+    assert [(t, rows.tolist()) for t, rows, *_ in forest.node_rows(block, [forest.Top() for _ in range(9)], 1, [2, 5])] == [(t, list(range(8))) for t in (2, 5)]
+    assert drawn == [2, 5]
+
+
+def test_counted_and_sorted_levels_choose_the_same_splits():
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.integers(0, 64, 6000), rng.integers(0, 64, 6000), rng.integers(0, 2, 6000)]).astype(np.uint8)
+    y, w = x[0] * 0.3 + x[1] % 7 + rng.integers(0, 9, 6000) / 4.0, rng.integers(1, 4, 6000).astype(np.uint8)
+    feature, cut, below, value = forest.grown(x, y, w, 30, 2)
+    rows, node = [np.arange(6000)], [0]
+    while node:  # every split beside all cuts of all features
+        own, at = rows.pop(), node.pop()
+        assert value[at] == pytest.approx(np.average(y[own], weights=w[own]))
+        if feature[at] < 0:
+            continue
+
+        def gain(f, c):
+            left = x[f, own] <= c
+            n = w[own][left].sum(), w[own][~left].sum()
+            if min(n) < 2:
+                return -1.0
+            return sum(np.average(y[own][s], weights=w[own][s]) ** 2 * m for s, m in zip((left, ~left), n))
+
+        every = {(f, c): gain(f, c) for f in range(3) for c in np.unique(x[f, own])[:-1].tolist()} if len(own) < 400 or at == 0 else {}
+        assert gain(feature[at], cut[at]) >= max(every.values(), default=-1) - 1e-6
+        right = x[feature[at], own] > cut[at]
+        rows += [own[~right], own[right]]
+        node += [below[at], below[at] + 1]
+
+
+def test_predictions_of_many_rows_are_dealt_by_their_bytes(spark, rows, monkeypatch):
+    few = fitted(rows)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert few.model.partitions(3000) == (least, least)
+    walkers, adders = few.model.partitions(36_000_000)
+    assert walkers > 36_000_000 * 5 * 4 / forest.TASK_BYTES and adders > 36_000_000 * 5 * 12 / forest.TASK_BYTES - 1
+    want = values(few, rows)
+    monkeypatch.setattr(forest, "TASK_BYTES", 10_000)
+    assert few.model.partitions(3000)[0] > least and values(few, rows) == pytest.approx(want, abs=1e-12)
