@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from terrafold.functions.predictors import PredictorPolicy
 from terrafold.operators import boosting, models
 from terrafold.operators.encode import EncodingError
+from terrafold.operators.folds import nested_folds
+from terrafold.plans import catalog
 from terrafold.session import intermediates
 
 POLICY = PredictorPolicy(core=("a", "b", "kind"), additions=(), categorical=("kind",))
@@ -93,3 +95,33 @@ def test_blocks_of_many_encodings_stay_small(spark, rows, monkeypatch):
         sizes = [sum(map(len, r["bins"])) for r in table.blocks.select("bins").collect()]
     width = len(encoder.feature_names)
     assert sum(sizes) == 9000 * 4 * width and max(sizes) <= max(40_000, 1024 * 4 * width)
+
+
+@pytest.mark.parametrize("name", ["loss_curve", "candidate_board", "nested_out_of_fold", "component_out_of_fold", "baseline_out_of_fold", "satellite_pair"])
+def test_model_tables_write_the_columns_they_read(spark, sf_dir, monkeypatch, name):
+    """All 41 columns of the observations were written two to four times before a fold was fitted."""
+    written = []
+
+    class Written(Exception):
+        pass
+
+    def fold(df):
+        written.extend(df.columns)
+        raise Written
+
+    monkeypatch.setattr(catalog.models, "_with_outer_folds", fold)
+    with pytest.raises(Written):
+        catalog.queries()[f"model_{name}"](spark, sf_dir)
+    assert {"sample_id", "spatial_block_id", "date", "weather_event_id", *catalog.models.CORE} <= set(written) and len(written) < 25
+
+
+def test_inner_parts_are_those_of_the_long_table(spark, sf_dir):
+    split, inner = catalog.models.FOLDS, 2
+    df = catalog.models._development(spark, sf_dir, catalog.models.USED)
+    rows = models.nested_rows(df, split, inner, with_final=False)
+    outer, _ = models.outer_rows(df, split, inner)
+    long = {tuple(r) for r in nested_folds(outer, split, inner).filter("part <> 'embargo'").select("sample_id", "outer_fold", "fold", "part").collect()}
+    marks = {(f, i, part): mark.cast("int") for f in range(split.n_folds) for i, both in enumerate(models.inner_parts(f, inner))
+             for part, mark in zip(("train", "validation"), both)}
+    found = rows.select("sample_id", *[m.alias(f"{f}_{i}_{part}") for (f, i, part), m in marks.items()]).collect()
+    assert {(r["sample_id"], f, i, part) for r in found for f, i, part in marks if r[f"{f}_{i}_{part}"]} == long
