@@ -99,7 +99,7 @@ def test_blocks_of_many_encodings_stay_small(spark, rows, monkeypatch):
 
 @pytest.mark.parametrize("name", ["loss_curve", "candidate_board", "nested_out_of_fold", "component_out_of_fold", "baseline_out_of_fold", "satellite_pair"])
 def test_model_tables_write_the_columns_they_read(spark, sf_dir, monkeypatch, name):
-    """All 41 columns of the observations were written two to four times before a fold was fitted."""
+    """All 39 columns of the observations were written two to four times before a fold was fitted."""
     written = []
 
     class Written(Exception):
